@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("shards", "mixing", "rules", "urls")
+MODULES = ("shards", "mixing", "rules", "urls", "bpe", "binary")
 
 
 def _all(name: str) -> dict:

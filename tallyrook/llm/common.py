@@ -66,3 +66,9 @@ def let(value: Column, body) -> Column:
 def unit_hash(key: Column) -> Column:
     """A number in (0, 1) that depends on the key alone: the first 52 bits of the md5 of its text."""
     return (F.conv(F.substring(F.md5(key.cast("string")), 1, 13), 16, 10).cast("long") + 1) / F.lit(float(2**52 + 2))
+
+
+def small_batches(spark: SparkSession, rows: int = 1_000, size: int = 8 << 20) -> None:
+    """Bound what one Arrow batch holds, for tables with long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
