@@ -27,7 +27,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Pre-tokens whose ids a worker keeps in each of two generations, and the longest such, in characters.
 KEPT, KEPT_CHARS = 400_000, 64
 #: White space as Unicode has it; without the separators 1C to 1F, which Python's \s includes.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def compiled(pattern: str) -> regex.Pattern:
