@@ -45,7 +45,7 @@ def mix(
     docs: DataFrame,
     weights: Sequence[float] = WEIGHTS,
     most: int = MOST_EPOCHS,
-    quality: Column | float = 1.0,
+    quality: DataFrame | None = None,
     carry: Sequence[Column] = (),
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -56,24 +56,27 @@ def mix(
     A source's target is whole epochs of it plus a rest. Every document is taken once an epoch. For the rest each
     document draws the key -ln(u) / quality with u from its id, so better documents come earlier more often; in key order
     documents are taken while the words before them stay under the rest, and the document at the limit where that comes
-    nearer to it. Documents are taken whole. Quality has to be positive; null counts as 1. Null and empty texts have no
+    nearer to it. Documents are taken whole. quality is a table (label_id, label_quality), one row an id, joined to the
+    counted rows, not to the texts; it has to be positive, and documents without one count as 1. Null and empty texts have no
     words; a null source is a source, the last. Repeated rows are documents of their own. An empty table gives no rows.
 
     No window holds a whole source: the keys are cut in buckets of about BUCKET_ROWS rows, a source's buckets are
     summed first and documents are added up inside their bucket.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    good = F.coalesce(F.lit(quality) if isinstance(quality, float) else quality, F.lit(1.0))
     sized = stash(
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.struct(*carry, F.lit(0).alias("_")).alias("carried"),
             F.col(source_col).alias("source"),
             F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-            (-F.ln(unit_hash(F.coalesce(F.col(id_col).cast("string"), F.lit("null")))) / good).alias("key"),
+            (-F.ln(unit_hash(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))).alias("key"),
         ),
         "mix-sized",
     )
+    if quality is not None:
+        sized = sized.join(quality, sized["doc_id"] == quality["label_id"], "left")
+        sized = sized.withColumn("key", F.col("key") / F.coalesce("label_quality", F.lit(1.0))).drop("label_id", "label_quality")
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, most)
     sources = sources.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
     sources = sources.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
@@ -101,16 +104,9 @@ def label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.groupBy(F.col("doc_id").alias("label_id")).agg((0.5 + 1.5 * F.avg("quality")).alias("label_quality"))
 
 
-def with_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents, in a column row, beside label_quality; null where no label is."""
-    rows = docs.select(F.struct("*").alias("row"))
-    return rows.join(labels, rows["row.doc_id"] == labels["label_id"], "left")
-
-
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    rows = with_quality(docs, label_quality(spark, sf_dir)).select("row.doc_id", "row.text", "row.source", "label_quality")
-    return mix(rows, quality=F.col("label_quality")).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mix(table(spark, sf_dir, "documents"), quality=label_quality(spark, sf_dir))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES = {"op3_mix_sources": op3_mix_sources}
