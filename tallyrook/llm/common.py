@@ -72,3 +72,11 @@ def small_batches(spark: SparkSession, rows: int = 1_000, size: int = 8 << 20) -
     """Bound what one Arrow batch holds, for tables with long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of jobs whose results were written: its cleaner follows the driver's collector."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
