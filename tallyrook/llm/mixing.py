@@ -104,6 +104,19 @@ def label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.groupBy(F.col("doc_id").alias("label_id")).agg((0.5 + 1.5 * F.avg("quality")).alias("label_quality"))
 
 
+def mixed(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The input's rows and columns, each row as often as the mix takes it; rows that it doesn't take go.
+
+    Decisions are made on ids and text hashes; the texts are dealt once. Rows of one id and text are taken alike.
+    """
+    name = lambda c: F.coalesce(c.cast("string"), F.lit("")).alias("_id")
+    tid = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("_tid")
+    taken = mix(docs, quality=quality, carry=[tid], id_col=id_col, text_col=text_col, **how)
+    taken = taken.select(name(F.col("doc_id")), "carried._tid", "copies").groupBy("_id", "_tid").agg(F.max("copies").alias("_copies")).where("_copies > 0")
+    packed = docs.select(F.struct("*").alias("row"), name(F.col(id_col)), tid)
+    return packed.join(taken, ["_id", "_tid"]).select("row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"), quality=label_quality(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
