@@ -34,10 +34,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts the lineage, survives lost executors."""
+def stash(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write to the shared folder and read again: cuts the lineage, survives lost executors. by: folders for these columns."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stash_path = path
     return out
@@ -77,6 +77,9 @@ def small_batches(spark: SparkSession, rows: int = 1_000, size: int = 8 << 20) -
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of jobs whose results were written: its cleaner follows the driver's collector."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)

@@ -35,21 +35,22 @@ CHUNK_BYTES = 2 << 20
 RANGE_BYTES = 16 << 20
 #: A window is compared in the range of its rarest phrase if that occurs at most this often.
 COMMON = 1_000
+#: Bytes of runs put in order at a time, besides those of one phrase.
+GROUP_BYTES = 1 << 20
 
 
 class Texts:
     """A chunk: documents, one after the other, and their parse. Documents shorter than a window are left out of the parse."""
 
     def __init__(self, data: bytes, length: int, parse: bool = True):
-        self.ids, self.sizes, self.tids, self.data = unpack(data)
+        self.ids, self.sizes, self.tids, self.data, at = unpack(data)
         self.length = length
         self.offsets = np.concatenate([[0], np.cumsum(self.sizes, dtype=np.int64)])
         if not parse:
             return
         n = len(self.data)
         self.hashes = Hashes(self.data)
-        self.at = cuts(self.hashes, self.offsets)
-        bounds = np.unique(np.concatenate([self.at, self.offsets]))
+        bounds = np.unique(np.concatenate([at.astype(np.int64), self.offsets]))
         begin, end = bounds[:-1], bounds[1:]
         doc = np.searchsorted(self.offsets, begin, "right") - 1
         long = (self.sizes >= length)[doc] if len(doc) else np.zeros(0, bool)
@@ -65,7 +66,9 @@ class Texts:
     def packed(docs: list[tuple[int, bytes, bytes]]) -> bytes:
         data = np.frombuffer(b"".join(t for _, _, t in docs), np.uint8)
         tids = np.frombuffer(b"".join(t for _, t, _ in docs), np.uint8)
-        return pack(np.array([i for i, _, _ in docs], np.int64), np.array([len(t) for _, _, t in docs], np.uint32), tids, data)
+        sizes = np.array([len(t) for _, _, t in docs], np.uint32)
+        at = cuts(Hashes(data), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]))
+        return pack(np.array([i for i, _, _ in docs], np.int64), sizes, tids, data, at.astype(np.uint64))
 
     def open(self, counts: np.ndarray) -> np.ndarray:
         """Windows that hold no whole phrase that occurs once; counts: of the distinct phrases."""
@@ -150,6 +153,14 @@ class Open:
         order = np.argsort(key, kind="stable")
         self.key, self.first, self.size, self.asks = key[order], position[first][order], size[order], wanted[first][order]
 
+    def packed(self) -> bytes:
+        """What is needed to read the answers: settled windows, those compared by hash, and runs that ask."""
+        asked = self.plain_wanted
+        return pack(
+            np.packbits(self.settled), self.plain[asked].astype(np.uint64), self.hash_which[asked].astype(np.uint32),
+            self.first[self.asks].astype(np.int64), self.size[self.asks].astype(np.uint32),
+        )
+
 
 def _ask_runs(name: str, texts: Texts, left: Open, n: int) -> list[tuple[str, str, int, bytes]]:
     at = range_starts(left.key, n)
@@ -186,12 +197,20 @@ def _compare(length: int, group: pa.Table) -> pa.Table:
     text = np.concatenate([b[3] for b in blobs])
     width = size.astype(np.int64) + length - 1
     ends = np.cumsum(width)
-    # phrases that no window asks for need no comparison
-    use = np.isin(key, key[asks > 0])
-    begin = (ends - width)[use]
-    places = np.repeat(begin, width[use]) + np.arange(width[use].sum()) - np.repeat(np.cumsum(width[use]) - width[use], width[use])
+    # phrases that no window asks for need no comparison; the others are compared in groups of about GROUP_BYTES
+    use = np.flatnonzero(np.isin(key, key[asks > 0]))
+    use = use[np.argsort(key[use], kind="stable")]
     found = np.zeros(len(text), bool)
-    found[places] = repeated(text[places], np.concatenate([[0], np.cumsum(width[use])]), length)
+    whole = np.flatnonzero(np.append(key[use][1:] != key[use][:-1], True)) + 1  # behind the last run of a phrase
+    total, at = np.cumsum(width[use]), 0
+    while at < len(use):
+        limit = (total[at - 1] if at else 0) + GROUP_BYTES
+        to = int(whole[max(np.searchsorted(whole, at, "right"), np.searchsorted(total[whole - 1], limit, "right") - 1)])
+        runs = use[at:to]
+        w = width[runs]
+        places = np.repeat(ends[runs] - w, w) + np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+        found[places] = repeated(text[places], np.concatenate([[0], np.cumsum(w)]), length)
+        at = to
     out, run = [], 0
     for name, blob in zip(names, blobs, strict=True):
         mine = np.arange(run, run + len(blob[0]))
@@ -246,31 +265,27 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
         counts = np.bincount(which, minlength=len(distinct)).astype(np.uint32)
         return pa.Table.from_batches([batch(requests(name, "sequences", distinct, [counts], n))])
 
-    def opened(part: dict) -> tuple[Texts, Open | None]:
-        texts = Texts(part["chunk"], length)
-        if "sequences" not in part:
-            return texts, None
-        return texts, Open(texts, part["phrases"][0], *part["sequences"])
-
     def ask_windows(group: pa.Table) -> pa.Table:
         name, part = parts(group)
-        texts, left = opened(part)
-        if left is None:
+        if "sequences" not in part:
             return pa.Table.from_batches([batch([])])
+        texts = Texts(part["chunk"], length)
+        left = Open(texts, part["phrases"][0], *part["sequences"])
         counts = np.bincount(left.hash_which, minlength=len(left.hashes)).astype(np.uint32)
-        return pa.Table.from_batches([batch(requests(name, "hashes", left.hashes, [counts], n) + _ask_runs(name, texts, left, n))])
+        asked = requests(name, "hashes", left.hashes, [counts], n) + _ask_runs(name, texts, left, n)
+        return pa.Table.from_batches([batch([*asked, (name, "left", 0, left.packed())])])
 
     def finish(group: pa.Table) -> pa.Table:
         _, part = parts(group)
-        texts, left = opened(part)
-        if left is None:
-            starts = np.zeros(len(texts.data), bool)
-        else:
-            starts = left.settled.copy()
-            if "hashes" in part:
-                starts[left.plain[left.plain_wanted & (part["hashes"][0][left.hash_which] > 1)]] = True
-            if "found" in part:
-                size, first = left.size[left.asks], left.first[left.asks]
+        texts = Texts(part["chunk"], length, parse=False)
+        starts = np.zeros(len(texts.data), bool)
+        if "left" in part:
+            settled, plain, which, first, size = part["left"]
+            starts[:] = np.unpackbits(settled, count=len(starts))
+            if len(plain):
+                starts[plain[part["hashes"][0][which] > 1].astype(np.int64)] = True
+            if len(first):
+                size = size.astype(np.int64)
                 position = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                 starts[position[part["found"][0] > 0]] = True
         steps = np.zeros(len(starts) + length + 1, np.int32)
@@ -305,11 +320,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
     sequences = together().applyInArrow(ask_sequences, BLOB).groupBy("r").applyInArrow(lambda g: _count("sequences", g), BLOB)
     known.append(stash(sequences, "sequences"))
     release_shuffles(spark)
-    asked = stash(together().applyInArrow(ask_windows, BLOB), "windows")
+    asked = stash(together().applyInArrow(ask_windows, BLOB), "windows", "kind")
     release_shuffles(spark)
     hashes = asked.where("kind = 'hashes'").groupBy("r").applyInArrow(lambda g: _count("hashes", g), BLOB)
     found = asked.where("kind = 'runs'").groupBy("r").applyInArrow(lambda g: _compare(length, g), BLOB)
-    known += [stash(hashes, "hashes"), stash(found, "found")]
+    known = [chunks, asked.where("kind = 'left'"), stash(hashes, "hashes"), stash(found, "found")]
     release_shuffles(spark)
     return together().applyInArrow(finish, "doc_id long, tid binary, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
