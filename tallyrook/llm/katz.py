@@ -15,16 +15,15 @@ network once for a chunk, however often it occurs, no key is hot, and no task ho
 
 from __future__ import annotations
 
-import struct
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blobs import BLOB, batch, each, pack, parts, requests, rows, unpack
 from .common import release_shuffles, small_batches, stash, table
 from .words import U, mix, texts_hashed
 
@@ -35,33 +34,6 @@ RANGE_TOKENS = 4_000_000
 MOST = 5
 UNKNOWN_SHARE = 0.1
 START, END = mix(np.array([0x5354415254, 0x454E44], np.uint64))
-_KINDS = ["<u1", "<u4", "<u8", "<i8", "<f8"]
-
-
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays in one compressed binary; bytes of equal weight lie together. Sorted uint64 arrays go as differences."""
-    head, body = [struct.pack("<B", len(arrays))], []
-    for x in arrays:
-        kind = _KINDS.index("<" + x.dtype.str[1:])
-        rising = x.dtype == np.uint64
-        if rising and len(x):
-            x = np.concatenate([x[:1], np.diff(x)])
-        head.append(struct.pack("<BI", kind, len(x)))
-        body.append(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
-    return zstandard.compress(b"".join(head + body), 1)
-
-
-def unpack(data: bytes) -> list[np.ndarray]:
-    data = zstandard.decompress(data)
-    n, at = data[0], 1 + 5 * data[0]
-    out = []
-    for i in range(n):
-        kind, size = struct.unpack_from("<BI", data, 1 + 5 * i)
-        width = int(_KINDS[kind][2])
-        x = np.ascontiguousarray(np.frombuffer(data, np.uint8, size * width, at).reshape(width, size).T).reshape(-1).view(_KINDS[kind])
-        out.append(np.cumsum(x, dtype=np.uint64) if kind == 2 else x)
-        at += size * width
-    return out
 
 
 class Chunk:
@@ -142,38 +114,18 @@ class Unigrams:
         return (counts + UNKNOWN_SHARE) / (self.tokens + UNKNOWN_SHARE * (self.types + 1))
 
 
-def _ranges(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Where each range's hashes begin in the sorted array."""
-    limits = np.array([(i << 64) // n for i in range(n)], np.uint64)
-    return np.append(np.searchsorted(hashes, limits), len(hashes))
-
-
-def _requests(hashes: np.ndarray, columns: list[np.ndarray], n: int) -> Iterator[tuple[int, bytes]]:
-    at = _ranges(hashes, n)
-    for r in range(n):
-        if at[r] < at[r + 1]:
-            yield r, pack(hashes[at[r] : at[r + 1]], *(x[at[r] : at[r + 1]] for x in columns))
-
-
-def _rows(chunks: list[str], kinds: list[str], ranges: list[int], data: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(chunks), pa.array(kinds), pa.array(ranges, pa.int32()), pa.array(data, pa.binary())], names=["chunk", "kind", "r", "data"])
-
-
-BLOB = "chunk string, kind string, r int, data binary"
-
-
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[int, bool, np.ndarray]] = []
     tokens = 0
-    for batch in batches:
-        for doc_id, out, words in zip(batch.column("doc_id").to_pylist(), batch.column("held").to_pylist(), texts_hashed(batch.column("text"), lower=True), strict=True):
+    for one in batches:
+        for doc_id, out, words in zip(one.column("doc_id").to_pylist(), one.column("held").to_pylist(), texts_hashed(one.column("text"), lower=True), strict=True):
             held.append((doc_id, out, np.append(words, END)))
             tokens += len(words) + 1
             if tokens >= CHUNK_TOKENS:
-                yield _rows([uuid.uuid4().hex], ["chunk"], [0], [Chunk.packed(held)])
+                yield rows([uuid.uuid4().hex], ["chunk"], [0], [Chunk.packed(held)])
                 held, tokens = [], 0
     if held:
-        yield _rows([uuid.uuid4().hex], ["chunk"], [0], [Chunk.packed(held)])
+        yield rows([uuid.uuid4().hex], ["chunk"], [0], [Chunk.packed(held)])
 
 
 def _summed(group: pa.Table) -> tuple[list[str], list[list[np.ndarray]], np.ndarray, list[np.ndarray]]:
@@ -222,28 +174,34 @@ def _count_pairs(group: pa.Table) -> pa.Table:
     return _answers("pairs", answers, group.column("r")[0].as_py(), _histogram(totals))
 
 
-def _weigh(group: pa.Table) -> pa.Table:
-    names, blobs, keys, (mass, lower, _, *which) = _summed(group)
+def _tally(which: np.ndarray, counts: np.ndarray, n: int) -> list[np.ndarray]:
+    """For each of n: how many of the counts are 1, 2 and so on to MOST, how many are above, and the sum of those. Whole
+    numbers, so that sums are exact whatever their order, and small ones, so that they compress."""
+    small = [np.bincount(which[counts == c], minlength=n).astype(np.uint32) for c in range(1, MOST + 1)]
+    above = counts > MOST
+    return [*small, np.bincount(which[above], minlength=n).astype(np.uint32), np.rint(np.bincount(which[above], counts[above], n)).astype(np.int64)]
+
+
+def _weigh(d: np.ndarray, unigrams: Unigrams, group: pa.Table) -> pa.Table:
+    """Backoff weights of a range's histories, for those that are needed, and whether half a count is added."""
+    names, blobs, keys, sums = _summed(group)
+    seen, words, which = sums[: MOST + 2], sums[MOST + 2 : 2 * (MOST + 2)], sums[2 * (MOST + 2) + 2 :]
     counts = np.zeros(len(keys), np.int64)
     for blob, w in zip(blobs, which, strict=True):
-        counts[w] = blob[3]  # the same in every chunk
-    total = np.where(counts - mass < 1e-9, counts + 0.5, counts)
+        counts[w] = blob[-2]  # the same in every chunk
+    mass = sum(d[c] * c * seen[c - 1] for c in range(1, MOST + 1)) + seen[-1]
+    half = counts - mass < 1e-9
+    if unigrams.added:
+        lower = sum((c + UNKNOWN_SHARE) * words[c - 1] for c in range(1, MOST + 1)) + words[-1] + UNKNOWN_SHARE * words[-2]
+        lower = lower / (unigrams.tokens + UNKNOWN_SHARE * (unigrams.types + 1))
+    else:
+        lower = (sum(unigrams.d[c] * c * words[c - 1] for c in range(1, MOST + 1)) + words[-1]) / unigrams.tokens
     with np.errstate(divide="ignore", invalid="ignore"):
-        alpha = np.where(counts > 0, (1 - mass / total) / (1 - lower), 1.0)
-    answers = [(name, pack(alpha[w], total[w])) for name, w in zip(names, which, strict=True)]
-    return _answers("weights", answers, group.column("r")[0].as_py(), None)
-
-
-def _parts(group: pa.Table) -> dict[str, list[np.ndarray] | Chunk | str]:
-    """A chunk and the answers to it, put together again in the order of ranges."""
-    out: dict = {}
-    rows = sorted(zip(group.column("kind").to_pylist(), group.column("r").to_pylist(), range(group.num_rows), strict=True))
-    data = group.column("data")
-    for kind in {k for k, _, _ in rows}:
-        blobs = [data[i].as_py() for k, _, i in rows if k == kind]
-        out[kind] = Chunk(blobs[0]) if kind == "chunk" else [np.concatenate(x) for x in zip(*map(unpack, blobs), strict=True)]
-    out["name"] = group.column("chunk")[0].as_py()
-    return out
+        alpha = np.where(counts > 0, (1 - mass / (counts + 0.5 * half)) / (1 - lower), 1.0)
+    answers = [(name, pack(alpha[w][blob[-1] > 0])) for name, blob, w in zip(names, blobs, which, strict=True)]
+    halves = [(name, pack(half[w].astype(np.uint8))) for name, w in zip(names, which, strict=True)]
+    r = group.column("r")[0].as_py()
+    return pa.concat_tables([_answers("weights", answers, r, None), _answers("halves", halves, r, None)])
 
 
 def score(docs: DataFrame, held: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,29 +218,25 @@ def score(docs: DataFrame, held: Column | None = None, id_col: str = "doc_id", t
     own = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     held = F.crc32(own.cast("binary")) % 10 == 0 if held is None else held
     # the id goes along as a number; null as the smallest, which no id may be
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), held.alias("held"), F.col(text_col).alias("text"))
-    chunks = stash(rows.mapInArrow(_chunked, BLOB), "lm-chunks")
+    plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), held.alias("held"), F.col(text_col).alias("text"))
+    chunks = stash(plain.mapInArrow(_chunked, BLOB), "lm-chunks")
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([len(Chunk(x.as_py()).tokens) for x in batch.column("data")], pa.int64())], names=["n"])
+        for _, data in each(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([len(Chunk(data).tokens)], pa.int64())], names=["n"])
 
     tokens = chunks.mapInArrow(sized, "n long").agg(F.sum("n")).first()[0] or 0
     ranges = max(1, -(-tokens // RANGE_TOKENS), min(spark.sparkContext.defaultParallelism, tokens // 100_000))
 
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, data in zip(batch.column("chunk").to_pylist(), batch.column("data"), strict=True):
-                chunk = Chunk(data.as_py())
-                for r, blob in _requests(chunk.words, [chunk.word_counts()], ranges):
-                    yield _rows([name], ["words"], [r], [blob])
+        for name, data in each(batches):
+            chunk = Chunk(data)
+            yield batch(requests(name, "words", chunk.words, [chunk.word_counts()], ranges))
 
     def ask_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, data in zip(batch.column("chunk").to_pylist(), batch.column("data"), strict=True):
-                hashes, counts, *_ = Chunk(data.as_py()).pairs()
-                for r, blob in _requests(hashes, [counts.astype(np.uint32)], ranges):
-                    yield _rows([name], ["pairs"], [r], [blob])
+        for name, data in each(batches):
+            hashes, counts, *_ = Chunk(data).pairs()
+            yield batch(requests(name, "pairs", hashes, [counts.astype(np.uint32)], ranges))
 
     def numbers(answers: DataFrame) -> list[int]:
         """Sums of the ranges' statistics: a few numbers."""
@@ -297,24 +251,26 @@ def score(docs: DataFrame, held: Column | None = None, id_col: str = "doc_id", t
     d = discounts([0, *numbers(pairs)[2:]])
 
     def sum_histories(group: pa.Table) -> pa.Table:
-        part = _parts(group)
-        chunk: Chunk = part["chunk"]
+        name, part = parts(group)
+        chunk = Chunk(part["chunk"])
         (counts,), (seen, owned) = part["words"], part["pairs"]
         _, _, history, word, _ = chunk.pairs()
-        mine = owned > 0
-        mass = np.bincount(history[mine], discounted(seen[mine].astype(np.int64), d), len(chunk.words))
-        lower = np.bincount(history[mine], unigrams(counts)[word[mine]], len(chunk.words))
-        asked = list(_requests(chunk.words, [mass, lower, counts], ranges))
-        return pa.Table.from_batches([_rows([part["name"]] * len(asked), ["sums"] * len(asked), [r for r, _ in asked], [b for _, b in asked])])
+        mine, n = owned > 0, len(chunk.words)
+        needed = np.zeros(n, np.uint8)
+        needed[history[seen == 0]] = 1
+        columns = [*_tally(history[mine], seen[mine].astype(np.int64), n), *_tally(history[mine], counts[word[mine]], n), counts, needed]
+        return pa.Table.from_batches([batch(requests(name, "sums", chunk.words, columns, ranges))])
 
     def evaluate(group: pa.Table) -> pa.Table:
-        part = _parts(group)
-        chunk: Chunk = part["chunk"]
-        (counts,), (seen, _), (alpha, whole) = part["words"], part["pairs"], part["weights"]
+        _, part = parts(group)
+        chunk = Chunk(part["chunk"])
+        (counts,), (seen, _), (weights,), (half,) = part["words"], part["pairs"], part["weights"], part["halves"]
         _, _, history, word, which = chunk.pairs()
         seen = seen.astype(np.int64)
+        alpha = np.ones(len(chunk.words))
+        alpha[np.unique(history[seen == 0])] = weights
         with np.errstate(divide="ignore", invalid="ignore"):
-            p = np.where(seen > 0, discounted(seen, d) / whole[history], alpha[history] * unigrams(counts)[word])
+            p = np.where(seen > 0, discounted(seen, d) / (counts + 0.5 * half)[history], alpha[history] * unigrams(counts)[word])
         known, base = counts > 0, np.log10(unigrams.base(counts))
         starts = np.concatenate([[0], np.cumsum(chunk.lengths, dtype=np.int64)[:-1]])
         add = lambda x: np.add.reduceat(x, starts)
@@ -329,7 +285,7 @@ def score(docs: DataFrame, held: Column | None = None, id_col: str = "doc_id", t
     answers = words.unionByName(pairs).drop("numbers").where("chunk <> ''")
     asked = chunks.unionByName(answers)
     sums = asked.groupBy("chunk").applyInArrow(sum_histories, BLOB)
-    weights = stash(sums.groupBy("r").applyInArrow(_weigh, ANSWER).drop("numbers"), "lm-weights")
+    weights = stash(sums.groupBy("r").applyInArrow(lambda g: _weigh(d, unigrams, g), ANSWER).drop("numbers"), "lm-weights")
     release_shuffles(spark)
     asked = chunks.unionByName(answers).unionByName(weights)
     return asked.groupBy("chunk").applyInArrow(
