@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Accented letters of Portuguese, Spanish, French and German, and what they fold to.
 ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑÝ"
@@ -70,7 +71,7 @@ def word_distance(a: list[str], b: list[str]) -> int:
     return before[-1]
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def token_distance(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Edit distance in words; the whole texts, so use it on lines and short texts."""
     for a, b in batches:
