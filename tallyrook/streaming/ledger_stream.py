@@ -41,9 +41,11 @@ def _step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.Data
 
 def outcomes(log: DataFrame, late: str = "10 minutes") -> DataFrame:
     """A streaming log (operators.ledger.log) to a stream of outcomes, one row an event."""
+    log = log.withColumn("ts", F.col("ts").cast("timestamp"))
     return log.withWatermark("ts", late).groupBy("draft_id").applyInPandasWithState(_step, OUT, STATE, "append", "NoTimeout")
 
 
 def counts(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Events by action in windows of event time; a window comes out once the watermark passed it."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     return events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
