@@ -31,8 +31,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import ascii_pattern, compiled
-from .common import shared_path, small_batches, table
+from .bpe import plain_pattern
+from .common import shared_path, small_batches, stash, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
@@ -50,7 +50,8 @@ HAS_CHECKSUMS = 0x80
 SEPARATOR = struct.pack("<I", SEEKABLE_MAGIC)
 INDEX_ROW = struct.Struct("<qqIQ")
 SEEK_ROW = struct.Struct("<III")
-KEPT, KEPT_CHARS = 400_000, 64
+#: Strings whose ids a worker keeps in each of two generations, and the longest such, in characters.
+KEPT, KEPT_CHARS = 450_000, 64
 
 
 def pack_frame(ids: list[tuple[int, np.ndarray]]) -> bytes:
@@ -145,8 +146,25 @@ def open_file(path: str) -> TokenFile:
     return TokenFile(os.path.getsize(path), fetch)
 
 
+class Kept:
+    """Ids of the strings met lately, in two generations; after KEPT new ones the older generation goes."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make, self.new, self.old = make, {}, {}
+
+    def __call__(self, key: str) -> bytes:
+        """For a key that isn't in new."""
+        if (out := self.old.get(key)) is None:
+            out = self.make(key)
+        if len(key) <= KEPT_CHARS:
+            if len(self.new) >= KEPT:
+                self.new, self.old = {}, self.new
+            self.new[key] = out
+        return out
+
+
 class Encoder:
-    """The tokenizers library, asked once for each different pre-token of the plain characters.
+    """The tokenizers library, asked once for each different pre-token of plain text.
 
     Byte-level BPE without a normaliser encodes pre-tokens independently, so a text's ids are those of its pre-tokens in a
     row. Texts with characters outside Latin and general punctuation, where two versions of Unicode's tables might part a
@@ -159,30 +177,19 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        self.find, self.find_ascii = compiled(public_tokenizers.PATTERN).findall, ascii_pattern(public_tokenizers.PATTERN).findall
+        self.find = plain_pattern(public_tokenizers.PATTERN).findall
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile(r"[^\x00-\x1b\x20-\x84\x86-\u024f\u2010-\u2027]").search
-        self.kept: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.tokens = Kept(self.plain)
 
     def plain(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def token(self, token: str) -> bytes:
-        if (out := self.older.get(token)) is None:
-            out = self.plain(token)
-        if len(token) <= KEPT_CHARS:
-            if len(self.kept) >= KEPT:
-                self.kept, self.older = {}, self.kept
-            self.kept[token] = out
-        return out
-
     def encode(self, text: str) -> np.ndarray:
-        ascii_only, token = text.isascii(), self.token
-        if (not ascii_only and self.special(text)) or any(x in text for x in self.added):
+        make = self.tokens
+        if (not text.isascii() and self.special(text)) or any(x in text for x in self.added):
             return np.frombuffer(self.plain(text), "<u4")
-        found = self.find_ascii(text) if ascii_only else self.find(text)
-        return np.frombuffer(b"".join([self.kept.get(t) or token(t) for t in found]), "<u4")
+        return np.frombuffer(b"".join([make.new.get(t) or make(t) for t in self.find(text)]), "<u4")
 
 
 @lru_cache(maxsize=2)
@@ -209,8 +216,8 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int
 
         def encoded() -> Iterator[tuple[int, np.ndarray]]:
             for batch in batches:
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                    yield doc_id, np.concatenate([encoder.encode(text.as_py() or ""), end])
+                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    yield doc_id, np.concatenate([encoder.encode(text or ""), end])
 
         for record in records(encoded()):
             yield pa.RecordBatch.from_arrays([pa.array([record], pa.binary())], names=["value"])
@@ -259,9 +266,10 @@ def find(path: str, doc_ids: list[int]) -> dict[int, list[np.ndarray]]:
 
 def placed(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document in the files; start counts the ids of all documents before."""
-    docs = read(spark, path).select(
+    found = read(spark, path).select(
         "file", "doc_id", "place", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
     )
+    docs = stash(found, "token-places")  # read once, used twice
     # one row a file
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     starts = docs.groupBy("file").agg(F.sum("n_tokens").alias("n")).select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
