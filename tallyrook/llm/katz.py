@@ -27,9 +27,9 @@ from .blobs import BLOB, batch, each, pack, parts, requests, rows, unpack
 from .common import release_shuffles, small_batches, stash, table
 from .words import U, mix, texts_hashed
 
-CHUNK_TOKENS = 1_500_000
+CHUNK_TOKENS = 900_000
 #: Tokens for one range of hashes.
-RANGE_TOKENS = 4_000_000
+RANGE_TOKENS = 2_500_000
 #: Counts up to MOST are discounted.
 MOST = 5
 UNKNOWN_SHARE = 0.1

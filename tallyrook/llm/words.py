@@ -33,10 +33,10 @@ def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     got = _powers.get(name)
     if got is None or len(got) < n:
         with np.errstate(over="ignore"):
-            ones = np.full(max(n, SLICE + 1), base, np.uint64)
+            ones = np.full(max(n, SLICE + SLICE // 4), base, np.uint64)
             ones[0] = 1
             got = np.multiply.accumulate(ones)
-        if n <= SLICE + 1:
+        if len(got) <= 2 * SLICE:
             _powers[name] = got
     return got
 
