@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import COLUMN_LABELS, FORM_WORDS, GOOD_WORDS, HEADER_CONFIDENCE, HEADER_FIELDS, LEAST_CHARS, LEAST_WORDS, REVIEW_BELOW, ROW_CONFIDENCE
 from ..functions.text import blank, strip
-from .extract import models, segments
+from .extract import models, occurrences
 
 # Letters of a word, and how truth values are written.
 WORD = r"[a-zA-ZáéíóúâêôãõçÁÉÍÓÚÂÊÔÃÕÇ]{3,}"
@@ -38,36 +38,39 @@ def type_error(kind: Column, value: Column, allowed: Column) -> Column:
     )
 
 
-def fields(sheets: DataFrame) -> DataFrame:
-    """sheet_id, ord, name, value, confidence, status, must_review: header fields, then five cells of each occurrence, or one field
-    that says why there is none."""
-    found = models(sheets)
-    names = list(HEADER_FIELDS)
-    heads = found.select(
-        "sheet_id",
-        F.explode(F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(n).alias("name"), F.col(n).alias("value"), F.lit(HEADER_CONFIDENCE).alias("c")) for i, n in enumerate(names)))).alias("x"),
-    ).select("sheet_id", "x.*")
-    none = F.struct(F.lit(3).alias("ord"), F.lit("ocorrencias").alias("name"), F.lit("(sem alteração)").alias("value"), F.lit(1.0).alias("confidence"), F.lit("accepted").alias("status"), F.lit(False).alias("must_review"))
-    reason = F.when(F.col("table_found"), "(nenhuma linha legível)").otherwise("(tabela não encontrada no OCR)")
-    unknown = F.struct(F.lit(3).alias("ord"), F.lit("ocorrencias").alias("name"), reason.alias("value"), F.lit(0.0).alias("confidence"), F.lit("must_review").alias("status"), F.lit(True).alias("must_review"))
-    single = found.where("disposition <> 'present'").select("sheet_id", F.when(F.col("disposition") == "none", none).otherwise(unknown).alias("x")).select("sheet_id", "x.*")
-    heads = heads.select(
-        "sheet_id", "ord", "name", "value", F.when(blank(F.col("value")), 0.0).otherwise(F.col("c")).alias("confidence"),
-        F.when(blank(F.col("value")), "missing").otherwise("must_review").alias("status"), F.lit(True).alias("must_review"),
+def _field(ord_: Column, name: Column, value: Column, confidence: Column, status: Column, must_review: Column) -> Column:
+    return F.struct(
+        ord_.cast("int").alias("ord"), name.alias("name"), value.alias("value"), confidence.alias("confidence"), status.alias("status"), must_review.alias("must_review")
     )
-    rows = segments(sheets).where("not no_change").withColumn("i", F.expr("row_number() over (partition by sheet_id order by pos)"))
+
+
+def _read(ord_: Column, name: Column, shown: Column, cell: Column, confidence: float) -> Column:
+    """A cell read by rule: it is missing or waits for review."""
+    empty = blank(cell)
+    return _field(ord_, name, shown, F.when(empty, 0.0).otherwise(confidence), F.when(empty, "missing").otherwise("must_review"), F.lit(True))
+
+
+def field_list(models: DataFrame) -> Column:
+    """Of extract.models(): header fields, then five cells of each occurrence, or one field that says why there is none."""
+    heads = F.array(*(_read(F.lit(i), F.lit(n), F.col(n), F.col(n), HEADER_CONFIDENCE) for i, n in enumerate(HEADER_FIELDS)))
     nothing = F.lit(None).cast("string")
-    specs = [("objeto", F.lit("(revisar)"), nothing), ("hora", F.col("hora"), F.col("hora")), ("descricao", F.col("content"), F.col("content")), ("acao", nothing, nothing), ("resolvido", nothing, nothing)]
-    cells = F.array(
-        *(
-            F.struct(
-                (3 + 5 * (F.col("i") - 1) + k).cast("int").alias("ord"), F.concat(F.lit("ocorrencia_"), F.col("i").cast("string"), F.lit(f"_{n}")).alias("name"), shown.alias("value"),
-                F.when(blank(cell), 0.0).otherwise(ROW_CONFIDENCE).alias("confidence"), F.when(blank(cell), "missing").otherwise("must_review").alias("status"), F.lit(True).alias("must_review"),
-            )
-            for k, (n, shown, cell) in enumerate(specs)
-        )
-    )
-    return heads.unionByName(single).unionByName(rows.select("sheet_id", F.inline(cells)))
+
+    def cells(row: Column, i: Column) -> Column:
+        specs = [("objeto", F.lit("(revisar)"), nothing), ("hora", row["hora"], row["hora"]), ("descricao", row["content"], row["content"]), ("acao", nothing, nothing), ("resolvido", nothing, nothing)]
+        name = F.concat(F.lit("ocorrencia_"), (i + 1).cast("string"))
+        return F.array(*(_read(3 + 5 * i + k, F.concat(name, F.lit(f"_{n}")), shown, cell, ROW_CONFIDENCE) for k, (n, shown, cell) in enumerate(specs)))
+
+    none = F.col("disposition") == "none"
+    reason = F.when(none, "(sem alteração)").when(F.col("table_found"), "(nenhuma linha legível)").otherwise("(tabela não encontrada no OCR)")
+    single = _field(F.lit(3), F.lit("ocorrencias"), reason, F.when(none, 1.0).otherwise(0.0), F.when(none, "accepted").otherwise("must_review"), ~none)
+    rows = F.flatten(F.transform(occurrences(models), cells))
+    return F.concat(heads, F.when(F.col("disposition") == "present", rows).otherwise(F.array(single)))
+
+
+def fields(sheets: DataFrame) -> DataFrame:
+    """sheet_id, ord, name, value, confidence, status, must_review: field_list(), one row a field."""
+    found = models(sheets)
+    return found.select("sheet_id", F.inline(field_list(found)))
 
 
 assert HEADER_CONFIDENCE < REVIEW_BELOW and ROW_CONFIDENCE < REVIEW_BELOW  # rule-read cells always go to review
@@ -86,12 +89,12 @@ def quality(text: Column, disposition: Column) -> Column:
 
 
 def states(sheets: DataFrame) -> DataFrame:
-    """models() with quality, pending (fields to review, in order), blockers and reason (why it can't be approved; null if it can)."""
+    """models() with quality, pending (fields to review, in order), blockers and reason (why it can't be approved; null if it can). No
+    shuffle: all of it follows from a sheet's own row."""
     found = models(sheets).withColumn("quality", quality(F.col("text"), F.col("disposition")))
-    pending = F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"])
-    waiting = fields(sheets).where("must_review").groupBy("sheet_id").agg(pending.alias("pending"))
-    found = found.join(waiting, "sheet_id", "left").withColumn("pending", F.coalesce("pending", F.array().cast("array<string>")))
-    extra = F.when((F.col("disposition") == "unknown") & ~F.array_contains("pending", "ocorrencias"), F.array(F.lit("ocorrencias"))).otherwise(F.array().cast("array<string>"))
+    found = found.withColumn("pending", F.transform(F.filter(field_list(found), lambda f: f["must_review"]), lambda f: f["name"]))
+    empty = F.array().cast("array<string>")
+    extra = F.when((F.col("disposition") == "unknown") & ~F.array_contains("pending", "ocorrencias"), F.array(F.lit("ocorrencias"))).otherwise(empty)
     front = F.array_compact(F.array(F.when(F.col("pages") > 1, "multipage"), F.when(F.col("quality") == "failed", "ocr_failed")))
     reason = (
         F.when(F.col("pages") > 1, "multipage").when(F.col("quality") == "failed", "ocr_failed")

@@ -28,14 +28,15 @@ def truth_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def system_rows(base: DataFrame) -> DataFrame:
     """sheet_id, pos, description, hora: the occurrences that were read."""
-    rows = extract.segments(base).where("not no_change").withColumn("i", F.expr("row_number() over (partition by sheet_id order by pos)"))
-    hora = F.nullif(F.concat_ws(" ", extract.entry_time(F.col("hora")), extract.exit_time(F.col("hora"))), F.lit(""))
-    return rows.select("sheet_id", F.col("i").cast("long").alias("pos"), F.col("content").alias("description"), hora.alias("hora"))
+    found = extract.parsed(base)
+    rows = found.select("sheet_id", F.posexplode(extract.occurrences(found)).alias("i", "x"))
+    hora = F.nullif(F.concat_ws(" ", extract.entry_time(F.col("x.hora")), extract.exit_time(F.col("x.hora"))), F.lit(""))
+    return rows.select("sheet_id", (F.col("i") + 1).cast("long").alias("pos"), F.col("x.content").alias("description"), hora.alias("hora"))
 
 
 def compared_fields(base: DataFrame, truth: DataFrame) -> DataFrame:
     """sheet_id, field, curated, system: the three header values and the first occurrence's description."""
-    found = extract.models(base).join(base.select("sheet_id", "truth_date", "truth_guards", "truth_unit"), "sheet_id")
+    found = extract.models(base)
     guards = F.when(F.size("guards") > 0, F.array_join("guards", ", "))
     heads = found.select(
         "sheet_id",
@@ -68,7 +69,7 @@ def row_metrics(base: DataFrame, truth: DataFrame) -> DataFrame:
 
 def flags(base: DataFrame) -> DataFrame:
     """One row a sheet: truth against disposition, contract match, and what the gates let through."""
-    s = critic.states(base).join(base.select("sheet_id", "truth_n", "difficulty", "template", "split"), "sheet_id")
+    s = critic.states(base)
     occ, present = F.col("truth_n") > 0, F.col("disposition") == "present"
     ok = (F.col("disposition") == F.when(occ, "present").otherwise("none")) & F.col("data_turno").isNotNull() & (F.size("guards") > 0) & F.col("unidade").isNotNull()
     s = s.withColumn("parse_success", ok & (F.col("truth_n") == F.col("occurrences")))

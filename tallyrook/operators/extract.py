@@ -14,13 +14,14 @@ FOOTER = r"(?i)^\s*ronda(?:\s*[:\-]?\s*(?:x|ok))?\s*$"
 NO_CHANGE = r"(?i)^[S5]\s*[/|1lI]\s*A$"
 CLOCK = r"[0-9]{1,2}:[0-9]{2}"
 GUARD_SEPARATOR = r"\s*(?:,|;|\be\b|/)\s*"
+PAGE_END = r"(?:\r\n|[\n\r\x0B\x0C\x85\u2028\u2029])\z"
 YES, NO = ("sim", "s", "resolvido", "yes", "y"), ("nao", "não", "n", "no")
 
 
 def lines(sheets: DataFrame) -> DataFrame:
     """sheet_id, page, ln, line; a line end at the end of a page begins no further line."""
     pages = sheets.select("sheet_id", F.posexplode(F.split("text", "\f")).alias("page", "page_text"))
-    pages = pages.withColumn("page_text", F.regexp_replace("page_text", r"(?:\r\n|[\n\r\x0B\x0C\x85\u2028\u2029])\z", ""))
+    pages = pages.withColumn("page_text", F.regexp_replace("page_text", PAGE_END, ""))
     return pages.select("sheet_id", "page", F.posexplode(F.split("page_text", r"\R", -1)).alias("ln", "line"))
 
 
@@ -32,41 +33,62 @@ def regions(sheets: DataFrame) -> DataFrame:
     return found.withColumn("foot", F.min(F.when(F.col("line").rlike(FOOTER) & (F.col("ln") > F.col("head")), F.col("ln"))).over(page))
 
 
+def _page_rows(page: Column) -> Column:
+    """The rows of one page's table: its region's lines joined, with marks where an empty line parts them and for no-changes."""
+    n = F.size(page)
+    head = F.array_position(F.transform(page, lambda line: line.rlike(TABLE_HEADER)), F.lit(True)).cast("int")
+    body = F.slice(page, head + 1, n)
+    foot = F.array_position(F.transform(body, lambda line: line.rlike(FOOTER)), F.lit(True)).cast("int")
+    region = F.slice(body, 1, F.when(foot > 0, foot - 1).otherwise(n))
+    marked = F.transform(
+        F.transform(region, strip), lambda line: F.when(line == "", "\x01").when(line.rlike(NO_CHANGE), "\x01\x02\x01").otherwise(line)
+    )
+    rows = F.filter(F.transform(F.split(F.array_join(marked, " "), "\x01"), lambda row: F.trim(row)), lambda row: row != "")
+    return F.when(head > 0, rows)
+
+
+def parsed(sheets: DataFrame) -> DataFrame:
+    """The sheets with page_lines, page_rows (null for a page without a table) and rows: an array of page, no_change, content, hora.
+
+    All of a sheet is read inside its row, without a shuffle: lines that follow each other are one row; empty lines and explicit
+    no-changes part them.
+    """
+    pages = F.transform(F.split("text", "\f"), lambda page: F.split(F.regexp_replace(page, PAGE_END, ""), r"\R", -1))
+    found = sheets.withColumn("page_lines", pages).withColumn("page_rows", F.transform("page_lines", _page_rows))
+    times = lambda row: F.nullif(F.array_join(F.regexp_extract_all(row, F.lit(CLOCK), F.lit(0)), " "), F.lit(""))
+
+    def cells(row: Column, page: Column) -> Column:
+        none = row == "\x02"
+        return F.struct(page.alias("page"), none.alias("no_change"), F.when(~none, row).alias("content"), F.when(~none, times(row)).alias("hora"))
+
+    rows = F.transform("page_rows", lambda page, i: F.transform(F.coalesce(page, F.array().cast("array<string>")), lambda row: cells(row, i)))
+    return found.withColumn("rows", F.flatten(rows))
+
+
 def segments(sheets: DataFrame) -> DataFrame:
-    """sheet_id, pos, page, no_change, content, hora: the rows of the tables. Lines that follow each other are one row; empty lines
-    and explicit no-changes part them: gaps and islands by a running count of parting lines."""
-    inside = regions(sheets).where((F.col("ln") > F.col("head")) & (F.col("ln") < F.coalesce("foot", F.lit(2**31 - 1))))
-    inside = inside.select("sheet_id", "page", "ln", strip(F.col("line")).alias("line"))
-    inside = inside.withColumn("no_change", F.col("line").rlike(NO_CHANGE))
-    parting = (F.col("line") == "") | F.col("no_change")
-    before = Window.partitionBy("sheet_id", "page").orderBy("ln")
-    inside = inside.withColumn("parting", parting).withColumn("island", F.sum(F.col("parting").cast("int")).over(before))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ln", "line"))), lambda x: x["line"]), " ")
-    rows = inside.where("line <> ''").groupBy("sheet_id", "page", "island", "no_change").agg(F.min("ln").alias("ln"), joined.alias("content"))
-    place = Window.partitionBy("sheet_id").orderBy("page", "ln")
-    times = F.array_join(F.regexp_extract_all("content", F.lit(CLOCK), F.lit(0)), " ")
-    return rows.select(
-        "sheet_id", F.row_number().over(place).alias("pos"), "page", "no_change",
-        F.when(~F.col("no_change"), F.col("content")).alias("content"), F.when(~F.col("no_change"), F.nullif(times, F.lit(""))).alias("hora"),
-    )
+    """sheet_id, pos, page, no_change, content, hora: the rows of the tables, one each."""
+    return parsed(sheets).select("sheet_id", F.posexplode("rows").alias("pos", "x")).select("sheet_id", (F.col("pos") + 1).alias("pos"), "x.*")
 
 
-def header(sheets: DataFrame) -> DataFrame:
-    """sheet_id, field, value, evidence, page: the text after a field's label. Labels in order of preference, then pages, then lines;
+def _header_value(labels: tuple[str, ...]) -> Column:
+    """struct(page, evidence, value) of a field: the text after its label. Labels in order of preference, then pages, then lines;
     a label stands anywhere in its line, in any case, and counts only with a value after it."""
-    labels = F.array(
-        *(
-            F.struct(F.lit(field).alias("field"), F.lit(i).alias("preference"), F.lit(label.rstrip(":").lower()).alias("label"))
-            for field, names in HEADER_FIELDS.items()
-            for i, label in enumerate(names)
-        )
-    )
-    candidates = lines(sheets).select("sheet_id", "page", "ln", "line", F.inline(labels))
-    at = F.instr(F.lower("line"), F.col("label"))
-    value = strip(F.regexp_replace(F.expr("substring(line, instr(lower(line), label) + length(label))"), r"^[ :\t]+", ""))
-    candidates = candidates.where(at > 0).withColumn("value", value).where("value <> ''")
-    first = F.min(F.struct("preference", "page", "ln", "value", strip(F.col("line")).alias("evidence")))
-    return candidates.groupBy("sheet_id", "field").agg(first.alias("x")).select("sheet_id", "field", "x.value", "x.evidence", "x.page")
+
+    def after(line: Column, label: str) -> Column:
+        at = F.instr(F.lower(line), label)
+        return F.when(at > 0, strip(F.regexp_replace(F.substring(line, at + len(label), F.length(line)), r"^[ :\t]+", "")))
+
+    def hits(label: str) -> Column:
+        every = F.transform("page_lines", lambda page, i: F.transform(page, lambda line: F.struct(i.alias("page"), strip(line).alias("evidence"), after(line, label).alias("value"))))
+        return F.filter(F.flatten(every), lambda x: x["value"] != "")
+
+    return F.get(F.concat(*(hits(label.rstrip(":").lower()) for label in labels)), F.lit(0))
+
+
+def header(sheets: DataFrame) -> DataFrame:
+    """sheet_id, field, value, evidence, page: the header fields that were found."""
+    fields = F.array(*(F.struct(F.lit(name).alias("field"), _header_value(labels).alias("x")) for name, labels in HEADER_FIELDS.items()))
+    return parsed(sheets).select("sheet_id", F.inline(fields)).where("x is not null").select("sheet_id", "field", "x.value", "x.evidence", "x.page")
 
 
 def entry_time(hora: Column) -> Column:
@@ -89,12 +111,23 @@ def guards(c: Column) -> Column:
 
 
 def models(sheets: DataFrame) -> DataFrame:
-    """One row a sheet: header values, whether every page has a table, and the disposition: present if there is any occurrence;
-    else unknown if a table is missing, none on an explicit no-change, unknown otherwise."""
-    pages = regions(sheets).groupBy("sheet_id").agg(F.bool_and(F.col("head").isNotNull()).alias("table_found"), (F.max("page") + 1).alias("pages"))
-    rows = segments(sheets).groupBy("sheet_id").agg(F.count_if(~F.col("no_change")).alias("occurrences"), F.count_if("no_change").alias("no_changes"))
-    heads = header(sheets).groupBy("sheet_id").pivot("field", list(HEADER_FIELDS)).agg(F.first("value"))
-    whole = sheets.select("sheet_id", "text").join(pages, "sheet_id", "left").join(rows, "sheet_id", "left").join(heads, "sheet_id", "left")
-    whole = whole.fillna(0, ["occurrences", "no_changes"])
+    """The sheets with rows, header values, whether every page has a table, and the disposition: present if there is any occurrence;
+    else unknown if a table is missing, none on an explicit no-change, unknown otherwise. No shuffle."""
+    whole = parsed(sheets)
+    whole = whole.withColumns({name: _header_value(labels)["value"] for name, labels in HEADER_FIELDS.items()})
+    whole = whole.withColumns(
+        {
+            "pages": F.size("page_rows"),
+            "table_found": F.forall("page_rows", lambda page: page.isNotNull()),
+            "occurrences": F.size(F.filter("rows", lambda r: ~r["no_change"])).cast("long"),
+            "no_changes": F.size(F.filter("rows", lambda r: r["no_change"])).cast("long"),
+            "guards": guards(F.col("vigilantes")),
+        }
+    )
     disposition = F.when(F.col("occurrences") > 0, "present").when(~F.col("table_found"), "unknown").when(F.col("no_changes") > 0, "none").otherwise("unknown")
-    return whole.withColumn("disposition", disposition).withColumn("guards", guards(F.col("vigilantes")))
+    return whole.withColumn("disposition", disposition).drop("page_lines", "page_rows")
+
+
+def occurrences(models: DataFrame) -> Column:
+    """Of models(): the rows that are occurrences, in order."""
+    return F.filter(models["rows"], lambda r: ~r["no_change"])

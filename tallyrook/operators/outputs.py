@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import as_text
-from .extract import entry_time, exit_time, segments
+from .extract import entry_time, exit_time
 
 # Texts that outputs show.
 PENDING, NOT_CONFIRMED, NO_CHANGE = "(revisar)", "(ocorrências não confirmadas)", "Sem alteração"
@@ -21,24 +21,33 @@ def description(entry: Column, exit_: Column, text: Column) -> Column:
     return F.when((hour != "") & (words != ""), F.concat(hour, F.lit(" - "), words)).otherwise(F.concat(hour, words))
 
 
-def spreadsheet(sheets: DataFrame, states: DataFrame) -> DataFrame:
-    """sheet_id, pos, dia, unidade, objeto, descricao: a row for each occurrence, or one that says that there is none."""
-    rows = segments(sheets).where("not no_change").select("sheet_id", "pos", description(entry_time(F.col("hora")), exit_time(F.col("hora")), F.col("content")).alias("line"))
+def _rows(states: DataFrame) -> Column:
+    """Of critic.states(): the spreadsheet's rows as an array of pos, dia, unidade, objeto, descricao."""
     day, unit = (F.coalesce(as_text(F.col(c)), F.lit(PENDING)) for c in ("data_turno", "unidade"))
-    shown = F.when(F.col("disposition") == "unknown", NOT_CONFIRMED).when(F.col("disposition") == "none", NO_CHANGE).otherwise(PENDING)
-    heads = states.select("sheet_id", day.alias("dia"), unit.alias("unidade"), shown.alias("objeto"), "disposition")
-    out = heads.join(rows, "sheet_id", "left")
-    return out.select("sheet_id", F.coalesce("pos", F.lit(0)).alias("pos"), "dia", "unidade", "objeto", F.coalesce("line", F.lit("")).alias("descricao"))
 
+    def row(pos: Column, what: Column, text: Column) -> Column:
+        return F.struct(pos.cast("int").alias("pos"), day.alias("dia"), unit.alias("unidade"), what.alias("objeto"), text.alias("descricao"))
 
-def messages(sheets: DataFrame, states: DataFrame) -> DataFrame:
-    """sheet_id, message: greeting and table, or what is pending and the table."""
-    line = F.rtrim(F.concat_ws(" | ", "dia", "unidade", "objeto", "descricao"))
-    table = spreadsheet(sheets, states).groupBy("sheet_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), "\n").alias("body")
+    # places among all rows of the sheet
+    placed = F.transform(states["rows"], lambda r, i: F.struct((i + 1).alias("pos"), r.alias("r")))
+    read = F.transform(
+        F.filter(placed, lambda x: ~x["r"]["no_change"]),
+        lambda x: row(x["pos"], F.lit(PENDING), description(entry_time(x["r"]["hora"]), exit_time(x["r"]["hora"]), x["r"]["content"])),
     )
+    single = row(F.lit(0), F.when(F.col("disposition") == "unknown", NOT_CONFIRMED).otherwise(NO_CHANGE), F.lit(""))
+    return F.when(F.col("disposition") == "present", read).otherwise(F.array(single))
+
+
+def spreadsheet(states: DataFrame) -> DataFrame:
+    """sheet_id, pos, dia, unidade, objeto, descricao: a row for each occurrence, or one that says that there is none."""
+    return states.select("sheet_id", F.inline(_rows(states)))
+
+
+def messages(states: DataFrame) -> DataFrame:
+    """sheet_id, message: greeting and table, or what is pending and the table."""
+    lines = F.transform(_rows(states), lambda r: F.rtrim(F.concat_ws(" | ", r["dia"], r["unidade"], r["objeto"], r["descricao"])))
     guards = F.when(F.size("guards") > 0, F.array_join("guards", ", ")).otherwise(F.lit(PENDING))
-    tail = F.concat(F.lit(TABLE_HEAD + "\n"), F.col("body"), F.lit("\n\nVigilantes: "), guards)
+    tail = F.concat(F.lit(TABLE_HEAD + "\n"), F.array_join(lines, "\n"), F.lit("\n\nVigilantes: "), guards)
     blocked = F.concat(F.lit(INCOMPLETE + "\n" + WAITING), F.array_join("blockers", ", "), F.lit("\n\n"), tail)
     message = F.when(F.size("blockers") > 0, blocked).otherwise(F.concat(F.lit(GREETING + "\n\n"), tail))
-    return states.join(table, "sheet_id").select("sheet_id", message.alias("message"))
+    return states.select("sheet_id", message.alias("message"))

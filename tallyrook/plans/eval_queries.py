@@ -154,7 +154,7 @@ SELECT split, count(*) AS n_sheets, sum(waiting)::BIGINT AS waiting, sum(ratio *
 )
 def public_run_weighted(spark, d):
     """Ratios of sheets, weighted by the fields that wait in each; sheets without a ratio have no weight."""
-    s = critic.states(sheets(spark, d).drop("split")).join(sheets(spark, d).select("sheet_id", "split"), "sheet_id")
+    s = critic.states(sheets(spark, d))
     some = F.least(F.lit(1), F.col("no_changes") + F.col("occurrences")) * 1.0 / F.greatest(F.size("pending"), F.lit(1))
     s = s.select("split", F.size("pending").alias("waiting"), F.when(F.col("sheet_id") % 3 != 0, F.round(some, 3)).alias("ratio"))
     weight = F.sum(F.when(F.col("ratio").isNotNull(), F.col("waiting")))

@@ -107,7 +107,7 @@ def sheet_taxonomy_check(spark, d):
 @query(f"WITH {B.SPREADSHEET} SELECT sheet_id, pos::BIGINT AS pos, dia, unidade, objeto, descricao FROM spreadsheet")
 def sheet_spreadsheet(spark, d):
     base = sheets(spark, d)
-    return outputs.spreadsheet(base, critic.states(base)).withColumn("pos", F.col("pos").cast("long"))
+    return outputs.spreadsheet(critic.states(base)).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query(
@@ -119,7 +119,7 @@ SELECT sheet_id, CASE WHEN len(blockers) > 0 THEN 'RASCUNHO INCOMPLETO: corrija
 )
 def sheet_message(spark, d):
     base = sheets(spark, d)
-    return outputs.messages(base, critic.states(base))
+    return outputs.messages(critic.states(base))
 
 
 @query(
@@ -128,7 +128,7 @@ SELECT CASE WHEN regexp_matches(cell, '^[=+\-@\p{{Cc}}\p{{Cf}}\p{{Z}}\s]') THEN
 )
 def csv_safe_cells(spark, d):
     base = sheets(spark, d)
-    rows = outputs.spreadsheet(base, critic.states(base))
+    rows = outputs.spreadsheet(critic.states(base))
     made = [F.concat(F.lit("=1+"), "dia"), F.concat(F.lit("@"), "unidade"), F.concat(F.lit("\t"), "objeto"), F.concat(F.lit("-"), "descricao")]
     return rows.select(F.explode(F.array("dia", "unidade", "objeto", "descricao", *made)).alias("cell")).groupBy(csv_safe(F.col("cell")).alias("safe")).agg(F.count("*").alias("n"))
 
@@ -140,7 +140,7 @@ def csv_export_rows(spark, d):
     states = critic.states(base)
     confirmed = F.array(F.lit("vigilantes"), F.lit("data_turno"), F.lit("unidade"))
     blocked = states.where(F.size(F.array_except("blockers", confirmed)) > 0).select("sheet_id")
-    rows = outputs.spreadsheet(base, states).join(blocked, "sheet_id", "left_anti")
+    rows = outputs.spreadsheet(states).join(blocked, "sheet_id", "left_anti")
     return rows.select(F.col("dia").alias("DIA"), F.col("unidade").alias("UNIDADE"), F.col("objeto").alias("OBJETO"), F.col("descricao").alias("DESCRICAO"))
 
 

@@ -85,9 +85,9 @@ def test_config_is_checked():
 def test_outputs(spark):
     base = sheets(spark, HEAD + COLUMNS + "07:30 porta\n", HEAD + COLUMNS + "S/A\n", HEAD + "nada mais aqui para ler hoje em dia")
     states = critic.states(base)
-    rows = {r.sheet_id: r for r in outputs.spreadsheet(base, states).collect()}
+    rows = {r.sheet_id: r for r in outputs.spreadsheet(states).collect()}
     assert rows[0].descricao == "07:30 - 07:30 porta" and rows[1].objeto == "Sem alteração" and rows[2].objeto == "(ocorrências não confirmadas)"
-    message = {r.sheet_id: r.message for r in outputs.messages(base, states).collect()}
+    message = {r.sheet_id: r.message for r in outputs.messages(states).collect()}
     assert message[1].startswith("RASCUNHO INCOMPLETO") and message[1].endswith("Vigilantes: Ana, Bruno, Carlos")
 
 
