@@ -112,7 +112,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, order: int
         "url-counts",
     )
     windows = urls.select("shown", "allow", "block", F.explode(grams(F.col("shown"), order)).alias("gram"))
-    model = ratios(windows.groupBy("gram").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")), order)
+    counts = stash(windows.groupBy("gram").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")), "url-grams")
+    model = ratios(counts, order)
     scored = stash(
         windows.join(model, "gram").groupBy("shown", "allow", "block").agg((F.sum("ratio") / F.count("*")).alias("score")), "url-scores"
     )
