@@ -30,13 +30,13 @@ from .common import release_shuffles, small_batches, stash, table
 from .suffix_order import WIDTH, Hashes, cuts, repeated
 
 LENGTH = 400
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Bytes of text for one range of hashes.
 RANGE_BYTES = 16 << 20
 #: A window is compared in the range of its rarest phrase if that occurs at most this often.
 COMMON = 1_000
 #: Bytes of runs put in order at a time, besides those of one phrase.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 19
 
 
 class Texts:
@@ -232,7 +232,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
     part a character. A null doc_id comes back as null. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    small_batches(spark, size=2 << 20)
+    small_batches(spark, size=1 << 20)
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.unhex(F.md5(text)).alias("tid"), text.alias("text"))
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
