@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
 from struct import pack
@@ -25,34 +25,48 @@ from .common import small_batches, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Pre-tokens whose ids a worker keeps in each of two generations, and the longest such, in characters.
-KEPT, KEPT_CHARS = 400_000, 64
+KEPT, KEPT_CHARS = 500_000, 64
 #: White space as Unicode has it; without the separators 1C to 1F, which Python's \s includes.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-def compiled(pattern: str) -> regex.Pattern:
-    r"""The pattern with \s and \S spelled out, inside classes and outside."""
+def spelled(pattern: str, letters: str, digits: str) -> str:
+    r"""The pattern with \s, \p{L} and \p{N} spelled out, inside classes and outside; \S only outside."""
+    classes = {r"\s": SPACE, r"\p{L}": letters, r"\p{N}": digits}
     out, inside, i = [], False, 0
     while i < len(pattern):
-        two = pattern[i : i + 2]
-        if two in (r"\s", r"\S"):
-            if inside and two == r"\S":
+        found = next((x for x in classes if pattern.startswith(x, i)), None)
+        if found:
+            out.append(classes[found] if inside else f"[{classes[found]}]")
+            i += len(found)
+        elif pattern.startswith(r"\S", i):
+            if inside:
                 raise ValueError(r"\S inside a class")
-            out.append(SPACE if inside else f"[{SPACE}]" if two == r"\s" else f"[^{SPACE}]")
+            out.append(f"[^{SPACE}]")
             i += 2
-        elif two[0] == "\\":
-            out.append(two)
+        elif pattern[i] == "\\":
+            out.append(pattern[i : i + 2])
             i += 2
         else:
-            inside = two[0] == "[" or (inside and two[0] != "]")
-            out.append(two[0])
+            inside = pattern[i] == "[" or (inside and pattern[i] != "]")
+            out.append(pattern[i])
             i += 1
-    return regex.compile("".join(out))
+    return "".join(out)
+
+
+def compiled(pattern: str) -> regex.Pattern:
+    return regex.compile(spelled(pattern, r"\p{L}", r"\p{N}"))
+
 
+#: The characters of plain text: ASCII, Latin, and the dashes and quotes of general punctuation.
+PLAIN = r"\x00-\u024f\u2010-\u2027"
 
-def ascii_pattern(pattern: str) -> re.Pattern:
-    """The same for texts of ASCII only, with \\p{L} and \\p{N} spelled out, for the faster standard library."""
-    return re.compile(compiled(pattern).pattern.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace("?A-Za-z+", "?[A-Za-z]+").replace("?0-9+", "?[0-9]+"))
+
+def plain_pattern(pattern: str) -> re.Pattern:
+    """The same for plain text, for the faster standard library: its letters and digits one by one."""
+    chars = [chr(c) for c in [*range(0x250), *range(0x2010, 0x2028)]]
+    of = lambda kind: "".join(regex.escape(c) for c in chars if regex.match(kind, c))
+    return re.compile(spelled(pattern, of(r"\p{L}"), of(r"\p{N}")))
 
 
 class RankQueue:
@@ -75,7 +89,8 @@ class ByteBPE:
             raise ValueError(f"no id for single bytes {missing[:5]}")
         self.ranks = ranks
         self.find = compiled(pattern).findall
-        self.find_ascii = ascii_pattern(pattern).findall
+        self.find_plain = plain_pattern(pattern).findall
+        self.other = re.compile(f"[^{PLAIN}]").search
         self.queue = RankQueue(max(ranks.values()))
         self.pieces = [b""] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
@@ -165,7 +180,7 @@ class ByteBPE:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
-        packed, find = self.packed, self.find_ascii if text.isascii() else self.find
+        packed, find = self.packed, self.find if self.other(text) else self.find_plain
         return b"".join([self.kept.get(token) or packed(token) for token in find(text)])
 
     def decode(self, ids: bytes) -> bytes:
@@ -177,20 +192,24 @@ def _loaded(path: str, pattern: str) -> ByteBPE:
     return ByteBPE.load(path, pattern)
 
 
-def _mapped(rows: DataFrame, source: str, target: str, vocabulary: str, pattern: str, encode: bool) -> DataFrame:
+def _mapped(rows: DataFrame, source: str, targets: list[str], steps: Callable[[ByteBPE, str | bytes | None], tuple[bytes, ...]], vocabulary: str, pattern: str) -> DataFrame:
+    """The rows with the source column replaced by binary columns made from it."""
     rest = [c for c in rows.columns if c != source]
+    clash = set(rest) & set(targets)
+    if clash:
+        raise ValueError(f"there is a column {', '.join(clash)} already")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(vocabulary, pattern)
-        step = (lambda x: bpe.encode(x or "")) if encode else (lambda x: bpe.decode(x or b""))
         for batch in batches:
-            made = pa.array([step(x.as_py()) for x in batch.column(source)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), made], names=[*rest, target])
+            made = [steps(bpe, x.as_py()) for x in batch.column(source)]
+            columns = [pa.array([x[i] for x in made], pa.binary()) for i in range(len(targets))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *columns], names=[*rest, *targets])
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in rest)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), *(f"`{c}` binary" for c in targets)])
     small_batches(rows.sparkSession)
-    return rows.mapInArrow(work, f"{schema}, `{target}` binary")
+    return rows.mapInArrow(work, schema)
 
 
 def encode(rows: DataFrame, text_col: str = "text", ids_col: str = "ids", vocabulary: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -198,19 +217,25 @@ def encode(rows: DataFrame, text_col: str = "text", ids_col: str = "ids", vocabu
 
     Null and empty texts have no ids (an empty binary, not null). Special tokens' strings are ordinary text. Each row is
     encoded for itself, so ties, repeated rows and skew need no care; an empty table gives an empty one. Memory: one
-    Arrow batch, one text's linked list, and KEPT short pre-tokens a worker. A column that already has the name of
-    ids_col is an error.
+    Arrow batch, one text's linked list, and KEPT short pre-tokens a worker in each generation. A column that already has
+    the name of ids_col is an error.
     """
-    if ids_col in rows.columns:
-        raise ValueError(f"there is a column {ids_col} already")
-    return _mapped(rows, text_col, ids_col, vocabulary, pattern, True)
+    return _mapped(rows, text_col, [ids_col], lambda bpe, text: (bpe.encode(text or ""),), vocabulary, pattern)
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", bytes_col: str = "bytes", vocabulary: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """The rows with the ids replaced by the bytes that they stand for; null ids give none. An unknown id is an error."""
-    if bytes_col in rows.columns:
-        raise ValueError(f"there is a column {bytes_col} already")
-    return _mapped(rows, ids_col, bytes_col, vocabulary, pattern, False)
+    return _mapped(rows, ids_col, [bytes_col], lambda bpe, ids: (bpe.decode(ids or b""),), vocabulary, pattern)
+
+
+def round_trip(rows: DataFrame, text_col: str = "text", ids_col: str = "ids", bytes_col: str = "bytes", vocabulary: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """encode() and decode() of its ids by the same worker: the text replaced by both columns."""
+
+    def both(bpe: ByteBPE, text: str | None) -> tuple[bytes, bytes]:
+        ids = bpe.encode(text or "")
+        return ids, bpe.decode(ids)
+
+    return _mapped(rows, text_col, [ids_col, bytes_col], both, vocabulary, pattern)
 
 
 def n_tokens(ids: Column) -> Column:
@@ -219,9 +244,9 @@ def n_tokens(ids: Column) -> Column:
 
 def digests(rows: DataFrame, text_col: str = "text", **where: str) -> DataFrame:
     """The rows, text replaced by n_tokens, ids_sha256 and decoded_sha256 of a round trip."""
-    ids = encode(rows, text_col, "_ids", **where)
-    counted = ids.withColumn("n_tokens", n_tokens(F.col("_ids"))).withColumn("ids_sha256", F.sha2("_ids", 256))
-    return decode(counted, "_ids", "_bytes", **where).withColumn("decoded_sha256", F.sha2("_bytes", 256)).drop("_bytes")
+    made = round_trip(rows, text_col, "_ids", "_bytes", **where)
+    made = made.withColumn("n_tokens", n_tokens(F.col("_ids"))).withColumn("ids_sha256", F.sha2("_ids", 256)).withColumn("decoded_sha256", F.sha2("_bytes", 256))
+    return made.drop("_ids", "_bytes")
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
