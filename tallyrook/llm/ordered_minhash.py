@@ -28,8 +28,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Hash functions, and smallest shingles that make the wide and the narrow key of each.
 HASHES, WIDE, NARROW = 16, 3, 6
-#: Rounds of comparing with centres; a round that finds no link is the last.
-ROUNDS = 4
+#: Texts, and shingles, of one block of a bucket; larger buckets are compared block by block.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 19
 _SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * U(0xD1342543DE82EF95))
 
 
@@ -97,13 +97,14 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = []
+        keys, sizes = [], []
         for words in texts_hashed(batch.column("text")):
             labelled = shingles(words)
+            sizes.append(len(labelled))
             keys.append(np.concatenate(sketch(labelled)).astype(np.int64) if len(labelled) else np.empty(0, np.int64))
         flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
         lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tid"), lists], names=["doc_id", "tid", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tid"), lists, pa.array(sizes, pa.int32())], names=["doc_id", "tid", "keys", "size"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,28 +120,154 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _candidates(nodes: DataFrame, again: int) -> DataFrame:
-    """Pairs (a, b) of texts that share a key, one of them a centre of it, and that aren't in one component yet. From (tid, keys,
-    component). In the first round centres are the same texts under every key; later each key draws its own."""
-    spread = nodes.select("tid", "component", F.explode("keys").alias("key")).repartition(F.col("key"))
-    rank = F.xxhash64("tid", "key", F.lit(again)) if again else F.xxhash64("tid")
-    ranked = F.struct(rank.alias("rank"), F.col("tid"), F.col("component"))
+def _shared(labelled: list[np.ndarray]) -> np.ndarray:
+    """How many labelled shingles each two texts have in common, in whatever order."""
+    n = len(labelled)
+    _, which, count = np.unique(np.concatenate(labelled), return_inverse=True, return_counts=True)
+    text = np.repeat(np.arange(n), [len(x) for x in labelled])
+    common = count > 1
+    text, which = text[common[which]], (np.cumsum(common) - 1)[which[common[which]]]
+    order = np.argsort(which, kind="stable")
+    text, which = text[order], which[order]
+    out, wide = np.zeros((n, n), np.float32), 4096
+    for at in range(0, int(common.sum()), wide):
+        part = slice(*np.searchsorted(which, [at, at + wide]))
+        has = np.zeros((n, wide), np.float32)
+        has[text[part], which[part] - at] = 1
+        out += has @ has.T
+    return out
+
+
+def _block_links(rows: pa.Table) -> list[tuple[bytes, bytes]]:
+    """Links between components among the texts of one block or pair of blocks: enough of them to connect all that are similar.
+
+    Compared are all pairs of different components and of different sides (-1: all) that share no earlier key, where another
+    bucket compares them. Lengths and shared shingles rule out what can't reach the similarity; pairs that links found here
+    connect already need no comparison."""
+    side, size = rows.column("side").to_numpy(), rows.column("size").to_numpy().astype(np.int64)
+    keys = np.array(rows.column("keys").to_pylist(), np.int64).reshape(len(side), HASHES)
+    part = np.unique(np.array([x.hex() for x in rows.column("component").to_pylist()]), return_inverse=True)[1]
+    place = int(np.flatnonzero(keys[0] == rows.column("key")[0].as_py())[0])
+    u, v = np.triu_indices(len(side), 1)
+
+    def only(some: np.ndarray) -> None:
+        nonlocal u, v
+        u, v = u[some], v[some]
+
+    only((part[u] != part[v]) & ((side[u] != side[v]) | (side[u] < 0)))
+    least = lambda: SIMILARITY / (1 + SIMILARITY) * (size[u] + size[v]) - 1e-9
+    only(np.minimum(size[u], size[v]) >= least())
+    for k in range(place):
+        only(keys[u, k] != keys[v, k])
+    if not len(u):
+        return []
+    used, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    labelled = [shingles(x) for x in texts_hashed(rows.column("text").take(pa.array(used)).combine_chunks())]
+    a, b = at[: len(u)], at[len(u) :]
+    if len(u) > 2 * len(used):
+        some = _shared(labelled)[a, b] >= least()
+        a, b = a[some], b[some]
+        only(some)
+    names, root, out = rows.column("tid").to_pylist(), list(range(int(part.max()) + 1)), []
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for i, j, x, y in zip(u.tolist(), v.tolist(), a.tolist(), b.tolist(), strict=True):
+        p, q = top(part[i]), top(part[j])
+        if p != q and aligned(labelled[x], labelled[y]):
+            root[p] = q
+            out.append((names[i], names[j]))
+    return out
+
+
+def _blocks_linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one task follow each other."""
+    names = ["a", "b"]
+    held: list[pa.RecordBatch] = []
+
+    def links() -> pa.RecordBatch:
+        found = _block_links(pa.Table.from_batches(held))
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in range(2)], names=names)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tasks = np.array(batch.column("task").to_pylist())
+        bounds = [0, *(np.flatnonzero(tasks[1:] != tasks[:-1]) + 1).tolist(), len(tasks)]
+        for start, end in zip(bounds[:-1], bounds[1:], strict=True):
+            if held and held[0].column("task")[0].as_py() != tasks[start]:
+                yield links()
+                held = []
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield links()
+
+
+def _candidates(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts that share a key, one of them a centre of it. From (tid, keys). Centres are the same texts under every key."""
+    spread = nodes.select("tid", F.explode("keys").alias("key")).repartition(F.col("key"))
+    ranked = F.struct(F.xxhash64("tid").alias("rank"), F.col("tid"))
     centres = spread.groupBy("key").agg(F.min(ranked).alias("low"), F.max(ranked).alias("high")).where("low.tid <> high.tid")
-    pairs = spread.join(centres, "key").select("tid", "component", F.explode(F.array("low", "high")).alias("centre")).where("component <> centre.component")
-    return pairs.select(F.least("tid", "centre.tid").alias("a"), F.greatest("tid", "centre.tid").alias("b")).distinct()
+    pairs = spread.join(centres, "key").select("tid", F.explode(F.array("low.tid", "high.tid")).alias("centre")).where("tid <> centre")
+    return pairs.select(F.least("tid", "centre").alias("a"), F.greatest("tid", "centre").alias("b")).distinct()
 
 
-def _linked(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose texts are similar."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct()
+def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(tid, text) of the wanted tids."""
     # the same plan at every size: a broadcast of the wanted would grow with the corpus
     texts = rows.select("tid", "text").join(wanted.hint("merge"), "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
-    texts = stash(texts, "candidate-texts")
+    return stash(texts, "candidate-texts")
+
+
+def _linked(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose texts are similar."""
+    texts = _texts(rows, pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct())
     both = pairs.join(texts.withColumnRenamed("tid", "a").withColumnRenamed("text", "text_a"), "a")
     both = both.join(texts.withColumnRenamed("tid", "b").withColumnRenamed("text", "text_b"), "b")
     return both.select("a", "text_a", "b", "text_b").mapInArrow(_verified, "a binary, b binary")
 
 
+def _tasks(nodes: DataFrame) -> DataFrame:
+    """What is left to compare: (task, key, side, tid, component, keys, size), the texts of each task. From (tid, keys, size, component).
+
+    Buckets with one component are done. Others are one task, or, where they are large, their largest component and the rest are
+    parted into blocks, and each block of the rest meets each block of either: tasks are bounded, and what is connected
+    already isn't compared with itself. A narrow key is shared only with the wide key of its function, so wide keys do."""
+    wide = nodes.withColumn("keys", F.slice("keys", 1, HASHES))
+    spread = wide.select("tid", "component", "size", F.explode("keys").alias("key")).repartition(F.col("key"))
+    counted = spread.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    most = F.max(F.struct("n", "size", "component"))
+    buckets = counted.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("size").alias("total"), most.alias("main")).where("parts > 1")
+    blocks = lambda n, size: f"cast(greatest(ceil(({n}) / {BLOCK}), ceil(({size}) / {BLOCK_SHINGLES})) as int)"
+    buckets = buckets.selectExpr(
+        "key", "parts", "main.component AS main", f"{blocks('n', 'total')} AS whole",
+        f"{blocks('main.n', 'main.size')} AS of_main", f"{blocks('n - main.n', 'total - main.size')} AS of_rest",
+    )
+    member = spread.join(buckets, "key").selectExpr("*", "component = main AS is_main", "cast(pmod(xxhash64(tid, key), if(component = main, of_main, of_rest)) as int) AS own")
+    place = lambda kind, i, j, side: f"named_struct('kind', '{kind}', 'i', {i}, 'j', {j}, 'side', {side})"
+    with_rest = f"transform(sequence(0, of_rest - 1), x -> {place('rest', 'least(own, x)', 'greatest(own, x)', 'if(own = x, -1, if(own < x, 0, 1))')})"
+    with_main = f"transform(sequence(0, of_main - 1), x -> {place('main', 'x', 'own', '1')})"
+    places = (
+        f"CASE WHEN whole = 1 THEN array({place('all', '0', '0', '-1')}) "
+        f"WHEN is_main THEN transform(sequence(0, of_rest - 1), x -> {place('main', 'own', 'x', '0')}) "
+        f"WHEN parts = 2 THEN {with_main} ELSE concat({with_main}, {with_rest}) END"
+    )
+    member = member.selectExpr("key", "tid", f"explode({places}) AS place")
+    member = member.selectExpr("concat_ws(':', key, place.kind, place.i, place.j) AS task", "key", "place.side AS side", "tid")
+    return member.join(wide.select("tid", "component", "keys", "size"), "tid")
+
+
+def _rest_linked(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links that connect all components with similar texts under one key."""
+    tasks = stash(_tasks(nodes), "tasks")
+    texts = _texts(rows, tasks.select("tid").distinct())
+    dealt = tasks.join(texts, "tid").repartition(F.col("task")).sortWithinPartitions("task")
+    return dealt.select("task", "key", "side", "tid", "component", "keys", "size", "text").mapInArrow(_blocks_linked, "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, tid, copies_of, class_id, kept: one row for each input row.
 
@@ -150,29 +277,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     doc_id is never the smallest unless all of a class are null; such a class has a null class_id. kept is true for the rows
     of the one text that leads the class. An empty table gives no rows.
 
-    Equal texts are one node. A sketch key gathers any number of nodes; each is compared with two centres, those of
-    smallest and of largest hash, under both keys of all hash functions, so comparisons grow with the number of rows
-    and not with the square of a bucket, and none is capped. In the first round centres are the same nodes under every key, so
-    members of one family meet the same few. In later rounds each key draws other centres, and members that aren't in their
-    component yet are compared with those. A pair of similarity 0.8 shares a wide key of 16 with a chance of 0.99999.
+    Equal texts are one node. A sketch key gathers any number of nodes. Each is compared with two centres first, those of
+    smallest and of largest hash, under both keys of all hash functions: centres are the same nodes under every key, so
+    members of one family meet the same few, and most of a family is connected by comparisons that grow with the number of rows.
+    Then every pair that shares a key and isn't in one component yet is compared, in blocks, none is left out; that grows
+    with the square of the part of a bucket that the centres didn't connect. Whether texts share a key is a matter of chance:
+    a pair of similarity 0.8 shares a wide key of 16 with one of 0.99999.
     """
     spark = docs.sparkSession
     small_batches(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("tid"))
-    sketches = stash(rows.mapInArrow(_sketched, "doc_id long, tid binary, keys array<long>"), "sketches")
-    nodes = sketches.groupBy("tid").agg(F.first("keys").alias("keys"))
-    pairs = stash(_candidates(nodes.withColumn("component", F.col("tid")), 0), "candidates")
-    links = stash(_linked(rows, pairs), "links-found")
+    sketches = stash(rows.mapInArrow(_sketched, "doc_id long, tid binary, keys array<long>, size int"), "sketches")
+    nodes = sketches.groupBy("tid").agg(F.first("keys").alias("keys"), F.first("size").alias("size"))
+    links = stash(_linked(rows, stash(_candidates(nodes), "candidates")), "links-found")
     parts = components(links)
-    for again in range(1, ROUNDS):
-        labelled = nodes.join(parts, F.col("tid") == F.col("node"), "left").select("tid", "keys", F.coalesce("component", "tid").alias("component"))
-        fresh = stash(_candidates(labelled, again).join(pairs, ["a", "b"], "left_anti"), "candidates")
-        more = stash(_linked(rows, fresh), "links-found")
-        if not more.limit(1).count():
-            break
-        pairs, links = pairs.unionByName(fresh), links.unionByName(more)
-        parts = components(links)
+    labelled = nodes.join(parts, F.col("tid") == F.col("node"), "left").select("tid", "keys", "size", F.coalesce("component", "tid").alias("component"))
+    parts = components(links.unionByName(stash(_rest_linked(rows, labelled), "links-found")))
     named = sketches.groupBy("tid").agg(F.min("doc_id").alias("copies_of")).join(parts, F.col("tid") == F.col("node"), "left")
     named = named.select("tid", "copies_of", F.coalesce("component", "tid").alias("component"))
     first = F.min(F.struct(F.col("copies_of").isNull(), F.col("copies_of"), F.col("tid")))

@@ -140,6 +140,27 @@ def test_near_duplicates_of_the_table(spark):
     assert grouped(rows) == classes_by_brute_force(docs)
 
 
+def family(n=400, length=200, seed=11):
+    """Different near copies of one text: most pairs are too far apart, few links hold a class together."""
+    rnd = random.Random(seed)
+    base = [f"b{i}" for i in range(length)]
+    docs = []
+    for i in range(n):
+        copy = list(base)
+        for _ in range(rnd.randrange(3, 7)):
+            copy[rnd.randrange(length)] = f"c{rnd.randrange(10**6)}"
+        docs.append((i, " ".join(copy)))
+    return docs
+
+
+def test_near_duplicates_of_a_family(spark, monkeypatch):
+    monkeypatch.setattr(ordered_minhash, "BLOCK", 40, raising=False)
+    docs = family()
+    want = classes_by_brute_force(docs)
+    assert 1 < max(map(len, want)) < len(docs)
+    assert grouped(ordered_minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()) == want
+
+
 def test_alignment_sees_order_and_band():
     a = np.arange(100, dtype=np.uint64)
     assert ordered_minhash.aligned(a, a) and not ordered_minhash.aligned(a, a[::-1].copy())
