@@ -56,8 +56,9 @@ class Texts:
         long = (self.sizes >= length)[doc] if len(doc) else np.zeros(0, bool)
         self.begin, self.end, self.doc = begin[long], end[long], doc[long]
         self.phrases = self.hashes(self.begin, self.end)
-        #: Whether the phrase lies between two triggers, so that its place depends on the text around it alone.
-        self.whole = (self.begin != self.offsets[self.doc]) & (self.end != self.offsets[self.doc + 1])
+        #: Whether the phrase lies between two triggers, so that its place depends on the text around it alone. A trigger may
+        #: end the document too.
+        self.whole = (self.begin != self.offsets[self.doc]) & ((self.end != self.offsets[self.doc + 1]) | np.isin(self.end, at.astype(np.int64)))
         last = np.repeat(self.offsets[1:], self.sizes.astype(np.int64)) - length if n else np.zeros(0, np.int64)
         self.valid = np.arange(n) <= last
         self.distinct, self.which = np.unique(self.phrases, return_inverse=True)

@@ -210,6 +210,24 @@ def test_passages(spark, monkeypatch, chunk, common):
     assert passages.repeats(frame(spark, [])).count() == 0
 
 
+def test_passages_that_close_a_document(spark, monkeypatch):
+    """Windows that end with a trigger have one key, whether their document goes on or not, and each key is compared alone."""
+    monkeypatch.setattr(passages, "RANGE_BYTES", 2_000)
+    monkeypatch.setattr(passages, "GROUP_BYTES", 1)
+    rnd = random.Random(5)
+    make = lambda k: "".join(rnd.choice("abcdefgh ") for _ in range(k))
+    docs = []
+    for i in range(60):
+        text = make(900)
+        end = int(suffix_order.cuts(suffix_order.Hashes(np.frombuffer(text.encode(), np.uint8)), np.array([0, len(text)]))[-1])
+        passage = text[end - passages.LENGTH : end]
+        docs += [(2 * i, make(300) + passage), (2 * i + 1, make(300) + passage + make(300))]
+    rows = passages.repeats(spark.createDataFrame(docs, "doc_id long, text string")).selectExpr("doc_id", "n_bytes", "aggregate(spans, 0L, (a, s) -> a + s.end - s.start)", "size(spans)", "sha2(kept, 256)").collect()
+    want = removed(docs, passages.LENGTH)
+    assert all(x[2] >= passages.LENGTH for x in want)
+    assert sorted((str(r[0]), *r[1:]) for r in rows) == want
+
+
 def test_passages_leave_the_other_columns(spark):
     out = passages.remove(frame(spark))
     assert out.columns == frame(spark).columns
