@@ -18,7 +18,8 @@ many, are settled in step 2 with one row for each chunk that has some. Hashes ha
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +27,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blobs import BLOB, batch, each, pack, parts, range_starts, requests, rows, unpack
-from .common import release_shuffles, small_batches, stash, table
+from .common import BLANKS, release_shuffles, small_batches, stash, table
 from .suffix_order import WIDTH, Hashes, cuts, repeated
 
+
+class Rule(NamedTuple):
+    """What a repeated passage is: runs of bytes covered by repeated strings of `length` bytes that hold, or touch, at least
+    `words` words."""
+
+    length: int
+    words: int = 0
+
+
 LENGTH = 400
+#: Passages of over 50 words; in the shortest such, with words of three letters, a string of 200 bytes fits.
+PASSAGE = Rule(200, 51)
 CHUNK_BYTES = 1 << 20
 #: Bytes of text for one range of hashes.
 RANGE_BYTES = 16 << 20
@@ -40,27 +52,24 @@ GROUP_BYTES = 1 << 19
 
 
 class Texts:
-    """A chunk: documents, one after the other, and their parse. Documents shorter than a window are left out of the parse."""
+    """A chunk: documents, one after the other, and their parse. Documents shorter than any window are left out of the parse."""
 
-    def __init__(self, data: bytes, length: int, parse: bool = True):
+    def __init__(self, data: bytes, least: int, parse: bool = True):
         self.ids, self.sizes, self.tids, self.data, at = unpack(data)
-        self.length = length
         self.offsets = np.concatenate([[0], np.cumsum(self.sizes, dtype=np.int64)])
         if not parse:
             return
-        n = len(self.data)
         self.hashes = Hashes(self.data)
         bounds = np.unique(np.concatenate([at.astype(np.int64), self.offsets]))
         begin, end = bounds[:-1], bounds[1:]
         doc = np.searchsorted(self.offsets, begin, "right") - 1
-        long = (self.sizes >= length)[doc] if len(doc) else np.zeros(0, bool)
+        long = (self.sizes >= least)[doc] if len(doc) else np.zeros(0, bool)
         self.begin, self.end, self.doc = begin[long], end[long], doc[long]
         self.phrases = self.hashes(self.begin, self.end)
         #: Whether the phrase lies between two triggers, so that its place depends on the text around it alone. A trigger may
         #: end the document too.
         self.whole = (self.begin != self.offsets[self.doc]) & ((self.end != self.offsets[self.doc + 1]) | np.isin(self.end, at.astype(np.int64)))
-        last = np.repeat(self.offsets[1:], self.sizes.astype(np.int64)) - length if n else np.zeros(0, np.int64)
-        self.valid = np.arange(n) <= last
+        self.ends = np.repeat(self.offsets[1:], self.sizes.astype(np.int64))
         self.distinct, self.which = np.unique(self.phrases, return_inverse=True)
 
     @staticmethod
@@ -71,22 +80,22 @@ class Texts:
         at = cuts(Hashes(data), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]))
         return pack(np.array([i for i, _, _ in docs], np.int64), sizes, tids, data, at.astype(np.uint64))
 
-    def open(self, counts: np.ndarray) -> np.ndarray:
+    def open(self, counts: np.ndarray, length: int) -> np.ndarray:
         """Windows that hold no whole phrase that occurs once; counts: of the distinct phrases."""
         single = self.whole & (counts[self.which] < 2)
-        first, last = self.end[single] - self.length, self.begin[single] - WIDTH
+        first, last = self.end[single] - length, self.begin[single] - WIDTH
         first = np.maximum(first, self.offsets[self.doc[single]])
         some = first <= last
         steps = np.zeros(len(self.data) + 1, np.int32)
         np.add.at(steps, first[some], 1)
         np.add.at(steps, last[some] + 1, -1)
-        return self.valid & (np.cumsum(steps[:-1]) == 0)
+        return (np.arange(len(self.data)) + length <= self.ends) & (np.cumsum(steps[:-1]) == 0)
 
-    def sequences(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def sequences(self, windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Phrases in which windows begin, the hashes of the text that covers these, sorted and distinct, and each's place there."""
         sums = np.concatenate([[0], np.cumsum(windows)])
         chosen = np.flatnonzero(sums[self.end] > sums[self.begin])
-        cover = np.searchsorted(self.end, np.minimum(self.end[chosen] - 1 + self.length, self.offsets[self.doc[chosen] + 1]))
+        cover = np.searchsorted(self.end, np.minimum(self.end[chosen] - 1 + length, self.offsets[self.doc[chosen] + 1]))
         distinct, which = np.unique(self.hashes(self.begin[chosen], self.end[cover]), return_inverse=True)
         return chosen, distinct, which
 
@@ -97,7 +106,7 @@ class Texts:
         steps[self.end[chosen]] -= 1
         return np.cumsum(steps[:-1]).astype(bool)
 
-    def rarest(self, windows: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    def rarest(self, windows: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
         """For each window, the whole phrase in it that occurs least, by hash among equals; -1: none, or all are common."""
         whole = np.flatnonzero(self.whole)
         if not len(whole):
@@ -108,7 +117,7 @@ class Texts:
         rank[order] = np.arange(len(whole))
         # equal phrases of one text get different ranks in place order, the earlier the lower, which windows see alike
         a = np.searchsorted(self.begin[whole], windows + WIDTH)
-        b = np.searchsorted(self.end[whole], windows + self.length, "right") - 1
+        b = np.searchsorted(self.end[whole], windows + length, "right") - 1
         levels, out = [rank], np.full(len(windows), -1)
         while len(levels[-1]) > (1 << (len(levels) - 1)):
             half = 1 << (len(levels) - 1)
@@ -128,9 +137,9 @@ class Texts:
 class Open:
     """What of a chunk is still to be compared once phrases and sequences are counted."""
 
-    def __init__(self, texts: Texts, counts: np.ndarray, total: np.ndarray, owned: np.ndarray):
-        windows = texts.open(counts)
-        chosen, _, which = texts.sequences(windows)
+    def __init__(self, texts: Texts, length: int, counts: np.ndarray, total: np.ndarray, owned: np.ndarray):
+        windows = texts.open(counts, length)
+        chosen, _, which = texts.sequences(windows, length)
         twice = total[which] > 1
         self.settled = windows & texts.spread(chosen[twice])
         kept = np.zeros(len(chosen), bool)
@@ -138,12 +147,12 @@ class Open:
         self.wanted = windows & ~self.settled
         position = np.flatnonzero(self.wanted | (windows & texts.spread(chosen[twice & kept & (owned[which] > 0)])))
         wanted = self.wanted[position]
-        phrase = texts.rarest(position, counts)
+        phrase = texts.rarest(position, counts, length)
         plain = phrase < 0
         # by hash
         self.plain = position[plain]
         self.plain_wanted = wanted[plain]
-        self.hashes, self.hash_which = np.unique(texts.hashes(self.plain, self.plain + texts.length), return_inverse=True)
+        self.hashes, self.hash_which = np.unique(texts.hashes(self.plain, self.plain + length), return_inverse=True)
         # runs of windows that follow each other and have one phrase
         position, phrase, wanted = position[~plain], phrase[~plain], wanted[~plain]
         fresh = np.ones(len(position), bool)
@@ -163,15 +172,15 @@ class Open:
         )
 
 
-def _ask_runs(name: str, texts: Texts, left: Open, n: int) -> list[tuple[str, str, int, bytes]]:
+def _ask_runs(name: str, kind: str, texts: Texts, length: int, left: Open, n: int) -> list[tuple[str, str, int, bytes]]:
     at = range_starts(left.key, n)
     out = []
     for r in range(n):
         a, b = at[r], at[r + 1]
         if a < b:
-            width = left.size[a:b] + texts.length - 1
+            width = left.size[a:b] + length - 1
             places = np.repeat(left.first[a:b], width) + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
-            out.append((name, "runs", r, pack(left.key[a:b], left.size[a:b].astype(np.uint32), left.asks[a:b].astype(np.uint8), texts.data[places])))
+            out.append((name, kind, r, pack(left.key[a:b], left.size[a:b].astype(np.uint32), left.asks[a:b].astype(np.uint8), texts.data[places])))
     return out
 
 
@@ -190,7 +199,7 @@ def _count(kind: str, group: pa.Table) -> pa.Table:
     return pa.Table.from_batches([batch(out)])
 
 
-def _compare(length: int, group: pa.Table) -> pa.Table:
+def _compare(length: int, kind: str, group: pa.Table) -> pa.Table:
     """Runs of windows by phrase: which windows that ask have an equal one."""
     names = group.column("chunk").to_pylist()
     blobs = [unpack(x) for x in group.column("data").to_pylist()]
@@ -219,21 +228,57 @@ def _compare(length: int, group: pa.Table) -> pa.Table:
         mine = mine[asks[mine] > 0]
         n = size[mine].astype(np.int64)
         at = np.repeat((ends - width)[mine], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        out.append((name, "found", group.column("r")[0].as_py(), pack(found[at].astype(np.uint8))))
+        out.append((name, kind, group.column("r")[0].as_py(), pack(found[at].astype(np.uint8))))
     return pa.Table.from_batches([batch(out)])
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _words_touched(texts: Texts, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Of each range of bytes, how many words lie in it, in part or whole."""
+    blank = np.isin(texts.data, np.frombuffer(BLANKS.encode(), np.uint8))
+    fresh = ~blank
+    fresh[1:] &= blank[:-1]
+    fresh[texts.offsets[:-1][texts.sizes > 0]] = ~blank[texts.offsets[:-1][texts.sizes > 0]]
+    before = np.concatenate([[0], np.cumsum(fresh)])
+    return before[end] - before[begin] + (~blank[begin] & ~fresh[begin])
+
+
+def _removed(texts: Texts, rule: Rule, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From the starts of repeated strings: the bytes that go, and where maximal runs of them begin and end."""
+    steps = np.zeros(len(starts) + rule.length + 1, np.int32)
+    position = np.flatnonzero(starts)
+    steps[position] += 1
+    steps[position + rule.length] -= 1
+    gone = np.cumsum(steps)[: len(starts)] > 0
+    edge = np.ones(len(gone), bool)
+    edge[1:] = gone[1:] != gone[:-1]
+    edge[texts.offsets[:-1][texts.sizes > 0]] = True
+    bounds = np.append(np.flatnonzero(edge), len(gone))
+    out = gone[bounds[:-1]]
+    begin, end = bounds[:-1][out], bounds[1:][out]
+    if rule.words and len(begin):
+        few = _words_touched(texts, begin, end) < rule.words
+        steps = np.zeros(len(gone) + 1, np.int8)
+        steps[begin[few]] += 1
+        steps[end[few]] -= 1
+        gone &= np.cumsum(steps[:-1]) == 0
+        begin, end = begin[~few], end[~few]
+    return gone, begin, end
+
+
+def repeats(docs: DataFrame, rules: Sequence[Rule] = (Rule(LENGTH),), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, tid, n_bytes, spans, kept: one row for each input row.
 
-    tid is the md5 of the text, spans the maximal removed runs, as struct(start, end) in bytes, kept the other bytes. A
-    byte is removed if a string of `length` bytes that covers it also starts anywhere else, in this document or another;
-    strings are judged on the input. Null texts are empty, and texts shorter than `length` lose nothing. Repeated rows are
-    documents of their own, so all of a text of that length goes from each of them. The result is bytes: a cut may
-    part a character. A null doc_id comes back as null. An empty table gives no rows.
+    tid is the md5 of the text; spans holds, for each rule, the maximal removed runs as struct(start, end) in bytes; kept the
+    bytes that the first rule leaves. A byte is removed if a string of `length` bytes that covers it also starts anywhere
+    else, in this document or another, and its run touches as many words as the rule asks for; strings are judged on the
+    input. Null texts are empty, and texts shorter than `length` lose nothing. Repeated rows are documents of their own, so
+    all of a text of that length goes from each of them. The result is bytes: a cut may part a character. A null doc_id comes
+    back as null. An empty table gives no rows. All rules are answered from one parse.
     """
     spark = docs.sparkSession
     small_batches(spark, size=1 << 20)
+    least = min(rule.length for rule in rules)
+    kinds = [f"{k}{i}" for k in ("hashes", "runs") for i in range(len(rules))]
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.unhex(F.md5(text)).alias("tid"), text.alias("text"))
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
@@ -253,63 +298,74 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
 
     def ask_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, data in each(batches):
-            texts = Texts(data, length)
+            texts = Texts(data, least)
             counts = np.bincount(texts.which, minlength=len(texts.distinct)).astype(np.uint32)
             yield batch(requests(name, "phrases", texts.distinct, [counts], n))
 
     def ask_sequences(group: pa.Table) -> pa.Table:
         name, part = parts(group)
-        texts = Texts(part["chunk"], length)
-        if not len(texts.distinct):
-            return pa.Table.from_batches([batch([])])
-        _, distinct, which = texts.sequences(texts.open(part["phrases"][0]))
-        counts = np.bincount(which, minlength=len(distinct)).astype(np.uint32)
-        return pa.Table.from_batches([batch(requests(name, "sequences", distinct, [counts], n))])
+        texts, asked = Texts(part["chunk"], least), []
+        if len(texts.distinct):
+            for i, rule in enumerate(rules):
+                _, distinct, which = texts.sequences(texts.open(part["phrases"][0], rule.length), rule.length)
+                counts = np.bincount(which, minlength=len(distinct)).astype(np.uint32)
+                asked += requests(name, f"sequences{i}", distinct, [counts], n)
+        return pa.Table.from_batches([batch(asked)])
 
     def ask_windows(group: pa.Table) -> pa.Table:
         name, part = parts(group)
-        if "sequences" not in part:
-            return pa.Table.from_batches([batch([])])
-        texts = Texts(part["chunk"], length)
-        left = Open(texts, part["phrases"][0], *part["sequences"])
-        counts = np.bincount(left.hash_which, minlength=len(left.hashes)).astype(np.uint32)
-        asked = requests(name, "hashes", left.hashes, [counts], n) + _ask_runs(name, texts, left, n)
-        return pa.Table.from_batches([batch([*asked, (name, "left", 0, left.packed())])])
+        texts, asked = None, []
+        for i, rule in enumerate(rules):
+            if f"sequences{i}" in part:
+                texts = texts or Texts(part["chunk"], least)
+                left = Open(texts, rule.length, part["phrases"][0], *part[f"sequences{i}"])
+                counts = np.bincount(left.hash_which, minlength=len(left.hashes)).astype(np.uint32)
+                asked += requests(name, f"hashes{i}", left.hashes, [counts], n)
+                asked += [*_ask_runs(name, f"runs{i}", texts, rule.length, left, n), (name, f"left{i}", 0, left.packed())]
+        return pa.Table.from_batches([batch(asked)])
+
+    def answer(group: pa.Table) -> pa.Table:
+        """One kind of questions to one range."""
+        kind = group.column("kind")[0].as_py()
+        i = int(kind[-1])
+        return _compare(rules[i].length, f"found{i}", group) if kind.startswith("runs") else _count(kind, group)
 
     def finish(group: pa.Table) -> pa.Table:
         _, part = parts(group)
-        texts = Texts(part["chunk"], length, parse=False)
-        starts = np.zeros(len(texts.data), bool)
-        if "left" in part:
-            settled, plain, which, first, size = part["left"]
-            starts[:] = np.unpackbits(settled, count=len(starts))
-            if len(plain):
-                starts[plain[part["hashes"][0][which] > 1].astype(np.int64)] = True
-            if len(first):
-                size = size.astype(np.int64)
-                position = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                starts[position[part["found"][0] > 0]] = True
-        steps = np.zeros(len(starts) + length + 1, np.int32)
-        position = np.flatnonzero(starts)
-        steps[position] += 1
-        steps[position + length] -= 1
-        gone = np.cumsum(steps)[: len(starts)] > 0
-        edge = np.ones(len(gone), bool)
-        edge[1:] = gone[1:] != gone[:-1]
-        edge[texts.offsets[:-1][texts.sizes > 0]] = True
-        bounds = np.append(np.flatnonzero(edge), len(gone))
-        out = gone[bounds[:-1]]
-        begin, end = bounds[:-1][out], bounds[1:][out]
-        doc = np.searchsorted(texts.offsets, begin, "right") - 1
-        spans = pa.StructArray.from_arrays([pa.array(begin - texts.offsets[doc]), pa.array(end - texts.offsets[doc])], names=["start", "end"])
-        places = np.searchsorted(doc, np.arange(len(texts.ids) + 1)).astype(np.int32)
+        texts = Texts(part["chunk"], least, parse=False)
+        lists, gone = [], np.zeros(0, bool)
+        for i, rule in enumerate(rules):
+            starts = np.zeros(len(texts.data), bool)
+            if f"left{i}" in part:
+                settled, plain, which, first, size = part[f"left{i}"]
+                starts[:] = np.unpackbits(settled, count=len(starts))
+                if len(plain):
+                    starts[plain[part[f"hashes{i}"][0][which] > 1].astype(np.int64)] = True
+                if len(first):
+                    size = size.astype(np.int64)
+                    position = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                    starts[position[part[f"found{i}"][0] > 0]] = True
+            cut, begin, end = _removed(texts, rule, starts)
+            gone = gone if i else cut
+            doc = np.searchsorted(texts.offsets, begin, "right") - 1
+            spans = pa.StructArray.from_arrays([pa.array(begin - texts.offsets[doc]), pa.array(end - texts.offsets[doc])], names=["start", "end"])
+            lists.append((np.searchsorted(doc, np.arange(len(texts.ids) + 1)), spans))
+        # the rules' lists of a document one after the other
+        m, k = len(texts.ids), len(rules)
+        base = np.cumsum([0, *(len(spans) for _, spans in lists)])
+        sizes = np.stack([np.diff(places) for places, _ in lists], 1) if m else np.zeros((0, k), np.int64)
+        first = np.stack([base[i] + places[:-1] for i, (places, _) in enumerate(lists)], 1).reshape(-1)
+        flat = sizes.reshape(-1)
+        ends = np.cumsum(flat)
+        order = np.repeat(first, flat) + np.arange(flat.sum()) - np.repeat(ends - flat, flat)
+        spans = pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), pa.concat_arrays([x for _, x in lists]).take(pa.array(order)))
         left_sizes = np.concatenate([[0], np.cumsum(~gone)])[texts.offsets].astype(np.int32)
-        kept = pa.Array.from_buffers(pa.binary(), len(texts.ids), [None, pa.py_buffer(left_sizes), pa.py_buffer(np.ascontiguousarray(texts.data[~gone]))])
-        tids = pa.Array.from_buffers(pa.binary(16), len(texts.ids), [None, pa.py_buffer(np.ascontiguousarray(texts.tids))]).cast(pa.binary())
+        kept = pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer(left_sizes), pa.py_buffer(np.ascontiguousarray(texts.data[~gone]))])
+        tids = pa.Array.from_buffers(pa.binary(16), m, [None, pa.py_buffer(np.ascontiguousarray(texts.tids))]).cast(pa.binary())
         return pa.table(
             {
                 "doc_id": pa.array(texts.ids, mask=texts.ids == -(2**63)), "tid": tids, "n_bytes": texts.sizes.astype(np.int64),
-                "spans": pa.ListArray.from_arrays(places, spans), "kept": kept,
+                "spans": pa.ListArray.from_arrays(np.arange(m + 1, dtype=np.int32) * k, spans), "kept": kept,
             }
         )
 
@@ -318,16 +374,15 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
     known = [chunks, stash(phrases, "phrases")]
     release_shuffles(spark)
     together = lambda: _union(known).groupBy("chunk")
-    sequences = together().applyInArrow(ask_sequences, BLOB).groupBy("r").applyInArrow(lambda g: _count("sequences", g), BLOB)
+    sequences = together().applyInArrow(ask_sequences, BLOB).groupBy("kind", "r").applyInArrow(answer, BLOB)
     known.append(stash(sequences, "sequences"))
     release_shuffles(spark)
     asked = stash(together().applyInArrow(ask_windows, BLOB), "windows", "kind")
     release_shuffles(spark)
-    hashes = asked.where("kind = 'hashes'").groupBy("r").applyInArrow(lambda g: _count("hashes", g), BLOB)
-    found = asked.where("kind = 'runs'").groupBy("r").applyInArrow(lambda g: _compare(length, g), BLOB)
-    known = [chunks, asked.where("kind = 'left'"), stash(hashes, "hashes"), stash(found, "found")]
+    answers = asked.where(F.col("kind").isin(kinds)).groupBy("kind", "r").applyInArrow(answer, BLOB)
+    known = [chunks, asked.where("kind like 'left%'"), stash(answers, "answers")]
     release_shuffles(spark)
-    return together().applyInArrow(finish, "doc_id long, tid binary, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return together().applyInArrow(finish, "doc_id long, tid binary, n_bytes long, spans array<array<struct<start:long,end:long>>>, kept binary")
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -337,10 +392,10 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def remove(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove(docs: DataFrame, rule: Rule = Rule(LENGTH), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's rows and columns, repeated passages removed from the text; characters of which only a part is left go
     too. Null texts stay null."""
-    found = repeats(docs, length, id_col, text_col).where("size(spans) > 0")
+    found = repeats(docs, (rule,), id_col, text_col).where("size(spans[0]) > 0")
     name = lambda c: F.coalesce(c.cast("string"), F.lit("")).alias("_id")
     changed = found.select(name(F.col("doc_id")), F.col("tid").alias("_tid"), F.col("kept").alias("_kept"))
     changed = changed.groupBy("_id", "_tid").agg(F.first("_kept").alias("_kept"))
@@ -355,9 +410,15 @@ def remove(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_c
 
 
 def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeats(table(spark, sf_dir, "documents"))
-    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
-    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    """Removal by strings of 400 bytes; behind it, by the same parse, the passages of over 50 words that stand elsewhere too,
+    most of which are shorter than 400 bytes."""
+    found = repeats(table(spark, sf_dir, "documents"), (Rule(LENGTH), PASSAGE))
+    size = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    strings, passages = F.get("spans", F.lit(0)), F.get("spans", F.lit(1))
+    return found.select(
+        "doc_id", "n_bytes", size(strings).alias("n_removed"), F.size(strings).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        F.size(passages).cast("long").alias("n_passages"), size(passages).alias("n_passage_bytes"),
+    )
 
 
 QUERIES = {"op2_repeated_passages": op2_repeated_passages}

@@ -7,7 +7,7 @@ from cases import documents, frame
 from test_text_operators import REFERENCE, classes_by_brute_force, removed
 
 import corpus_pipeline
-from tallyrook.llm import mixing, rules
+from tallyrook.llm import mixing, passages, rules
 from tallyrook.llm.common import stash
 
 SF = "/root/testdata/sf0.001"
@@ -31,7 +31,7 @@ def test_stages(spark):
 
     docs = stash(stages["repeated_passages"](spark, docs, SF), "t")
     assert docs.columns == columns
-    want = {i: n - gone for i, n, gone, *_ in removed(rows, 400)}
+    want = {i: n - gone for i, n, gone, *_ in removed(rows, *passages.PASSAGE)}
     for r in docs.collect():
         assert want[str(r.doc_id)] - 6 <= len((r.text or "").encode()) <= want[str(r.doc_id)]
 

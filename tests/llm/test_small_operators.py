@@ -1,8 +1,11 @@
 """Sharding, mixing, rules, URLs."""
 
+import math
+import struct
 import zlib
 
 import pytest
+import xxhash
 from cases import documents, frame
 from compare import assert_same
 from pyspark.sql import functions as F
@@ -35,6 +38,36 @@ def test_weighted_shards_are_near_their_shares(spark):
         shards.rendezvous([F.lit(1)], [1.0, 0.0])
 
 
+def winner(key, weights):
+    """By the definition: the shard with the highest weight / -ln(u), u from the key's and the shard's hash."""
+    own = 42 if key is None else xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
+    scores = []
+    for i, weight in enumerate(weights):
+        u = ((xxhash.xxh64_intdigest(struct.pack("<i", i), own) >> 11) + 1) / (2**53 + 2)
+        scores.append((-weight / math.log(u), -i))
+    return -max(scores)[1]
+
+
+@pytest.mark.parametrize("weights", [[1.0] * 16, [1.0, 2.0, 5.0, 0.25], [3.0]])
+def test_shards_are_the_winners(spark, weights):
+    grown = [*weights, sum(weights) / len(weights)]
+    rows = shards.shard(frame(spark, documents() + [(10**6 + i, "x", *[None] * 8) for i in range(2000)]), weights).collect()
+    assert all((r.shard, r.grown_shard) == (winner(r.doc_id, weights), winner(r.doc_id, grown)) for r in rows)
+
+
+def test_slots_of_shuffled_rows(spark, monkeypatch):
+    """Behind a shuffle that adaptive execution may deal anew each time; a third of the rows have one id."""
+    monkeypatch.setattr(shards, "BUCKET_ROWS", 100)
+    docs = spark.range(40_000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS doc_id", "cast(id % 5 AS string) AS text").repartition("doc_id")
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "50k")
+    try:
+        rows = shards.shard(docs, [1.0] * 4).groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("slots"), F.min("slot").alias("low"), F.max("slot").alias("high")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    assert sum(r.n for r in rows) == 40_000 and all(r.slots == r.n == r.high + 1 and r.low == 0 for r in rows)
+
+
 def level(sizes, weights, most):
     """Targets by resharing the excess, over and over."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))

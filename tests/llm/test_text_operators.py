@@ -35,7 +35,7 @@ def test_bpe_is_the_library(text):
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.sampled_from("ab cd'sé<|endoftext|>  \n\x1c\x85\u2028ж9²"), max_size=60))
 def test_token_encoder_is_the_library(text):
-    assert ENCODER.encode(text).tolist() == ENCODER.library.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(ENCODER.encode(text), "<u4").tolist() == ENCODER.library.encode(text, add_special_tokens=False).ids
 
 
 def test_bpe_long_pre_token():
@@ -75,22 +75,32 @@ def test_token_files(spark, tmp_path):
     for f in files:
         content = zstandard.ZstdDecompressor().stream_reader(f.read_bytes(), read_across_frames=True).read()
         frames = [binary.unpack_frame(part) for part in _frames(f)]
-        assert b"".join(binary.pack_frame(x) for x in frames) == content
+        assert b"".join(binary.pack_frame([(i, ids.tobytes()) for i, ids in x]) for x in frames) == content
         whole += [d for x in frames for d, _ in x]
     assert sorted(whole) == [i for i, _ in ids]
-    found = binary.find(path, [904, 5, 12345])
+    found = binary.find(spark, path, [904, 5, 12345])
     assert len(found[904]) == 2 and found[12345] == [] and found[5][0].tolist() == dict(ids)[5]
     binary.write(frame(spark, []), str(tmp_path / "e"))
     assert binary.placed(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_token_files_are_ordered_by_number(spark, tmp_path):
+    names = [f"part-{i}-aa" for i in ("00007", "99999", "100000")]
+    for i, name in enumerate(names):
+        content = b"".join(r + binary.SEPARATOR for r in binary.records(iter([(i, np.arange(10 * (i + 1), dtype="<u4").tobytes())])))
+        (tmp_path / name).write_bytes(content)
+    rows = sorted((r.doc_id, r.start, r.n_tokens) for r in binary.placed(spark, str(tmp_path)).collect())
+    assert rows == [(0, 0, 10), (1, 10, 20), (2, 30, 30)]
+    assert [len(x) for x in binary.find(spark, str(tmp_path), [2])[2]] == [30]
+
+
 def _frames(path):
     f = binary.open_file(str(path))
     return [zstandard.ZstdDecompressor().decompress(f.fetch(f.starts[i], f.frames[i][0]), max_output_size=f.frames[i][1]) for i in range(len(f.frames))]
 
 
 def test_token_file_reads_only_what_it_needs_and_sees_damage():
-    docs = [(i, np.arange(i, i + 500, dtype=np.uint32)) for i in range(200)]
+    docs = [(i, np.arange(i, i + 500, dtype=np.uint32).tobytes()) for i in range(200)]
     data = bytearray(b"".join(r + binary.SEPARATOR for r in binary.records(iter(docs), frame_ids=5000)))
     f = binary.TokenFile(len(data), lambda at, n: bytes(data[at : at + n]))
     assert len(f.frames) == 20 and f.find(57)[0].tolist() == list(range(57, 557)) and f.decompressed == 1
@@ -188,7 +198,7 @@ def test_suffix_order_finds_repeats(seed):
     assert got.tolist() == sum(windows(strings, length), [])
 
 
-def removed(docs, length):
+def removed(docs, length, words=0):
     strings = [(t or "").encode() for _, t, *_ in docs]
     out = []
     for (i, *_), x, starts in zip(docs, strings, windows(strings, length), strict=True):
@@ -196,16 +206,37 @@ def removed(docs, length):
         for k, s in enumerate(starts):
             if s:
                 gone[k : k + length] = b"\1" * length
+        if words:
+            for run in re.finditer(rb"\x01+", bytes(gone)):
+                if len(touched(x, *run.span())) < words:
+                    gone[run.start() : run.end()] = bytes(run.end() - run.start())
         kept = bytes(b for b, g in zip(x, gone, strict=True) if not g)
         out.append((str(i), len(x), len(x) - len(kept), sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone)), hashlib.sha256(kept).hexdigest()))
     return sorted(out)
 
 
+def touched(text, begin, end):
+    return [w for w in re.finditer(rb"[^\x20\x09-\x0D]+", text) if w.start() < end and w.end() > begin]
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 5_000])
+def test_passages_by_several_rules(spark, monkeypatch, chunk):
+    monkeypatch.setattr(passages, "CHUNK_BYTES", chunk)
+    rules = (passages.Rule(120, 30), passages.Rule(400), passages.Rule(200, 51))
+    rows = passages.repeats(frame(spark), rules).collect()
+    for i, rule in enumerate(rules):
+        got = sorted((str(r.doc_id), r.n_bytes, sum(s.end - s.start for s in r.spans[i]), len(r.spans[i])) for r in rows)
+        assert got == [x[:4] for x in removed(documents(), *rule)]
+    want = [x[4] for x in removed(documents(), 120, 30)]
+    assert sorted(want) == sorted(hashlib.sha256(r.kept).hexdigest() for r in rows)
+    assert any(x[2] for x in removed(documents(), 200, 51))
+
+
 @pytest.mark.parametrize("chunk, common", [(1 << 20, 1000), (5_000, 2)])
 def test_passages(spark, monkeypatch, chunk, common):
     monkeypatch.setattr(passages, "CHUNK_BYTES", chunk)
     monkeypatch.setattr(passages, "COMMON", common)
-    rows = passages.repeats(frame(spark)).selectExpr("doc_id", "n_bytes", "aggregate(spans, 0L, (a, s) -> a + s.end - s.start)", "size(spans)", "sha2(kept, 256)").collect()
+    rows = passages.repeats(frame(spark)).selectExpr("doc_id", "n_bytes", "aggregate(spans[0], 0L, (a, s) -> a + s.end - s.start)", "size(spans[0])", "sha2(kept, 256)").collect()
     assert sorted((str(r[0]), *r[1:]) for r in rows) == removed(documents(), passages.LENGTH)
     assert passages.repeats(frame(spark, [])).count() == 0
 
@@ -222,7 +253,7 @@ def test_passages_that_close_a_document(spark, monkeypatch):
         end = int(suffix_order.cuts(suffix_order.Hashes(np.frombuffer(text.encode(), np.uint8)), np.array([0, len(text)]))[-1])
         passage = text[end - passages.LENGTH : end]
         docs += [(2 * i, make(300) + passage), (2 * i + 1, make(300) + passage + make(300))]
-    rows = passages.repeats(spark.createDataFrame(docs, "doc_id long, text string")).selectExpr("doc_id", "n_bytes", "aggregate(spans, 0L, (a, s) -> a + s.end - s.start)", "size(spans)", "sha2(kept, 256)").collect()
+    rows = passages.repeats(spark.createDataFrame(docs, "doc_id long, text string")).selectExpr("doc_id", "n_bytes", "aggregate(spans[0], 0L, (a, s) -> a + s.end - s.start)", "size(spans[0])", "sha2(kept, 256)").collect()
     want = removed(docs, passages.LENGTH)
     assert all(x[2] >= passages.LENGTH for x in want)
     assert sorted((str(r[0]), *r[1:]) for r in rows) == want
@@ -243,7 +274,9 @@ def test_passages_leave_the_other_columns(spark):
 
 def test_passages_of_the_table(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    assert sorted((str(r[0]), *r[1:]) for r in passages.op2_repeated_passages(spark, SF).collect()) == removed(docs, passages.LENGTH)
+    rows = passages.op2_repeated_passages(spark, SF).collect()
+    assert sorted((str(r[0]), *r[1:5]) for r in rows) == removed(docs, passages.LENGTH)
+    assert sorted((str(r.doc_id), r.n_passage_bytes, r.n_passages) for r in rows) == [(x[0], x[2], x[3]) for x in removed(docs, *passages.PASSAGE)]
 
 
 def scores_by_brute_force(docs):
