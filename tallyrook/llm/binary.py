@@ -54,9 +54,10 @@ SEEK_ROW = struct.Struct("<III")
 KEPT, KEPT_CHARS = 450_000, 64
 
 
-def pack_frame(ids: list[tuple[int, np.ndarray]]) -> bytes:
-    parts = [struct.pack("<I", len(ids)), np.array([i for i, _ in ids], "<i8").tobytes(), np.array([len(x) for _, x in ids], "<u4").tobytes()]
-    return b"".join([*parts, *(x.astype("<u4").tobytes() for _, x in ids)])
+def pack_frame(ids: list[tuple[int, bytes]]) -> bytes:
+    """Documents with their ids, little-endian unsigned 32-bit integers."""
+    parts = [struct.pack("<I", len(ids)), np.array([i for i, _ in ids], "<i8").tobytes(), np.array([len(x) // 4 for _, x in ids], "<u4").tobytes()]
+    return b"".join([*parts, *(x for _, x in ids)])
 
 
 def unpack_frame(content: bytes) -> list[tuple[int, np.ndarray]]:
@@ -68,7 +69,7 @@ def unpack_frame(content: bytes) -> list[tuple[int, np.ndarray]]:
     return list(zip(names, np.split(flat, ends[:-1]) if n else [], strict=True))
 
 
-def records(docs: Iterator[tuple[int, np.ndarray]], frame_ids: int = FRAME_IDS, level: int = LEVEL) -> Iterator[bytes]:
+def records(docs: Iterator[tuple[int, bytes]], frame_ids: int = FRAME_IDS, level: int = LEVEL) -> Iterator[bytes]:
     """The records of one file; the separator after each is the writer's. A document lies in one frame."""
     packer = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
     index, seek, frame, held = [], [], [], 0
@@ -81,11 +82,12 @@ def records(docs: Iterator[tuple[int, np.ndarray]], frame_ids: int = FRAME_IDS,
         return out
 
     for doc_id, ids in docs:
-        if frame and held + len(ids) > frame_ids:
+        n = len(ids) // 4
+        if frame and held + n > frame_ids:
             yield closed()
             frame, held = [], 0
         frame.append((doc_id, ids))
-        held += len(ids)
+        held += n
     if frame:
         yield closed()
     rows, body = b"".join(index), b"".join(seek)
@@ -134,7 +136,7 @@ class TokenFile:
 
 
 def open_file(path: str) -> TokenFile:
-    """A local file; other stores: TokenFile with their own ranged read."""
+    """A local file; files in other stores are read with StoreReader."""
     import os
 
     handle = open(path, "rb")  # noqa: SIM115
@@ -164,7 +166,7 @@ class Kept:
 
 
 class Encoder:
-    """The tokenizers library, asked once for each different pre-token of plain text.
+    """The tokenizers library, its model asked once for each different pre-token of plain text.
 
     Byte-level BPE without a normaliser encodes pre-tokens independently, so a text's ids are those of its pre-tokens in a
     row. Texts with characters outside Latin and general punctuation, where two versions of Unicode's tables might part a
@@ -172,24 +174,34 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
+        self.model = self.library.model.tokenize
+        # the library's letters for bytes, in byte order: it shows printable bytes as themselves, the others from U+0100 on
+        letters = sorted(map(ord, pre_tokenizers.ByteLevel.alphabet()))
+        shown = [c for c in letters if c < 256]
+        self.letters = {c: c for c in shown} | dict(zip((b for b in range(256) if b not in set(shown)), letters[len(shown) :], strict=True))
         self.find = plain_pattern(public_tokenizers.PATTERN).findall
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile(r"[^\x00-\x1b\x20-\x84\x86-\u024f\u2010-\u2027]").search
-        self.tokens = Kept(self.plain)
+        self.tokens = Kept(self.pre_token)
 
-    def plain(self, text: str) -> bytes:
+    def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, text: str) -> np.ndarray:
+    def pre_token(self, token: str) -> bytes:
+        ids = [x.id for x in self.model(token.encode().decode("latin-1").translate(self.letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
         make = self.tokens
         if (not text.isascii() and self.special(text)) or any(x in text for x in self.added):
-            return np.frombuffer(self.plain(text), "<u4")
-        return np.frombuffer(b"".join([make.new.get(t) or make(t) for t in self.find(text)]), "<u4")
+            return self.whole(text)
+        return b"".join([make.new.get(t) or make(t) for t in self.find(text)])
 
 
 @lru_cache(maxsize=2)
@@ -212,12 +224,12 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary)
-        end = np.array([end_id], "<u4")
+        end = struct.pack("<I", end_id)
 
-        def encoded() -> Iterator[tuple[int, np.ndarray]]:
+        def encoded() -> Iterator[tuple[int, bytes]]:
             for batch in batches:
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    yield doc_id, np.concatenate([encoder.encode(text or ""), end])
+                    yield doc_id, encoder.encode(text or "") + end
 
         for record in records(encoded()):
             yield pa.RecordBatch.from_arrays([pa.array([record], pa.binary())], names=["value"])
@@ -232,40 +244,75 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """file, doc_id, place (ids before it in its file), ids (binary of uint32): all documents of the files."""
+    """file, doc_id, place (ids before it in its file), ids (binary of uint32): all documents of the files.
+
+    file is the file's number, which gives the order of the files however many there are. A null doc_id reads as the smallest
+    int64, as it is stored; several documents of one id come one after the other; files without frames give no rows. A
+    worker holds one file, about FILE_BYTES of text, and one frame."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 whole = memoryview(content.as_buffer())
                 source = TokenFile(len(whole), lambda at, n, whole=whole: bytes(whole[at : at + n]))
-                place, file = 0, name.rpartition("/")[2]
+                place, file = 0, file_number(name)
                 for i in range(len(source.frames)):
                     docs = source.frame(i)
                     places = place + np.concatenate([[0], np.cumsum([len(ids) for _, ids in docs], dtype=np.int64)])
                     place = int(places[-1])
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([file] * len(docs), pa.string()), pa.array([d for d, _ in docs], pa.int64()),
+                            pa.array([file] * len(docs), pa.int64()), pa.array([d for d, _ in docs], pa.int64()),
                             pa.array(places[:-1], pa.int64()), pa.array([ids.tobytes() for _, ids in docs], pa.binary()),
                         ],
                         names=["file", "doc_id", "place", "ids"],
                     )
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0").select("path", "content")
-    return files.mapInArrow(work, "file string, doc_id long, place long, ids binary")
+    return files.mapInArrow(work, "file long, doc_id long, place long, ids binary")
+
+
+def file_number(path: str) -> int:
+    """Of part-00012-...: 12. Names aren't compared: part-100000 would come before part-99999."""
+    return int(re.match(r"part-(\d+)", path.rpartition("/")[2])[1])
+
+
+class StoreReader:
+    """Ranged reads of one file in any store that Spark's file systems reach, through the driver."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        jvm = spark.sparkContext._jvm
+        self.jvm, self.where = jvm, jvm.org.apache.hadoop.fs.Path(path)
+        self.system = self.where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.size = self.system.getFileStatus(self.where).getLen()
+
+    def __call__(self, offset: int, length: int) -> bytes:
+        stream = self.system.open(self.where)
+        try:
+            stream.seek(offset)
+            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream, length))
+        finally:
+            stream.close()
 
 
-def find(path: str, doc_ids: list[int]) -> dict[int, list[np.ndarray]]:
-    """The documents asked for, from a folder of local files; other frames stay compressed."""
-    from pathlib import Path
+def find(spark: SparkSession, path: str, doc_ids: list[int]) -> dict[int, list[np.ndarray]]:
+    """The ids of the documents asked for, in file order, from the files of a folder in any store; other frames aren't read.
 
-    files = [open_file(str(p)) for p in sorted(Path(path).glob("part-*")) if p.stat().st_size]
+    Each file's tables are read, then the frames that may hold an id: a look-up of a few ids. A null doc_id is asked for as
+    the smallest int64; an id that several rows have gives several arrays, one that none has gives none; files without
+    frames and empty folders hold nothing."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    listed = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+    names = [str(x.getPath()) for x in listed if x.getPath().getName().startswith("part-") and x.getLen()]
+    readers = [StoreReader(spark, name) for name in sorted(names, key=file_number)]
+    files = [TokenFile(x.size, x) for x in readers]
     return {doc_id: [ids for f in files for ids in f.find(doc_id)] for doc_id in doc_ids}
 
 
 def placed(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document in the files; start counts the ids of all documents before."""
+    """doc_id, start, n_tokens, ids_crc32 of each document in the files; start counts the ids of all documents before, in the
+    order of the files' numbers and of places in a file. A null id is null again; folders without documents give no rows."""
     found = read(spark, path).select(
         "file", "doc_id", "place", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
     )
