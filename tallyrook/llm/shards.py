@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stash, table
 
 SHARDS = 16
 #: Rows that one slot bucket holds on average.
@@ -41,19 +41,24 @@ def shard(docs: DataFrame, weights: Sequence[float], id_col: str = "doc_id", tex
 
     The record key is the id, so equal ids share a shard; a null id is one more key. A null text has no bytes (size 1,
     checksum 0). Slots number a shard's rows from 0 without gaps: rows are counted by bucket first and numbered inside
-    their bucket, so no task holds a whole shard; repeated rows get a slot each. The bucket takes the input partition
-    in, so that one id with very many rows spreads too. An empty table gives no rows; columns of other names are ignored.
+    their bucket, so no task holds a whole shard; repeated rows get a slot each. A row's bucket is drawn from its id and from
+    where it lies, so that one id with very many rows spreads too; sizes and buckets are written once before anything is
+    counted, since another run of the same plan may deal rows to other places. An empty table gives no rows; columns of other
+    names are ignored.
     """
     key = [F.col(id_col)]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    buckets = max(1, docs.count() // (BUCKET_ROWS * len(weights)))
-    placed = docs.select(
+    small = docs.select(
         F.col(id_col).alias("doc_id"),
-        text.alias("t"),
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
         rendezvous(key, weights).alias("shard"),
         rendezvous(key, [*weights, sum(weights) / len(weights)]).alias("grown_shard"),
-        F.pmod(F.xxhash64(F.col(id_col), F.spark_partition_id()), F.lit(buckets)).alias("bucket"),
+        F.xxhash64(F.col(id_col), F.spark_partition_id()).alias("drawn"),
     )
+    small = stash(small, "shard-sizes")
+    buckets = max(1, small.count() // (BUCKET_ROWS * len(weights)))
+    placed = small.withColumn("bucket", F.pmod("drawn", F.lit(buckets))).drop("drawn")
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         placed.groupBy("shard", "bucket")
@@ -61,11 +66,7 @@ def shard(docs: DataFrame, weights: Sequence[float], id_col: str = "doc_id", tex
         .select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     )
     inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32")
-    rows = placed.select(
-        "doc_id", "shard", "grown_shard", "bucket",
-        (F.octet_length("t") + 1).cast("long").alias("size"),
-        F.crc32(F.col("t").cast("binary")).alias("text_crc32"),
-    ).withColumn("place", F.row_number().over(inside) - 1)
+    rows = placed.withColumn("place", F.row_number().over(inside) - 1)
     return rows.join(starts, ["shard", "bucket"]).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
         (F.col("start") + F.col("place")).cast("long").alias("slot"), "grown_shard",
