@@ -23,8 +23,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of passages that other places hold too go from the texts; all documents stay."""
-    return passages.remove(docs)
+    """Passages of over 50 words that other places hold too go from the texts; all documents stay."""
+    return passages.remove(docs, passages.PASSAGE)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
