@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,10 +40,23 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _own_shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Spark removes the shuffle files of what runs inside when it has ended; the session's setting is put back."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def stash(df: DataFrame, name: str, *by: str) -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage, survives lost executors. by: folders for these columns."""
     path = shared_path(df.sparkSession, name)
-    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
+    with _own_shuffles_removed(df.sparkSession):
+        df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stash_path = path
     return out
@@ -52,6 +67,12 @@ def drop_stash(df: DataFrame) -> None:
     delete_path(df.sparkSession, df._stash_path)
 
 
+def drop_folders(df: DataFrame, folders: list[str]) -> None:
+    """Of a table that stash() wrote by folders: remove some that nothing will read again."""
+    for folder in folders:
+        delete_path(df.sparkSession, f"{df._stash_path}/{folder}")
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -73,17 +94,10 @@ def unit_hash(key: Column) -> Column:
 
 
 def small_batches(spark: SparkSession, rows: int = 1_000, size: int = 8 << 20) -> None:
-    """Bound what one Arrow batch holds, for tables with long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of jobs whose results were written: its cleaner follows the driver's collector."""
-    import gc
-    import time
-
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+    """Bound what one Arrow batch holds, for tables with long texts. Results don't depend on it, but plans read it when they run, so it
+    stays for the session; a limit is only ever lowered, and what is lower already stays."""
+    for name, wanted in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = re.match(r"\d+", spark.conf.get(key))
+        if now is None or not 0 < int(now[0]) <= wanted:
+            spark.conf.set(key, wanted)

@@ -27,8 +27,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blobs import BLOB, batch, each, pack, parts, range_starts, requests, rows, unpack
-from .common import BLANKS, release_shuffles, small_batches, stash, table
+from .common import BLANKS, drop_folders, drop_stash, small_batches, stash, table
 from .suffix_order import WIDTH, Hashes, cuts, repeated
+from .words import mix
 
 
 class Rule(NamedTuple):
@@ -46,7 +47,7 @@ CHUNK_BYTES = 1 << 20
 #: Bytes of text for one range of hashes.
 RANGE_BYTES = 16 << 20
 #: A window is compared in the range of its rarest phrase if that occurs at most this often.
-COMMON = 1_000
+COMMON = 256
 #: Bytes of runs put in order at a time, besides those of one phrase.
 GROUP_BYTES = 1 << 19
 
@@ -159,7 +160,8 @@ class Open:
         fresh[1:] = (position[1:] != position[:-1] + 1) | (phrase[1:] != phrase[:-1]) | (wanted[1:] != wanted[:-1])
         first = np.flatnonzero(fresh)
         size = np.diff(np.append(first, len(position)))
-        key = texts.phrases[phrase[first]]
+        # among equally rare phrases the one of the smallest hash was taken, so the hash is mixed again to deal keys evenly
+        key = mix(texts.phrases[phrase[first]])
         order = np.argsort(key, kind="stable")
         self.key, self.first, self.size, self.asks = key[order], position[first][order], size[order], wanted[first][order]
 
@@ -372,16 +374,15 @@ def repeats(docs: DataFrame, rules: Sequence[Rule] = (Rule(LENGTH),), id_col: st
     chunks = stash(plain.mapInArrow(chunked, BLOB), "texts")
     phrases = chunks.mapInArrow(ask_phrases, BLOB).groupBy("r").applyInArrow(lambda g: _count("phrases", g), BLOB)
     known = [chunks, stash(phrases, "phrases")]
-    release_shuffles(spark)
     together = lambda: _union(known).groupBy("chunk")
     sequences = together().applyInArrow(ask_sequences, BLOB).groupBy("kind", "r").applyInArrow(answer, BLOB)
     known.append(stash(sequences, "sequences"))
-    release_shuffles(spark)
     asked = stash(together().applyInArrow(ask_windows, BLOB), "windows", "kind")
-    release_shuffles(spark)
     answers = asked.where(F.col("kind").isin(kinds)).groupBy("kind", "r").applyInArrow(answer, BLOB)
+    for done in known[1:]:
+        drop_stash(done)
     known = [chunks, asked.where("kind like 'left%'"), stash(answers, "answers")]
-    release_shuffles(spark)
+    drop_folders(asked, [f"kind={kind}" for kind in kinds])
     return together().applyInArrow(finish, "doc_id long, tid binary, n_bytes long, spans array<array<struct<start:long,end:long>>>, kept binary")
 
 

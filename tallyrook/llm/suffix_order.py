@@ -14,7 +14,7 @@ from .words import U, _power, mix
 
 WIDTH = 12
 #: One position in MODULUS is a trigger.
-MODULUS = 40
+MODULUS = 24
 _BASE = U(0xD6E8FEB86659FD93)
 _BASE_INVERSE = U(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 _BYTE = np.random.default_rng(20240531).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
