@@ -66,6 +66,27 @@ def check(routing=ROUTING, taxonomy=TAXONOMY) -> None:
                 raise ValueError(f"unknown label {dimension}={label}")
 
 
+REPORT_TYPE = "controle_ocorrencias"
+
+
+def load(path: str) -> dict:
+    """Routing and taxonomy of a JSON file, checked; what the file doesn't name stays as it is here."""
+    with open(path, encoding="utf-8") as f:
+        given = json.load(f)
+    unknown = set(given) - {"routing", "taxonomy"}
+    if unknown:
+        raise ValueError(f"unknown settings {', '.join(sorted(unknown))}")
+    taxonomy = {k: tuple(v) for k, v in given.get("taxonomy", TAXONOMY).items()}
+    routing = tuple((dict(when), tuple(to)) for when, to in given.get("routing", ROUTING))
+    check(routing, taxonomy)
+    return {"routing": routing, "taxonomy": taxonomy}
+
+
+def compatible(report_type, config_sha):
+    """A column: whether a draft was made under this report and exactly this configuration."""
+    return (report_type == REPORT_TYPE) & (config_sha == fingerprint())
+
+
 def fingerprint() -> str:
     """The configuration's identity: sha256 of its canonical JSON."""
     whole = {"fields": HEADER_FIELDS, "columns": COLUMN_LABELS, "keywords": KEYWORDS, "taxonomy": TAXONOMY, "routing": ROUTING}

@@ -1,22 +1,20 @@
-"""Text as the document rules see it: trimming, folding, tokens, edit distance. All JVM-side but the token distance."""
+"""Text as the document rules see it: trimming, folding, tokens, edit distance in characters and words. All JVM-side."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Accented letters of Portuguese, Spanish, French and German, and what they fold to.
 ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑÝ"
 PLAIN = "aaaaaaeeeeiiiiooooouuuucnyyAAAAAAEEEEIIIIOOOOOUUUUCNY"
+# White space as Python's strip() has it, in a form that Java's and RE2's patterns share.
+WHITE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def strip(c: Column) -> Column:
     """Without white space at both ends; SQL's trim keeps tabs and line ends."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, f"^{WHITE}+|{WHITE}+$", "")
 
 
 def blank(c: Column) -> Column:
@@ -34,7 +32,7 @@ def fold(c: Column) -> Column:
 
 def norm(c: Column) -> Column:
     """Folded, runs of white space as one space: how values are compared."""
-    return strip(F.regexp_replace(fold(c), r"\s+", " "))
+    return strip(F.regexp_replace(fold(c), f"{WHITE}+", " "))
 
 
 def token(c: Column) -> Column:
@@ -43,7 +41,7 @@ def token(c: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    return F.filter(F.transform(F.split(strip(c), r"\s+"), token), lambda t: t != "")
+    return F.filter(F.transform(F.split(strip(c), f"{WHITE}+"), token), lambda t: t != "")
 
 
 def cer(reference: Column, other: Column) -> Column:
@@ -61,18 +59,32 @@ def csv_safe(c: Column) -> Column:
     return F.when(c.rlike(r"^[=+\-@\p{Cc}\p{Cf}\p{Z}\s]"), F.concat(F.lit("'"), c)).otherwise(c)
 
 
-def word_distance(a: list[str], b: list[str]) -> int:
-    before = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        now = [i]
-        for j, y in enumerate(b, 1):
-            now.append(min(before[j] + 1, now[-1] + 1, before[j - 1] + (x != y)))
-        before = now
-    return before[-1]
+#: One character a different word of a pair of texts.
+LETTERS = "".join(map(chr, range(0x4E00, 0xA000)))
+
+
+def words_of(c: Column) -> Column:
+    return F.filter(F.split(strip(c), f"{WHITE}+"), lambda w: w != "")
+
+
+def token_distance(a: Column, b: Column) -> Column:
+    """Edit distance in words: every different word of the two texts becomes one character, and the built-in distance compares these.
+    Texts with more different words than LETTERS has characters are an error."""
+    both = F.struct(words_of(a).alias("a"), words_of(b).alias("b"))
+
+    def spelled(words: Column, known: Column) -> Column:
+        return F.array_join(F.transform(words, lambda w: F.substring(F.lit(LETTERS), F.array_position(known, w).cast("int"), F.lit(1))), "")
+
+    def distance(x: Column) -> Column:
+        known = x["known"]
+        far = F.raise_error(F.lit(f"more than {len(LETTERS)} different words")).cast("int")
+        return F.when(F.size(known) > len(LETTERS), far).otherwise(F.levenshtein(spelled(x["x"]["a"], known), spelled(x["x"]["b"], known)))
+
+    pairs = F.transform(F.array(both), lambda x: F.struct(x.alias("x"), F.array_union(x["a"], x["b"]).alias("known")))
+    return F.get(F.transform(pairs, distance), F.lit(0)).cast("long")
 
 
-@F.pandas_udf(T.LongType())
-def token_distance(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Edit distance in words; the whole texts, so use it on lines and short texts."""
-    for a, b in batches:
-        yield pd.Series([word_distance((x or "").split(), (y or "").split()) for x, y in zip(a, b, strict=True)], dtype="int64")
+def wer(reference: Column, other: Column) -> Column:
+    """Word error rate: edits in words per word of the reference; against an empty one 0 if both are empty, else 1."""
+    n = F.size(words_of(reference))
+    return F.when(n == 0, F.when(F.size(words_of(other)) == 0, 0.0).otherwise(1.0)).otherwise(token_distance(reference, other) / n)

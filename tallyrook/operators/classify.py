@@ -25,6 +25,14 @@ def _mapped(values: dict[str, str], key: Column, default: str) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), key), F.lit(default))
 
 
+def urgency_of(kind: Column) -> Column:
+    return _mapped(URGENCY, kind, "medium")
+
+
+def sector_of(kind: Column) -> Column:
+    return _mapped(SECTOR, kind, "general_support")
+
+
 def recipients(kind: Column, urgency: Column, sector: Column) -> Column:
     """Of the first rule whose conditions all hold."""
     check()
@@ -41,8 +49,8 @@ def classified(states: DataFrame) -> DataFrame:
     manual review."""
     failed = F.col("quality") == "failed"
     out = states.withColumn("incident_type", F.when(failed, "unknown").otherwise(incident_type(F.col("text"))))
-    out = out.withColumn("urgency", F.when(failed, "unknown").otherwise(_mapped(URGENCY, F.col("incident_type"), "medium")))
-    out = out.withColumn("sector", F.when(failed, "manual_review").otherwise(_mapped(SECTOR, F.col("incident_type"), "general_support")))
+    out = out.withColumn("urgency", F.when(failed, "unknown").otherwise(urgency_of(F.col("incident_type"))))
+    out = out.withColumn("sector", F.when(failed, "manual_review").otherwise(sector_of(F.col("incident_type"))))
     out = out.withColumn("class_confidence", F.when(failed, 0.0).otherwise(CLASSIFY_CONFIDENCE))
     return out.withColumn("recipients", recipients(F.col("incident_type"), F.col("urgency"), F.col("sector")))
 

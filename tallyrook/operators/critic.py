@@ -76,6 +76,30 @@ def fields(sheets: DataFrame) -> DataFrame:
 assert HEADER_CONFIDENCE < REVIEW_BELOW and ROW_CONFIDENCE < REVIEW_BELOW  # rule-read cells always go to review
 
 
+def row_needs_review(row: Column) -> Column:
+    """Of a row of extract.models(): whether any of its five cells isn't accepted. Item, action and resolved are never read by rule."""
+    cells = [F.lit("missing"), *(F.when(blank(row[c]), "missing").otherwise("must_review") for c in ("hora", "content")), F.lit("missing"), F.lit("missing")]
+    return F.exists(F.array(*cells), lambda status: status != "accepted")
+
+
+def scalar_fields(given: DataFrame, spec: DataFrame) -> DataFrame:
+    """doc_id, name, value, confidence, must_review, status, error: each wanted field (name, kind, required, allowed) of each document of
+    given (doc_id, name, value, confidence), whether it was found or not.
+
+    A required blank is an error; a value of the wrong type too, with what it should be; a value of little confidence waits for review
+    without an error; an optional blank is fine. spec is the configuration: a few rows.
+    """
+    wanted = given.select("doc_id").distinct().crossJoin(F.broadcast(spec))
+    rows = wanted.join(given, ["doc_id", "name"], "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
+    empty = blank(F.col("value"))
+    wrong = type_error(F.col("kind"), F.col("value"), F.col("allowed"))
+    error = F.when(empty & F.col("required"), "required field is missing").when(~empty, wrong)
+    rows = rows.withColumn("error", F.when(error.isNotNull(), F.concat_ws(": ", "name", error)))
+    rows = rows.withColumn("must_review", F.col("error").isNotNull() | (~empty & (F.col("confidence") < REVIEW_BELOW)))
+    status = F.when(empty, "missing").when(F.col("must_review"), "must_review").otherwise("accepted")
+    return rows.select("doc_id", "name", "value", "confidence", "must_review", status.alias("status"), "error")
+
+
 def quality(text: Column, disposition: Column) -> Column:
     """failed, low or good, by the number of words that aren't printed on the form."""
     printed = F.array(*map(F.lit, label_words()))
@@ -97,7 +121,7 @@ def states(sheets: DataFrame) -> DataFrame:
     extra = F.when((F.col("disposition") == "unknown") & ~F.array_contains("pending", "ocorrencias"), F.array(F.lit("ocorrencias"))).otherwise(empty)
     front = F.array_compact(F.array(F.when(F.col("pages") > 1, "multipage"), F.when(F.col("quality") == "failed", "ocr_failed")))
     reason = (
-        F.when(F.col("pages") > 1, "multipage").when(F.col("quality") == "failed", "ocr_failed")
+        F.when(F.col("pages") > 1, "multipage").when(F.col("quality") == "failed", "ocr_failed").when(F.col("text").isNull(), "no_model")
         .when(F.size("pending") > 0, "pending").when(F.col("disposition") == "unknown", "unknown")
     )
     return found.withColumn("blockers", F.concat(front, "pending", extra)).withColumn("reason", reason)

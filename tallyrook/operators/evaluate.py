@@ -1,4 +1,8 @@
-"""Scoring of a reader against the truth: fields, rows, refusals, flags, error taxonomy, and their aggregates."""
+"""Scoring of a reader against the truth: fields, rows, refusals, flags, error taxonomy, and their aggregates.
+
+Everything about a sheet is computed inside its row, from sources.sheets.sheets(truth=True) through critic.states(): scored() reads
+each sheet once and joins nothing; what follows explodes or aggregates its columns.
+"""
 
 from __future__ import annotations
 
@@ -6,117 +10,256 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CER_FAIL
-from ..functions.text import as_text, cer, matches, norm
-from ..sources.sheets import sheet_rows, sheets
+from ..functions.text import as_text, cer, norm
+from ..sources.sheets import sheets
 from . import critic, extract
+from .forms import occurrences_of, rate
 
-# Error types and how severe each is.
+# Error types and how severe each is; how an unreadable word is written; the fewest verified sheets of a run that counts.
 SEVERITY = {
-    "FALSE_INCIDENT": "BLOCKER", "MISSED_INCIDENT": "BLOCKER", "BAD_NORMALIZATION": "HIGH", "TABLE_ROW_SPLIT_ERROR": "HIGH",
+    "FALSE_INCIDENT": "BLOCKER", "MISSED_INCIDENT": "BLOCKER", "TABLE_ROW_SPLIT_ERROR": "HIGH",
     "FIELD_NOT_FOUND": "MEDIUM", "OCR_MISS": "MEDIUM", "NEEDS_HUMAN_REVIEW": "LOW",
 }
+ILLEGIBLE, LEAST_VERIFIED = "[ilegivel]", 10
 
 
-def truth_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sheet_id, pos, truth_desc, truth_hora, noise, quantity: the true occurrences, in the order drawn."""
-    rows = sheet_rows(spark, sf_dir)
-    ordered = F.array_sort(F.collect_list(F.struct("l_linenumber", "line", "truth_desc", "noise", "quantity", F.concat_ws(" ", "entry", "exit").alias("truth_hora"))))
-    return rows.groupBy("sheet_id").agg(ordered.alias("r")).select("sheet_id", F.posexplode("r").alias("pos", "x")).select(
-        "sheet_id", (F.col("pos") + 1).cast("long").alias("pos"), "x.truth_desc", "x.truth_hora", "x.noise", "x.quantity"
-    )
+def base_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sheets(spark, sf_dir, truth=True)
 
 
-def system_rows(base: DataFrame) -> DataFrame:
-    """sheet_id, pos, description, hora: the occurrences that were read."""
-    found = extract.parsed(base)
-    rows = found.select("sheet_id", F.posexplode(extract.occurrences(found)).alias("i", "x"))
-    hora = F.nullif(F.concat_ws(" ", extract.entry_time(F.col("x.hora")), extract.exit_time(F.col("x.hora"))), F.lit(""))
-    return rows.select("sheet_id", (F.col("i") + 1).cast("long").alias("pos"), F.col("x.content").alias("description"), hora.alias("hora"))
+def _close(truth: Column, value: Column) -> Column:
+    """Of normed texts: both there and near enough."""
+    return (truth != "") & (value != "") & (cer(truth, value) <= CER_FAIL)
+
+
+def _text(c: Column) -> Column:
+    return F.coalesce(c, F.lit(""))
 
 
-def compared_fields(base: DataFrame, truth: DataFrame) -> DataFrame:
-    """sheet_id, field, curated, system: the three header values and the first occurrence's description."""
-    found = extract.models(base)
+def _compared(s: DataFrame) -> Column:
+    """Array of field, curated, system: three header values, and the first description of a sheet with occurrences; only those with
+    a curated value."""
     guards = F.when(F.size("guards") > 0, F.array_join("guards", ", "))
-    heads = found.select(
-        "sheet_id",
-        F.inline(F.array(*(F.struct(F.lit(n).alias("field"), c.alias("curated"), s.alias("system")) for n, c, s in (
-            ("data_turno", F.col("truth_date"), F.col("data_turno")), ("vigilantes", F.col("truth_guards"), guards), ("unidade", F.col("truth_unit"), F.col("unidade")),
-        )))),
+    first = F.when(s["has_occurrence"], F.get(s["truth"], F.lit(0))["truth_desc"])
+    pairs = (
+        ("data_turno", s["truth_date"], s["data_turno"]), ("vigilantes", s["truth_guards"], guards), ("unidade", s["truth_unit"], s["unidade"]),
+        ("ocorrencia_1_descricao", first, F.get(s["read"], F.lit(0))["content"]),
     )
-    first = truth.where("pos = 1").join(system_rows(base).where("pos = 1").select("sheet_id", "description"), "sheet_id", "left")
-    return heads.unionByName(first.select("sheet_id", F.lit("ocorrencia_1_descricao").alias("field"), F.col("truth_desc").alias("curated"), F.col("description").alias("system")))
-
-
-def effort(compared: DataFrame) -> DataFrame:
-    """compared_fields() with cost (edits to type), cer, wrong and blank. Fields without a curated value don't count."""
-    rows = compared.where(as_text(F.col("curated")).isNotNull()).withColumn("c", norm(F.col("curated"))).withColumn("s", norm(F.coalesce("system", F.lit(""))))
-    empty = F.col("s") == ""
-    rows = rows.withColumn("cost", F.when(empty, F.length("c")).otherwise(F.levenshtein("s", "c")).cast("long"))
-    rows = rows.withColumn("cer", F.when(empty, 1.0).otherwise(cer(F.col("c"), F.col("s"))))
-    return rows.withColumn("blank", empty).withColumn("wrong", ~empty & (F.col("cer") > CER_FAIL)).drop("c", "s")
-
-
-def row_metrics(base: DataFrame, truth: DataFrame) -> DataFrame:
-    """sheet_id, pos, desc_ok, hora_ok, noise, read: true rows beside the row read at the same place."""
-    joined = truth.join(system_rows(base), ["sheet_id", "pos"], "left")
-    none = F.lit("")
-    return joined.select(
-        "sheet_id", "pos", "noise", "quantity", F.col("description").isNotNull().alias("read"),
-        matches(F.col("truth_desc"), F.coalesce("description", none)).alias("desc_ok"), matches(F.col("truth_hora"), F.coalesce("hora", none)).alias("hora_ok"),
+    return F.filter(F.array(*(F.struct(F.lit(n).alias("field"), c.alias("curated"), v.alias("system")) for n, c, v in pairs)), lambda x: as_text(x["curated"]).isNotNull())
+
+
+def _effort(compared: Column) -> Column:
+    """Array of field, cost (edits to type), cer, blank, wrong."""
+    normed = F.transform(compared, lambda x: F.struct(x["field"].alias("field"), norm(x["curated"]).alias("c"), norm(_text(x["system"])).alias("s")))
+    far = F.transform(
+        normed,
+        lambda x: F.struct(
+            x["field"].alias("field"), F.when(x["s"] == "", F.length(x["c"])).otherwise(F.levenshtein(x["s"], x["c"])).cast("long").alias("cost"),
+            F.when(x["s"] == "", 1.0).otherwise(cer(x["c"], x["s"])).alias("cer"), (x["s"] == "").alias("blank"),
+        ),
     )
+    return F.transform(far, lambda x: F.struct(x["field"].alias("field"), x["cost"].alias("cost"), x["cer"].alias("cer"), x["blank"].alias("blank"), (~x["blank"] & (x["cer"] > CER_FAIL)).alias("wrong")))
+
+
+def _rows(s: DataFrame) -> Column:
+    """Array of the true occurrences beside the rows read at the same place: pos, noise, read, desc_ok, hora_ok, and the normed texts."""
+
+    def pair(t: Column, i: Column) -> Column:
+        r = F.get(s["read"], i)
+        hora = F.concat_ws(" ", extract.entry_time(r["hora"]), extract.exit_time(r["hora"]))
+        return F.struct(
+            (i + 1).cast("long").alias("pos"), t["noise"].alias("noise"), r.isNotNull().alias("read"),
+            norm(_text(t["truth_desc"])).alias("td"), norm(_text(r["content"])).alias("rd"), norm(t["truth_hora"]).alias("th"), norm(hora).alias("rh"),
+        )
 
+    kept = ("pos", "noise", "read", "td", "rd", "th")
+    return F.transform(F.transform(s["truth"], pair), lambda x: F.struct(*(x[c].alias(c) for c in kept), _close(x["td"], x["rd"]).alias("desc_ok"), _close(x["th"], x["rh"]).alias("hora_ok")))
 
-def flags(base: DataFrame) -> DataFrame:
-    """One row a sheet: truth against disposition, contract match, and what the gates let through."""
+
+def _count(rows: str, test) -> Column:
+    return F.size(F.filter(rows, test)).cast("long")
+
+
+def _filled(rows: str, field: str) -> Column:
+    return _count(rows, lambda x: x[field] != "")
+
+
+def _total(items: str, field: str) -> Column:
+    return F.aggregate(items, F.lit(0).cast("long"), lambda n, x: n + x[field])
+
+
+def scored(base: DataFrame) -> DataFrame:
+    """critic.states() of sheets with their truth, and for each sheet: compared, effort, lines (arrays), counts and flags.
+
+    ran, struck, verified, ocr_confidence and elapsed follow from the sheet's number; a sheet that didn't run counts in no
+    aggregate but the number of sheets.
+    """
     s = critic.states(base)
-    occ, present = F.col("truth_n") > 0, F.col("disposition") == "present"
-    ok = (F.col("disposition") == F.when(occ, "present").otherwise("none")) & F.col("data_turno").isNotNull() & (F.size("guards") > 0) & F.col("unidade").isNotNull()
-    s = s.withColumn("parse_success", ok & (F.col("truth_n") == F.col("occurrences")))
-    s = s.withColumn("approvable", F.col("reason").isNull()).withColumn("exportable", F.size("blockers") == 0)
+    k = F.col("sheet_id")
+    s = s.withColumns(
+        {
+            "ran": k % 31 != 0, "struck": k % 29 == 0, "verified": k % 4 == 0, "ocr_confidence": F.round((k * 37 % 101) / 100, 3), "elapsed": F.round((k % 500) / 100, 2),
+            "read": extract.occurrences(s), "n_pending": F.size("pending").cast("long"),
+        }
+    )
+    s = s.withColumn("has_occurrence", ~F.col("struck") & (F.col("truth_n") > 0))
+    s = s.withColumns({"effort": _effort(_compared(s)), "lines": _rows(s), "approvable": F.col("reason").isNull(), "exportable": F.size("blockers") == 0})
+    occ, d = F.col("has_occurrence"), F.col("disposition")
+    header = F.col("data_turno").isNotNull() & (F.size("guards") > 0) & F.col("unidade").isNotNull()
+    expected = F.when(occ, F.col("truth_n")).otherwise(F.lit(0))
+    s = s.withColumn("parse_success", (d == F.when(occ, "present").otherwise("none")) & header & (expected == F.col("occurrences")))
     bad = ~F.col("parse_success")
-    return s.select(
-        "sheet_id", "difficulty", "template", "split", "disposition", "parse_success", "approvable", "exportable", "quality",
-        (~occ & present).alias("false_incident"), (occ & (F.col("disposition") == "none")).alias("missed_incident"), (F.col("disposition") == "unknown").alias("unknown_disposition"),
-        (occ & ~present).alias("structural_failure"), bad.alias("mismatch"), (bad & ~F.col("approvable") & ~F.col("exportable")).alias("blocked_mismatch"),
-        (bad & F.col("approvable")).alias("unsafe_approvable"), (bad & F.col("exportable")).alias("unsafe_exportable"),
-        F.size("pending").alias("n_pending"), F.col("truth_n").cast("long").alias("truth_n"), F.col("occurrences").alias("read_n"),
+    # a row that was read by rule always waits for review, so does every invented incident
+    needs_review = F.forall("read", lambda r: critic.row_needs_review(r))
+    illegible = lambda x: x["noise"] == "illegible"
+    s = s.withColumns(
+        {
+            "false_incident": ~occ & (d == "present"), "missed_incident": occ & (d == "none"), "unknown_disposition": d == "unknown", "structural_failure": occ & (d != "present"),
+            "unsafe_clean": occ & (d == "none"), "false_incident_unreviewed": ~occ & (d == "present") & ~needs_review,
+            "signal_complete": d.isin("unknown", "none", "present") & F.col("parse_success").isNotNull() & F.col("approvable").isNotNull() & F.col("exportable").isNotNull(),
+            "mismatch": bad, "blocked_mismatch": bad & ~F.col("approvable") & ~F.col("exportable"), "unsafe_approvable": bad & F.col("approvable"), "unsafe_exportable": bad & F.col("exportable"),
+            "chars_to_type": _total("effort", "cost"), "n_wrong": _count("effort", lambda x: x["wrong"]), "n_blank": _count("effort", lambda x: x["blank"]),
+            "descricao_ok": _count("lines", lambda x: x["desc_ok"]), "descricao_total": _count("lines", lambda x: x["td"] != ""),
+            "hora_ok": _count("lines", lambda x: x["hora_ok"]), "hora_total": _count("lines", lambda x: x["th"] != ""),
+            "illegible_fields": _count("lines", illegible),
+            "safe_refusals": _count("lines", lambda x: illegible(x) & ~x["desc_ok"] & (x["read"] | (d == "unknown")) & ~F.col("approvable")),
+            **{f"ceiling_{c}": _filled("truth", f) for c, f in (("item", "truth_item"), ("acao", "truth_action"), ("resolvido", "truth_resolved"))},
+            "transcription_cer": F.round(cer(norm(F.col("drawn")), norm(F.col("text"))), 4), "illegible_tokens": occurrences_of(F.col("text"), ILLEGIBLE),
+            "represented": (occ & (d == "present")).cast("long"),
+        }
     )
+    first = F.get("lines", F.lit(0))["td"]
+    captured = occ & (d == "present") & F.exists("read", lambda r: _close(first, norm(_text(r["content"]))))
+    return s.withColumn("captured", F.coalesce(captured, F.lit(False)).cast("long"))
 
 
-COUNTED = (
-    "parse_success", "false_incident", "missed_incident", "unknown_disposition", "structural_failure", "mismatch", "blocked_mismatch", "unsafe_approvable", "unsafe_exportable",
+FLAGS = (
+    "false_incident", "missed_incident", "unknown_disposition", "structural_failure", "unsafe_clean", "false_incident_unreviewed", "signal_complete", "approvable", "exportable",
+    "mismatch", "blocked_mismatch", "unsafe_approvable", "unsafe_exportable",
 )
 
 
-def buckets(rows: DataFrame) -> DataFrame:
-    """Counts over all sheets, by difficulty and by template in one pass; rates unrounded, null on 0, the recall 1 without mismatches."""
-    sums = [F.count("*").alias("n_ran"), *(F.count_if(c).alias(f"{c}_count") for c in COUNTED)]
-    rows = rows.groupingSets([[], ["difficulty"], ["template"]], "difficulty", "template").agg(*sums, (F.grouping("difficulty") * 2 + F.grouping("template")).cast("long").alias("level"))
-    recall = F.coalesce(F.try_divide("blocked_mismatch_count", "mismatch_count"), F.lit(1.0))
-    return rows.withColumn("parse_success_rate", F.try_divide("parse_success_count", "n_ran")).withColumn("safe_review_recall", recall)
+def row_metrics(s: DataFrame) -> DataFrame:
+    """sheet_id, reason, disposition, pos, noise, read, desc_ok, hora_ok, texts: the true rows of scored(), one each."""
+    return s.select("sheet_id", F.inline("lines"))
+
 
+def buckets(s: DataFrame) -> DataFrame:
+    """Over the sheets of scored() that ran: all, by difficulty and by template in one pass. Rates have four places and are null on 0;
+    recalls are 1 where there is nothing to recall; a null label has no bucket."""
+    sums = [F.count("*").alias("n_ran"), F.count_if("parse_success").alias("parse_success_count"), F.sum("chars_to_type").alias("chars_to_type_total")]
+    sums += [F.count_if(c).alias(f"{c}_count") for c in FLAGS]
+    counted = ("descricao_ok", "descricao_total", "hora_ok", "hora_total", "safe_refusals", "illegible_fields")
+    sums += [F.sum(c).alias(f"_{c}") for c in counted]
+    sums += [F.round(F.avg("transcription_cer"), 4).alias("transcription_cer_mean")]
+    level = (F.grouping("difficulty") * 2 + F.grouping("template")).cast("long").alias("level")
+    rows = s.where("ran").groupingSets([[], ["difficulty"], ["template"]], "difficulty", "template").agg(*sums, level)
+    rows = rows.where("level = 3 OR (level = 1 AND coalesce(difficulty, '') <> '') OR (level = 2 AND coalesce(template, '') <> '')")
+    failed = F.col("structural_failure_count")
+    return rows.withColumns(
+        {
+            "parse_success_rate": rate(F.col("parse_success_count"), F.col("n_ran")),
+            "safe_review_recall": F.coalesce(rate(F.col("blocked_mismatch_count"), F.col("mismatch_count")), F.lit(1.0)),
+            "structural_disposition_recall": F.coalesce(rate(failed - F.col("unsafe_clean_count"), failed), F.lit(1.0)),
+            "descricao_acc": rate(F.col("_descricao_ok"), F.col("_descricao_total")), "hora_acc": rate(F.col("_hora_ok"), F.col("_hora_total")),
+            "safe_illegible_refusal_rate": rate(F.col("_safe_refusals"), F.col("_illegible_fields")),
+        }
+    ).drop(*(f"_{c}" for c in counted))
 
-def errors(base: DataFrame, truth: DataFrame) -> DataFrame:
-    """sheet_id, type, field, severity: every discrepancy, and every field left for review."""
-    header = effort(compared_fields(base, truth).where("field <> 'ocorrencia_1_descricao'"))
-    miss = F.when(F.col("blank"), "FIELD_NOT_FOUND").when(F.col("wrong"), "OCR_MISS")
-    out = header.select("sheet_id", miss.alias("type"), "field").where("type is not null")
-    seen = flags(base)
-    kinds = F.array_compact(
+
+def gate_failures(bucket: DataFrame, n_sheets: Column, n_ran: Column) -> Column:
+    """Names of the release gates that one row of buckets() doesn't pass; what is null doesn't."""
+    fails = [("coverage", (n_sheets <= 0) | (n_ran != n_sheets)), ("completeness", F.col("signal_complete_count") != n_ran)]
+    fails += [(c, F.col(f"{c}_count") != 0) for c in ("false_incident_unreviewed", "unsafe_clean", "unsafe_approvable", "unsafe_exportable")]
+    fails += [("safe_review_recall", F.col("safe_review_recall") != 1.0)]
+    return F.array_compact(F.array(*(F.when(F.coalesce(bad, F.lit(True)), F.lit(n)) for n, bad in fails)))
+
+
+def inconsistencies(bucket: DataFrame) -> Column:
+    """Names of the rules of published metrics that one row of buckets() breaks: counts above the coverage, counts that contradict each
+    other, rates that differ from those of the counts."""
+    c = lambda name: F.col(f"{name}_count")
+    n, mismatch, blocked, missed, structural = F.col("n_ran"), c("mismatch"), c("blocked_mismatch"), c("missed_incident"), c("structural_failure")
+    overlap = blocked + c("unsafe_approvable") + c("unsafe_exportable") - mismatch
+    broken = {
+        "count_above_coverage": F.greatest(*(c(x) for x in FLAGS)) > n,
+        "signal": c("signal_complete") != n, "blocked": blocked > mismatch, "unsafe_clean": c("unsafe_clean") != missed, "missed": missed > structural,
+        "structural": structural - missed > c("unknown_disposition"), "outcomes": missed + c("unknown_disposition") + c("false_incident") > n,
+        "unreviewed": c("false_incident_unreviewed") > c("false_incident"),
+        "within_mismatch": F.greatest(c("false_incident"), missed, c("unknown_disposition"), structural) > mismatch,
+        "overlap": (overlap < 0) | (overlap > F.least(c("unsafe_approvable"), c("unsafe_exportable"))),
+        "approvable": ~(c("approvable") - c("unsafe_approvable")).between(F.lit(0), n - mismatch), "exportable": ~(c("exportable") - c("unsafe_exportable")).between(F.lit(0), n - mismatch),
+        "parse_rate": ~F.col("parse_success_rate").eqNullSafe(rate(n - mismatch, n)),
+        "review_recall": F.col("safe_review_recall") != F.coalesce(rate(blocked, mismatch), F.lit(1.0)),
+        "disposition_recall": F.col("structural_disposition_recall") != F.coalesce(rate(structural - c("unsafe_clean"), structural), F.lit(1.0)),
+    }
+    return F.array_compact(F.array(*(F.when(F.coalesce(bad, F.lit(True)), F.lit(n)) for n, bad in broken.items())))
+
+
+def errors(s: DataFrame) -> DataFrame:
+    """scored() with errors: an array of type and field, every discrepancy and every field left for review."""
+    header = F.filter("effort", lambda x: (x["blank"] | x["wrong"]) & (x["field"] != "ocorrencia_1_descricao"))
+    one = lambda kind, field: F.struct(F.lit(kind).alias("type"), F.lit(field).alias("field"))
+    found = F.transform(header, lambda x: F.struct(F.when(x["blank"], "FIELD_NOT_FOUND").otherwise("OCR_MISS").alias("type"), x["field"].alias("field")))
+    sheet = F.array_compact(
         F.array(
-            F.when(F.col("false_incident"), "FALSE_INCIDENT"), F.when(F.col("missed_incident"), "MISSED_INCIDENT"),
-            F.when((F.col("truth_n") > 0) & (F.col("truth_n") > F.col("read_n")), "TABLE_ROW_SPLIT_ERROR"),
+            F.when(F.col("false_incident"), one("FALSE_INCIDENT", "ocorrencias")), F.when(F.col("missed_incident"), one("MISSED_INCIDENT", "ocorrencias")),
+            F.when(F.col("has_occurrence") & (F.col("truth_n") > F.col("occurrences")), one("TABLE_ROW_SPLIT_ERROR", "ocorrencias")),
         )
     )
-    out = out.unionByName(seen.select("sheet_id", F.explode(kinds).alias("type"), F.lit("ocorrencias").alias("field")))
-    waiting = critic.fields(base).where("must_review").select("sheet_id", F.lit("NEEDS_HUMAN_REVIEW").alias("type"), F.col("name").alias("field"))
-    pairs = [F.lit(x) for pair in SEVERITY.items() for x in pair]
-    return out.unionByName(waiting).withColumn("severity", F.element_at(F.create_map(*pairs), F.col("type")))
+    waiting = F.transform("pending", lambda name: F.struct(F.lit("NEEDS_HUMAN_REVIEW").alias("type"), name.alias("field")))
+    return s.withColumn("errors", F.concat(found, sheet, waiting))
 
 
-def base_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sheets(spark, sf_dir)
+def single_errors(s: DataFrame) -> DataFrame:
+    """scored() with errors of the older form, which knows one description a sheet: the first that was read stands for all."""
+    seen, first = norm(_text(F.get("read", F.lit(0))["content"])), F.get("lines", F.lit(0))["td"]
+    occ, read = F.col("has_occurrence"), F.size("read") > 0
+    one = lambda kind, field: F.struct(F.lit(kind).alias("type"), F.lit(field).alias("field"))
+    header = F.filter("effort", lambda x: (x["blank"] | x["wrong"]) & (x["field"] != "ocorrencia_1_descricao"))
+    found = F.transform(header, lambda x: F.struct(F.when(x["blank"], "FIELD_NOT_FOUND").otherwise("OCR_MISS").alias("type"), x["field"].alias("field")))
+    sheet = F.array_compact(
+        F.array(
+            F.when(~occ & read & ~seen.isin("", "s a", "sa"), one("FALSE_INCIDENT", "incident_description")),
+            F.when(occ & ~F.coalesce(read & (cer(first, seen) <= CER_FAIL), F.lit(False)), one("MISSED_INCIDENT", "incident_description")),
+            F.when(occ & (F.col("truth_n") > 1), one("TABLE_ROW_SPLIT_ERROR", "ocorrencias")),
+        )
+    )
+    waiting = F.transform("pending", lambda name: F.struct(F.lit("NEEDS_HUMAN_REVIEW").alias("type"), name.alias("field")))
+    return s.withColumn("errors", F.concat(found, sheet, waiting))
+
+
+def severity(kind: Column) -> Column:
+    return F.element_at(F.create_map(*(F.lit(x) for pair in SEVERITY.items() for x in pair)), kind)
+
+
+def error_counts(s: DataFrame) -> DataFrame:
+    """sheet_id, type, severity, n: of errors(), how many of each type a sheet has. A sheet's row has at most one of a type."""
+    kinds = F.transform(F.array(*map(F.lit, SEVERITY)), lambda t: F.struct(t.alias("type"), F.size(F.filter("errors", lambda e: e["type"] == t)).cast("long").alias("n")))
+    return s.select("sheet_id", F.inline(kinds)).where("n > 0").withColumn("severity", severity(F.col("type")))
+
+
+def repairable(fields: DataFrame) -> DataFrame:
+    """sheet_id, waiting, repairable_ratio: of the fields that wait for review, the share with a place on a page; null without such."""
+    waits, placed = F.col("must_review"), F.col("x0").isNotNull() & F.col("page").isNotNull()
+    rows = fields.groupBy("sheet_id").agg(F.count_if(waits).alias("waiting"), F.count_if(waits & placed).alias("placed"))
+    return rows.select("sheet_id", "waiting", F.round(F.try_divide("placed", "waiting"), 3).alias("repairable_ratio"))
+
+
+def public_run(s: DataFrame, ratios: DataFrame, *by: str) -> DataFrame:
+    """One row a run: counts, totals, rates with three places, mean seconds with two, the ratio of repairable fields weighted by the
+    fields that wait, and whether so few sheets are verified that the run gives a direction only."""
+    rows = s.join(ratios, "sheet_id", "left")
+    ran = F.col("ran")
+    total = lambda c, name: F.coalesce(F.sum(F.when(ran, F.col(c))), F.lit(0)).alias(name)
+    weight = F.when(ran & F.col("repairable_ratio").isNotNull() & (F.col("n_pending") > 0), F.col("n_pending"))
+    return rows.groupBy(*by).agg(
+        F.count("*").alias("n_sheets"), F.count_if(ran).alias("n_ran"), F.count_if("verified").alias("n_verified"), (F.count_if("verified") < LEAST_VERIFIED).alias("directional"),
+        F.round(F.try_divide(F.count_if(ran & F.col("parse_success")), F.count_if(ran)), 3).alias("parse_success_rate"),
+        total("chars_to_type", "chars_to_type"), total("n_wrong", "wrong"), total("n_blank", "blank"), total("n_pending", "waiting"), total("illegible_tokens", "illegible"),
+        F.round(F.avg(F.when(ran, F.col("elapsed"))), 2).alias("mean_elapsed"),
+        F.round(F.try_divide(F.sum(F.col("repairable_ratio") * weight), F.sum(weight)), 3).alias("repairable_ratio"),
+    )
 
 
 def prf(pairs: DataFrame, labels: list, true: str = "y", predicted: str = "p") -> DataFrame:
@@ -134,15 +277,24 @@ def prf(pairs: DataFrame, labels: list, true: str = "y", predicted: str = "p") -
     return both.withColumn("f1", zero(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))).drop("called")
 
 
-def verdict(metrics: DataFrame, criteria: list[tuple[str, str, float]]) -> DataFrame:
-    """From (metric, value): the criteria that fail, in order, and pass or FAIL. A missing metric fails."""
+def verdict(metrics: DataFrame, criteria: list[tuple[str, str, float]], earlier: DataFrame | None = None) -> DataFrame:
+    """From (metric, value): the criteria that fail, in order, and pass or FAIL. A missing metric fails. A second run is refused: if
+    earlier verdicts have a row, the verdict is REFUSED."""
     spark = metrics.sparkSession
     wanted = spark.createDataFrame([(i, *c) for i, c in enumerate(criteria)], "ord int, metric string, op string, threshold double")
     held = F.when(F.col("op") == ">=", F.col("value") >= F.col("threshold")).otherwise(F.col("value") <= F.col("threshold"))
     judged = wanted.join(metrics, "metric", "left").withColumn("held", F.coalesce(held, F.lit(False)))
     failed = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("held"), F.struct("ord", "metric")))), lambda x: x["metric"]), ",")
-    return judged.agg(failed.alias("failed")).withColumn("verdict", F.when(F.col("failed") == "", "PASS").otherwise("FAIL"))
+    out = judged.agg(failed.alias("failed")).withColumn("verdict", F.when(F.col("failed") == "", "PASS").otherwise("FAIL"))
+    if earlier is None:
+        return out
+    ran = earlier.agg((F.count("*") > 0).alias("again"))  # one row
+    return out.crossJoin(F.broadcast(ran)).withColumn("verdict", F.when(F.col("again"), "REFUSED").otherwise(F.col("verdict"))).drop("again")
 
 
-def shown(c: Column) -> Column:
-    return F.coalesce(c, F.lit(""))
+def mean_rates(pairs: DataFrame, n: int, order: str, reference: str, hypothesis: str) -> DataFrame:
+    """n, mean_cer, mean_wer over the first n pairs in the order of a unique column."""
+    from ..functions.text import wer
+
+    first = pairs.orderBy(order).limit(n)
+    return first.agg(F.count("*").alias("n"), F.avg(cer(F.col(reference), F.col(hypothesis))).alias("mean_cer"), F.avg(wer(F.col(reference), F.col(hypothesis))).alias("mean_wer"))

@@ -6,15 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import HEADER_FIELDS
-from ..functions.text import as_text, strip
+from ..functions.text import WHITE, as_text, strip
 
 # The patterns of the form. A table's header line, its footer, an explicit "no change", clock times, separators of names.
-TABLE_HEADER = r"(?i)^\s*[il]tem\b.*\bhora\b.*(?:descri|ocorr)"
-FOOTER = r"(?i)^\s*ronda(?:\s*[:\-]?\s*(?:x|ok))?\s*$"
-NO_CHANGE = r"(?i)^[S5]\s*[/|1lI]\s*A$"
+TABLE_HEADER = rf"(?i)^{WHITE}*[il]tem\b.*\bhora\b.*(?:descri|ocorr)"
+FOOTER = rf"(?i)^{WHITE}*ronda(?:{WHITE}*[:\-]?{WHITE}*(?:x|ok))?{WHITE}*$"
+NO_CHANGE = rf"(?i)^[S5]{WHITE}*[/|1lI]{WHITE}*A$"
 CLOCK = r"[0-9]{1,2}:[0-9]{2}"
-GUARD_SEPARATOR = r"\s*(?:,|;|\be\b|/)\s*"
-PAGE_END = r"(?:\r\n|[\n\r\x0B\x0C\x85\u2028\u2029])\z"
+GUARD_SEPARATOR = rf"{WHITE}*(?:,|;|\be\b|/){WHITE}*"
+# line ends as Python's splitlines() has them
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\x{2028}\x{2029}]"
+PAGE_END = rf"(?:{LINE_END})\z"
 YES, NO = ("sim", "s", "resolvido", "yes", "y"), ("nao", "não", "n", "no")
 
 
@@ -22,7 +24,7 @@ def lines(sheets: DataFrame) -> DataFrame:
     """sheet_id, page, ln, line; a line end at the end of a page begins no further line."""
     pages = sheets.select("sheet_id", F.posexplode(F.split("text", "\f")).alias("page", "page_text"))
     pages = pages.withColumn("page_text", F.regexp_replace("page_text", PAGE_END, ""))
-    return pages.select("sheet_id", "page", F.posexplode(F.split("page_text", r"\R", -1)).alias("ln", "line"))
+    return pages.select("sheet_id", "page", F.posexplode(F.split("page_text", LINE_END, -1)).alias("ln", "line"))
 
 
 def regions(sheets: DataFrame) -> DataFrame:
@@ -53,7 +55,7 @@ def parsed(sheets: DataFrame) -> DataFrame:
     All of a sheet is read inside its row, without a shuffle: lines that follow each other are one row; empty lines and explicit
     no-changes part them.
     """
-    pages = F.transform(F.split("text", "\f"), lambda page: F.split(F.regexp_replace(page, PAGE_END, ""), r"\R", -1))
+    pages = F.transform(F.split("text", "\f"), lambda page: F.split(F.regexp_replace(page, PAGE_END, ""), LINE_END, -1))
     found = sheets.withColumn("page_lines", pages).withColumn("page_rows", F.transform("page_lines", _page_rows))
     times = lambda row: F.nullif(F.array_join(F.regexp_extract_all(row, F.lit(CLOCK), F.lit(0)), " "), F.lit(""))
 

@@ -2,44 +2,70 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import as_text
+from ..functions.text import WHITE, as_text
 
-# Limits of the form and of page images.
-MOST_ROWS, TEXT_LIMIT = 10, 500
+# Limits of the form and of page images; how a row's key and its time are written.
+MOST_ROWS, ITEM_LIMIT, TIME_LIMIT, TEXT_LIMIT = 10, 200, 32, 4000
 LONGEST_SIDE, MOST_BYTES, LEAST_DPI, MOST_DPI = 1800, 50 << 20, 50, 300
-CLOCK = r"^([01][0-9]|2[0-3]):[0-5][0-9](-([01][0-9]|2[0-3]):[0-5][0-9])?$"
+PAGE_PIXELS, ALL_PIXELS, MOST_PAGES = 25_000_000, 75_000_000, 1
+CLOCK = "(?:[01][0-9]|2[0-3]):[0-5][0-9]"
+TIME = f"^{CLOCK}(?:(?:{WHITE}*(?:-|–|a){WHITE}*|{WHITE}+){CLOCK})?$"
+ROW_KEY = "^occ__([0-9]+)__(?:item|hora|descricao|acao|resolvido)$"
 TIERS = ("ok", "warn", "fail")
 
 
-def row_error(n: Column, item: Column, hora: Column, text: Column, resolved: Column) -> Column:
+def row_error(n: Column, item: Column, hora: Column, text: Column, action: Column, resolved: Column) -> Column:
+    """What is wrong with a row of a form of n rows; null if nothing. Values count without white space at their ends."""
+    time = as_text(hora)
     return (
-        F.when(n > MOST_ROWS, "too many rows").when(as_text(item).isNull(), "item missing").when(as_text(text).isNull(), "description missing")
-        .when(F.length(text) > TEXT_LIMIT, "description too long").when(as_text(hora).isNotNull() & ~hora.rlike(CLOCK), "bad time")
-        .when(as_text(resolved).isNotNull() & ~resolved.isin("sim", "nao"), "bad choice")
+        F.when(n > MOST_ROWS, "too many rows").when(as_text(item).isNull(), "item missing").when(F.length(as_text(item)) > ITEM_LIMIT, "item too long")
+        .when(F.length(time) > TIME_LIMIT, "time too long").when(time.isNotNull() & ~time.rlike(TIME), "bad time")
+        .when(as_text(text).isNull(), "description missing").when(F.length(as_text(text)) > TEXT_LIMIT, "description too long").when(F.length(as_text(action)) > TEXT_LIMIT, "action too long")
+        .when(as_text(resolved).isNotNull() & ~as_text(resolved).isin("sim", "nao"), "bad choice")
     )
 
 
-def disposition(radio: Column, rows: Column) -> Column:
-    """What a human's choice and rows mean together; error names the conflict."""
+def key_error(keys: Column) -> Column:
+    """What is wrong with the row keys of a posted form, an array in the order posted: an unknown one, one given twice, a number out of range;
+    the first fault in this order. Keys of other parts of the form don't count."""
+    own = F.filter(keys, lambda k: k.startswith("occ__"))
+    number = lambda k: F.regexp_extract(k, ROW_KEY, 1).cast("decimal(38,0)")
     return (
-        F.when((radio == "sem_alteracao") & (rows == 0), "none").when(radio == "sem_alteracao", "error:rows with no change")
-        .when((radio == "com_ocorrencias") & (rows > 0), "present").when(radio == "com_ocorrencias", "error:no rows").otherwise("error:no choice")
+        F.when(F.exists(own, lambda k: ~k.rlike(ROW_KEY)), "unknown key").when(F.size(F.array_distinct(own)) < F.size(own), "repeated key")
+        .when(F.exists(own, lambda k: ~number(k).between(1, MOST_ROWS)), "number out of range")
+    )
+
+
+def disposition(radio: Column, rows: Column, current: Column | None = None) -> Column:
+    """What a human's choice and rows mean together; error names the conflict. Without choice and rows what was there stays, but not if that
+    was occurrences: then nobody knows whether they were taken back."""
+    chosen = F.coalesce(radio, F.lit(""))
+    stays = F.lit("error:no choice") if current is None else F.when(current == "present", "error:no choice").otherwise(current)
+    return (
+        F.when((chosen == "sem_alteracao") & (rows == 0), "none").when(chosen == "sem_alteracao", "error:rows with no change")
+        .when((chosen == "com_ocorrencias") & (rows > 0), "present").when(chosen == "com_ocorrencias", "error:no rows")
+        .when(rows > 0, "error:rows without choice").otherwise(stays)
     )
 
 
 def downscaled(width: Column, height: Column) -> Column:
-    """Dimensions with the longest side at most LONGEST_SIDE, none below 1."""
+    """Dimensions with the longest side at most LONGEST_SIDE, none below 1; halves go to the even number."""
     scale = F.least(F.lit(1.0), F.lit(float(LONGEST_SIDE)) / F.greatest(width, height))
-    return F.struct(F.greatest(F.lit(1), F.floor(width * scale + 0.5)).alias("w"), F.greatest(F.lit(1), F.floor(height * scale + 0.5)).alias("h"))
+    return F.struct(*(F.greatest(F.lit(1), F.bround(side * scale).cast("long")).alias(n) for side, n in ((width, "w"), (height, "h"))))
 
 
-def reject_reason(size: Column, dpi: Column) -> Column:
-    return F.when(size > MOST_BYTES, "too many bytes").when((dpi < LEAST_DPI) | (dpi > MOST_DPI), "dpi out of range")
+def reject_reason(size: Column, dpi: Column, width: Column | None = None, height: Column | None = None, pages: Column | None = None) -> Column:
+    """Why a file isn't decoded: bytes, resolution, pages, the pixels of its page and of all its pages; null if within the budget."""
+    out = F.when(size > MOST_BYTES, "too many bytes").when((dpi < LEAST_DPI) | (dpi > MOST_DPI), "dpi out of range")
+    if pages is not None:
+        out = out.when(pages != MOST_PAGES, "not one page")
+    if width is not None and height is not None:
+        pixels = width.cast("long") * height.cast("long")
+        out = out.when(pixels > PAGE_PIXELS, "too many pixels").when(pixels * (F.lit(1) if pages is None else pages) > ALL_PIXELS, "too many pixels in all")
+    return out
 
 
 def logprob_confidence(values: Column) -> Column:
@@ -53,18 +79,16 @@ def occurrences_of(text: Column, mark: str) -> Column:
 
 
 def rate(n: Column, of: Column) -> Column:
-    return n / F.nullif(of, F.lit(0))
+    """With four places, null over 0."""
+    return F.round(n / F.nullif(of, F.lit(0)), 4)
 
 
 def wrapped(words: Column, width: int) -> Column:
-    """Lines of at most `width` characters: a word that overflows begins a line, one that is too long stands alone."""
+    """Lines of at most `width` characters: a word that overflows begins a line, one that is too long stands alone. A fold over the words,
+    for texts of form fields."""
     fold = F.aggregate(
         words,
         F.array().cast("array<string>"),
         lambda out, w: F.when((F.size(out) > 0) & (F.length(F.element_at(out, -1)) + 1 + F.length(w) <= width), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.concat(F.element_at(out, -1), F.lit(" "), w)))).otherwise(F.concat(out, F.array(w))),
     )
     return F.when(F.size(words) > 0, fold).otherwise(F.array().cast("array<string>"))
-
-
-def any_of(tests: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, tests)

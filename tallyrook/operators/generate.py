@@ -1,48 +1,272 @@
-"""Deterministic corpus generation: splits, held-out vocabulary, priors, surface noise. Choices follow from numbers by
-remainders, so every engine makes the same corpus and no seed order matters."""
+"""Deterministic corpus generation: sheets, occurrences, held-out vocabulary, splits, surface noise. Choices follow from numbers by
+remainders, so every engine makes the same corpus and no seed order matters; most expressions are SQL that Spark and DuckDB share."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Sizes and seeds of the canonical corpora, prior percentages.
-CORPORA = {"smoke": (50, 42), "bench-balanced": (300, 43), "bench-operational": (300, 44), "stress": (1000, 45)}
-PRIORS = {"shift": {"day": 52, "night": 48}, "difficulty": {"clean": 20, "scan": 50, "photo": 30}, "rows": {"1": 55, "2": 30, "3": 15}, "no_change": {"yes": 50, "no": 50}}
+# Sizes, seeds and profiles of the canonical corpora; priors in percent.
+CORPORA = {"smoke": (50, 42, "balanced"), "bench-balanced": (300, 43, "balanced"), "bench-operational": (300, 44, "operational"), "stress": (1000, 45, "balanced")}
+PRIORS = {
+    "shift": {"Dia": 52, "Noite": 48}, "difficulty": {"clean": 20, "scan": 50, "photo": 30}, "rows": {"1": 55, "2": 30, "3": 15}, "guards": {"1": 35, "2": 45, "3": 20}, "resolved": {"sim": 60, "nao": 25, "": 15},
+}
+NO_CHANGE = {"balanced": 50, "operational": 70}
+STRUCK, EXIT, TEMPLATE_C = 25, 30, 25
+NOISE = {"abbreviate": 30, "misspell": 20, "crossout": 15, "partial": 10, "ambiguous": 8, "blank": 7, "illegible": 5}
+HELD_OUT_SEED, HELD_OUT_PERCENT, SPLIT_SEED = 7, 20, 20
+# Abbreviations of the form's words, the first that occurs counts; letters and digits that look alike; marks of a struck word.
+ABBREVIATIONS = {
+    "Portaria": "Port.", "Guarita": "Guar.", "Recepcao": "Recep.", "equipamento": "equip.", "monitoramento": "monit.", "nao autorizado": "n/ aut.", "ocorrencia": "ocorr.", "incendio": "incend.",
+}
+ALIKE = {"0": "O", "O": "0", "1": "l", "l": "1", "I": "1"}
+CROSSED = ("[risc:", "]")
 
+# The vocabulary is this engine's own, made by rule.
+GUARDS = [f"{chr(65 + i)}. Vigia {i + 1:02d}" for i in range(15)]
+UNITS = [f"Posto {i:02d}" for i in range(1, 11)]
+SECTORS = ["Portaria", "Guarita", "Recepcao", "Patio", "Doca"]
+COMPANIES = ["Norte Cargas", "Luz Manutencao", "Vale Entregas"]
+VISITORS = ["Z. Prado", "Y. Serra", "X. Campos", "W. Matos"]
+ITEMS = [
+    "camera", "monitoramento", "acesso", "cracha", "furto", "subtracao", "incendio", "alarme", "vazamento", "equipamento", "portao", "carga", "visitante", "veiculo", "iluminacao", "ruido", "obra", "entrega",
+]
+FORMS = [
+    "{item} verificado em {setor}, ocorrencia registrada por {nome}",
+    "veiculo {placa} da {empresa} retido em {setor}: {item} nao autorizado",
+]
+ACTIONS = ["equipe avisada", "area isolada", "chamado aberto"]
+#: Thirty-six templates: item, description, whether it has a time.
+BANK = [(item, form, (i + j) % 4 != 3) for i, item in enumerate(ITEMS) for j, form in enumerate(FORMS)]
 
-def draw(key: Column, seed: int, salt: int) -> Column:
-    """A number from 0 to 99 for a key, in integer arithmetic only."""
-    return F.pmod((key * 7919 + seed * 104_729 + salt * 1_299_709) % 1_000_003 * 31, F.lit(100))
 
+def number(key: str, seed: int, salt: int, below: int) -> str:
+    """SQL: a number from 0 to below - 1 for a key, in integer arithmetic only."""
+    return f"((({key}) * 7919 + {seed * 104_729 + salt * 1_299_709}) % 1000003 * 31 % {below})"
 
-def choice(number: Column, prior: dict[str, int]) -> Column:
-    out, below = None, 0
+
+def choice(value: str, prior: dict[str, int]) -> str:
+    """SQL: the label in whose percents the value lies."""
+    below, out = 0, []
     for label, percent in prior.items():
         below += percent
-        out = (F if out is None else out).when(number < below, label)
-    return out
+        out.append(f"WHEN {value} < {below} THEN '{label}'")
+    return f"CASE {' '.join(out)} END"
+
+
+def pick(value: str, names: list[str]) -> str:
+    """SQL: the name at a place."""
+    return "CASE " + value + " " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(names)) + " END"
+
+
+def two(value: str) -> str:
+    """SQL: two digits."""
+    return f"lpad(concat('', {value}), 2, '0')"
+
+
+def clock(minutes: str) -> str:
+    """SQL: minutes of a day as HH:MM; they wrap at midnight."""
+    return f"concat({two(f'CAST(floor(({minutes}) % 1440 / 60) AS INT)')}, ':', {two(f'CAST(({minutes}) % 60 AS INT)')})"
+
+
+def plate(key: str, seed: int) -> str:
+    """SQL: three letters, a digit, a letter, two digits."""
+    letter = lambda salt: f"substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST({number(key, seed, salt, 26)} AS INT) + 1, 1)"
+    return f"concat({letter(51)}, {letter(52)}, {letter(53)}, {number(key, seed, 54, 10)}, {letter(55)}, {two(number(key, seed, 56, 100))})"
+
+
+def filled(template: str, values: dict[str, str]) -> str:
+    """SQL: a template expression with {names} replaced."""
+    for name, value in values.items():
+        template = f"replace({template}, '{{{name}}}', {value})"
+    return template
+
+
+def vocabulary(names: list[str], seed: int = HELD_OUT_SEED, percent: int = HELD_OUT_PERCENT) -> tuple[list[str], list[str]]:
+    """Shared names, and the exact share that is for tests alone, by place in a seeded order."""
+    order = sorted(range(len(names)), key=lambda i: ((i * 7919 + seed * 104_729) % 1_000_003 * 31 % 9973, i))
+    held = set(order[: len(names) * percent // 100])
+    return [n for i, n in enumerate(names) if i not in held], [n for i, n in enumerate(names) if i in held]
+
+
+def split_of(place: str, n: int) -> str:
+    return f"CASE WHEN {place} <= {int(0.7 * n)} THEN 'train' WHEN {place} <= {int(0.7 * n) + int(0.15 * n)} THEN 'val' ELSE 'test' END"
+
+
+def sheet_columns(name: str, key: str = "sheet") -> list[str]:
+    """SQL of a sheet's columns from its number and split."""
+    n, seed, profile = CORPORA[name]
+    num = lambda salt, below=100: number(key, seed, salt, below)
+    shared_guards, held_guards = vocabulary(GUARDS)
+    shared_units, held_units = vocabulary(UNITS)
+    step = lambda i, m: f"({num(5, 1000)} + {i} * 7) % {m}"  # seven and the sizes have no common factor, so names differ
+    guard = lambda i: f"CASE WHEN split = 'test' THEN {pick(step(i, len(GUARDS)), [*shared_guards, *held_guards])} ELSE {pick(step(i, len(shared_guards)), shared_guards)} END"
+    guards = choice(num(4), PRIORS["guards"])
+    return [
+        f"{choice(num(1), PRIORS['shift'])} AS shift",
+        f"concat('2026-', {two(f'CAST({num(2, 12)} + 1 AS INT)')}, '-', {two(f'CAST({num(3, 28)} + 1 AS INT)')}) AS day",
+        f"concat_ws(', ', {guard(0)}, CASE WHEN {guards} <> '1' THEN {guard(1)} END, CASE WHEN {guards} = '3' THEN {guard(2)} END) AS guards",
+        f"CASE WHEN split = 'test' THEN {pick(num(6, len(UNITS)), [*shared_units, *held_units])} ELSE {pick(num(6, len(shared_units)), shared_units)} END AS unit",
+        f"{num(7)} < {NO_CHANGE[profile]} AS no_change", f"{num(7)} < {NO_CHANGE[profile]} AND {num(8)} < {STRUCK} AS struck",
+        f"CASE WHEN {num(7)} < {NO_CHANGE[profile]} THEN 0 ELSE CAST({choice(num(9), PRIORS['rows'])} AS INT) END AS n_rows",
+        f"{choice(num(10), PRIORS['difficulty'])} AS difficulty",
+        f"CASE WHEN split = 'test' AND {num(11)} < {TEMPLATE_C} THEN 'C' WHEN {num(12, 2)} = 0 THEN 'A' ELSE 'B' END AS template",
+    ]
+
+
+def drawn_columns(name: str) -> list[str]:
+    """SQL of what an occurrence's columns are made of: bank (the template's number), has_time, start."""
+    seed = CORPORA[name][1]
+    num = lambda salt, below=100: number("(sheet * 10 + pos)", seed, salt, below)
+    shared, held = vocabulary([str(i) for i in range(len(BANK))])
+    which = f"CASE WHEN split = 'test' THEN {pick(num(20, len(BANK)), [*shared, *held])} ELSE {pick(num(20, len(shared)), shared)} END"
+    return [f"CAST({which} AS INT) AS bank", f"(CASE shift WHEN 'Dia' THEN 6 ELSE 18 END + {num(21, 12)}) * 60 + {num(22, 60)} AS start"]
+
+
+def row_columns(name: str) -> list[str]:
+    """SQL of an occurrence's columns, from its sheet's, pos (from 0) and drawn_columns()."""
+    seed = CORPORA[name][1]
+    key = "(sheet * 10 + pos)"
+    num = lambda salt, below=100: number(key, seed, salt, below)
+    timed = f"bank IN ({', '.join(str(i) for i, b in enumerate(BANK) if b[2])})"
+    values = {"setor": pick(num(30, len(SECTORS)), SECTORS), "placa": plate(key, seed), "empresa": pick(num(31, len(COMPANIES)), COMPANIES), "nome": pick(num(32, len(VISITORS)), VISITORS)}
+    return [
+        f"{pick('bank', [b[0] for b in BANK])} AS item", f"CASE WHEN {timed} THEN {clock('start')} END AS entry",
+        f"CASE WHEN {timed} AND {num(23)} < {EXIT} THEN {clock(f'(start + 10 + {num(24, 111)})')} END AS exit",
+        f"{filled(pick('bank', [b[1].replace('{item}', b[0]) for b in BANK]), values)} AS descricao",
+        f"{pick(num(25, len(ACTIONS)), ACTIONS)} AS acao", f"{choice(num(26), PRIORS['resolved'])} AS resolvido",
+    ]
 
 
 def corpus(spark: SparkSession, name: str) -> DataFrame:
-    """sheet, shift, difficulty, rows, no_change, split: 70, 15 and 15 percent by the place in a seeded order."""
-    n, seed = CORPORA[name]
-    k = F.col("id")
-    rows = spark.range(n).select(
-        k.alias("sheet"), *(choice(draw(k, seed, i), prior).alias(what) for i, (what, prior) in enumerate(PRIORS.items())), ((k * 7919 + seed) % 100_003).alias("order_key")
-    )
-    place = F.row_number().over(Window.orderBy("order_key", "sheet"))  # a corpus has at most a thousand rows
-    split = F.when(place <= int(0.7 * n), "train").when(place <= int(0.7 * n) + int(0.15 * n), "val").otherwise("test")
-    return rows.withColumn("split", split).drop("order_key")
-
-
-def held_out(names: DataFrame, seed: int = 7, percent: int = 20) -> DataFrame:
-    """name, test_only: a fifth of a vocabulary is for tests alone."""
-    return names.select("name", (F.pmod(F.crc32(F.concat(F.col("name"), F.lit(str(seed)))), F.lit(100)) < percent).alias("test_only"))
-
-
-def prior_check(spark: SparkSession) -> DataFrame:
-    """prior, total, least, valid: percentages have to be non-negative and sum to a hundred."""
-    rows = spark.createDataFrame([(k, x) for k, prior in PRIORS.items() for x in prior.values()], "prior string, percent int")
-    sums = rows.groupBy("prior").agg(F.sum("percent").alias("total"), F.min("percent").cast("long").alias("least"))
-    return sums.withColumn("valid", (F.col("total") == 100) & (F.col("least") >= 0))
+    """sheet, split, shift, day, guards, unit, no_change, struck, n_rows, difficulty, template: 70, 15 and 15 percent by the place in a seeded
+    order; a fifth of names and templates, and one form, are seen in tests only."""
+    n, _, _ = CORPORA[name]
+    rows = spark.range(n).selectExpr("id AS sheet", f"{number('id', SPLIT_SEED, 0, 999_983)} AS o")
+    place = F.row_number().over(Window.orderBy("o", "sheet"))  # a corpus has at most a thousand rows
+    rows = rows.withColumn("place", place).selectExpr("sheet", f"{split_of('place', n)} AS split")
+    return rows.selectExpr("*", *sheet_columns(name))
+
+
+def corpus_rows(spark: SparkSession, name: str) -> DataFrame:
+    """sheet, pos, split, item, entry, exit, descricao, acao, resolvido: the occurrences of corpus()."""
+    rows = corpus(spark, name).where("n_rows > 0").selectExpr("sheet", "split", "shift", "explode(sequence(0, n_rows - 1)) AS pos")
+    return rows.selectExpr("*", *drawn_columns(name)).selectExpr("sheet", "pos", "split", *row_columns(name))
+
+
+def abbreviate(text: Column) -> Column:
+    """The first of the known words that the text has is abbreviated, where it comes first."""
+    out = None
+    for full, short in ABBREVIATIONS.items():
+        at = F.instr(text, full)
+        new = F.concat(F.substring(text, F.lit(1), at - 1), F.lit(short), F.substring(text, at + len(full), F.length(text)))
+        out = (F if out is None else out).when(at > 0, new)
+    return out.otherwise(text)
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, " "), lambda w: w != "")
+
+
+def _at(items: Column, place: Column, new: Column) -> Column:
+    return F.transform(items, lambda x, i: F.when(i == place, new).otherwise(x))
+
+
+def misspell(text: Column, which: Column) -> Column:
+    """Two neighbours of one word of four letters or more change places; which chooses the word, and the place in it."""
+
+    def one(words: Column) -> Column:
+        places = F.filter(F.transform(words, lambda w, i: F.when(F.length(w) >= 4, i)), lambda i: i.isNotNull())
+        place = F.get(places, F.pmod(which, F.greatest(F.size(places), F.lit(1))).cast("int"))
+        word = F.get(words, place)
+        p = (F.pmod(which, F.greatest(F.length(word) - 1, F.lit(1))) + 1).cast("int")
+        one_ = F.lit(1)
+        new = F.concat(F.substring(word, one_, p - 1), F.substring(word, p + 1, one_), F.substring(word, p, one_), F.substring(word, p + 2, F.length(word)))
+        return F.when(F.size(places) == 0, text).otherwise(F.array_join(_at(words, place, new), " "))
+
+    return F.get(F.transform(F.array(_words(text)), one), F.lit(0))
+
+
+def ambiguous_swap(text: Column, which: Column) -> Column:
+    """One letter or digit becomes the one that looks like it."""
+    letters = "".join(ALIKE)
+    places = F.filter(F.transform(F.split(text, ""), lambda c, i: F.when((c != "") & F.contains(F.lit(letters), c), i + 1)), lambda i: i.isNotNull())
+    at = F.get(places, F.pmod(which, F.greatest(F.size(places), F.lit(1))).cast("int"))
+    letter = F.translate(F.substring(text, at, F.lit(1)), letters, "".join(ALIKE.values()))
+    new = F.concat(F.substring(text, F.lit(1), at - 1), letter, F.substring(text, at + 1, F.length(text)))
+    return F.when(F.size(places) > 0, new).otherwise(text)
+
+
+def partial(text: Column) -> Column:
+    """The first half of the words, one at least; a single word stays."""
+    words = _words(text)
+    n = F.size(words)
+    return F.when(n < 2, text).otherwise(F.array_join(F.slice(words, F.lit(1), F.greatest(F.lit(1), F.floor(n / 2).cast("int"))), " "))
+
+
+def crossout(text: Column, which: Column) -> Column:
+    """One word struck out and written again."""
+    words = _words(text)
+    place = F.pmod(which, F.greatest(F.size(words), F.lit(1))).cast("int")
+    word = F.get(words, place)
+    return F.when(F.size(words) == 0, text).otherwise(F.array_join(_at(words, place, F.concat(F.lit(CROSSED[0]), word, F.lit(CROSSED[1] + " "), word)), " "))
+
+
+def plain(text: Column) -> Column:
+    """Without the marks of struck words."""
+    return F.regexp_replace(text, r"\[risc:([^\]]*)\]", "$1")
+
+
+def surface(rows: DataFrame, seed: int) -> DataFrame:
+    """corpus_rows() as drawn: hora in one cell, descricao and acao with noise; applied names each change that was made, in order, and illegible
+    marks a description that was scribbled. The truth stays beside it."""
+    key = "(sheet * 10 + pos)"
+    num = lambda salt, below=100: F.expr(number(key, seed, salt, below))
+    which = F.expr(number(key, seed, 77, 1009))
+    steps = [
+        ("abbreviate", 71, lambda c: abbreviate(c)), ("misspell", 72, lambda c: misspell(c, which)), ("crossout", 73, lambda c: crossout(c, which)), ("partial", 74, lambda c: partial(c)),
+        ("ambiguous", 75, lambda c: ambiguous_swap(c, which)),
+    ]
+    # each step binds the text once, so that no expression is written out again and again
+    state = F.array(F.struct(F.col("descricao").alias("text"), F.array().cast("array<string>").alias("applied")))
+    for name, salt, op in steps:
+        state = _noised(state, num(salt) < NOISE[name], f"{name}:descricao", op)
+    hora = F.array(F.struct(F.when(F.col("entry").isNotNull(), F.concat_ws(" - ", "entry", "exit")).alias("text"), F.array().cast("array<string>").alias("applied")))
+    hora = _noised(hora, num(78) < NOISE["ambiguous"], "ambiguous:hora", lambda c: ambiguous_swap(c, which))
+    out = rows.select("sheet", "pos", "split", "item", "descricao", "acao", "resolvido", F.get(state, F.lit(0)).alias("d"), F.get(hora, F.lit(0)).alias("h"), (num(79) < NOISE["blank"]).alias("gone"), (num(80) < NOISE["illegible"]).alias("illegible"))
+    blank = F.when(F.col("gone"), F.array(F.lit("blank:acao"))).otherwise(F.array().cast("array<string>"))
+    return out.select(
+        "sheet", "pos", "split", "item", F.col("h.text").alias("hora"), F.col("descricao").alias("truth"), F.col("d.text").alias("descricao"), F.when(~F.col("gone"), F.col("acao")).alias("acao"), "resolvido",
+        F.concat("d.applied", "h.applied", blank).alias("applied"), "illegible",
+    )
+
+
+def _noised(state: Column, when: Column, name: str, op) -> Column:
+    """An array of one struct(text, applied) after a step of noise."""
+
+    def step(s: Column) -> Column:
+        made = F.transform(F.array(F.when(when, op(s["text"])).otherwise(s["text"])), lambda new: F.struct(new.alias("text"), F.when(new != s["text"], F.concat(s["applied"], F.array(F.lit(name)))).otherwise(s["applied"]).alias("applied")))
+        return F.get(made, F.lit(0))
+
+    return F.transform(state, step)
+
+
+def banded(low: Column, high: Column, share: Column, band: Column) -> Column:
+    """A value of a range from a share of 0 to 1: of its lower four fifths, its upper fifth, or all of it."""
+    cut = low + 0.8 * (high - low)
+    return F.when(band == "lower80", low + share * (cut - low)).when(band == "upper20", cut + share * (high - cut)).otherwise(low + share * (high - low))
+
+
+def held_out(names: DataFrame, seed: int = HELD_OUT_SEED, percent: int = HELD_OUT_PERCENT) -> DataFrame:
+    """name, test_only: exactly the given share of a table of names is for tests alone, by place in a seeded order. The border is found by
+    sorting keys and counting; no task holds the table."""
+    keyed = names.select("name", F.md5(F.concat(F.col("name"), F.lit(str(seed))).cast("binary")).alias("k"))
+    n = keyed.count() * percent // 100
+    border = keyed.select("k", "name").orderBy("k", "name").limit(n).agg(F.max(F.struct("k", "name")).alias("last"))  # one row
+    return keyed.crossJoin(F.broadcast(border)).select("name", F.coalesce(F.struct("k", "name") <= F.col("last"), F.lit(False)).alias("test_only"))
+
+
+def valid_distribution(priors: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """From (prior, p): prior, total, least, valid; probabilities aren't negative and sum to one."""
+    sums = priors.groupBy("prior").agg(F.round(F.sum("p"), 9).alias("total"), F.min("p").alias("least"))
+    return sums.withColumn("valid", (F.abs(F.col("total") - 1) <= tolerance) & (F.col("least") >= 0))

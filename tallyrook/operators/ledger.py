@@ -1,63 +1,143 @@
-"""The approval ledger as windows over events: revisions, approvals that edits revoke, simulation exactly once, pages.
+"""The approval ledger as a fold over events: compare-and-set on revisions, stamps that edits revoke, simulation exactly once, pages.
 
-An event log has one row an action: draft, seq (ts, event_id) and action: submit, edit, approve, reject, simulate. Everything
-before a draft's one accepted simulation is accepted; the simulation is the first that finds a standing approval; edits and
-status changes after it are blocked. So a fold over states becomes a few windows over one partitioning.
+An event log has one row an action: draft_id, ts, event_id, action (submit, edit, overwrite, approve, reject, simulate), sha (of
+the content that the event brings), reviewable (whether that content could be approved) and expected (the revision that its
+author saw; null asks for none). Whether an edit counts depends on the revision that the edits before it led to, so this is a fold and no
+window: rows come sorted by draft and time, and one state goes along; no draft is gathered, however many events it has.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.sheets import table
 
-# What an event of the stream does to the draft of its user.
+# What an event of the stream does to the draft of its user; outcomes that change a draft.
 ACTIONS = {"signup": "submit", "click": "edit", "purchase": "approve", "error": "reject", "view": "simulate"}
+CHANGES = ("submitted", "edited", "approval_revoked", "status:approved", "status:rejected", "simulation_completed")
+
+
+class Draft(NamedTuple):
+    revision: int
+    status: str
+    approved_revision: int | None
+    approved_sha: str | None
+    sha: str | None
+    reviewable: bool
+    sent: bool
+
+
+def begin(sha: str | None, reviewable: bool) -> Draft:
+    """A draft that nothing was done to yet; its content is that of its first event."""
+    return Draft(1, "pending", None, None, sha, reviewable, False)
+
+
+def step(d: Draft, first: bool, action: str, sha: str | None, reviewable: bool, expected: int | None) -> tuple[Draft, str, str | None]:
+    """The draft after an event, the event's outcome, and the detail that the audit notes."""
+    short = (sha or "")[:12]
+    if action == "submit":
+        return (d, "submitted", None) if first else (d, "already_submitted", None)
+    if action == "overwrite":  # content changed behind the ledger's back
+        return d._replace(sha=sha, reviewable=reviewable), "overwritten", None
+    if action == "simulate":
+        if d.status != "approved":
+            return d, "simulation_blocked", f"status={d.status}"
+        if d.sent:
+            return d, "simulation_blocked", "already_simulated"
+        if d.approved_revision != d.revision or d.approved_sha != d.sha:
+            return d, "simulation_blocked", f"stale_approval rev={d.revision} approved_rev={d.approved_revision}"
+        if not d.reviewable:
+            return d, "simulation_blocked", "not_reviewable"
+        return d._replace(sent=True), "simulation_completed", f"mode=simulated rev={d.revision} sha256={(d.sha or '')[:12]}"
+    if expected is not None and expected != d.revision:
+        return d, "conflict", f"rev={d.revision} expected={expected}"
+    if d.sent:
+        return d, "edit_blocked" if action == "edit" else "status_blocked", "already_simulated"
+    if action == "edit":
+        new = d._replace(revision=d.revision + 1, sha=sha, reviewable=reviewable)
+        if d.status == "approved":
+            return new._replace(status="pending", approved_revision=None, approved_sha=None), "approval_revoked", f"rev={new.revision} sha256={short}"
+        return new, "edited", f"rev={new.revision} sha256={short}"
+    if action == "approve":
+        return d._replace(status="approved", approved_revision=d.revision, approved_sha=d.sha), "status:approved", f"rev={d.revision} sha256={(d.sha or '')[:12]}"
+    return d._replace(status="rejected", approved_revision=None, approved_sha=None), "status:rejected", None
 
 
 def log(events: DataFrame) -> DataFrame:
+    """The stream of events as a log: every 13th edit goes past the ledger, every 7th event names a revision, every 5th content can't be
+    approved."""
     action = F.create_map(*(F.lit(x) for pair in ACTIONS.items() for x in pair))[F.col("event_type")]
-    return events.select(F.col("user_id").alias("draft_id"), "ts", "event_id", action.alias("action"), F.sha2("props", 256).alias("sha"))
+    k = F.col("event_id")
+    return events.select(
+        F.col("user_id").alias("draft_id"), "ts", "event_id", F.when((action == "edit") & (k % 13 == 0), "overwrite").otherwise(action).alias("action"), F.sha2("props", 256).alias("sha"),
+        (k % 5 != 0).alias("reviewable"), F.when(k % 7 == 0, 1 + k % 4).cast("long").alias("expected"),
+    )
 
 
 def of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log(table(spark, sf_dir, "events"))
 
 
+_FOLDED = (("revision", pa.int64()), ("status", pa.string()), ("approved_revision", pa.int64()), ("approved_sha", pa.string()), ("state_sha", pa.string()), ("state_reviewable", pa.bool_()), ("sent", pa.bool_()), ("outcome", pa.string()), ("detail", pa.string()))
+FOLDED = ", ".join(f"{n} {({pa.int64(): 'long', pa.string(): 'string', pa.bool_(): 'boolean'})[k]}" for n, k in _FOLDED)
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    draft, state, first = None, None, True
+    for batch in batches:
+        rows = []
+        for name, action, sha, reviewable, expected in zip(*(batch.column(c).to_pylist() for c in ("draft_id", "action", "sha", "reviewable", "expected")), strict=True):
+            if state is None or name != draft:
+                draft, state, first = name, begin(sha, reviewable), True
+            state, outcome, detail = step(state, first, action, sha, reviewable, expected)
+            first = False
+            rows.append((*state, outcome, detail))
+        columns = [pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(_FOLDED)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *(n for n, _ in _FOLDED)])
+
+
 def outcomes(events: DataFrame) -> DataFrame:
-    """The log with revision, standing (the last of edit, approve, reject before), accepted and outcome."""
-    order = Window.partitionBy("draft_id").orderBy("ts", "event_id")
-    so_far, before, whole = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("draft_id")
-    rows = events.withColumn("rn", F.row_number().over(order))
-    rows = rows.withColumn("standing", F.last(F.when(F.col("action").isin("edit", "approve", "reject"), F.col("action")), ignorenulls=True).over(before))
-    sent = (F.col("action") == "simulate") & (F.coalesce(F.col("standing"), F.lit("")) == "approve")
-    rows = rows.withColumn("terminal", F.min(F.when(sent, F.col("rn"))).over(whole))
-    late = F.col("terminal").isNotNull() & (F.col("rn") > F.col("terminal"))
-    rows = rows.withColumn("accepted", ~late & ((F.col("action") != "simulate") | (F.col("rn") == F.coalesce(F.col("terminal"), F.lit(-1)))))
-    rows = rows.withColumn("revision", 1 + F.count_if((F.col("action") == "edit") & F.col("accepted")).over(so_far))
-    act = F.col("action")
-    outcome = (
-        F.when(act == "submit", "submitted").when(late & (act == "simulate"), "simulation_blocked").when(late & (act == "edit"), "edit_blocked").when(late, "status_blocked")
-        .when(act == "simulate", F.when(sent, "simulation_completed").otherwise("simulation_blocked"))
-        .when(act == "edit", F.when(F.col("standing") == "approve", "approval_revoked").otherwise("edited"))
-        .when(act == "approve", "status:approved").otherwise("status:rejected")
-    )
-    return rows.withColumn("outcome", outcome)
+    """The log with the draft's state after each event, the event's outcome and detail. Needs one shuffle by draft."""
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema.fields)
+    return events.repartition(F.col("draft_id")).sortWithinPartitions("draft_id", "ts", "event_id").mapInArrow(_fold, f"{kinds}, {FOLDED}")
 
 
 def drafts(events: DataFrame) -> DataFrame:
-    """One row a draft: status, revision, approved_revision (of a standing approval), sent_at, created_at, updated_at, sha."""
-    rows = outcomes(events).where("accepted")
-    last = F.max_by(F.when(F.col("action").isin("edit", "approve", "reject"), F.col("action")), F.when(F.col("action").isin("edit", "approve", "reject"), F.col("rn")))
-    out = rows.groupBy("draft_id").agg(
-        last.alias("last"), F.max("revision").alias("revision"), F.max_by("revision", F.when(F.col("action") == "approve", F.col("rn"))).alias("approved_at_revision"),
-        F.max_by(F.when(F.col("action").isin("edit", "submit"), F.col("sha")), F.when(F.col("action").isin("edit", "submit"), F.col("rn"))).alias("sha"),
-        F.min(F.when(F.col("outcome") == "simulation_completed", F.col("ts"))).alias("sent_at"), F.min("ts").alias("created_at"), F.max("ts").alias("updated_at"),
+    """One row a draft: status, revision, approved_revision and approved_sha (of a standing approval), sha, sent_at, created_at, updated_at."""
+    last = lambda c: F.max_by(c, F.struct("ts", "event_id"))
+    changed = F.when(F.col("outcome").isin(*CHANGES), F.col("ts"))
+    return outcomes(events).groupBy("draft_id").agg(
+        *(last(c).alias(n) for c, n in (("status", "status"), ("revision", "revision"), ("approved_revision", "approved_revision"), ("approved_sha", "approved_sha"), ("state_sha", "sha"), ("state_reviewable", "reviewable"))),
+        F.min(F.when(F.col("outcome") == "simulation_completed", F.col("ts"))).alias("sent_at"), F.min("ts").alias("created_at"), F.coalesce(F.max(changed), F.min("ts")).alias("updated_at"),
     )
-    status = F.when(F.col("last") == "approve", "approved").when(F.col("last") == "reject", "rejected").otherwise("pending")
-    out = out.withColumn("status", status)
-    return out.withColumn("approved_revision", F.when(F.col("status") == "approved", F.col("approved_at_revision"))).drop("last", "approved_at_revision")
+
+
+def snapshots(rows: DataFrame) -> DataFrame:
+    """draft_id, revision, sha, n: the content that each revision began with, from outcomes(); n has to be 1, as revisions are appended once."""
+    made = rows.where(F.col("outcome").isin("edited", "approval_revoked")).select("draft_id", "revision", F.col("state_sha").alias("sha"), F.lit(1).alias("one"))
+    first = rows.groupBy("draft_id").agg(F.min_by("sha", F.struct("ts", "event_id")).alias("sha")).select("draft_id", F.lit(1).cast("long").alias("revision"), "sha", F.lit(1).alias("one"))
+    return made.unionByName(first).groupBy("draft_id", "revision").agg(F.min("sha").alias("sha"), F.sum("one").alias("n"))
+
+
+def snapshot_verdict(revision: Column, sha: Column, expected_revision: Column, expected_sha: Column) -> Column:
+    """ok, invalid (not the form of a snapshot's identity) or changed (the draft is another by now)."""
+    invalid = expected_revision.isNull() | (expected_revision < 1) | ~F.coalesce(expected_sha.rlike("^[0-9a-f]{64}$"), F.lit(False))
+    return F.when(invalid, "invalid").when((revision != expected_revision) | ~sha.eqNullSafe(expected_sha), "changed").otherwise("ok")
+
+
+def listed(rows: DataFrame) -> DataFrame:
+    """All drafts, oldest first."""
+    return rows.orderBy("created_at", "draft_id")
+
+
+def first_n(rows: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows of a total order."""
+    return rows.orderBy(*order).limit(n)
 
 
 def in_view(rows: DataFrame, view: str | None) -> DataFrame:

@@ -23,15 +23,6 @@ def portable(path: Column) -> Column:
     return (path != "") & ~path.rlike(r"^/|(^|/)\.\.(/|$)|[\\:]")
 
 
-def canonical_hash(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """One hash of a whole table whatever its order: sums of the rows' hashes and their number, hashed again. Rows are never
-    gathered; repeated rows count."""
-    row = F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in [key, *columns])), 256)
-    parts = [F.conv(F.substring(row, 1 + 13 * i, 13), 16, 10).cast("decimal(38,0)") for i in range(4)]
-    sums = rows.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(p), F.lit(0).cast("decimal(38,0)")).alias(f"s{i}") for i, p in enumerate(parts)))
-    return sums.select(F.col("n").alias("n_rows"), F.sha2(F.concat_ws(":", "n", *(F.col(f"s{i}").cast("string") for i in range(4))), 256).alias("sha"))
-
-
 def difference(frozen: DataFrame, current: DataFrame) -> DataFrame:
     """change and rows: what one has more often than the other."""
     gone, new = frozen.exceptAll(current), current.exceptAll(frozen)
@@ -45,8 +36,8 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 def prefix_lookup(ids: DataFrame, files: DataFrame) -> DataFrame:
     """id, file: the file of exactly the id's name, else the first whose name begins with it. Every id is cut into the files' own
     prefixes, so it is an equal join: name[:n] for the lengths n that ids have."""
-    lengths = ids.select(F.length("id").alias("n")).distinct()
-    cut = files.join(F.broadcast(lengths), F.length("file") >= F.col("n")).select("file", F.expr("substring(file, 1, n)").alias("id"))
+    lengths = ids.agg(F.array_sort(F.collect_set(F.length("id"))).alias("ns"))  # one row: the lengths that ids have
+    cut = files.crossJoin(F.broadcast(lengths)).select("file", F.explode("ns").alias("n")).where(F.length("file") >= F.col("n")).select("file", F.expr("substring(file, 1, n)").alias("id"))
     found = ids.join(cut, "id", "left")
     best = F.min(F.struct((F.col("file") != F.col("id")).alias("longer"), "file"))
     return found.groupBy("id").agg(best.alias("b")).select("id", "b.file")

@@ -6,19 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Categories and patterns, in the order of the report. The clock pattern leaves out parts of longer stamps without look-around.
-PATTERNS: tuple[tuple[str, str], ...] = (
-    ("clock-time", r"(^|[^0-9:+-])[0-9]{1,2}:[0-9]{2}($|[^0-9:]|:($|[^0-9]))"),
+CLOCK = ("clock-time", r"(^|[^0-9:+-])[0-9]{1,2}:[0-9]{2}($|[^0-9:]|:($|[^0-9]))")
+HOMES = (
     ("local-home-path", r"(?i)(^|[^A-Za-z0-9])[A-Z]:[\\/]+Users[\\/]+[^\\/\r\n]+"),
     ("local-home-path", r"/(home|Users)/[^/\r\n]+"),
+)
+#: Additions of this engine.
+CONTACT = (
     ("e-mail", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
     ("ip-address", r"(^|[^0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}($|[^0-9.])"),
 )
 
 
-def findings(docs: DataFrame, terms: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def patterns(organizations: tuple[str, ...] = (), times: bool = True, contact: bool = True) -> list[tuple[str, str]]:
+    """Categories and patterns of a scan: names of organizations (patterns, in any case, as whole words), clock times, home folders, and
+    e-mail and IP addresses."""
+    out = [("organization-sentinel", rf"(?i)(^|[^A-Za-z0-9_]){name}($|[^A-Za-z0-9_])") for name in organizations]
+    return [*out, *([CLOCK] if times else []), *HOMES, *(CONTACT if contact else ())]
+
+
+def findings(docs: DataFrame, terms: tuple[str, ...] = (), organizations: tuple[str, ...] = (), times: bool = True, contact: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, line (from 1), category: patterns are compiled into one pass over the lines, so lines are not joined with patterns.
     Private terms match anywhere, in any case, and are reported as private-term only."""
     lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, r"\R", -1)).alias("n", "t"))
-    tests = [F.when(F.col("t").rlike(p), F.lit(c)) for c, p in PATTERNS]
+    tests = [F.when(F.col("t").rlike(p), F.lit(c)) for c, p in patterns(organizations, times, contact)]
     tests += [F.when(F.contains(F.lower("t"), F.lit(x.lower())), F.lit("private-term")) for x in terms]
     return lines.select("id", (F.col("n") + 1).cast("long").alias("line"), F.explode(F.array_compact(F.array(*tests))).alias("category"))

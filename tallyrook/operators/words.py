@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip, token, tokens
+from ..functions.text import WHITE, strip, token, tokens
 
 #: Overshoot of a box over the page that is cut off; more makes the box invalid.
 OVERSHOOT = 0.01
 
 
-def synthetic(docs: DataFrame, most: int | None = None) -> DataFrame:
+def synthetic(docs: DataFrame) -> DataFrame:
     """doc_id, page, line, pos, word, conf, left, top, width, height: words of texts as a reader would give them, on pages of 1000
     by 1000 with a line a text line. Every 17th word is unreadable (-1), every 29th has no width, every 31st hangs over."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
-    words = lines.select("doc_id", "line", F.posexplode(F.filter(F.split(strip(F.col("t")), r"\s+"), lambda w: w != "")).alias("pos", "word"))
+    words = lines.select("doc_id", "line", F.posexplode(F.filter(F.split(strip(F.col("t")), f"{WHITE}+"), lambda w: w != "")).alias("pos", "word"))
     return words.selectExpr(
         "doc_id", "line % 3 AS page", "line", "pos", "word",
         "CASE WHEN (doc_id + pos) % 17 = 0 THEN -1 ELSE (doc_id * 7 + pos * 13 + line) % 101 END AS conf",
@@ -24,6 +24,30 @@ def synthetic(docs: DataFrame, most: int | None = None) -> DataFrame:
     )
 
 
+def of_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, page, line, pos, word, line_key, x0, y0, x1, y1: words of whole texts (doc_id, text), pages parted by form feeds, each word in
+    a box of its place in its line."""
+    pages = docs.select("doc_id", F.posexplode(F.split("text", "\f")).alias("page", "t"))
+    lines = pages.select("doc_id", "page", F.posexplode(F.split("t", "\n")).alias("line", "t"))
+    words = lines.select("doc_id", "page", "line", F.posexplode(F.filter(F.split(strip(F.col("t")), f"{WHITE}+"), lambda w: w != "")).alias("pos", "word"))
+    x, y = (F.col("pos") % 19) * 0.05, (F.col("line") % 49) * 0.02
+    return words.select("*", F.concat_ws(":", F.lit("1"), "page", "line").alias("line_key"), x.alias("x0"), y.alias("y0"), (x + 0.04).alias("x1"), (y + 0.015).alias("y1"))
+
+
+def attach_evidence(fields: DataFrame, words: DataFrame | None) -> DataFrame:
+    """The fields (doc_id, ord, value, ...; page and source if there are such) with page, x0, y0, x1, y1, evidence_method, evidence_score: where
+    each was read. Nothing else of a field changes. A field without a page is looked for on the first; one that a human wrote gets no
+    place; without words nothing is located."""
+    if words is None:
+        return fields
+    page = F.coalesce("page", F.lit(0)) if "page" in fields.columns else F.lit(0)
+    human = F.coalesce(F.col("source") == "human", F.lit(False)) if "source" in fields.columns else F.lit(False)
+    rows = fields.withColumn("page", page.cast("int"))
+    asked = rows.where(~human).select("doc_id", "page", F.col("ord").alias("value_id"), "value")
+    found = located(words, asked).select("doc_id", F.col("value_id").alias("ord"), F.col("method").alias("evidence_method"), F.col("score").alias("evidence_score"), "x0", "y0", "x1", "y1")
+    return rows.join(found, ["doc_id", "ord"], "left")
+
+
 def clamp(x: Column) -> Column:
     """Into [0, 1]; null beyond the overshoot."""
     return F.when((x >= -OVERSHOOT) & (x <= 1 + OVERSHOOT), F.least(F.lit(1.0), F.greatest(F.lit(0.0), x)))
@@ -50,9 +74,11 @@ def reconstructed(words: DataFrame) -> DataFrame:
 
 
 def transcribed(pages: DataFrame) -> DataFrame:
-    """doc_id, text, confidence: pages joined in order; the confidence of the worst page."""
+    """doc_id, text, confidence, source: pages joined in order; the confidence of the worst page, 0 without pages; what read the first page.
+    Each page's words carry its number already."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), "\n\f\n")
-    return pages.groupBy("doc_id").agg(text.alias("text"), F.coalesce(F.min("confidence"), F.lit(0.0)).alias("confidence"))
+    source = F.min_by("source", "page") if "source" in pages.columns else F.lit(None).cast("string")
+    return pages.groupBy("doc_id").agg(text.alias("text"), F.coalesce(F.min("confidence"), F.lit(0.0)).alias("confidence"), source.alias("source"))
 
 
 def located(words: DataFrame, values: DataFrame) -> DataFrame:

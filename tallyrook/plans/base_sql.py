@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 from ..config import HEADER_FIELDS, KEYWORDS
+from ..functions.text import WHITE
 from ..operators.critic import WORD, label_words
 
-STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
-
-
 def strip(x: str) -> str:
-    return STRIP.format(x)
+    return f"regexp_replace({x}, '^{WHITE}+|{WHITE}+$', '', 'g')"
 
 
 def fold(x: str) -> str:
@@ -19,7 +17,7 @@ def fold(x: str) -> str:
 
 
 def norm(x: str) -> str:
-    return strip(f"regexp_replace({fold(x)}, '\\s+', ' ', 'g')")
+    return strip(f"regexp_replace({fold(x)}, '{WHITE}+', ' ', 'g')")
 
 
 def cer(a: str, b: str) -> str:
@@ -37,18 +35,19 @@ _kinds = " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in
 _printed = ", ".join(f"'{w}'" for w in label_words())
 
 ROWS = r"""sheet_rows AS (
-  SELECT *, concat_ws(' ', entry, CASE WHEN exit IS NOT NULL THEN 'saida' END, exit, regexp_replace(surface, '\[risc:([^\]]*)\]', '\1', 'g')) AS line FROM (
+  SELECT *, concat_ws(' ', entry, exit) AS truth_hora, l_partkey % 9 = 0 AS merged, concat_ws(' ', entry, CASE WHEN exit IS NOT NULL THEN 'saida' END, exit, regexp_replace(surface, '\[risc:([^\]]*)\]', '\1', 'g')) AS line FROM (
   SELECT *, CASE noise WHEN 'swap' THEN translate(truth_desc, 'aeo', 'eoa') WHEN 'partial' THEN substr(truth_desc, 1, (length(truth_desc) // 2)::INT)
     WHEN 'illegible' THEN '[ilegivel]' WHEN 'crossout' THEN '[risc:' || substr(truth_desc, 1, 4) || '] ' || truth_desc ELSE truth_desc END AS surface FROM (
   SELECT l_orderkey AS sheet_id, l_linenumber, l_partkey, l_suppkey, l_quantity::INT AS quantity,
     CASE l_partkey % 6 WHEN 0 THEN 'camera ' WHEN 1 THEN 'acesso ' WHEN 2 THEN 'furto ' WHEN 3 THEN 'alarme ' ELSE '' END || p_name || ' setor ' || l_suppkey AS truth_desc,
     lpad((l_partkey % 24)::VARCHAR, 2, '0') || ':' || lpad((l_suppkey % 60)::VARCHAR, 2, '0') AS entry,
     CASE WHEN l_partkey % 5 = 0 THEN lpad(((l_partkey + 1) % 24)::VARCHAR, 2, '0') || ':' || lpad((l_suppkey % 60)::VARCHAR, 2, '0') END AS exit,
+    l_returnflag AS truth_item, CASE WHEN l_suppkey % 3 = 0 THEN 'equipe avisada' ELSE '' END AS truth_action, CASE l_linestatus WHEN 'F' THEN 'sim' ELSE '' END AS truth_resolved,
     CASE (l_partkey + l_suppkey) % 7 WHEN 1 THEN 'swap' WHEN 2 THEN 'partial' WHEN 3 THEN 'illegible' WHEN 4 THEN 'crossout' ELSE 'none' END AS noise
-  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey AND o_orderstatus <> 'F' WHERE l_linenumber <= 3)))"""
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey AND o_orderstatus <> 'F')))"""
 
 SHEETS = ROWS + r""",
-bodies AS (SELECT sheet_id, count(*) AS n, string_agg(line || CASE WHEN l_partkey % 9 = 0 THEN chr(10) ELSE chr(10) || chr(10) END, '' ORDER BY l_linenumber, line, l_partkey % 9 = 0) AS body
+bodies AS (SELECT sheet_id, count(*) AS n, string_agg(line || CASE WHEN l_partkey % 9 = 0 THEN chr(10) ELSE chr(10) || chr(10) END, '' ORDER BY l_linenumber, line, truth_desc, noise, quantity, truth_hora, merged) AS body
   FROM sheet_rows GROUP BY 1),
 drawn AS (SELECT o_orderkey AS k, o_orderstatus, coalesce(n, 0) AS n, coalesce(body, '') AS body, n_name, strftime(o_orderdate, '%d/%m/%Y') AS day, c_name AS guard, 'Guarda ' || (o_orderkey % 17) AS other
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey LEFT JOIN bodies ON sheet_id = o_orderkey),
@@ -61,6 +60,7 @@ sheets AS (SELECT k AS sheet_id, 'Controle de ocorrencias' || chr(10)
   || CASE WHEN k % 10 < 8 THEN 'Ronda: ok' || chr(10) || 'Monitoramento' || chr(10) ELSE '' END
   || CASE WHEN k % 23 = 0 THEN chr(12) || 'continua sem tabela' || chr(10) ELSE '' END AS text,
   day || CASE WHEN k % 11 = 0 THEN '' WHEN k % 2 = 0 THEN ' - Dia' ELSE ' - Noite' END AS truth_date,
+  CASE k % 4 WHEN 0 THEN guard WHEN 1 THEN guard || ', ' || other WHEN 2 THEN guard || ' e ' || other ELSE guard || ' / ' || other || '; Chefe' END AS drawn_guards,
   CASE k % 4 WHEN 0 THEN guard WHEN 3 THEN guard || ', ' || other || ', Chefe' ELSE guard || ', ' || other END AS truth_guards, n_name AS truth_unit, n AS truth_n,
   CASE k % 5 WHEN 0 THEN 'clean' WHEN 1 THEN 'photo' WHEN 2 THEN 'photo' ELSE 'scan' END AS difficulty,
   CASE WHEN k % 20 >= 17 AND k % 4 = 0 THEN 'C' WHEN k % 2 = 0 THEN 'A' ELSE 'B' END AS template,

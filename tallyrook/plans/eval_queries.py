@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import as_text, cer, norm, token_distance
-from ..operators import critic, evaluate as E
+from ..functions.text import cer, wer
+from ..operators import critic, evaluate as E, forms, words as W
 from ..sources.sheets import sheets, table
 from . import base_sql as B
 
@@ -23,98 +23,134 @@ def query(sql: str | None):
 
 
 TRUTH = B.STATES + """,
-truth AS (SELECT sheet_id, row_number() OVER (PARTITION BY sheet_id ORDER BY l_linenumber, line, truth_desc, noise, quantity, concat_ws(' ', entry, exit)) AS pos, truth_desc, noise, quantity, concat_ws(' ', entry, exit) AS truth_hora FROM sheet_rows),
-timed AS (SELECT sheet_id, row_number() OVER (PARTITION BY sheet_id ORDER BY pos) AS pos, content AS description, nullif(concat_ws(' ', """ + B._entry + ", " + B._exit + """), '') AS hora FROM segments WHERE NOT no_change)"""
+truth AS (SELECT sheet_id, row_number() OVER (PARTITION BY sheet_id ORDER BY l_linenumber, line, truth_desc, noise, quantity, truth_hora, merged) AS pos, truth_desc, truth_hora, truth_item, truth_action, truth_resolved, noise, surface FROM sheet_rows),
+timed AS (SELECT sheet_id, row_number() OVER (PARTITION BY sheet_id ORDER BY pos) AS pos, content AS description, nullif(concat_ws(' ', """ + B._entry + ", " + B._exit + """), '') AS hora FROM segments WHERE NOT no_change),
+ran AS (SELECT *, sheet_id % 31 <> 0 AS ran, sheet_id % 4 = 0 AS verified, round((sheet_id * 37 % 101) / 100, 3) AS ocr_confidence, round((sheet_id % 500) / 100, 2) AS elapsed, sheet_id % 29 <> 0 AND truth_n > 0 AS has_occurrence,
+  reason IS NULL AS approvable, len(blockers) = 0 AS exportable, len(pending) AS n_pending FROM states)"""
 
 COMPARED = TRUTH + """,
-compared AS (SELECT m.sheet_id, 'data_turno' AS field, truth_date AS curated, data_turno AS system FROM models m
-  UNION ALL SELECT sheet_id, 'vigilantes', truth_guards, CASE WHEN len(guards) > 0 THEN array_to_string(guards, ', ') END FROM models
-  UNION ALL SELECT sheet_id, 'unidade', truth_unit, unidade FROM models
-  UNION ALL SELECT t.sheet_id, 'ocorrencia_1_descricao', truth_desc, description FROM truth t LEFT JOIN timed s ON s.sheet_id = t.sheet_id AND s.pos = 1 WHERE t.pos = 1),
-normed AS (SELECT sheet_id, field, """ + B.norm("curated") + " AS c, " + B.norm("coalesce(system, '')") + """ AS s FROM compared WHERE curated IS NOT NULL),
+compared AS (SELECT sheet_id, 'data_turno' AS field, truth_date AS curated, data_turno AS system FROM ran
+  UNION ALL SELECT sheet_id, 'vigilantes', truth_guards, CASE WHEN len(guards) > 0 THEN array_to_string(guards, ', ') END FROM ran
+  UNION ALL SELECT sheet_id, 'unidade', truth_unit, unidade FROM ran
+  UNION ALL SELECT t.sheet_id, 'ocorrencia_1_descricao', truth_desc, description FROM truth t JOIN ran USING (sheet_id) LEFT JOIN timed s ON s.sheet_id = t.sheet_id AND s.pos = 1 WHERE t.pos = 1 AND has_occurrence),
+normed AS (SELECT sheet_id, field, """ + B.norm("curated") + " AS c, " + B.norm("coalesce(system, '')") + """ AS s FROM compared WHERE """ + B.strip("curated") + """ <> ''),
 effort AS (SELECT sheet_id, field, CASE WHEN s = '' THEN length(c) ELSE levenshtein(s, c) END::BIGINT AS cost, CASE WHEN s = '' THEN 1.0 ELSE """ + B.cer("c", "s") + """ END AS cer, s = '' AS blank FROM normed),
 scored AS (SELECT *, NOT blank AND cer > 0.5 AS wrong FROM effort)"""
 
-FLAGS = B.STATES + """,
-flagged AS (SELECT *, coalesce(disposition = CASE WHEN truth_n > 0 THEN 'present' ELSE 'none' END AND data_turno IS NOT NULL AND len(guards) > 0 AND unidade IS NOT NULL AND truth_n = occurrences, false) AS parse_success,
-  reason IS NULL AS approvable, len(blockers) = 0 AS exportable FROM states),
-flags AS (SELECT *, truth_n = 0 AND disposition = 'present' AS false_incident, truth_n > 0 AND disposition = 'none' AS missed_incident, disposition = 'unknown' AS unknown_disposition,
-  truth_n > 0 AND disposition <> 'present' AS structural_failure, NOT parse_success AS mismatch, NOT parse_success AND NOT approvable AND NOT exportable AS blocked_mismatch,
-  NOT parse_success AND approvable AS unsafe_approvable, NOT parse_success AND exportable AS unsafe_exportable FROM flagged)"""
-
-
-def both(spark, d):
-    return sheets(spark, d), E.truth_rows(spark, d)
+SCORES = COMPARED + """,
+lines2 AS (SELECT t.*, description, description IS NOT NULL AS read, """ + B.norm("truth_desc") + " AS td, " + B.norm("coalesce(description, '')") + " AS rd, " + B.norm("truth_hora") + " AS th, " + B.norm("coalesce(hora, '')") + """ AS rh FROM truth t LEFT JOIN timed USING (sheet_id, pos)),
+line_scores AS (SELECT *, td <> '' AND rd <> '' AND """ + B.cer("td", "rd") + " <= 0.5 AS desc_ok, th <> '' AND rh <> '' AND " + B.cer("th", "rh") + """ <= 0.5 AS hora_ok FROM lines2),
+by_line AS (SELECT sheet_id, count_if(desc_ok) AS descricao_ok, count_if(td <> '') AS descricao_total, count_if(hora_ok) AS hora_ok, count_if(th <> '') AS hora_total, count_if(noise = 'illegible') AS illegible_fields,
+  count_if(noise = 'illegible' AND NOT desc_ok AND (read OR disposition = 'unknown') AND NOT approvable) AS safe_refusals, count_if(truth_item <> '') AS ceiling_item, count_if(truth_action <> '') AS ceiling_acao, count_if(truth_resolved <> '') AS ceiling_resolvido,
+  string_agg(concat_ws(' ', truth_hora, surface), ' ' ORDER BY pos) AS shown FROM line_scores JOIN ran USING (sheet_id) GROUP BY 1),
+by_field AS (SELECT sheet_id, sum(cost)::BIGINT AS chars_to_type, count_if(wrong) AS n_wrong, count_if(blank) AS n_blank, count(*) AS n_fields FROM scored GROUP BY 1),
+firsts AS (SELECT sheet_id, td AS first FROM line_scores WHERE pos = 1),
+seen AS (SELECT sheet_id, bool_or(td <> '' AND rd <> '' AND """ + B.cer("td", "rd") + """ <= 0.5) AS captured FROM (SELECT t.sheet_id, first AS td, """ + B.norm("coalesce(description, '')") + """ AS rd FROM firsts t JOIN timed USING (sheet_id)) GROUP BY 1),
+flagged AS (SELECT r.*, coalesce(chars_to_type, 0) AS chars_to_type, coalesce(n_wrong, 0) AS n_wrong, coalesce(n_blank, 0) AS n_blank, coalesce(n_fields, 0) AS n_fields, """ + ", ".join(f"coalesce({c}, 0) AS {c}" for c in ("descricao_ok", "descricao_total", "hora_ok", "hora_total", "illegible_fields", "safe_refusals", "ceiling_item", "ceiling_acao", "ceiling_resolvido")) + """,
+  coalesce(disposition = CASE WHEN has_occurrence THEN 'present' ELSE 'none' END AND data_turno IS NOT NULL AND len(guards) > 0 AND unidade IS NOT NULL AND CASE WHEN has_occurrence THEN truth_n ELSE 0 END = occurrences, false) AS parse_success,
+  (has_occurrence AND disposition = 'present')::BIGINT AS represented, (has_occurrence AND disposition = 'present' AND coalesce(captured, false))::BIGINT AS captured2,
+  replace(replace(concat_ws(' ', CASE WHEN sheet_id % 13 = 0 THEN NULL ELSE truth_date END, drawn_guards, CASE WHEN sheet_id % 19 <> 0 THEN truth_unit END, coalesce(shown, '')), '[risc:', ''), ']', '') AS drawn
+  FROM ran r LEFT JOIN by_field USING (sheet_id) LEFT JOIN by_line USING (sheet_id) LEFT JOIN seen USING (sheet_id)),
+flags AS (SELECT *, NOT has_occurrence AND disposition = 'present' AS false_incident, has_occurrence AND disposition = 'none' AS missed_incident, disposition = 'unknown' AS unknown_disposition,
+  has_occurrence AND disposition <> 'present' AS structural_failure, has_occurrence AND disposition = 'none' AS unsafe_clean, false AS false_incident_unreviewed, true AS signal_complete, NOT parse_success AS mismatch,
+  NOT parse_success AND NOT approvable AND NOT exportable AS blocked_mismatch, NOT parse_success AND approvable AS unsafe_approvable, NOT parse_success AND exportable AS unsafe_exportable,
+  (length(text) - length(replace(text, '[ilegivel]', ''))) // 10 AS illegible_tokens, round(""" + B.cer(B.norm("drawn"), B.norm("text")) + """, 4) AS transcription_cer FROM flagged)"""
+
+
+def of(spark, d):
+    return E.scored(E.base_of(spark, d))
 
 
 @query(f"WITH {COMPARED} SELECT sheet_id, field, cost, cer::DOUBLE AS cer, blank, wrong FROM scored")
 def cer_fields(spark, d):
-    return E.effort(E.compared_fields(*both(spark, d))).select("sheet_id", "field", "cost", F.col("cer").cast("double").alias("cer"), "blank", "wrong")
+    return of(spark, d).select("sheet_id", F.inline("effort")).withColumn("cer", F.col("cer").cast("double"))
 
 
-@query(f"WITH {COMPARED} SELECT sheet_id, sum(cost)::BIGINT AS chars_to_type, count_if(wrong) AS wrong, count_if(blank) AS blank, count_if(wrong OR blank) AS corrected, count(*) AS n_fields FROM scored GROUP BY 1")
+@query(f"WITH {SCORES} SELECT sheet_id, chars_to_type, n_wrong AS wrong, n_blank AS blank, n_wrong + n_blank AS corrected, n_fields FROM flags")
 def effort_by_sheet(spark, d):
-    rows = E.effort(E.compared_fields(*both(spark, d)))
-    return rows.groupBy("sheet_id").agg(
-        F.sum("cost").alias("chars_to_type"), F.count_if("wrong").alias("wrong"), F.count_if("blank").alias("blank"), F.count_if(F.col("wrong") | F.col("blank")).alias("corrected"), F.count("*").alias("n_fields")
-    )
+    s = of(spark, d)
+    return s.select("sheet_id", "chars_to_type", F.col("n_wrong").alias("wrong"), F.col("n_blank").alias("blank"), (F.col("n_wrong") + F.col("n_blank")).alias("corrected"), F.size("effort").cast("long").alias("n_fields"))
 
 
-@query(
-    f"""WITH {TRUTH}, scored AS (SELECT t.*, description IS NOT NULL AS read, {B.matches('truth_desc', "coalesce(description, '')")} AS desc_ok, {B.matches('truth_hora', "coalesce(hora, '')")} AS hora_ok FROM truth t LEFT JOIN timed USING (sheet_id, pos))
-SELECT noise, count(*) AS n, count_if(read) AS n_read, count_if(desc_ok) AS desc_ok, count_if(hora_ok) AS hora_ok, avg(desc_ok::INT) AS desc_rate FROM scored GROUP BY 1"""
-)
+@query(f"WITH {SCORES} SELECT noise, count(*) AS n, count_if(read) AS n_read, count_if(desc_ok) AS desc_ok, count_if(hora_ok) AS hora_ok, round(count_if(desc_ok) / count(*), 4) AS desc_rate FROM line_scores GROUP BY 1")
 def row_metrics(spark, d):
-    rows = E.row_metrics(*both(spark, d))
-    return rows.groupBy("noise").agg(
-        F.count("*").alias("n"), F.count_if("read").alias("n_read"), F.count_if("desc_ok").alias("desc_ok"), F.count_if("hora_ok").alias("hora_ok"), F.avg(F.col("desc_ok").cast("int")).alias("desc_rate")
+    n = F.count("*")
+    return E.row_metrics(of(spark, d)).groupBy("noise").agg(
+        n.alias("n"), F.count_if("read").alias("n_read"), F.count_if("desc_ok").alias("desc_ok"), F.count_if("hora_ok").alias("hora_ok"), forms.rate(F.count_if("desc_ok"), n).alias("desc_rate")
     )
 
 
-@query(
-    f"""WITH {TRUTH}, planted AS (SELECT t.*, {B.matches('truth_desc', "coalesce(description, '')")} AS recovered, description IS NOT NULL OR disposition = 'unknown' AS signalled, reason IS NOT NULL AS held
-  FROM truth t LEFT JOIN timed USING (sheet_id, pos) JOIN states USING (sheet_id) WHERE noise = 'illegible')
-SELECT count(*) AS illegible_fields, count_if(NOT recovered AND signalled AND held) AS safe_refusals FROM planted"""
-)
+@query(f"WITH {SCORES} SELECT count(*) AS n_ran, sum(ceiling_item)::BIGINT AS item_present, sum(ceiling_acao)::BIGINT AS acao_present, sum(ceiling_resolvido)::BIGINT AS resolvido_present FROM flags WHERE ran")
+def parser_ceiling(spark, d):
+    """Values of the truth that no rule reads: what a better reader could gain."""
+    return of(spark, d).where("ran").agg(F.count("*").alias("n_ran"), *(F.sum(f"ceiling_{c}").alias(f"{c}_present") for c in ("item", "acao", "resolvido")))
+
+
+@query(f"WITH {SCORES} SELECT sum(illegible_fields)::BIGINT AS illegible_fields, sum(safe_refusals)::BIGINT AS safe_refusals FROM flags")
 def refusal_metrics(spark, d):
-    base, truth = both(spark, d)
-    planted = E.row_metrics(base, truth).where("noise = 'illegible'").join(critic.states(base).select("sheet_id", "disposition", "reason"), "sheet_id")
-    safe = ~F.col("desc_ok") & (F.col("read") | (F.col("disposition") == "unknown")) & F.col("reason").isNotNull()
-    return planted.agg(F.count("*").alias("illegible_fields"), F.count_if(safe).alias("safe_refusals"))
+    return of(spark, d).agg(F.sum("illegible_fields").alias("illegible_fields"), F.sum("safe_refusals").alias("safe_refusals"))
 
 
-@query(f"WITH {FLAGS} SELECT sheet_id, parse_success, false_incident, missed_incident, structural_failure, blocked_mismatch, unsafe_approvable, unsafe_exportable FROM flags")
+_FLAGS = ", ".join(("parse_success", *E.FLAGS))
+
+
+@query(f"WITH {SCORES} SELECT sheet_id, {_FLAGS} FROM flags")
 def safety_flags(spark, d):
-    return E.flags(sheets(spark, d)).select("sheet_id", "parse_success", "false_incident", "missed_incident", "structural_failure", "blocked_mismatch", "unsafe_approvable", "unsafe_exportable")
+    return of(spark, d).select("sheet_id", "parse_success", *E.FLAGS)
+
 
+@query(f"WITH {SCORES} SELECT sheet_id, transcription_cer::DOUBLE AS transcription_cer, illegible_tokens::BIGINT AS illegible_tokens FROM flags")
+def transcription_cer(spark, d):
+    """The whole text read against the whole text drawn."""
+    return of(spark, d).select("sheet_id", "transcription_cer", "illegible_tokens")
 
-_COUNTS = ", ".join(f"count_if({c}) AS {c}_count" for c in E.COUNTED)
-BUCKETS = FLAGS + f""",
-counted AS (SELECT difficulty, template, (grouping(difficulty) * 2 + grouping(template))::BIGINT AS level, count(*) AS n_ran, {_COUNTS} FROM flags GROUP BY GROUPING SETS ((), (difficulty), (template))),
-buckets AS (SELECT *, parse_success_count / nullif(n_ran, 0) AS parse_success_rate, coalesce(blocked_mismatch_count / nullif(mismatch_count, 0), 1.0) AS safe_review_recall FROM counted)"""
+
+_COUNTS = ", ".join(f"count_if({c}) AS {c}_count" for c in E.FLAGS)
+_ACC = ", ".join(f"round(sum({n}) / nullif(sum({m}), 0), 4)::DOUBLE AS {name}" for n, m, name in (("descricao_ok", "descricao_total", "descricao_acc"), ("hora_ok", "hora_total", "hora_acc"), ("safe_refusals", "illegible_fields", "safe_illegible_refusal_rate")))
+BUCKETS = SCORES + f""",
+counted AS (SELECT difficulty, template, (grouping(difficulty) * 2 + grouping(template))::BIGINT AS level, count(*) AS n_ran, count_if(parse_success) AS parse_success_count, sum(chars_to_type)::BIGINT AS chars_to_type_total, {_COUNTS}, {_ACC},
+  round(avg(transcription_cer), 4) AS transcription_cer_mean FROM flags WHERE ran GROUP BY GROUPING SETS ((), (difficulty), (template))),
+buckets AS (SELECT *, round(parse_success_count / nullif(n_ran, 0), 4) AS parse_success_rate, coalesce(round(blocked_mismatch_count / nullif(mismatch_count, 0), 4), 1.0) AS safe_review_recall,
+  coalesce(round((structural_failure_count - unsafe_clean_count) / nullif(structural_failure_count, 0), 4), 1.0) AS structural_disposition_recall FROM counted)"""
 
 
 @query(f"WITH {BUCKETS} SELECT * FROM buckets")
 def eval_grouping_sets(spark, d):
-    return E.buckets(E.flags(sheets(spark, d)))
+    return E.buckets(of(spark, d))
 
 
 @query(f"WITH {BUCKETS} SELECT level, sum(n_ran)::BIGINT AS n_ran, sum(parse_success_count)::BIGINT AS parse_success, sum(mismatch_count)::BIGINT AS mismatch, sum(n_ran) = (SELECT n_ran FROM buckets WHERE level = 3) AS reconciles FROM buckets GROUP BY level")
 def bucket_reconcile(spark, d):
-    rows = E.buckets(E.flags(sheets(spark, d)))
+    rows = E.buckets(of(spark, d))
     sums = rows.groupBy("level").agg(F.sum("n_ran").alias("n_ran"), F.sum("parse_success_count").alias("parse_success"), F.sum("mismatch_count").alias("mismatch"))
     whole = rows.where("level = 3").select(F.col("n_ran").alias("whole"))  # one row
     return sums.crossJoin(F.broadcast(whole)).withColumn("reconciles", F.col("n_ran") == F.col("whole")).drop("whole")
 
 
 @query(
-    f"""WITH {BUCKETS} SELECT array_to_string(list_filter([CASE WHEN n_ran = 0 THEN 'coverage' END, CASE WHEN unsafe_approvable_count > 0 THEN 'unsafe_approvable' END, CASE WHEN unsafe_exportable_count > 0 THEN 'unsafe_exportable' END,
-  CASE WHEN missed_incident_count > 0 THEN 'missed_incident' END, CASE WHEN safe_review_recall < 1 THEN 'safe_review_recall' END], lambda x: x IS NOT NULL), ',') AS failures FROM buckets WHERE level = 3"""
+    f"""WITH {BUCKETS} SELECT array_to_string(list_filter([CASE WHEN n = 0 OR n_ran <> n THEN 'coverage' END, CASE WHEN signal_complete_count <> n_ran THEN 'completeness' END,
+  CASE WHEN false_incident_unreviewed_count > 0 THEN 'false_incident_unreviewed' END, CASE WHEN unsafe_clean_count > 0 THEN 'unsafe_clean' END, CASE WHEN unsafe_approvable_count > 0 THEN 'unsafe_approvable' END,
+  CASE WHEN unsafe_exportable_count > 0 THEN 'unsafe_exportable' END, CASE WHEN safe_review_recall <> 1 THEN 'safe_review_recall' END], lambda x: x IS NOT NULL), ',') AS failures FROM buckets, (SELECT count(*) AS n FROM sheets) WHERE level = 3"""
 )
 def safety_gate_result(spark, d):
-    rows = E.buckets(E.flags(sheets(spark, d))).where("level = 3")
-    gates = [("coverage", F.col("n_ran") == 0), ("unsafe_approvable", F.col("unsafe_approvable_count") > 0), ("unsafe_exportable", F.col("unsafe_exportable_count") > 0), ("missed_incident", F.col("missed_incident_count") > 0), ("safe_review_recall", F.col("safe_review_recall") < 1)]
-    return rows.select(F.array_join(F.array_compact(F.array(*(F.when(F.coalesce(bad, F.lit(True)), F.lit(n)) for n, bad in gates))), ",").alias("failures"))
+    s = of(spark, d)
+    whole = s.agg(F.count("*").alias("n_sheets"))  # one row
+    rows = E.buckets(s).where("level = 3").crossJoin(F.broadcast(whole))
+    return rows.select(F.array_join(E.gate_failures(rows, F.col("n_sheets"), F.col("n_ran")), ",").alias("failures"))
+
+
+_RULES = """[CASE WHEN mismatch_count > n_ran OR signal_complete_count > n_ran OR approvable_count > n_ran OR exportable_count > n_ran THEN 'count_above_coverage' END, CASE WHEN signal_complete_count <> n_ran THEN 'signal' END,
+ CASE WHEN blocked_mismatch_count > mismatch_count THEN 'blocked' END, CASE WHEN unsafe_clean_count <> missed_incident_count THEN 'unsafe_clean' END, CASE WHEN missed_incident_count > structural_failure_count THEN 'missed' END,
+ CASE WHEN structural_failure_count - missed_incident_count > unknown_disposition_count THEN 'structural' END, CASE WHEN missed_incident_count + unknown_disposition_count + false_incident_count > n_ran THEN 'outcomes' END,
+ CASE WHEN greatest(false_incident_count, missed_incident_count, unknown_disposition_count, structural_failure_count) > mismatch_count THEN 'within_mismatch' END,
+ CASE WHEN blocked_mismatch_count + unsafe_approvable_count + unsafe_exportable_count - mismatch_count NOT BETWEEN 0 AND least(unsafe_approvable_count, unsafe_exportable_count) THEN 'overlap' END,
+ CASE WHEN approvable_count - unsafe_approvable_count NOT BETWEEN 0 AND n_ran - mismatch_count THEN 'approvable' END, CASE WHEN exportable_count - unsafe_exportable_count NOT BETWEEN 0 AND n_ran - mismatch_count THEN 'exportable' END]"""
+
+
+@query(f"WITH {BUCKETS} SELECT level, difficulty, template, array_to_string(list_filter({_RULES}, lambda x: x IS NOT NULL), ',') AS broken FROM buckets")
+def metric_consistency(spark, d):
+    rows = E.buckets(of(spark, d))
+    return rows.select("level", "difficulty", "template", F.array_join(E.inconsistencies(rows), ",").alias("broken"))
 
 
 @query(
@@ -124,52 +160,88 @@ SELECT array_to_string(list_filter([CASE WHEN NOT parse_success_rate >= 0.3 THEN
   CASE WHEN parse_success_rate >= 0.3 AND false_incident_count <= 6 AND missed_incident_count <= 0 AND structural_failure_count <= 10 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM top"""
 )
 def verdict_criteria(spark, d):
-    top = E.buckets(E.flags(sheets(spark, d))).where("level = 3")
+    top = E.buckets(of(spark, d)).where("level = 3")
     names = ["parse_success_rate", "false_incident_count", "missed_incident_count", "structural_failure_count"]
     metrics = top.select(F.inline(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names))))
     return E.verdict(metrics, [(names[0], ">=", 0.3), (names[1], "<=", 6.0), (names[2], "<=", 0.0), (names[3], "<=", 10.0)])
 
 
-ERRORS = COMPARED + FLAGS[len(B.STATES) :] + """,
+ERRORS = SCORES + """,
 errors AS (SELECT sheet_id, CASE WHEN blank THEN 'FIELD_NOT_FOUND' ELSE 'OCR_MISS' END AS type, field FROM scored WHERE (blank OR wrong) AND field <> 'ocorrencia_1_descricao'
   UNION ALL SELECT sheet_id, 'FALSE_INCIDENT', 'ocorrencias' FROM flags WHERE false_incident UNION ALL SELECT sheet_id, 'MISSED_INCIDENT', 'ocorrencias' FROM flags WHERE missed_incident
-  UNION ALL SELECT sheet_id, 'TABLE_ROW_SPLIT_ERROR', 'ocorrencias' FROM flags WHERE truth_n > 0 AND truth_n > occurrences UNION ALL SELECT sheet_id, 'NEEDS_HUMAN_REVIEW', name FROM fields WHERE must_review),
+  UNION ALL SELECT sheet_id, 'TABLE_ROW_SPLIT_ERROR', 'ocorrencias' FROM flags WHERE has_occurrence AND truth_n > occurrences UNION ALL SELECT sheet_id, 'NEEDS_HUMAN_REVIEW', name FROM fields WHERE must_review),
 severe AS (SELECT *, CASE type WHEN 'FALSE_INCIDENT' THEN 'BLOCKER' WHEN 'MISSED_INCIDENT' THEN 'BLOCKER' WHEN 'TABLE_ROW_SPLIT_ERROR' THEN 'HIGH' WHEN 'NEEDS_HUMAN_REVIEW' THEN 'LOW' ELSE 'MEDIUM' END AS severity FROM errors)"""
 
 
 @query(f"WITH {ERRORS} SELECT type, severity, count(*) AS n, count(DISTINCT sheet_id) AS n_sheets FROM severe GROUP BY ALL")
 def error_taxonomy(spark, d):
-    return E.errors(*both(spark, d)).groupBy("type", "severity").agg(F.count("*").alias("n"), F.countDistinct("sheet_id").alias("n_sheets"))
+    return E.error_counts(E.errors(of(spark, d))).groupBy("type", "severity").agg(F.sum("n").alias("n"), F.count("*").alias("n_sheets"))
 
 
 @query(f"WITH {ERRORS} SELECT sheet_id, count_if(severity = 'BLOCKER') AS blocker, count_if(severity = 'HIGH') AS high, count_if(severity = 'MEDIUM') AS medium, count_if(severity = 'LOW') AS low FROM severe GROUP BY 1")
 def error_severity(spark, d):
-    rows = E.errors(*both(spark, d)).groupBy("sheet_id").pivot("severity", ["BLOCKER", "HIGH", "MEDIUM", "LOW"]).agg(F.count(F.lit(1))).fillna(0)
-    return rows.select("sheet_id", *(F.col(x).alias(x.lower()) for x in ("BLOCKER", "HIGH", "MEDIUM", "LOW")))
+    s = E.errors(of(spark, d))
+    n = lambda x: F.size(F.filter("errors", lambda e: e["type"].isin(*(t for t, how in E.SEVERITY.items() if how == x)))).cast("long")
+    return s.where(F.size("errors") > 0).select("sheet_id", *(n(x).alias(x.lower()) for x in ("BLOCKER", "HIGH", "MEDIUM", "LOW")))
+
+
+@query(
+    f"""WITH {SCORES}, first_read AS (SELECT sheet_id, {B.norm('description')} AS seen FROM timed WHERE pos = 1), j AS (SELECT f.*, seen, first FROM flags f LEFT JOIN first_read USING (sheet_id) LEFT JOIN firsts USING (sheet_id)),
+single AS (SELECT sheet_id, CASE WHEN blank THEN 'FIELD_NOT_FOUND' ELSE 'OCR_MISS' END AS type FROM scored WHERE (blank OR wrong) AND field <> 'ocorrencia_1_descricao'
+  UNION ALL SELECT sheet_id, 'FALSE_INCIDENT' FROM j WHERE NOT has_occurrence AND seen IS NOT NULL AND seen NOT IN ('', 's a', 'sa')
+  UNION ALL SELECT sheet_id, 'MISSED_INCIDENT' FROM j WHERE has_occurrence AND NOT coalesce({B.cer('first', 'seen')} <= 0.5, false)
+  UNION ALL SELECT sheet_id, 'TABLE_ROW_SPLIT_ERROR' FROM j WHERE has_occurrence AND truth_n > 1 UNION ALL SELECT sheet_id, 'NEEDS_HUMAN_REVIEW' FROM fields WHERE must_review)
+SELECT type, count(*) AS n, count(DISTINCT sheet_id) AS n_sheets FROM single GROUP BY 1"""
+)
+def error_taxonomy_single(spark, d):
+    return E.error_counts(E.single_errors(of(spark, d))).groupBy("type").agg(F.sum("n").alias("n"), F.count("*").alias("n_sheets"))
 
 
 @query(
-    f"""WITH {FLAGS}, seen AS (SELECT split, CASE WHEN sheet_id % 3 <> 0 THEN round(least(1, no_changes + occurrences) * 1.0 / greatest(len(pending), 1), 3) END AS ratio, len(pending) AS waiting, truth_n FROM flags)
-SELECT split, count(*) AS n_sheets, sum(waiting)::BIGINT AS waiting, sum(ratio * waiting) / nullif(sum(CASE WHEN ratio IS NOT NULL THEN waiting END), 0) AS repairable_ratio, count(*) < 10 AS directional FROM seen GROUP BY 1"""
+    f"""WITH {SCORES}, st AS (SELECT status, count(*) AS n FROM fields JOIN ran USING (sheet_id) WHERE ran GROUP BY 1)
+SELECT count(*) AS n_sheets, count_if(ran) AS n_ran, count_if(verified) AS n_verified, sum(CASE WHEN ran THEN truth_n END)::BIGINT AS curated, sum(CASE WHEN ran THEN represented END)::BIGINT AS represented, sum(CASE WHEN ran THEN captured2 END)::BIGINT AS captured,
+  coalesce((SELECT n FROM st WHERE status = 'accepted'), 0) AS accepted, coalesce((SELECT n FROM st WHERE status = 'must_review'), 0) AS must_review, coalesce((SELECT n FROM st WHERE status = 'missing'), 0) AS missing,
+  coalesce(round(avg(CASE WHEN ran THEN ocr_confidence END), 3), 0.0) AS mean_confidence FROM flags"""
+)
+def run_totals(spark, d):
+    """Sums of a whole run: occurrences in the truth, represented and captured; fields by status; mean confidence of the reader."""
+    s = of(spark, d)
+    statuses = F.transform(critic.field_list(s), lambda f: f["status"])
+    ran = F.col("ran")
+    total = lambda c: F.sum(F.when(ran, F.col(c).cast("long")))
+    n = lambda x: F.sum(F.when(ran, F.size(F.filter("statuses", lambda y: y == x)).cast("long")))
+    return s.withColumn("statuses", statuses).agg(
+        F.count("*").alias("n_sheets"), F.count_if(ran).alias("n_ran"), F.count_if("verified").alias("n_verified"), total("truth_n").alias("curated"), total("represented").alias("represented"), total("captured").alias("captured"),
+        *(n(x).alias(x) for x in ("accepted", "must_review", "missing")), F.coalesce(F.round(F.avg(F.when(ran, F.col("ocr_confidence"))), 3), F.lit(0.0)).alias("mean_confidence"),
+    )
+
+
+@query(
+    f"""WITH {SCORES}, placed AS (SELECT sheet_id, count(*) AS waiting, count_if(value IS NOT NULL AND {B.strip('value')} <> '' AND value NOT LIKE '(%') AS known FROM fields WHERE must_review GROUP BY 1),
+ratios AS (SELECT sheet_id, round(known / nullif(waiting, 0), 3) AS ratio FROM placed)
+SELECT split, count(*) AS n_sheets, count_if(ran) AS n_ran, count_if(verified) AS n_verified, count_if(verified) < 10 AS directional, round(count_if(ran AND parse_success) / nullif(count_if(ran), 0), 3) AS parse_success_rate,
+  coalesce(sum(CASE WHEN ran THEN chars_to_type END), 0)::BIGINT AS chars_to_type, coalesce(sum(CASE WHEN ran THEN n_wrong END), 0)::BIGINT AS wrong, coalesce(sum(CASE WHEN ran THEN n_blank END), 0)::BIGINT AS blank,
+  coalesce(sum(CASE WHEN ran THEN n_pending END), 0)::BIGINT AS waiting, coalesce(sum(CASE WHEN ran THEN illegible_tokens END), 0)::BIGINT AS illegible, round(avg(CASE WHEN ran THEN elapsed END), 2) AS mean_elapsed,
+  round(sum(CASE WHEN ran AND n_pending > 0 THEN ratio * n_pending END) / nullif(sum(CASE WHEN ran AND ratio IS NOT NULL AND n_pending > 0 THEN n_pending END), 0), 3) AS repairable_ratio
+FROM flags LEFT JOIN ratios USING (sheet_id) GROUP BY 1"""
 )
 def public_run_weighted(spark, d):
-    """Ratios of sheets, weighted by the fields that wait in each; sheets without a ratio have no weight."""
-    s = critic.states(sheets(spark, d))
-    some = F.least(F.lit(1), F.col("no_changes") + F.col("occurrences")) * 1.0 / F.greatest(F.size("pending"), F.lit(1))
-    s = s.select("split", F.size("pending").alias("waiting"), F.when(F.col("sheet_id") % 3 != 0, F.round(some, 3)).alias("ratio"))
-    weight = F.sum(F.when(F.col("ratio").isNotNull(), F.col("waiting")))
-    return s.groupBy("split").agg(F.count("*").alias("n_sheets"), F.sum("waiting").alias("waiting"), F.try_divide(F.sum(F.col("ratio") * F.col("waiting")), weight).alias("repairable_ratio"), (F.count("*") < 10).alias("directional"))
+    """A run's public figures; the fields' places are those of their words in the sheet's text."""
+    s = of(spark, d)
+    fields = W.attach_evidence(s.select("sheet_id", F.inline(critic.field_list(s))).withColumnRenamed("sheet_id", "doc_id"), W.of_lines(s.select(F.col("sheet_id").alias("doc_id"), "text")))
+    return E.public_run(s, E.repairable(fields.withColumnRenamed("doc_id", "sheet_id")), "split")
 
 
 def _two_runs(spark, d):
-    rows = E.effort(E.compared_fields(*both(spark, d))).select("sheet_id", "field", (~F.col("blank") & ~F.col("wrong")).alias("correct"), "cost")
-    a = rows.where("sheet_id % 5 <> 0").select("sheet_id", "field", (F.col("correct") & (F.col("sheet_id") % 4 != 1)).alias("a_ok"), F.col("cost").alias("a_cost"))
-    b = rows.where("sheet_id % 7 <> 0").select("sheet_id", "field", F.col("correct").alias("b_ok"), F.col("cost").alias("b_cost"))
+    rows = of(spark, d).select("sheet_id", "parse_success", F.inline("effort")).select("sheet_id", "parse_success", "field", (~F.col("blank") & ~F.col("wrong")).alias("correct"), "cost")
+    a = rows.where("sheet_id % 5 <> 0").select("sheet_id", "field", "parse_success", (F.col("correct") & (F.col("sheet_id") % 4 != 1)).alias("a_ok"), F.col("cost").alias("a_cost"))
+    b = rows.where("sheet_id % 7 <> 0").select("sheet_id", "field", (F.col("parse_success") & (F.col("sheet_id") % 6 != 0)).alias("b_success"), F.col("correct").alias("b_ok"), F.col("cost").alias("b_cost"))
     return a.join(b, ["sheet_id", "field"])
 
 
-PAIRED = COMPARED + """,
-a AS (SELECT sheet_id, field, NOT blank AND NOT wrong AND sheet_id % 4 <> 1 AS a_ok, cost AS a_cost FROM scored WHERE sheet_id % 5 <> 0), b AS (SELECT sheet_id, field, NOT blank AND NOT wrong AS b_ok, cost AS b_cost FROM scored WHERE sheet_id % 7 <> 0),
+PAIRED = SCORES + """,
+pairs0 AS (SELECT s.*, parse_success FROM scored s JOIN flags USING (sheet_id)),
+a AS (SELECT sheet_id, field, parse_success, NOT blank AND NOT wrong AND sheet_id % 4 <> 1 AS a_ok, cost AS a_cost FROM pairs0 WHERE sheet_id % 5 <> 0), b AS (SELECT sheet_id, field, parse_success AND sheet_id % 6 <> 0 AS b_success, NOT blank AND NOT wrong AS b_ok, cost AS b_cost FROM pairs0 WHERE sheet_id % 7 <> 0),
 paired AS (SELECT * FROM a JOIN b USING (sheet_id, field))"""
 
 
@@ -179,11 +251,20 @@ def paired_compare(spark, d):
     return _two_runs(spark, d).groupBy("field").agg(F.count_if(a & b).alias("both"), F.count_if(a & ~b).alias("only_a"), F.count_if(~a & b).alias("only_b"), F.count_if(~a & ~b).alias("neither"))
 
 
-@query(f"WITH {PAIRED} SELECT count_if(NOT a_ok AND b_ok) - count_if(a_ok AND NOT b_ok) AS margin, count_if(NOT a_ok AND b_ok) - count_if(a_ok AND NOT b_ok) >= 2 AS margin_ok, sum(b_cost) < sum(a_cost) AS chars_ok, count(DISTINCT sheet_id) AS n_sheets FROM paired")
+@query(
+    f"""WITH {PAIRED}, one AS (SELECT sheet_id, any_value(parse_success) AS a_success, any_value(b_success) AS b_success FROM paired GROUP BY 1)
+SELECT count_if(NOT a_ok AND b_ok) - count_if(a_ok AND NOT b_ok) AS margin, count_if(NOT a_ok AND b_ok) - count_if(a_ok AND NOT b_ok) >= 2 AS margin_ok, sum(b_cost) < sum(a_cost) AS chars_ok, count(DISTINCT sheet_id) AS n_sheets,
+  (SELECT count_if(b_success) >= count_if(a_success) FROM one) AS rate_ok FROM paired"""
+)
 def paired_gate(spark, d):
     a, b = F.col("a_ok"), F.col("b_ok")
-    margin = F.count_if(~a & b) - F.count_if(a & ~b)
-    return _two_runs(spark, d).agg(margin.alias("margin"), (margin >= 2).alias("margin_ok"), (F.sum("b_cost") < F.sum("a_cost")).alias("chars_ok"), F.countDistinct("sheet_id").alias("n_sheets"))
+    per = _two_runs(spark, d).groupBy("sheet_id").agg(
+        (F.count_if(~a & b) - F.count_if(a & ~b)).alias("m"), F.sum("a_cost").alias("a_cost"), F.sum("b_cost").alias("b_cost"), F.bool_or("parse_success").alias("a_success"), F.bool_or("b_success").alias("b_success")
+    )
+    return per.agg(
+        F.sum("m").alias("margin"), (F.sum("m") >= 2).alias("margin_ok"), (F.sum("b_cost") < F.sum("a_cost")).alias("chars_ok"), F.count("*").alias("n_sheets"),
+        (F.count_if("b_success") >= F.count_if("a_success")).alias("rate_ok"),
+    )
 
 
 @query("SELECT count(*) AS n, coalesce(avg((quality = toxic)::INT), 0.0) AS accuracy FROM labels")
@@ -213,20 +294,35 @@ def clf_macro_f1(spark, d):
     return E.prf(table(spark, d, "labels"), [0, 1, 2], "quality", "toxic").agg(F.avg("f1").alias("macro_f1"))
 
 
-@query(f"WITH {TRUTH} SELECT t.sheet_id, t.pos, {B.cer(B.norm('truth_desc'), B.norm('description'))}::DOUBLE AS cer FROM truth t JOIN timed USING (sheet_id, pos)")
+@query(f"WITH {SCORES} SELECT sheet_id, pos, {B.cer('td', 'rd')}::DOUBLE AS cer FROM line_scores WHERE read")
 def cer_rows(spark, d):
-    base, truth = both(spark, d)
-    joined = truth.join(E.system_rows(base), ["sheet_id", "pos"])
-    return joined.select("sheet_id", "pos", cer(norm(F.col("truth_desc")), norm(F.col("description"))).cast("double").alias("cer"))
+    return E.row_metrics(of(spark, d)).where("read").select("sheet_id", "pos", cer(F.col("td"), F.col("rd")).cast("double").alias("cer"))
+
+
+def _wer(a: str, b: str) -> str:
+    """Words become characters, which the distance compares; up to ninety different ones."""
+    known = f"list_distinct(list_concat({a}, {b}))"
+    spelled = lambda x: f"array_to_string(list_transform({x}, lambda w: chr((33 + list_position(k, w))::INT)), '')"
+    return f"SELECT *, CASE WHEN len({a}) = 0 THEN CASE WHEN len({b}) = 0 THEN 0.0 ELSE 1.0 END ELSE levenshtein({spelled(a)}, {spelled(b)}) / len({a}) END AS wer FROM (SELECT *, {known} AS k FROM words2)"
+
+
+WORDS2 = "list_filter(string_split({}, ' '), lambda w: w <> '')"
 
 
-@query(None)
+@query(f"WITH {SCORES}, words2 AS (SELECT sheet_id, pos, {WORDS2.format('td')} AS a, {WORDS2.format('rd')} AS b FROM line_scores), w AS ({_wer('a', 'b')}) SELECT sheet_id, pos, wer::DOUBLE AS wer FROM w")
 def wer_rows(spark, d):
-    """Word error rate of each row read; distances in words need Python."""
-    base, truth = both(spark, d)
-    joined = truth.join(E.system_rows(base), ["sheet_id", "pos"])
-    words = F.size(F.split("truth_desc", " "))
-    return joined.select("sheet_id", "pos", (token_distance(norm(F.col("truth_desc")), norm(F.col("description"))) / words).alias("wer"), as_text(F.col("description")).alias("description"))
+    """Word error rate of each true row; what wasn't read is an empty text."""
+    return E.row_metrics(of(spark, d)).select("sheet_id", "pos", wer(F.col("td"), F.col("rd")).cast("double").alias("wer"))
+
+
+@query(
+    f"""WITH {SCORES}, firsts2 AS (SELECT sheet_id, td, rd FROM line_scores WHERE pos = 1 ORDER BY sheet_id LIMIT 50), words2 AS (SELECT *, {WORDS2.format('td')} AS a, {WORDS2.format('rd')} AS b FROM firsts2), w AS ({_wer('a', 'b')})
+SELECT count(*) AS n, avg({B.cer('td', 'rd')}) AS mean_cer, avg(wer) AS mean_wer FROM w"""
+)
+def reader_rates(spark, d):
+    """Mean error rates over the first fifty pairs, as a benchmark of a reader takes them; the limit is the feature."""
+    pairs = E.row_metrics(of(spark, d)).where("pos = 1")
+    return E.mean_rates(pairs, 50, "sheet_id", "td", "rd")
 
 
 @query(f"WITH {B.FIELDS} SELECT status, count(*) AS n, avg(confidence)::DOUBLE AS mean_confidence, min(confidence)::DOUBLE AS least_confidence FROM fields GROUP BY 1")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import forms, generate, manifest, privacy
-from ..sources.sheets import sheet_rows, sheets, table
+from ..operators import forms, manifest, privacy
+from ..sources.sheets import sheets, table
 from . import base_sql as B
 
 QUERIES, ORACLES = {}, {}
@@ -21,8 +21,12 @@ def query(sql: str | None):
     return add
 
 
+#: Names that a scan of made texts finds.
+ORGANIZATIONS = ("apache", "tion de")
+
+
 def _tests(terms=("the heon",)) -> str:
-    each = [f"CASE WHEN regexp_matches(t, '{p}') THEN '{c}' END" for c, p in privacy.PATTERNS]
+    each = [f"CASE WHEN regexp_matches(t, '{p}') THEN '{c}' END" for c, p in privacy.patterns(ORGANIZATIONS)]
     each += [f"CASE WHEN contains(lower(t), '{x.lower()}') THEN 'private-term' END" for x in terms]
     return "list_filter([" + ", ".join(each) + "], lambda x: x IS NOT NULL)"
 
@@ -33,15 +37,15 @@ findings AS (SELECT doc_id AS id, line, unnest({_tests()}) AS category FROM spli
 
 @query(f"WITH {FINDINGS} SELECT id, line, category FROM findings")
 def pii_lines(spark, d):
-    return privacy.findings(table(spark, d, "documents"), ("the heon",))
+    return privacy.findings(table(spark, d, "documents"), ("the heon",), ORGANIZATIONS)
 
 
 @query(f"WITH {FINDINGS} SELECT category, count(*) AS n, count(DISTINCT id) AS n_docs FROM findings GROUP BY 1")
 def pii_by_category(spark, d):
-    return privacy.findings(table(spark, d, "documents"), ("the heon",)).groupBy("category").agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_docs"))
+    return privacy.findings(table(spark, d, "documents"), ("the heon",), ORGANIZATIONS).groupBy("category").agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_docs"))
 
 
-@query(f"WITH {B.SHEETS}, cut AS (SELECT sheet_id, unnest(string_split(text, chr(10))) AS t FROM sheets) SELECT sheet_id, count(*) AS n_lines FROM cut WHERE regexp_matches(t, '{privacy.PATTERNS[0][1]}') GROUP BY 1")
+@query(f"WITH {B.SHEETS}, cut AS (SELECT sheet_id, unnest(string_split(text, chr(10))) AS t FROM sheets) SELECT sheet_id, count(*) AS n_lines FROM cut WHERE regexp_matches(t, '{privacy.CLOCK[1]}') GROUP BY 1")
 def sheet_clock_lines(spark, d):
     rows = privacy.findings(sheets(spark, d), id_col="sheet_id").where("category = 'clock-time'")
     return rows.groupBy(F.col("id").alias("sheet_id")).agg(F.count("*").alias("n_lines"))
@@ -76,16 +80,6 @@ def manifest_diff(spark, d):
     return manifest.difference(docs.where("doc_id % 10 <> 0"), current)
 
 
-@query(
-    """WITH r AS (SELECT sha256(doc_id || chr(31) || coalesce(lang, chr(0)) || chr(31) || coalesce(source, chr(0))) AS h FROM documents),
-s AS (SELECT count(*) AS n, """
-    + ", ".join(f"sum(('0x' || substr(h, {1 + 13 * i}, 13))::HUGEINT) AS s{i}" for i in range(4))
-    + " FROM r) SELECT n AS n_rows, sha256(concat_ws(':', n, s0, s1, s2, s3)) AS sha FROM s"
-)
-def canonical_hash(spark, d):
-    return manifest.canonical_hash(table(spark, d, "documents"), "doc_id", ["lang", "source"])
-
-
 @query(
     r"""WITH p AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'pngs/tc-' || lpad(page_id::VARCHAR, 6, '0') || '.png' WHEN 1 THEN '../up/' || page_id WHEN 2 THEN '/abs/' || page_id WHEN 3 THEN 'c:\x' || page_id ELSE 'a/../b' END AS path FROM pages)
 SELECT page_id, path, path <> '' AND NOT regexp_matches(path, '^/|(^|/)\.\.(/|$)|[\\:]') AS portable FROM p"""
@@ -119,11 +113,6 @@ def prefix_join_manifest(spark, d):
     return manifest.prefix_lookup(ids, files)
 
 
-@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
-def review_status_filter(spark, d):
-    return table(spark, d, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select("o_orderkey", "o_orderpriority")
-
-
 @query("WITH old AS (SELECT lang, 'a' AS run, count(*) AS n FROM documents GROUP BY 1), new AS (SELECT lang, 'b' AS run, count(*) AS n FROM documents WHERE lang IN ('en', 'fr') GROUP BY 1) SELECT * FROM old WHERE lang NOT IN (SELECT lang FROM new) UNION ALL SELECT * FROM new")
 def summary_upsert(spark, d):
     docs = table(spark, d, "documents")
@@ -139,86 +128,36 @@ def contiguous_pages(spark, d):
     return n.join(manifest.contiguous(pages, "user_id", "page"), "user_id")
 
 
-@query(None)
-def strict_json_events(spark, d):
-    """Duplicate keys are seen by Python's parser alone."""
-    broken = F.when(F.col("event_id") % 50 == 0, F.concat(F.lit('{"a": 1, "a": 2, "x": '), F.col("props"), F.lit("}"))).when(F.col("event_id") % 77 == 0, F.lit('{"v": NaN}')).otherwise(F.col("props"))
-    return table(spark, d, "events").select("event_id", manifest.strict_json(broken).alias("verdict"))
-
-
-def _draw(key: str, seed: int, salt: int) -> str:
-    return f"((({key}) * 7919 + {seed * 104_729 + salt * 1_299_709}) % 1000003 * 31 % 100)"
-
-
-def _choice(number: str, prior: dict[str, int]) -> str:
-    below, out = 0, []
-    for label, percent in prior.items():
-        below += percent
-        out.append(f"WHEN {number} < {below} THEN '{label}'")
-    return f"CASE {' '.join(out)} END"
-
-
-def _corpus(name: str) -> str:
-    n, seed = generate.CORPORA[name]
-    cols = ", ".join(f"{_choice(_draw('k', seed, i), prior)} AS {what}" for i, (what, prior) in enumerate(generate.PRIORS.items()))
-    return f"""SELECT sheet, {', '.join(generate.PRIORS)}, CASE WHEN place <= {int(0.7 * n)} THEN 'train' WHEN place <= {int(0.7 * n) + int(0.15 * n)} THEN 'val' ELSE 'test' END AS split
-FROM (SELECT k AS sheet, {cols}, row_number() OVER (ORDER BY (k * 7919 + {seed}) % 100003, k) AS place FROM range({n}) r(k))"""
-
-
-@query(_corpus("bench-balanced"))
-def generated_sheets(spark, d):
-    return generate.corpus(spark, "bench-balanced")
-
-
-@query(f"SELECT split, count(*) AS n FROM ({_corpus('stress')}) GROUP BY 1")
-def split_assignment(spark, d):
-    return generate.corpus(spark, "stress").groupBy("split").agg(F.count("*").alias("n"))
-
-
-@query("SELECT * FROM (VALUES ('shift', 100, 48, true), ('difficulty', 100, 20, true), ('rows', 100, 15, true), ('no_change', 100, 50, true)) v(prior, total, least, valid)")
-def prior_validity(spark, d):
-    return generate.prior_check(spark)
-
-
-@query(None)
-def heldout_vocabulary(spark, d):
-    """Shared and test-only names, and whether any name is both; the seeded choice is by crc32."""
-    names = generate.held_out(table(spark, d, "customer").select(F.col("c_name").alias("name")))
-    both = names.where("test_only").select("name").intersect(names.where("not test_only").select("name")).agg(F.count("*").alias("n_both"))
-    return names.groupBy("test_only").agg(F.count("*").alias("n")).crossJoin(F.broadcast(both))  # one row
-
-
-@query(f"WITH {B.ROWS} SELECT noise, count(*) AS n, sum(levenshtein(truth_desc, surface))::BIGINT AS edits, count_if(surface = truth_desc) AS unchanged FROM sheet_rows GROUP BY 1")
-def surface_noise(spark, d):
-    rows = sheet_rows(spark, d)
-    return rows.groupBy("noise").agg(F.count("*").alias("n"), F.sum(F.levenshtein("truth_desc", "surface")).alias("edits"), F.count_if(F.col("surface") == F.col("truth_desc")).alias("unchanged"))
+_ROWS = [
+    ("item", "CASE WHEN l_partkey % 11 = 0 THEN ' ' WHEN l_partkey % 37 = 0 THEN repeat('x', 201) ELSE l_returnflag END"),
+    ("hora", "CASE l_suppkey % 8 WHEN 0 THEN '07:30' WHEN 1 THEN '7:30' WHEN 2 THEN '22:00-23:15' WHEN 3 THEN ' 22:00 – 23:15 ' WHEN 4 THEN '22:00 a 23:15' WHEN 5 THEN '22:00 23:15' WHEN 6 THEN '24:00' ELSE '' END"),
+    ("descricao", "CASE WHEN l_partkey % 13 = 0 THEN '' WHEN l_partkey % 41 = 0 THEN repeat('y', 4001) ELSE l_linestatus END"),
+    ("acao", "CASE WHEN l_partkey % 43 = 0 THEN repeat('z', 4001) ELSE '' END"),
+    ("resolvido", "CASE l_partkey % 3 WHEN 0 THEN 'sim' WHEN 1 THEN 'talvez' ELSE '' END"),
+]
 
 
 @query(
-    """WITH r AS (SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_orderkey) AS n, CASE WHEN l_partkey % 11 = 0 THEN ' ' ELSE l_returnflag END AS item, CASE l_suppkey % 4 WHEN 0 THEN '07:30' WHEN 1 THEN '7:30' WHEN 2 THEN '22:00-23:15' ELSE '' END AS hora,
-  CASE WHEN l_partkey % 13 = 0 THEN '' ELSE l_linestatus END AS descricao, CASE l_partkey % 3 WHEN 0 THEN 'sim' WHEN 1 THEN 'talvez' ELSE '' END AS resolvido FROM lineitem),
-e AS (SELECT CASE WHEN n > 10 THEN 'too many rows' WHEN trim(item) = '' THEN 'item missing' WHEN trim(descricao) = '' THEN 'description missing' WHEN length(descricao) > 500 THEN 'description too long'
-  WHEN hora <> '' AND NOT regexp_matches(hora, '^([01][0-9]|2[0-3]):[0-5][0-9](-([01][0-9]|2[0-3]):[0-5][0-9])?$') THEN 'bad time' WHEN resolvido <> '' AND resolvido NOT IN ('sim', 'nao') THEN 'bad choice' END AS error FROM r)
+    f"""WITH r AS (SELECT count(*) OVER (PARTITION BY l_orderkey) AS n, {', '.join(f"trim({x}) AS {n}" for n, x in _ROWS)} FROM lineitem),
+e AS (SELECT CASE WHEN n > 10 THEN 'too many rows' WHEN item = '' THEN 'item missing' WHEN length(item) > 200 THEN 'item too long' WHEN length(hora) > 32 THEN 'time too long' WHEN hora <> '' AND NOT regexp_matches(hora, '{forms.TIME}') THEN 'bad time'
+  WHEN descricao = '' THEN 'description missing' WHEN length(descricao) > 4000 THEN 'description too long' WHEN length(acao) > 4000 THEN 'action too long' WHEN resolvido <> '' AND resolvido NOT IN ('sim', 'nao') THEN 'bad choice' END AS error FROM r)
 SELECT coalesce(error, 'ok') AS error, count(*) AS n FROM e GROUP BY 1"""
 )
 def form_row_validation(spark, d):
-    rows = table(spark, d, "lineitem").selectExpr(
-        "count(*) over (partition by l_orderkey) AS n", "CASE WHEN l_partkey % 11 = 0 THEN ' ' ELSE l_returnflag END AS item",
-        "CASE l_suppkey % 4 WHEN 0 THEN '07:30' WHEN 1 THEN '7:30' WHEN 2 THEN '22:00-23:15' ELSE '' END AS hora",
-        "CASE WHEN l_partkey % 13 = 0 THEN '' ELSE l_linestatus END AS descricao", "CASE l_partkey % 3 WHEN 0 THEN 'sim' WHEN 1 THEN 'talvez' ELSE '' END AS resolvido",
-    )
-    error = forms.row_error(F.col("n"), F.col("item"), F.col("hora"), F.col("descricao"), F.col("resolvido"))
+    rows = table(spark, d, "lineitem").selectExpr("count(*) over (partition by l_orderkey) AS n", *(f"{x} AS {n}" for n, x in _ROWS))
+    error = forms.row_error(F.col("n"), *(F.col(n) for n, _ in _ROWS))
     return rows.groupBy(F.coalesce(error, F.lit("ok")).alias("error")).agg(F.count("*").alias("n"))
 
 
 @query(
-    """WITH e AS (SELECT CASE event_id % 3 WHEN 0 THEN 'sem_alteracao' WHEN 1 THEN 'com_ocorrencias' ELSE '' END AS radio, event_id % 4 AS n FROM events)
-SELECT CASE WHEN radio = 'sem_alteracao' AND n = 0 THEN 'none' WHEN radio = 'sem_alteracao' THEN 'error:rows with no change' WHEN radio = 'com_ocorrencias' AND n > 0 THEN 'present' WHEN radio = 'com_ocorrencias' THEN 'error:no rows' ELSE 'error:no choice' END AS disposition, count(*) AS c FROM e GROUP BY 1"""
+    """WITH e AS (SELECT CASE event_id % 3 WHEN 0 THEN 'sem_alteracao' WHEN 1 THEN 'com_ocorrencias' END AS radio, event_id % 4 AS n, CASE event_id % 5 WHEN 0 THEN 'present' WHEN 1 THEN 'none' ELSE 'unknown' END AS was FROM events)
+SELECT CASE WHEN radio = 'sem_alteracao' AND n = 0 THEN 'none' WHEN radio = 'sem_alteracao' THEN 'error:rows with no change' WHEN radio = 'com_ocorrencias' AND n > 0 THEN 'present' WHEN radio = 'com_ocorrencias' THEN 'error:no rows' WHEN n > 0 THEN 'error:rows without choice' WHEN was = 'present' THEN 'error:no choice' ELSE was END AS disposition, count(*) AS c FROM e GROUP BY 1"""
 )
 def disposition_conflicts(spark, d):
     k = F.col("event_id")
-    radio = F.when(k % 3 == 0, "sem_alteracao").when(k % 3 == 1, "com_ocorrencias").otherwise("")
-    return table(spark, d, "events").groupBy(forms.disposition(radio, k % 4).alias("disposition")).agg(F.count("*").alias("c"))
+    radio = F.when(k % 3 == 0, "sem_alteracao").when(k % 3 == 1, "com_ocorrencias")
+    was = F.when(k % 5 == 0, "present").when(k % 5 == 1, "none").otherwise("unknown")
+    return table(spark, d, "events").groupBy(forms.disposition(radio, k % 4, was).alias("disposition")).agg(F.count("*").alias("c"))
 
 
 @query("SELECT vec_id, least(1.0, greatest(0.0, list_avg(list_transform(embedding, lambda x: exp(x::DOUBLE))))) AS confidence FROM embeddings")
@@ -226,52 +165,31 @@ def logprob_confidence(spark, d):
     return table(spark, d, "embeddings").select("vec_id", forms.logprob_confidence(F.col("embedding").cast("array<double>")).alias("confidence"))
 
 
-@query("SELECT doc_id, ((length(text) - length(replace(text, 'the', ''))) // 3)::BIGINT AS n FROM documents")
+@query(f"WITH {B.SHEETS} SELECT sheet_id, ((length(text) - length(replace(text, '[ilegivel]', ''))) // 10)::BIGINT AS n FROM sheets")
 def mark_count(spark, d):
-    return table(spark, d, "documents").select("doc_id", forms.occurrences_of(F.col("text"), "the").alias("n"))
+    """How often a reader gave up on a word."""
+    from ..operators.evaluate import ILLEGIBLE
 
+    return sheets(spark, d).select("sheet_id", forms.occurrences_of(F.col("text"), ILLEGIBLE).alias("n"))
 
-@query("SELECT lang, count_if(source = 'src1') AS n, count_if(source = 'src2') AS of, count_if(source = 'src1') / nullif(count_if(source = 'src2' AND n_chars > 3000), 0) AS rate FROM documents GROUP BY 1")
+
+@query("SELECT lang, count_if(source = 'src1') AS n, count_if(source = 'src2') AS of, round(count_if(source = 'src1') / nullif(count_if(source = 'src2' AND n_chars > 3000), 0), 4) AS rate FROM documents GROUP BY 1")
 def rate_null_on_zero(spark, d):
     one, two = F.count_if(F.col("source") == "src1"), F.count_if(F.col("source") == "src2")
     return table(spark, d, "documents").groupBy("lang").agg(one.alias("n"), two.alias("of"), forms.rate(one, F.count_if((F.col("source") == "src2") & (F.col("n_chars") > 3000))).alias("rate"))
 
 
-@query("WITH s AS (SELECT doc_id, n_chars AS w, doc_id % 900 + 1 AS h, least(1.0, 1800.0::DOUBLE / greatest(n_chars, doc_id % 900 + 1)) AS f FROM documents) SELECT doc_id, greatest(1, floor(w * f + 0.5))::BIGINT AS w, greatest(1, floor(h * f + 0.5))::BIGINT AS h FROM s")
+@query("WITH s AS (SELECT doc_id, n_chars AS w, doc_id % 900 + 1 AS h, least(1.0, 1800.0::DOUBLE / greatest(n_chars, doc_id % 900 + 1)) AS f FROM documents) SELECT doc_id, greatest(1, round_even(w * f, 0))::BIGINT AS w, greatest(1, round_even(h * f, 0))::BIGINT AS h FROM s")
 def downscale_dims(spark, d):
     rows = table(spark, d, "documents").select("doc_id", forms.downscaled(F.col("n_chars"), F.col("doc_id") % 900 + 1).alias("x"))
     return rows.select("doc_id", F.col("x.w").cast("long").alias("w"), F.col("x.h").cast("long").alias("h"))
 
 
-@query("SELECT coalesce(CASE WHEN n_chars * 4096 > 52428800 THEN 'too many bytes' WHEN doc_id % 400 < 50 OR doc_id % 400 > 300 THEN 'dpi out of range' END, 'ok') AS reason, count(*) AS n FROM documents GROUP BY 1")
-def resource_budget(spark, d):
-    reason = forms.reject_reason(F.col("n_chars") * 4096, F.col("doc_id") % 400)
-    return table(spark, d, "documents").groupBy(F.coalesce(reason, F.lit("ok")).alias("reason")).agg(F.count("*").alias("n"))
-
-
 @query(
-    """WITH s AS (SELECT user_id, CASE WHEN event_type = 'error' AND value > 90 THEN 2 WHEN event_type = 'error' THEN 1 ELSE 0 END AS level, event_type FROM events)
-SELECT user_id, ['ok', 'warn', 'fail'][max(level) + 1] AS severity, count_if(level > 0) AS n_actions FROM s GROUP BY 1"""
+    """WITH f AS (SELECT doc_id, n_chars * 4096 AS size, doc_id % 400 AS dpi, n_chars AS w, doc_id % 9000 + 1 AS h, CASE WHEN doc_id % 50 = 7 THEN 2 ELSE 1 END AS pages FROM documents)
+SELECT coalesce(CASE WHEN size > 52428800 THEN 'too many bytes' WHEN dpi < 50 OR dpi > 300 THEN 'dpi out of range' WHEN pages <> 1 THEN 'not one page' WHEN w * h > 25000000 THEN 'too many pixels' END, 'ok') AS reason, count(*) AS n FROM f GROUP BY 1"""
 )
-def severity_max(spark, d):
-    level = F.when((F.col("event_type") == "error") & (F.col("value") > 90), 2).when(F.col("event_type") == "error", 1).otherwise(0)
-    rows = table(spark, d, "events").select("user_id", level.alias("level")).groupBy("user_id").agg(F.max("level").alias("m"), F.count_if(F.col("level") > 0).alias("n_actions"))
-    return rows.select("user_id", F.element_at(F.array(*map(F.lit, forms.TIERS)), (F.col("m") + 1).cast("int")).alias("severity"), "n_actions")
-
-
-@query(None)
-def wrapped_lines(spark, d):
-    """Greedy wrapping is a fold over words."""
-    lines = forms.wrapped(F.split("text", " "), 40)
-    return table(spark, d, "benchmark").select("item_id", F.size(lines).alias("n_lines"), F.array_join(lines, "\n").alias("wrapped"))
-
-
-@query(
-    """SELECT lang, count(*) AS n, count_if(n_chars = length(text)) AS n_equal, count(*) >= count_if(n_chars = length(text)) AND count_if(n_chars = length(text)) >= 0 AS consistent,
-  sum(n_chars) = sum(length(text)) AS sums_agree FROM documents GROUP BY 1"""
-)
-def metric_consistency(spark, d):
-    equal = F.count_if(F.col("n_chars") == F.length("text"))
-    return table(spark, d, "documents").groupBy("lang").agg(
-        F.count("*").alias("n"), equal.alias("n_equal"), ((F.count("*") >= equal) & (equal >= 0)).alias("consistent"), (F.sum("n_chars") == F.sum(F.length("text"))).alias("sums_agree")
-    )
+def resource_budget(spark, d):
+    k = F.col("doc_id")
+    reason = forms.reject_reason(F.col("n_chars") * 4096, k % 400, F.col("n_chars"), k % 9000 + 1, F.when(k % 50 == 7, 2).otherwise(1))
+    return table(spark, d, "documents").groupBy(F.coalesce(reason, F.lit("ok")).alias("reason")).agg(F.count("*").alias("n"))

@@ -133,17 +133,6 @@ def csv_safe_cells(spark, d):
     return rows.select(F.explode(F.array("dia", "unidade", "objeto", "descricao", *made)).alias("cell")).groupBy(csv_safe(F.col("cell")).alias("safe")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {B.SPREADSHEET} SELECT dia AS \"DIA\", spreadsheet.unidade AS \"UNIDADE\", objeto AS \"OBJETO\", descricao AS \"DESCRICAO\" FROM spreadsheet JOIN states USING (sheet_id) WHERE len(list_filter(blockers, lambda b: b <> 'vigilantes' AND b <> 'data_turno' AND b <> 'unidade')) = 0")
-def csv_export_rows(spark, d):
-    """What may be exported once the header was confirmed by hand."""
-    base = sheets(spark, d)
-    states = critic.states(base)
-    confirmed = F.array(F.lit("vigilantes"), F.lit("data_turno"), F.lit("unidade"))
-    blocked = states.where(F.size(F.array_except("blockers", confirmed)) > 0).select("sheet_id")
-    rows = outputs.spreadsheet(states).join(blocked, "sheet_id", "left_anti")
-    return rows.select(F.col("dia").alias("DIA"), F.col("unidade").alias("UNIDADE"), F.col("objeto").alias("OBJETO"), F.col("descricao").alias("DESCRICAO"))
-
-
 @query(
     f"""WITH {B.CLASSIFIED} SELECT disposition, quality, incident_type, recipients, coalesce(reason, 'reviewable') AS reason, count(*) AS n_sheets, sum(occurrences)::BIGINT AS n_occurrences,
   sum(len(blockers))::BIGINT AS n_blockers FROM classified GROUP BY ALL"""

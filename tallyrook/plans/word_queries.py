@@ -21,7 +21,7 @@ def query(sql: str | None):
     return add
 
 
-WORDS = rf"""split AS (SELECT doc_id, i - 1 AS line, list_filter(string_split_regex({B.strip('string_split(text, chr(10))[i]')}, '\s+'), lambda w: w <> '') AS ws FROM (SELECT *, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
+WORDS = rf"""split AS (SELECT doc_id, i - 1 AS line, list_filter(string_split_regex({B.strip('string_split(text, chr(10))[i]')}, '{B.WHITE}+'), lambda w: w <> '') AS ws FROM (SELECT *, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
 flat AS (SELECT doc_id, line, k - 1 AS pos, ws[k] AS word FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS k FROM split)),
 words AS (SELECT doc_id, line % 3 AS page, line, pos, word, CASE WHEN (doc_id + pos) % 17 = 0 THEN -1 ELSE (doc_id * 7 + pos * 13 + line) % 101 END AS conf, (pos * 37) % 950 AS l, (line * 53) % 970 AS top,
   CASE WHEN (doc_id + pos) % 29 = 0 THEN 0 WHEN (doc_id + pos) % 31 = 0 THEN 1005 - (pos * 37) % 950 ELSE 40 END AS width, 20 AS height FROM flat),
@@ -54,7 +54,7 @@ def page_confidence_min(spark, d):
 
 def _values(spark, d):
     """A value cut from each document's first page, one that is spread over a line, and one that is nowhere."""
-    first = F.filter(F.split(W.strip(F.split("text", "\n")[0]), r"\s+"), lambda w: w != "")
+    first = F.filter(F.split(W.strip(F.split("text", "\n")[0]), f"{W.WHITE}+"), lambda w: w != "")
     docs = table(spark, d, "documents").withColumn("w", first).where(F.size("w") > 0)
     made = F.array(
         F.struct(F.lit(1).alias("value_id"), F.concat_ws(" ", F.slice("w", F.pmod("doc_id", F.size("w")).cast("int") + 1, 3)).alias("value")),
@@ -65,10 +65,10 @@ def _values(spark, d):
 
 
 VALUES = WORDS + rf""",
-first_words AS (SELECT doc_id, list_filter(string_split_regex({B.strip('string_split(text, chr(10))[1]')}, '\s+'), lambda w: w <> '') AS w FROM documents),
+first_words AS (SELECT doc_id, list_filter(string_split_regex({B.strip('string_split(text, chr(10))[1]')}, '{B.WHITE}+'), lambda w: w <> '') AS w FROM documents),
 given AS (SELECT doc_id, 0 AS page, 1 AS value_id, array_to_string(w[(doc_id % len(w)) + 1 : (doc_id % len(w)) + 3], ' ') AS value FROM first_words WHERE len(w) > 0
   UNION ALL SELECT doc_id, 0, 2, array_to_string(list_reverse(w[1:4]), ' ') FROM first_words WHERE len(w) > 0 UNION ALL SELECT doc_id, 0, 3, 'qqzzq xxjjx' FROM first_words WHERE len(w) > 0),
-wanted AS (SELECT *, list_filter(list_transform(string_split_regex({B.strip('value')}, '\s+'), lambda x: regexp_replace({B.fold('x')}, '[^\p{{L}}\p{{N}}]', '', 'g')), lambda t: t <> '') AS q FROM given),
+wanted AS (SELECT *, list_filter(list_transform(string_split_regex({B.strip('value')}, '{B.WHITE}+'), lambda x: regexp_replace({B.fold('x')}, '[^\p{{L}}\p{{N}}]', '', 'g')), lambda t: t <> '') AS q FROM given),
 placed AS (SELECT *, regexp_replace({B.fold('word')}, '[^\p{{L}}\p{{N}}]', '', 'g') AS t, row_number() OVER (PARTITION BY doc_id, page ORDER BY line, pos) AS spot FROM boxes),
 listed AS (SELECT doc_id, page, list(t ORDER BY spot) AS ts FROM placed GROUP BY ALL),
 found AS (SELECT w.doc_id, w.page, w.value_id, w.q, CASE WHEN len(q) > 0 THEN list_filter(range(1, len(ts) - len(q) + 2), lambda i: ts[i : i + len(q) - 1] = q)[1] END AS b FROM wanted w LEFT JOIN listed USING (doc_id, page)),

@@ -12,24 +12,27 @@ TRUTH = (
     "cabecalho struct<data:string,turno:string,vigilantes:array<string>,unidade:string>, sem_alteracao boolean, riscado boolean, "
     "ocorrencias array<struct<item:string,hora_entrada:string,hora_saida:string,descricao:string,acao:string,resolvido:string>>"
 )
-MANIFEST = "doc_id string, split string, image string, gt string, sha256_img string, sha256_gt string"
+
+
+def parsed(files: DataFrame, statuses: Sequence[str]) -> DataFrame:
+    """Truth sheets of texts (file, text), those of the review statuses asked for, in the order of their files' names; a text that isn't JSON
+    is an error."""
+    rows = files.select("file", F.from_json("text", TRUTH, {"mode": "FAILFAST"}).alias("x")).select("file", "x.*")
+    return rows.where(F.col("review_status").isin(*statuses)).orderBy("file").drop("file")
 
 
 def truth_sheets(spark: SparkSession, path: str, statuses: Sequence[str]) -> DataFrame:
-    """Sheets of the review statuses asked for; broken JSON is an error."""
-    rows = spark.read.schema(TRUTH).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    return rows.where(F.col("review_status").isin(*statuses))
+    """parsed() of the *.json files of a folder."""
+    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
+    return parsed(files.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")), statuses)
 
 
 def manifest(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
-    """A JSONL manifest with its faults in the column error: another split than asked for, a name that isn't one, a repeated id."""
-    from ..operators.manifest import DOC_ID, SHA256
-
-    rows = spark.read.schema(MANIFEST).option("mode", "FAILFAST").json(path)
-    twice = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
-    error = (
-        F.when(~F.col("doc_id").rlike(DOC_ID), "bad id").when(F.col("n") > 1, "repeated id").when(F.lit(split is not None) & (F.col("split") != F.lit(split)), "wrong split")
-        .when(~F.col("sha256_img").rlike(SHA256) | ~F.col("sha256_gt").rlike(SHA256), "bad hash")
-        .when(F.col("image") != F.concat(F.lit("pngs/"), "doc_id", F.lit(".png")), "bad path")
-    )
-    return rows.join(twice, "doc_id").withColumn("error", error).drop("n")
+    """A JSONL manifest with its faults in the column error: operators.contracts.entry_errors() of its lines. An empty manifest is an error."""
+    from ..operators.contracts import entry_errors
+
+    # one file is one manifest, which a driver wrote; lines are numbered in reading order
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line_number"), F.col("value").alias("text"))
+    if not lines.limit(1).count():
+        raise ValueError("the manifest is empty")
+    return entry_errors(lines, split)

@@ -1,6 +1,6 @@
-"""The ledger on a stream: the same outcomes as the windows of operators.ledger, with state kept for each draft.
+"""The ledger on a stream: the same outcomes as the fold of operators.ledger, with state kept for each draft.
 
-An addition of this engine; the batch windows are what it is checked against. Events of a draft have to arrive within the
+An addition of this engine; the batch fold is what it is checked against. Events of a draft have to arrive within the
 watermark; a micro-batch applies a draft's events in (ts, event_id) order.
 """
 
@@ -12,31 +12,25 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-OUT = "draft_id long, event_id long, outcome string, revision long"
-STATE = "standing string, sent boolean, revision long"
+from ..operators.ledger import Draft, begin, step
 
-
-def _apply(standing: str | None, sent: bool, revision: int, action: str) -> tuple[str | None, bool, int, str]:
-    if action == "submit":
-        return standing, sent, revision, "submitted"
-    if sent:
-        return standing, sent, revision, {"simulate": "simulation_blocked", "edit": "edit_blocked"}.get(action, "status_blocked")
-    if action == "simulate":
-        return (standing, True, revision, "simulation_completed") if standing == "approve" else (standing, False, revision, "simulation_blocked")
-    if action == "edit":
-        return "edit", False, revision + 1, "approval_revoked" if standing == "approve" else "edited"
-    return action, False, revision, "status:approved" if action == "approve" else "status:rejected"
+OUT = "draft_id long, event_id long, outcome string, detail string, revision long"
+STATE = "revision long, status string, approved_revision long, approved_sha string, sha string, reviewable boolean, sent boolean"
 
 
 def _step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    standing, sent, revision = state.get if state.exists else (None, False, 1)
+    draft = Draft(*state.get) if state.exists else None
+    first = draft is None
     events = pd.concat(list(frames)).sort_values(["ts", "event_id"])
     out = []
-    for row in events.itertuples():
-        standing, sent, revision, outcome = _apply(standing, sent, revision, row.action)
-        out.append((key[0], row.event_id, outcome, revision))
-    state.update((standing, sent, revision))
-    yield pd.DataFrame(out, columns=["draft_id", "event_id", "outcome", "revision"])
+    columns = [events[c].tolist() for c in ("event_id", "action", "sha", "reviewable", "expected")]
+    for event_id, action, sha, reviewable, expected in zip(*columns, strict=True):
+        draft = draft or begin(sha, reviewable)
+        draft, outcome, detail = step(draft, first, action, sha, reviewable, None if pd.isna(expected) else int(expected))
+        first = False
+        out.append((key[0], event_id, outcome, detail, draft.revision))
+    state.update(tuple(draft))
+    yield pd.DataFrame(out, columns=["draft_id", "event_id", "outcome", "detail", "revision"])
 
 
 def outcomes(log: DataFrame, late: str = "10 minutes") -> DataFrame:

@@ -100,4 +100,14 @@ def test_text_functions(spark):
     rows = spark.createDataFrame([("\t Ação  É\n",), ("=1",), (" x",), ("ok",), ("​z",)], "t string")
     got = rows.select(X.norm(F.col("t")).alias("n"), X.csv_safe(F.col("t")).alias("c"), X.tokens(F.col("t")).alias("k")).collect()
     assert got[0].n == "acao e" and [r.c[0] == "'" for r in got] == [True, True, True, False, True] and got[0].k == ["acao", "e"]
-    assert X.word_distance("a b c".split(), "a x c d".split()) == 2
+    assert rows.select(X.norm(F.lit("\u00a0x\u2003")).alias("n")).first().n == "x"
+
+
+@pytest.mark.parametrize("a, b, want", [("a b c", "a x c d", 2 / 3), ("", "", 0.0), ("", "x", 1.0), ("x", "", 1.0), ("um dois", "dois um", 1.0), ("á á b", "á b", 1 / 3)])
+def test_wer(spark, a, b, want):
+    assert one(spark.createDataFrame([(a, b)], "a string, b string").select(X.wer(F.col("a"), F.col("b")).alias("x"))).x == pytest.approx(want)
+
+
+def test_lines_end_as_in_python(spark):
+    text = "a\x1cb\x85c\u2028d\r\ne\vf\n"
+    assert [r.line for r in extract.lines(sheets(spark, text)).orderBy("ln").collect()] == text.splitlines()
