@@ -139,14 +139,15 @@ def public(rows: DataFrame, whitelist: Sequence[str], key: str) -> DataFrame:
     return ranged.withColumn("place", place).join(before, "part").select(F.concat(F.lit("sheet_"), (F.col("start") + F.col("place")).cast("string")).alias("sheet"), *whitelist)
 
 
-def export(spreadsheet: DataFrame, blocked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The CSV rows of sheets that nothing blocks, cells made safe, and the audit: sheet_id, action, detail of each sheet with rows, exported or
-    refused (blocked: sheet_id, blockers)."""
-    rows = spreadsheet.join(blocked.select("sheet_id"), "sheet_id", "left_anti")
-    shown = rows.select("sheet_id", "pos", *(csv_safe(F.col(c.lower())).alias(c) for c in CSV_HEAD))
-    done = rows.groupBy("sheet_id").agg(F.count("*").alias("n")).select("sheet_id", F.lit("export_csv").alias("action"), F.concat(F.lit("rows="), F.col("n").cast("string")).alias("detail"))
-    refused = spreadsheet.select("sheet_id").distinct().join(blocked, "sheet_id").select("sheet_id", F.lit("export_blocked").alias("action"), F.concat(F.lit("pending: "), F.array_join("blockers", ", ")).alias("detail"))
-    return shown, done.unionByName(refused)
+def export(sheets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From sheet_id, blockers and shown (an array of pos, dia, unidade, objeto, descricao): the CSV rows of sheets that nothing blocks, cells
+    made safe, and the audit, sheet_id, action, detail of each sheet with rows, exported or refused. A sheet without rows has neither."""
+    free = F.size("blockers") == 0
+    cells = F.transform("shown", lambda r: F.struct(r["pos"].alias("pos"), *(csv_safe(r[c.lower()]).alias(c) for c in CSV_HEAD)))
+    rows = sheets.select("sheet_id", F.inline(F.filter(cells, lambda _: free)))
+    n = F.size("shown").cast("string")
+    entry = F.struct(F.when(free, "export_csv").otherwise("export_blocked").alias("action"), F.when(free, F.concat(F.lit("rows="), n)).otherwise(F.concat(F.lit("pending: "), F.array_join("blockers", ", "))).alias("detail"))
+    return rows, sheets.select("sheet_id", F.inline(F.filter(F.array(entry), lambda _: F.size("shown") > 0)))
 
 
 def write_csv(rows: DataFrame, path: str) -> None:

@@ -144,13 +144,14 @@ def _bound(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def spreadsheet(reviewed: DataFrame) -> DataFrame:
-    """sheet_id, pos, dia, unidade, objeto, descricao of edits that were accepted."""
+def with_spreadsheet(reviewed: DataFrame) -> DataFrame:
+    """edited() with shown: the sheet's spreadsheet as an array of pos, dia, unidade, objeto, descricao; none for an edit that was refused."""
     day, unit = (F.coalesce(F.col(c), F.lit(outputs.PENDING)) for c in ("new_date", "new_unit"))
 
     def row(pos: Column, what: Column, text: Column) -> Column:
         return F.struct(pos.cast("int").alias("pos"), day.alias("dia"), unit.alias("unidade"), what.alias("objeto"), text.alias("descricao"))
 
     rows = F.transform("edited_rows", lambda o, i: row(i + 1, F.coalesce(o["category"], F.lit(outputs.PENDING)), outputs.description(o["entry_time"], o["exit_time"], o["description"])))
-    single = row(F.lit(0), F.when(F.col("disposition") == "unknown", outputs.NOT_CONFIRMED).otherwise(outputs.NO_CHANGE), F.lit(""))
-    return reviewed.where("error is null").select("sheet_id", F.inline(F.when(F.col("disposition") == "present", rows).otherwise(F.array(single))))
+    single = F.array(row(F.lit(0), F.when(F.col("disposition") == "unknown", outputs.NOT_CONFIRMED).otherwise(outputs.NO_CHANGE), F.lit("")))
+    accepted = F.when(F.col("disposition") == "present", rows).otherwise(single)
+    return reviewed.withColumn("shown", F.when(F.col("error").isNull(), accepted).otherwise(F.filter(single, lambda _: F.lit(False))))

@@ -85,7 +85,7 @@ SELECT r.sheet_id, CASE WHEN now = 'present' THEN pos ELSE 0 END AS pos, coalesc
   CASE WHEN now = 'present' THEN d.text ELSE '' END AS descricao FROM reviewed r LEFT JOIN described2 d ON d.sheet_id = r.sheet_id AND now = 'present' WHERE error IS NULL"""
 )
 def edited_spreadsheet(spark, d):
-    return edits.spreadsheet(reviewed(spark, d)).withColumn("pos", F.col("pos").cast("long"))
+    return edits.with_spreadsheet(reviewed(spark, d)).select("sheet_id", F.inline("shown")).withColumn("pos", F.col("pos").cast("long"))
 
 
 EXPORTS = EDITED + f""",
@@ -100,8 +100,7 @@ def _safe(c: str) -> str:
 
 
 def exported(spark, d):
-    rows = reviewed(spark, d).where("error is null")
-    return contracts.export(edits.spreadsheet(rows), rows.where(F.size("blockers") > 0).select("sheet_id", "blockers"))
+    return contracts.export(edits.with_spreadsheet(reviewed(spark, d)).select("sheet_id", "blockers", "shown"))
 
 
 @query(f'WITH {EXPORTS} SELECT sheet_id, pos, {_safe("dia")} AS "DIA", {_safe("unidade")} AS "UNIDADE", {_safe("objeto")} AS "OBJETO", {_safe("descricao")} AS "DESCRICAO" FROM shown WHERE n_waits = 0 AND pages = 1')

@@ -181,8 +181,9 @@ def error_taxonomy(spark, d):
 @query(f"WITH {ERRORS} SELECT sheet_id, count_if(severity = 'BLOCKER') AS blocker, count_if(severity = 'HIGH') AS high, count_if(severity = 'MEDIUM') AS medium, count_if(severity = 'LOW') AS low FROM severe GROUP BY 1")
 def error_severity(spark, d):
     s = E.errors(of(spark, d))
-    n = lambda x: F.size(F.filter("errors", lambda e: e["type"].isin(*(t for t, how in E.SEVERITY.items() if how == x)))).cast("long")
-    return s.where(F.size("errors") > 0).select("sheet_id", *(n(x).alias(x.lower()) for x in ("BLOCKER", "HIGH", "MEDIUM", "LOW")))
+    n = lambda errors, x: F.size(F.filter(errors, lambda e: e["type"].isin(*(t for t, how in E.SEVERITY.items() if how == x)))).cast("long")
+    counts = F.transform(F.filter(F.array("errors"), lambda e: F.size(e) > 0), lambda e: F.struct(*(n(e, x).alias(x.lower()) for x in ("BLOCKER", "HIGH", "MEDIUM", "LOW"))))
+    return s.select("sheet_id", F.inline(counts))
 
 
 @query(

@@ -108,9 +108,9 @@ def test_canonical_sheet(spark):
 
 
 def test_export_and_dataset(spark, tmp_path):
-    rows = spark.createDataFrame([(1, 1, "=x", "u", "o", "d"), (2, 1, "x", "u", "o", "d")], "sheet_id long, pos int, dia string, unidade string, objeto string, descricao string")
-    blocked = spark.createDataFrame([(2, ["data_turno"])], "sheet_id long, blockers array<string>")
-    shown, audit = contracts.export(rows, blocked)
+    kind = "sheet_id long, blockers array<string>, shown array<struct<pos:int,dia:string,unidade:string,objeto:string,descricao:string>>"
+    sheets = spark.createDataFrame([(1, [], [(1, "=x", "u", "o", "d")]), (2, ["data_turno"], [(1, "x", "u", "o", "d")]), (3, [], [])], kind)
+    shown, audit = contracts.export(sheets)
     assert {(r.sheet_id, r.action, r.detail) for r in audit.collect()} == {(1, "export_csv", "rows=1"), (2, "export_blocked", "pending: data_turno")}
     contracts.write_csv(shown.coalesce(1), str(tmp_path / "csv"))
     lines = next((tmp_path / "csv").glob("part-*")).read_text().splitlines()
