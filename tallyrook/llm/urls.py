@@ -23,6 +23,8 @@ RULES = (
     ("block", "org/es/"),
 )
 ORDER = 3
+#: URLs of one task; places where a frequent window, and pages without a URL, are dealt to.
+ROWS_A_TASK, SALTS, EMPTY_KEYS = 50_000, 8, 4_096
 PAD = "\u0002"
 
 
@@ -100,22 +102,25 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, order: int
     log-likelihoods, is at least the threshold. The threshold lies between the mean scores of allowed and blocked training
     URLs, nearer to the class that varies less. If the rules allow nothing or block nothing, there is nothing to compare
     with and all others are allowed. Null URLs and such without :// have empty host and path, no characters, and score 0.
-    Equal host and path are scored once however many pages share them; for training each counts as often as it occurs.
+    Equal host and path are scored once however many pages share them; for training each counts as often as it occurs. A very
+    long URL is one row of its windows, which no task gathers: they are counted and summed as they come.
     """
     host, path = parts(F.col(url_col))
     split = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     split = split.withColumn("fit", ruled(F.col("host"), F.col("path"), rules)).withColumn("shown", F.concat("host", "path"))
-    urls = stash(
-        split.groupBy("shown").agg(
-            F.count_if(F.col("fit.verdict") == "allow").alias("allow"), F.count_if(F.col("fit.verdict") == "block").alias("block")
-        ),
-        "url-counts",
+    counted = split.where("shown <> ''").groupBy("shown").agg(
+        F.count_if(F.col("fit.verdict") == "allow").alias("allow"), F.count_if(F.col("fit.verdict") == "block").alias("block")
     )
+    # URLs are short rows with many windows each, so they are dealt to a number of tasks, whatever their bytes
+    parts_ = max(pages.sparkSession.sparkContext.defaultParallelism, pages.count() // ROWS_A_TASK)
+    urls = stash(counted.repartition(int(parts_), "shown"), "url-counts")
     windows = urls.select("shown", "allow", "block", F.explode(grams(F.col("shown"), order)).alias("gram"))
     counts = stash(windows.groupBy("gram").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")), "url-grams")
-    model = ratios(counts, order)
+    # a frequent window meets its ratio in SALTS places
+    salted = ratios(counts, order).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = windows.select("shown", "allow", "block", "gram", F.pmod(F.xxhash64("shown"), F.lit(SALTS)).cast("int").alias("salt"))
     scored = stash(
-        windows.join(model, "gram").groupBy("shown", "allow", "block").agg((F.sum("ratio") / F.count("*")).alias("score")), "url-scores"
+        spread.join(salted, ["gram", "salt"]).groupBy("shown", "allow", "block").agg((F.sum("ratio") / F.count("*")).alias("score")), "url-scores"
     )
     kinds = {x: F.sum(x).alias(f"n_{x}") for x in ("allow", "block")}
     sums = [*kinds.values()]
@@ -126,7 +131,10 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, order: int
     spread = {x: F.sqrt(F.greatest(F.lit(0.0), F.col(f"q_{x}") / F.nullif(F.col(f"n_{x}"), F.lit(0)) - mean[x] * mean[x])) + 1e-9 for x in kinds}
     threshold = (mean["allow"] * spread["block"] + mean["block"] * spread["allow"]) / (spread["allow"] + spread["block"])
     limit = stats.select(F.coalesce(threshold, F.lit(float("-inf"))).alias("threshold"))
-    rated = split.join(scored.select("shown", "score"), "shown", "left").crossJoin(F.broadcast(limit))  # one row
+    # pages without a URL have no partner; they are spread by their id
+    apart = F.when(F.col("shown") == "", 1 + F.pmod(F.xxhash64("page_id"), F.lit(EMPTY_KEYS))).otherwise(0).cast("long")
+    named = scored.select("shown", F.lit(0).cast("long").alias("apart"), "score")
+    rated = split.withColumn("apart", apart).join(named, ["shown", "apart"], "left").crossJoin(F.broadcast(limit))  # one row
     score = F.coalesce("score", F.lit(0.0))
     return rated.select(
         "page_id", "host", "path", F.col("fit.rule").alias("rule"),
