@@ -279,64 +279,135 @@ def test_passages_of_the_table(spark):
     assert sorted((str(r.doc_id), r.n_passage_bytes, r.n_passages) for r in rows) == [(x[0], x[2], x[3]) for x in removed(docs, *passages.PASSAGE)]
 
 
-def scores_by_brute_force(docs):
-    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    texts = [(i, zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0, [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower)), "\0end"]) for i, t, *_ in docs]
-    c, pairs = collections.Counter(), collections.Counter()
-    for _, held, t in texts:
-        if not held:
-            c.update(t)
-            pairs.update(zip(["\0start", *t], t, strict=False))
-    n, v = sum(c.values()), len(c)
-    few = lambda x: [0, *(sum(y == k for y in x.values()) for k in range(1, katz.MOST + 2))]
-    unigrams, d = katz.Unigrams(n, v, few(c)), katz.discounts(few(pairs))
-    taken = lambda x: x if x > katz.MOST else d[x] * x
-    history, mass, seen = collections.Counter(), collections.Counter(), collections.defaultdict(list)
-    for (h, w), x in pairs.items():
-        history[h] += x
-        mass[h] += taken(x)
-        seen[h].append(w)
-    lone = {w: float(unigrams(np.array([c[w]]))[0]) for w in [*c, "\0unknown"]}
-    whole = {h: history[h] + (0.5 if history[h] - mass[h] < 1e-9 else 0) for h in history}
-    alpha = {h: (1 - mass[h] / whole[h]) / (1 - sum(lone[w] for w in seen[h])) for h in history}
+def good_turing(counts):
+    """Discounts by Katz's formula, for the largest limit where all lie between 0 and 1; else half a count off."""
+    n = collections.Counter(counts)
+    for limit in range(5, 0, -1):
+        if all(n[c] for c in range(1, limit + 2)) and (limit + 1) * n[limit + 1] < n[1]:
+            cut = (limit + 1) * n[limit + 1] / n[1]
+            d = {c: ((c + 1) * n[c + 1] / n[c] / c - cut) / (1 - cut) for c in range(1, limit + 1)}
+            if all(0 < x < 1 for x in d.values()):
+                return d
+    return {c: (c - 0.5) / c for c in range(1, 6)}
+
+
+def tokens_of(text):
+    low = "".join(chr(ord(x) + 32) if "A" <= x <= "Z" else x for x in text or "")
+    return [w for w in re.split("[ \t\n\x0b\x0c\r]+", low) if w] + ["</end>"]
+
+
+def scores_by_brute_force(docs, order, train=None):
+    """By the definition alone: counts in dictionaries, probabilities by recursion."""
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    learned = [t for i, t, *_ in docs if not held(i)] if train is None else [t for _, t, *_ in train]
+    grams = [collections.Counter() for _ in range(order)]
+    for t in learned:
+        words = ["<start>"] * (order - 1) + tokens_of(t)
+        for at in range(order - 1, len(words)):
+            for k in range(order):
+                grams[k][tuple(words[at - k : at + 1])] += 1
+    d = [good_turing(g.values()) for g in grams]
+    after = [collections.defaultdict(dict) for _ in range(order)]
+    for k in range(1, order):
+        for g, c in grams[k].items():
+            after[k][g[:-1]][g[-1]] = c
+    left = lambda k, c: d[k].get(c, 1) * c
+    total, types = sum(grams[0].values()), len(grams[0])
+    unknown = sum(c - left(0, c) for c in grams[0].values()) / total if total else 1.0
+
+    def single(w):
+        c = grams[0][w,]
+        if not total or unknown < 1e-12:
+            return (c + 0.1) / (total + 0.1 * (types + 1))
+        return left(0, c) / total if c else unknown
+
+    def whole(k, h):
+        mass = sum(left(k, c) for c in after[k][h].values())
+        n = sum(after[k][h].values())
+        return mass, n + (0.5 if n - mass < 1e-9 else 0)
+
+    weights = {}
 
     def p(h, w):
-        if h not in history:
-            return lone.get(w, lone["\0unknown"])
-        return taken(pairs[h, w]) / whole[h] if (h, w) in pairs else alpha[h] * lone.get(w, lone["\0unknown"])
-
-    for h in [*list(history)[:40], "\0never"]:
-        assert sum(p(h, w) for w in lone) == pytest.approx(1)
+        if not h:
+            return single(w)
+        k = len(h)
+        if h not in after[k]:
+            return p(h[1:], w)
+        mass, n = whole(k, h)
+        if w in after[k][h]:
+            return left(k, after[k][h][w]) / n
+        if h not in weights:
+            weights[h] = (1 - mass / n) / (1 - sum(p(h[1:], x) for x in after[k][h]))
+        return weights[h] * p(h[1:], w)
+
+    for k in range(1, order):
+        for h in [*list(after[k])[:15], ("<never>",) * k]:
+            assert sum(p(h, w) for (w,) in [*grams[0], ("<unknown>",)]) == pytest.approx(1)
     rows = []
-    for i, held, t in texts:
-        base = sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t)
-        rows.append((str(i), held, len(t), sum(c[w] > 0 for w in t), n, base, sum(math.log10(p(h, w)) for h, w in zip(["\0start", *t], t, strict=False))))
+    for i, t, *_ in docs:
+        words = ["<start>"] * (order - 1) + tokens_of(t)
+        own = words[order - 1 :]
+        base = sum(math.log10((grams[0][w,] + 0.1) / (total + 0.1 * (types + 1))) for w in own)
+        score = sum(math.log10(p(tuple(words[at - order + 1 : at]), words[at])) for at in range(order - 1, len(words)))
+        rows.append((str(i), held(i), len(own), sum(grams[0][w,] > 0 for w in own), total, base, score))
     return sorted(rows)
 
 
-def check_scores(rows, docs):
+def check_scores(rows, docs, order=katz.ORDER, train=None):
     got = sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in rows)
-    for a, b in zip(got, scores_by_brute_force(docs), strict=True):
+    want = scores_by_brute_force(docs, order, train)
+    assert len(got) == len(want)
+    for a, b in zip(got, want, strict=True):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
 
 
-@pytest.mark.parametrize("chunk, span", [(10**6, 10**6), (500, 2000)])
-def test_katz(spark, monkeypatch, chunk, span):
+@pytest.mark.parametrize("order, chunk, span", [(1, 500, 2000), (2, 10**6, 10**6), (3, 10**6, 10**6), (3, 500, 2000), (4, 700, 3000)])
+def test_katz(spark, monkeypatch, order, chunk, span):
     monkeypatch.setattr(katz, "CHUNK_TOKENS", chunk)
     monkeypatch.setattr(katz, "RANGE_TOKENS", span)
-    check_scores(katz.score(frame(spark)).collect(), documents())
-    assert katz.score(frame(spark, [])).count() == 0
+    check_scores(katz.score(frame(spark), order=order).collect(), documents(), order)
+
+
+def repetitive(seed=3):
+    """Few words and many repeats, so that histories have large counts, and some no discounts."""
+    rnd = random.Random(seed)
+    line = [rnd.choice("abcdefgh") for _ in range(40)]
+    return [(i, " ".join(rnd.choice([line, [rnd.choice("abcdefghijklmnop") for _ in range(30)], ["x", "y"] * 8])), *[None] * 8) for i in range(120)]
+
+
+@pytest.mark.parametrize("chunk, span", [(10**6, 10**6), (300, 500)])
+def test_katz_on_repetitive_texts(spark, monkeypatch, chunk, span):
+    monkeypatch.setattr(katz, "CHUNK_TOKENS", chunk)
+    monkeypatch.setattr(katz, "RANGE_TOKENS", span)
+    check_scores(katz.score(frame(spark, repetitive())).collect(), repetitive())
 
 
 def test_katz_on_tables_without_training_or_discounts(spark):
     for docs in ([(42, "a b")], [(1, "A b"), (1, "a b"), (None, "c")]):
         rows = [(i, t, *[None] * 8) for i, t in docs]
         check_scores(katz.score(frame(spark, rows)).collect(), rows)
+    assert katz.score(frame(spark, [])).count() == 0
 
 
-def test_katz_beats_its_base_on_held_out_text(spark):
-    rows = [r for r in katz.op10_katz_scores(spark, "/root/testdata/sf0.01").collect() if r.held_out]
-    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+def test_katz_model_is_kept(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(katz, "CHUNK_TOKENS", 800)
+    monkeypatch.setattr(katz, "RANGE_TOKENS", 3000)
+    path = str(tmp_path / "model")
+    katz.train(frame(spark, documents(seed=1)), path)
+    model = katz.load(spark, path)
+    assert model.order == 3 and model.ranges > 1
+    other = documents(seed=2)[:12] + documents(seed=1)[:12]
+    check_scores(katz.score(frame(spark, other), model=model).collect(), other, 3, documents(seed=1))
+
+
+def test_katz_beats_its_base_and_lower_orders_on_held_out_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    total = {}
+    for order in (1, 2, 3):
+        rows = [r for r in katz.score(docs, order=order).collect() if r.held_out]
+        total[order], total[0] = sum(r.score for r in rows), sum(r.base_score for r in rows)
+    assert total[0] < total[2] and total[1] < total[2] and total[1] < total[3]
 
 
 def test_discounts_follow_katz():
