@@ -104,17 +104,28 @@ def label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.groupBy(F.col("doc_id").alias("label_id")).agg((0.5 + 1.5 * F.avg("quality")).alias("label_quality"))
 
 
-def mixed(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def mixed(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The input's rows and columns, each row as often as the mix takes it; rows that it doesn't take go.
 
-    Decisions are made on ids and text hashes; the texts are dealt once. Rows of one id and text are taken alike.
+    Decisions are made on ids and text hashes; the texts are dealt once. Rows of one id, text and source are alike: together they are
+    taken as often as mix() takes them. Where it takes some of them once more than others, their places among each other decide;
+    only such rows, those at a source's limit, are numbered.
     """
-    name = lambda c: F.coalesce(c.cast("string"), F.lit("")).alias("_id")
+    key = ["_id", "_tid", "_source"]
+    name = lambda c: F.struct(c.isNull().alias("none"), F.coalesce(c.cast("string"), F.lit("")).alias("text"))
     tid = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("_tid")
-    taken = mix(docs, quality=quality, carry=[tid], id_col=id_col, text_col=text_col, **how)
-    taken = taken.select(name(F.col("doc_id")), "carried._tid", "copies").groupBy("_id", "_tid").agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    packed = docs.select(F.struct("*").alias("row"), name(F.col(id_col)), tid)
-    return packed.join(taken, ["_id", "_tid"]).select("row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")
+    source = name(F.col(source_col)).alias("_source")
+    taken = mix(docs, quality=quality, carry=[tid, source], id_col=id_col, text_col=text_col, source_col=source_col, **how)
+    taken = taken.select(name(F.col("doc_id")).alias("_id"), "carried._tid", "carried._source", "copies")
+    sums = [F.min("copies").alias("_low"), F.max("copies").alias("_high"), F.sum("copies").alias("_sum"), F.count("*").alias("_n")]
+    taken = taken.groupBy(*key).agg(*sums).where("_high > 0")
+    packed = docs.select(F.struct("*").alias("row"), name(F.col(id_col)).alias("_id"), tid, source)
+    joined = packed.join(taken, key)
+    alike = joined.where("_low = _high").select("row", F.col("_low").alias("_copies"))
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1)))
+    more = F.when(place <= F.col("_sum") % F.col("_n"), 1).otherwise(0)
+    parted = joined.where("_low < _high").select("row", (F.floor(F.col("_sum") / F.col("_n")) + more).cast("int").alias("_copies"))
+    return alike.unionByName(parted).where("_copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,11 +21,14 @@ RULES: tuple[tuple[str, str], ...] = (
     ("short_words", "word_chars < 2 * n_words"),
     ("long_words", "word_chars > 20 * n_words"),
     ("too_many_words", "n_words > 100000"),
+    ("no_words", "n_words = 0"),
 )
 #: Each version's rules. A version is never changed once it was used; a new one is added.
 POLICIES: dict[str, tuple[str, ...]] = {
     "base": ("few_words", "repeated_windows"),
     "v1": ("few_words", "repeated_windows", "many_symbols", "repeated_lines", "short_words", "long_words"),
+    # short texts may be good ones; only those without any word go
+    "v2": ("no_words", "repeated_windows", "many_symbols", "repeated_lines", "short_words", "long_words"),
 }
 POLICY = "v1"
 
@@ -78,8 +81,9 @@ def repeat_words(words: Column) -> Column:
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The input's rows in the column row, beside the measurements.
 
-    A null text counts as an empty one: no words, no lines. Repeated rows are measured each for themselves. All columns
-    of the input stay inside row, so none can clash.
+    A null text counts as an empty one: no words, no lines. Repeated rows are measured each for themselves. A very long text is
+    one row, measured in n log n of its words; no row leaves its document. All columns of the input stay inside row, so none
+    can clash. An empty table gives no rows.
     """
     texts = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     split = texts.select(
@@ -158,7 +162,7 @@ measured AS (SELECT t.r, t.doc_id, len(words)::BIGINT AS n_words,
   FROM texts t JOIN word_lists USING (r) LEFT JOIN repeats USING (r)),
 judged AS (SELECT *, ((n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT
   + 4 * (10 * n_symbols > word_chars)::BIGINT + 8 * (2 * n_dup_lines > n_lines)::BIGINT + 16 * (word_chars < 2 * n_words)::BIGINT
-  + 32 * (word_chars > 20 * n_words)::BIGINT + 64 * (n_words > 100000)::BIGINT)::BIGINT AS failed FROM measured)
+  + 32 * (word_chars > 20 * n_words)::BIGINT + 64 * (n_words > 100000)::BIGINT + 128 * (n_words = 0)::BIGINT)::BIGINT AS failed FROM measured)
 """
 ORACLES = {
     "op8_quality_rules": f"""WITH {ORACLE_CTE}

@@ -19,7 +19,7 @@ def test_stages(spark):
     assert list(stages) == ["quality_rules", "near_duplicates", "repeated_passages", "source_mix", "token_ids"]
 
     out = stash(stages["quality_rules"](spark, docs, SF), "t")
-    assert out.columns == columns and out.count() == rules.ledger(docs).where(rules.passes()).count() > 10
+    assert out.columns == columns and out.count() == rules.ledger(docs).where(rules.passes("v2")).count() > 10
     rows = [tuple(r) for r in out.collect()]
 
     docs = stash(stages["near_duplicates"](spark, out, SF), "t")

@@ -1,5 +1,6 @@
 """Sharding, mixing, rules, URLs."""
 
+import hashlib
 import math
 import struct
 import zlib
@@ -111,17 +112,50 @@ def test_mix_prefers_quality_and_levels_sources(spark):
 
 
 def test_mixed_rows_keep_their_columns(spark):
-    out = mixing.mixed(frame(spark))
+    repeated = [(77, "one two three", "en", "s1", 0, "", 0, "", "", 0)] * 7
+    docs = documents() + repeated
+    out = mixing.mixed(frame(spark, docs))
     assert out.columns == frame(spark).columns
-    want = {}
-    for r in mixing.mix(frame(spark)).collect():
-        want[r.doc_id, r.size] = max(r.copies, want.get((r.doc_id, r.size), 0))
-    got = {}
+    want, got = {}, {}
+    for r in mixing.mix(frame(spark, docs)).collect():
+        key = (r.doc_id, r.size)
+        want[key] = want.get(key, 0) + r.copies
     for r in out.collect():
         key = (r.doc_id, len((r.text or "").split()))
         got[key] = got.get(key, 0) + 1
-    repeated = {(904, 9000): 2}
-    assert got == {k: n * repeated.get(k, 1) for k, n in want.items() if n}
+    assert got == {k: n for k, n in want.items() if n}
+
+
+def chosen_by_brute_force(docs, weights, most, quality):
+    """Copies of each document: whole epochs, then documents in key order while the words before them leave room."""
+    size = lambda t: len((t or "").split())
+    sizes = {}
+    for _, t, s in docs:
+        sizes[s] = sizes.get(s, 0) + size(t)
+    target, out = level(sizes, weights, most), []
+    for source in sizes:
+        rows = []
+        for i, t, s in docs:
+            if s == source:
+                u = (int(hashlib.md5(("null" if i is None else str(i)).encode()).hexdigest()[:13], 16) + 1) / (2**52 + 2)
+                rows.append((-math.log(u) / quality.get(i, 1.0), -1 if i is None else i, size(t)))
+        epochs = int(target[source] // sizes[source]) if sizes[source] else 0
+        left = target[source] - epochs * sizes[source]
+        for _, i, n in sorted(rows):
+            more = 2 * left > n
+            out.append((i, n, (epochs + more) * n))
+            left -= n
+    return sorted(out)
+
+
+@pytest.mark.parametrize("bucket", [2_000, 3])
+def test_mix_takes_the_documents_of_smallest_keys(spark, monkeypatch, bucket):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", bucket)
+    docs = [(i, t, s) for i, t, _, s, *_ in documents(n=150)]
+    quality = {i: 0.5 + i % 3 for i, *_ in docs if i is not None and i < 100}
+    labels = spark.createDataFrame(list(quality.items()), "label_id long, label_quality double")
+    rows = mixing.mix(frame(spark, documents(n=150)), quality=labels).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.size, r.taken) for r in rows) == chosen_by_brute_force(docs, mixing.WEIGHTS, 3, quality)
 
 
 def measures(text):
