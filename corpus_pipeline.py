@@ -13,8 +13,8 @@ from tallyrook.llm.common import stash, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules' current policy rejects go."""
-    return rules.keep(docs)
+    """Documents that the rules' policy for corpora rejects go; short ones may stay."""
+    return rules.keep(docs, "v2")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
