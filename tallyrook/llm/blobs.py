@@ -44,6 +44,19 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def pack_names(names: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Texts, nulls among them, as two arrays for pack()."""
+    encoded = [b"" if x is None else x.encode() for x in names]
+    sizes = np.array([-1 if x is None else len(e) for x, e in zip(names, encoded, strict=True)], np.int64)
+    return sizes, np.frombuffer(b"".join(encoded), np.uint8)
+
+
+def unpacked_names(sizes: np.ndarray, data: np.ndarray) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(np.maximum(sizes, 0))]).astype(np.int32)
+    plain = pa.Array.from_buffers(pa.string(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+    return pa.array(plain.to_pylist(), pa.string(), mask=sizes < 0) if (sizes < 0).any() else plain
+
+
 def rows(chunks: list[str], kinds: list[str], ranges: list[int], data: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(chunks, pa.string()), pa.array(kinds, pa.string()), pa.array(ranges, pa.int32()), pa.array(data, pa.binary())], names=["chunk", "kind", "r", "data"])
 

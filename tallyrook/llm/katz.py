@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blobs import BLOB, batch, each, pack, parts, requests, rows, unpack
+from .blobs import BLOB, batch, each, pack, pack_names, parts, requests, rows, unpack, unpacked_names
 from .common import drop_stash, small_batches, stash, table
 from .words import U, mix, texts_hashed
 
@@ -72,15 +72,15 @@ class Chunk:
     """Documents as numbers into sorted distinct words."""
 
     def __init__(self, data: bytes):
-        self.ids, self.held, self.lengths, self.words, self.tokens = unpack(data)
+        self.names, self.letters, self.held, self.lengths, self.words, self.tokens = unpack(data)
         self.first = np.concatenate([[0], np.cumsum(self.lengths, dtype=np.int64)])[:-1]
         self.trained = np.repeat(self.held == 0, self.lengths)
 
     @staticmethod
-    def packed(docs: list[tuple[int, bool, np.ndarray]]) -> bytes:
+    def packed(docs: list[tuple[str | None, bool, np.ndarray]]) -> bytes:
         lengths = np.array([len(w) for _, _, w in docs], np.uint32)
         words, tokens = np.unique(np.concatenate([w for _, _, w in docs]), return_inverse=True)
-        return pack(np.array([i for i, _, _ in docs], np.int64), np.array([h for _, h, _ in docs], np.uint8), lengths, words, tokens.astype(np.uint32))
+        return pack(*pack_names([i for i, _, _ in docs]), np.array([h for _, h, _ in docs], np.uint8), lengths, words, tokens.astype(np.uint32))
 
     def before(self, values: np.ndarray, mark) -> np.ndarray:
         """Each token's value of the token before it in its document; the mark for first tokens."""
@@ -175,7 +175,7 @@ class Model(NamedTuple):
 
 
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[int, bool, np.ndarray]] = []
+    held: list[tuple[str | None, bool, np.ndarray]] = []
     tokens = 0
     for one in batches:
         for doc_id, out, words in zip(one.column("doc_id").to_pylist(), one.column("held").to_pylist(), texts_hashed(one.column("text"), lower=True), strict=True):
@@ -406,8 +406,7 @@ def probabilities(c: _Counted, sums: dict[int, tuple[np.ndarray, np.ndarray]]) -
 def _prepared(docs: DataFrame, held: Column, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     """The texts in chunks, and the number of their tokens."""
     small_batches(docs.sparkSession)
-    # the id goes along as a number; null as the smallest, which no id may be
-    plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), held.alias("held"), F.col(text_col).alias("text"))
+    plain = docs.select(F.col(id_col).cast("string").alias("doc_id"), held.alias("held"), F.col(text_col).alias("text"))
     chunks = stash(plain.mapInArrow(_chunked, BLOB), "lm-chunks")
     return chunks, chunks.mapInArrow(_sized, "n long").agg(F.sum("n")).first()[0] or 0
 
@@ -440,7 +439,7 @@ def score(docs: DataFrame, held: Column | None = None, order: int = ORDER, model
     held says which rows are kept out of training; without it those whose crc32 of the id's text is divisible by ten. With a model
     nothing is trained here and its order holds. Tokens are words in lower case (A to Z), then one end. base_score adds log10((c +
     0.1) / (N + 0.1 (V + 1))), score the model's log10 probabilities. Null and empty texts are just an end. Ties and repeated rows count
-    as often as they occur. A null id counts as an empty one; it comes back as null. If nothing is for training, all counts are 0 and
+    as often as they occur. Ids may be of any plain type; a null id counts as an empty one and comes back as null. If nothing is for training, all counts are 0 and
     scores are those of one unknown word. An empty table gives no rows. n-grams are told apart by 64 bits of hash.
     """
     spark = docs.sparkSession
@@ -461,15 +460,16 @@ def score(docs: DataFrame, held: Column | None = None, order: int = ORDER, model
         add = lambda x: np.add.reduceat(x, chunk.first)
         return pa.table(
             {
-                "doc_id": pa.array(chunk.ids, mask=chunk.ids == -(2**63)), "held_out": pa.array(chunk.held == 1), "n_tokens": chunk.lengths.astype(np.int64),
+                "doc_id": unpacked_names(chunk.names, chunk.letters), "held_out": pa.array(chunk.held == 1), "n_tokens": chunk.lengths.astype(np.int64),
                 "n_known": add(seen[words.which].astype(np.int64)), "train_tokens": np.full(len(chunk.first), unigrams.tokens, np.int64),
                 "base_score": add(base[words.which]), "score": add(scores),
             }
         )
 
-    return _union([chunks, *answers]).groupBy("chunk").applyInArrow(
-        evaluate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    out = _union([chunks, *answers]).groupBy("chunk").applyInArrow(
+        evaluate, "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
+    return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
 
 
 def op10_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

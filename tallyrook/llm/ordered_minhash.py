@@ -288,7 +288,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("tid"))
-    sketches = stash(rows.mapInArrow(_sketched, "doc_id long, tid binary, keys array<long>, size int"), "sketches")
+    kind = docs.schema[id_col].dataType.simpleString()
+    sketches = stash(rows.mapInArrow(_sketched, f"doc_id {kind}, tid binary, keys array<long>, size int"), "sketches")
     nodes = sketches.groupBy("tid").agg(F.first("keys").alias("keys"), F.first("size").alias("size"))
     links = stash(_linked(rows, stash(_candidates(nodes), "candidates")), "links-found")
     parts = components(links)

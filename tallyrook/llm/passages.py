@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blobs import BLOB, batch, each, pack, parts, range_starts, requests, rows, unpack
+from .blobs import BLOB, batch, each, pack, pack_names, parts, range_starts, requests, rows, unpack, unpacked_names
 from .common import BLANKS, drop_folders, drop_stash, small_batches, stash, table
 from .suffix_order import WIDTH, Hashes, cuts, repeated
 from .words import mix
@@ -56,7 +56,7 @@ class Texts:
     """A chunk: documents, one after the other, and their parse. Documents shorter than any window are left out of the parse."""
 
     def __init__(self, data: bytes, least: int, parse: bool = True):
-        self.ids, self.sizes, self.tids, self.data, at = unpack(data)
+        self.names, self.letters, self.sizes, self.tids, self.data, at = unpack(data)
         self.offsets = np.concatenate([[0], np.cumsum(self.sizes, dtype=np.int64)])
         if not parse:
             return
@@ -74,12 +74,12 @@ class Texts:
         self.distinct, self.which = np.unique(self.phrases, return_inverse=True)
 
     @staticmethod
-    def packed(docs: list[tuple[int, bytes, bytes]]) -> bytes:
+    def packed(docs: list[tuple[str | None, bytes, bytes]]) -> bytes:
         data = np.frombuffer(b"".join(t for _, _, t in docs), np.uint8)
         tids = np.frombuffer(b"".join(t for _, t, _ in docs), np.uint8)
         sizes = np.array([len(t) for _, _, t in docs], np.uint32)
         at = cuts(Hashes(data), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]))
-        return pack(np.array([i for i, _, _ in docs], np.int64), sizes, tids, data, at.astype(np.uint64))
+        return pack(*pack_names([i for i, _, _ in docs]), sizes, tids, data, at.astype(np.uint64))
 
     def open(self, counts: np.ndarray, length: int) -> np.ndarray:
         """Windows that hold no whole phrase that occurs once; counts: of the distinct phrases."""
@@ -274,15 +274,15 @@ def repeats(docs: DataFrame, rules: Sequence[Rule] = (Rule(LENGTH),), id_col: st
     bytes that the first rule leaves. A byte is removed if a string of `length` bytes that covers it also starts anywhere
     else, in this document or another, and its run touches as many words as the rule asks for; strings are judged on the
     input. Null texts are empty, and texts shorter than `length` lose nothing. Repeated rows are documents of their own, so
-    all of a text of that length goes from each of them. The result is bytes: a cut may part a character. A null doc_id comes
-    back as null. An empty table gives no rows. All rules are answered from one parse.
+    all of a text of that length goes from each of them. The result is bytes: a cut may part a character. Ids of any plain type come
+    back as they are, null as null. An empty table gives no rows. All rules are answered from one parse.
     """
     spark = docs.sparkSession
     small_batches(spark, size=1 << 20)
     least = min(rule.length for rule in rules)
     kinds = [f"{k}{i}" for k in ("hashes", "runs") for i in range(len(rules))]
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.unhex(F.md5(text)).alias("tid"), text.alias("text"))
+    plain = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.unhex(F.md5(text)).alias("tid"), text.alias("text"))
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     n = int(max(1, -(-total // RANGE_BYTES), min(spark.sparkContext.defaultParallelism, total // (1 << 20))))
 
@@ -351,9 +351,9 @@ def repeats(docs: DataFrame, rules: Sequence[Rule] = (Rule(LENGTH),), id_col: st
             gone = gone if i else cut
             doc = np.searchsorted(texts.offsets, begin, "right") - 1
             spans = pa.StructArray.from_arrays([pa.array(begin - texts.offsets[doc]), pa.array(end - texts.offsets[doc])], names=["start", "end"])
-            lists.append((np.searchsorted(doc, np.arange(len(texts.ids) + 1)), spans))
+            lists.append((np.searchsorted(doc, np.arange(len(texts.sizes) + 1)), spans))
         # the rules' lists of a document one after the other
-        m, k = len(texts.ids), len(rules)
+        m, k = len(texts.sizes), len(rules)
         base = np.cumsum([0, *(len(spans) for _, spans in lists)])
         sizes = np.stack([np.diff(places) for places, _ in lists], 1) if m else np.zeros((0, k), np.int64)
         first = np.stack([base[i] + places[:-1] for i, (places, _) in enumerate(lists)], 1).reshape(-1)
@@ -366,7 +366,7 @@ def repeats(docs: DataFrame, rules: Sequence[Rule] = (Rule(LENGTH),), id_col: st
         tids = pa.Array.from_buffers(pa.binary(16), m, [None, pa.py_buffer(np.ascontiguousarray(texts.tids))]).cast(pa.binary())
         return pa.table(
             {
-                "doc_id": pa.array(texts.ids, mask=texts.ids == -(2**63)), "tid": tids, "n_bytes": texts.sizes.astype(np.int64),
+                "doc_id": unpacked_names(texts.names, texts.letters), "tid": tids, "n_bytes": texts.sizes.astype(np.int64),
                 "spans": pa.ListArray.from_arrays(np.arange(m + 1, dtype=np.int32) * k, spans), "kept": kept,
             }
         )
@@ -383,7 +383,8 @@ def repeats(docs: DataFrame, rules: Sequence[Rule] = (Rule(LENGTH),), id_col: st
         drop_stash(done)
     known = [chunks, asked.where("kind like 'left%'"), stash(answers, "answers")]
     drop_folders(asked, [f"kind={kind}" for kind in kinds])
-    return together().applyInArrow(finish, "doc_id long, tid binary, n_bytes long, spans array<array<struct<start:long,end:long>>>, kept binary")
+    out = together().applyInArrow(finish, "doc_id string, tid binary, n_bytes long, spans array<array<struct<start:long,end:long>>>, kept binary")
+    return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

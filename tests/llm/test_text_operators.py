@@ -1,5 +1,6 @@
 """BPE, token files, near duplicates, passages, language model."""
 
+import bisect
 import collections
 import hashlib
 import math
@@ -109,8 +110,32 @@ def test_token_file_reads_only_what_it_needs_and_sees_damage():
         f.frame(3)
 
 
+def labelled_shingles(text):
+    """Five-word shingles, or all words where there are fewer, each with how many equal ones came before it."""
+    words = [w for w in re.split("[ \t\n\x0b\x0c\r]+", text or "") if w]
+    k = min(5, len(words))
+    seen, out = collections.Counter(), []
+    for i in range(len(words) - k + 1 if words else 0):
+        shingle = tuple(words[i : i + k])
+        out.append((shingle, seen[shingle]))
+        seen[shingle] += 1
+    return out
+
+
+def similar(a, b):
+    """m / (a + b - m) >= 0.8 with m the longest common subsequence of labelled shingles."""
+    if not a or not b or 10 * min(len(a), len(b)) < 8 * max(len(a), len(b)):
+        return False
+    place, tails = {x: i for i, x in enumerate(b)}, []
+    for at in (place[x] for x in a if x in place):
+        i = bisect.bisect_left(tails, at)
+        tails[i : i + 1] = [at]
+    m = len(tails)
+    return 10 * m >= 8 * (len(a) + len(b) - m)
+
+
 def classes_by_brute_force(docs):
-    labelled = [ordered_minhash.shingles(w) for w in words.texts_hashed(pa.array([t or "" for _, t, *_ in docs], pa.string()))]
+    shingles = [labelled_shingles(t) for _, t, *_ in docs]
     part = list(range(len(docs)))
 
     def root(x):
@@ -120,7 +145,7 @@ def classes_by_brute_force(docs):
 
     for i in range(len(docs)):
         for j in range(i):
-            if (docs[i][1] or "") == (docs[j][1] or "") or ordered_minhash.aligned(labelled[i], labelled[j]):
+            if (docs[i][1] or "") == (docs[j][1] or "") or similar(shingles[i], shingles[j]):
                 part[max(root(i), root(j))] = min(root(i), root(j))
     groups = {}
     for i in range(len(docs)):
@@ -401,6 +426,14 @@ def test_katz_model_is_kept(spark, tmp_path, monkeypatch):
     check_scores(katz.score(frame(spark, other), model=model).collect(), other, 3, documents(seed=1))
 
 
+def test_ids_may_be_texts(spark):
+    docs = spark.createDataFrame([("a", "eins zwei drei"), ("b", None), (None, "vier"), ("c", "x " * 300), ("d", "x " * 300)], "doc_id string, text string")
+    assert {r.doc_id for r in katz.score(docs).collect()} == {"a", "b", None, "c", "d"}
+    gone = {r.doc_id: r.n for r in passages.repeats(docs).selectExpr("doc_id", "size(spans[0]) AS n").collect()}
+    assert gone == {"a": 0, "b": 0, None: 0, "c": 1, "d": 1}
+    assert {r.doc_id: r.class_id for r in ordered_minhash.near_duplicates(docs).collect()}["d"] == "c"
+
+
 def test_katz_beats_its_base_and_lower_orders_on_held_out_text(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     total = {}
