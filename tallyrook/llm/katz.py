@@ -263,8 +263,8 @@ def _mass(tally: list[np.ndarray], d: np.ndarray) -> np.ndarray:
 
 
 def _sums(k: int, keep: bool, model: Model, group: pa.Table) -> pa.Table:
-    """Of a range's histories of order k: the discounted mass of their n-grams, and of the shorter ones behind these. In order 2 the latter is a
-    probability, above the part of the shorter history's counts."""
+    """Of a range's histories of order k, as asked: whether nothing of their n-grams is discounted (1), and the discounted mass of these and of
+    the shorter n-grams behind them (2). In order 2 the latter is a probability, above the part of the shorter history's counts."""
     merged, r = _Merged(group), group.column("r")[0].as_py()
     tallies = [merged.total(i) for i in range(1, 1 + 2 * TALLY)]
     seen, below = tallies[:TALLY], tallies[TALLY:]
@@ -276,7 +276,11 @@ def _sums(k: int, keep: bool, model: Model, group: pa.Table) -> pa.Table:
         lower = shares / (u.tokens + UNKNOWN_SHARE * (u.types + 1))
     else:
         lower = _mass(below, u.d) / u.tokens
-    answered = [(name, f"sums{k}", pack(mass[places[blob[-1] > 0]], lower[places[blob[-1] > 0]])) for name, blob, places in merged.chunks]
+    count = sum(c * seen[c - 1] for c in range(1, MOST + 1)) + seen[-1]
+    half, answered = (count - mass < 1e-9).astype(np.uint8), []
+    for name, blob, places in merged.chunks:
+        first, second = places[blob[-1] & 1 > 0], places[blob[-1] & 2 > 0]
+        answered.append((name, f"sums{k}", pack(half[first], mass[second], lower[second])))
     if keep:
         answered.append(("", f"history{k}", pack(merged.keys, *tallies)))
     return _answers(answered, r)
@@ -306,11 +310,17 @@ class _Counted:
         out[self.levels[k].mark] = False
         return out
 
-    def wanted(self, k: int, whole: bool) -> np.ndarray:
-        """Places of histories of order k + 1 whose sums are needed somewhere: known ones of held-out texts, and those whose denominator may
-        need the half."""
-        known = self.total[k - 1] > 0
-        return known if whole else known & (self.held[k - 1] | (self.total[k - 1] >= self.model.surely_discounted(k + 1)))
+    def asked(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the histories of order k: those whose denominator may need the half, and those whose alpha this chunk needs."""
+        total = self.total[k - 2]
+        half = total >= self.model.surely_discounted(k)
+        alpha = np.zeros(len(total), bool)
+        alpha[self.history[k - 2][self.real(k - 1) & (self.total[k - 1] == 0)]] = True
+        return half, alpha & (total > 0)
+
+    def told(self, k: int, half: np.ndarray) -> np.ndarray:
+        """Histories of order k of whose n-grams someone may need to know: known ones that held-out texts have, or that may need the half."""
+        return (self.total[k - 2] > 0) & (self.held[k - 2] | half)
 
 
 def _run(chunks: DataFrame, order: int, ranges: int, model: Model | None, keep: str | None) -> tuple[Model, list[DataFrame]]:
@@ -319,8 +329,9 @@ def _run(chunks: DataFrame, order: int, ranges: int, model: Model | None, keep:
     spark = chunks.sparkSession
     answers, statistics = [], []
 
-    def tables(kind: str) -> DataFrame | None:
-        return None if model is None else spark.read.schema(TABLE).parquet(f"{model.path}/tables/{kind}").select(F.lit("").alias("chunk"), "kind", "r", "data")
+    def tables(kind: str, asked_as: str) -> DataFrame:
+        kept = spark.read.schema(TABLE).parquet(f"{model.path}/tables/{kind}")
+        return kept.select(F.lit("").alias("chunk"), F.lit(asked_as).alias("kind"), "r", "data")
 
     def counts_asked(k: int):
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,43 +345,47 @@ def _run(chunks: DataFrame, order: int, ranges: int, model: Model | None, keep:
 
         return work
 
-    def answered(asked: DataFrame, kind: str, answer) -> DataFrame:
-        kept = tables(kind)
-        asked = asked if kept is None else asked.unionByName(kept)
-        out = stash(asked.groupBy("r").applyInArrow(answer, ANSWER), "lm-answers")
-        if keep is not None:
+    def answered(asked: DataFrame, kinds: list[str], by: str | None, answer) -> DataFrame:
+        """Answers of ranges to one question or several; kinds: those of the tables."""
+        for kind in kinds if model is not None else ():
+            asked = asked.unionByName(tables(kind, kind.replace("history", "sums").replace("table", "count")))
+        out = stash(asked.groupBy(*filter(None, [by]), "r").applyInArrow(answer, ANSWER), "lm-answers")
+        for kind in kinds if keep is not None else ():
             out.where(F.col("kind") == kind).select("kind", "r", "data").write.parquet(f"{keep}/tables/{kind}")
         return out
 
     def count_answered(k: int):
         return lambda group: _count(k, keep is not None, group)
 
-    def sums_answered(k: int):
-        return lambda group: _sums(k, keep is not None, known, group)
-
     for k in range(1, order + 1):
-        found = answered(chunks.mapInArrow(counts_asked(k), BLOB), f"table{k}", count_answered(k))
+        found = answered(chunks.mapInArrow(counts_asked(k), BLOB), [f"table{k}"], None, count_answered(k))
         sums = [F.coalesce(F.sum(F.get("numbers", F.lit(i))), F.lit(0)) for i in range(MOST + 3)]
         statistics.append(list(found.where("kind = 'statistics'").agg(*sums).first()))  # a few numbers
         answers.append(found.where("chunk <> ''").drop("numbers"))
     known = Model(order, ranges, statistics) if model is None else model
     together = _union([chunks, *answers])
 
-    def sums_asked(k: int):
-        def work(group: pa.Table) -> pa.Table:
-            name, part = parts(group)
-            c = _Counted(part, known)
-            want = c.wanted(k - 1, keep is not None or model is not None)
-            mine = c.owner[k - 1] & c.real(k - 1) if model is None else np.zeros(len(c.owner[k - 1]), bool)
+    def sums_asked(group: pa.Table) -> pa.Table:
+        name, part = parts(group)
+        c, asked = _Counted(part, known), []
+        for k in range(2, order + 1):
+            half, alpha = c.asked(k)
+            if model is not None:
+                want, mine = half | alpha, np.zeros(len(c.owner[k - 1]), bool)
+            else:
+                want, mine = c.total[k - 2] > 0 if keep is not None else c.told(k, half), c.owner[k - 1] & c.real(k - 1)
             n, history = len(want), c.history[k - 2]
-            columns = [*_tally(history[mine], c.total[k - 1][mine], n), *_tally(history[mine], c.total[k - 2][c.shorter[k - 2][mine]], n)]
-            return pa.Table.from_batches([batch(requests(name, f"sums{k}", c.levels[k - 2].keys[want], [*(x[want] for x in columns), np.ones(int(want.sum()), np.uint8)], ranges))])
+            columns = [*_tally(history[mine], c.total[k - 1][mine], n), *_tally(history[mine], c.total[k - 2][c.shorter[k - 2][mine]], n), (half + 2 * alpha).astype(np.uint8)]
+            asked += requests(name, f"sums{k}", c.levels[k - 2].keys[want], [x[want] for x in columns], ranges)
+        return pa.Table.from_batches([batch(asked)])
 
-        return work
+    def sums_answered(group: pa.Table) -> pa.Table:
+        return _sums(int(group.column("kind")[0].as_py()[len("sums") :]), keep is not None, known, group)
 
-    for k in range(2, order + 1):
-        asked = together.groupBy("chunk").applyInArrow(sums_asked(k), BLOB)
-        answers.append(answered(asked, f"history{k}", sums_answered(k)).where("chunk <> ''").drop("numbers"))
+    if order > 1:
+        asked = together.groupBy("chunk").applyInArrow(sums_asked, BLOB)
+        histories = [f"history{k}" for k in range(2, order + 1)]
+        answers.append(answered(asked, histories, "kind", sums_answered).where("chunk <> ''").drop("numbers"))
     return known, answers
 
 
@@ -381,23 +396,23 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def probabilities(c: _Counted, sums: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """log10 of each token's probability, by recursion from single words up. sums: by order, mass and lower of the histories wanted."""
+def probabilities(c: _Counted, sums: dict[int, list[np.ndarray]]) -> np.ndarray:
+    """log10 of each token's probability, by recursion from single words up. sums: by order, the answers to _Counted.asked()."""
     model = c.model
     p = model.unigrams(c.total[0])
     whole_below = None
     for k in range(2, model.order + 1):
         d, counts, total = model.discounts(k), c.total[k - 1], c.total[k - 2].astype(float)
-        mass, lower = np.zeros(len(total)), np.zeros(len(total))
-        want = c.wanted(k - 1, model.path is not None)
-        mass[want], lower[want] = sums[k]
-        whole = total + 0.5 * (want & (total - mass < 1e-9))
+        half, wanted = c.asked(k)
+        whole = total.copy()
+        whole[half] += 0.5 * sums[k][0]
+        mass, lower = sums[k][1:]
         if k > 2:  # the part of what the shorter history has
-            with np.errstate(divide="ignore", invalid="ignore"):
-                lower = lower / whole_below[c.shorter[k - 3]]
+            lower = lower / whole_below[c.shorter[k - 3]][wanted]
+        alpha = np.ones(len(total))
+        alpha[wanted] = (1 - mass / whole[wanted]) / (1 - lower)
+        history = c.history[k - 2]
         with np.errstate(divide="ignore", invalid="ignore"):
-            alpha = np.where(total > 0, (1 - mass / whole) / (1 - lower), 1.0)
-            history = c.history[k - 2]
             p = np.where(counts > 0, discounted(counts, d) / whole[history], alpha[history] * p[c.shorter[k - 2]])
         whole_below = whole
     return np.log10(p)[c.levels[-1].which]
@@ -453,7 +468,7 @@ def score(docs: DataFrame, held: Column | None = None, order: int = ORDER, model
     def evaluate(group: pa.Table) -> pa.Table:
         _, part = parts(group)
         c = _Counted(part, known)
-        none = [np.zeros(0), np.zeros(0)]
+        none = [np.zeros(0)] * 3
         scores = probabilities(c, {k: part.get(f"sums{k}", none) for k in range(2, order + 1)})
         chunk, words = c.chunk, c.levels[0]
         seen, base = c.total[0] > 0, np.log10(unigrams.base(c.total[0]))
