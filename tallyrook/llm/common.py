@@ -67,6 +67,21 @@ def drop_stash(df: DataFrame) -> None:
     delete_path(df.sparkSession, df._stash_path)
 
 
+class Scratch:
+    """Tables written on the way to a result, removed together once nothing reads them."""
+
+    def __init__(self) -> None:
+        self.made: list[DataFrame] = []
+
+    def stash(self, df: DataFrame, name: str) -> DataFrame:
+        self.made.append(stash(df, name))
+        return self.made[-1]
+
+    def drop(self) -> None:
+        while self.made:
+            drop_stash(self.made.pop())
+
+
 def drop_folders(df: DataFrame, folders: list[str]) -> None:
     """Of a table that stash() wrote by folders: remove some that nothing will read again."""
     for folder in folders:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, stash, table
+from .common import Scratch, small_batches, stash, table
 from .graph import components
 from .words import U, mix, texts_hashed
 
@@ -215,16 +215,22 @@ def _candidates(nodes: DataFrame) -> DataFrame:
     return pairs.select(F.least("tid", "centre").alias("a"), F.greatest("tid", "centre").alias("b")).distinct()
 
 
-def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(tid, text) of the wanted tids."""
+def _own(doc_id: str = "doc_id"):
+    return F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("own")
+
+
+def _texts(rows: DataFrame, firsts: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
+    """(tid, text) of the wanted tids. Of a text with many copies only the rows of its first id are dealt to one place; the others are
+    spread by their ids and end there."""
     # the same plan at every size: a broadcast of the wanted would grow with the corpus
-    texts = rows.select("tid", "text").join(wanted.hint("merge"), "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
-    return stash(texts, "candidate-texts")
+    asked = wanted.join(firsts, "tid").select("tid", "own")
+    texts = rows.select("tid", _own(), "text").join(asked.hint("merge"), ["own", "tid"], "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
+    return scratch.stash(texts, "candidate-texts")
 
 
-def _linked(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+def _linked(rows: DataFrame, firsts: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs whose texts are similar."""
-    texts = _texts(rows, pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct())
+    texts = _texts(rows, firsts, pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct(), scratch)
     both = pairs.join(texts.withColumnRenamed("tid", "a").withColumnRenamed("text", "text_a"), "a")
     both = both.join(texts.withColumnRenamed("tid", "b").withColumnRenamed("text", "text_b"), "b")
     return both.select("a", "text_a", "b", "text_b").mapInArrow(_verified, "a binary, b binary")
@@ -260,10 +266,10 @@ def _tasks(nodes: DataFrame) -> DataFrame:
     return member.join(wide.select("tid", "component", "keys", "size"), "tid")
 
 
-def _rest_linked(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+def _rest_linked(rows: DataFrame, firsts: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """Links that connect all components with similar texts under one key."""
-    tasks = stash(_tasks(nodes), "tasks")
-    texts = _texts(rows, tasks.select("tid").distinct())
+    tasks = scratch.stash(_tasks(nodes), "tasks")
+    texts = _texts(rows, firsts, tasks.select("tid").distinct(), scratch)
     dealt = tasks.join(texts, "tid").repartition(F.col("task")).sortWithinPartitions("task")
     return dealt.select("task", "key", "side", "tid", "component", "keys", "size", "text").mapInArrow(_blocks_linked, "a binary, b binary")
 
@@ -290,16 +296,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("tid"))
     kind = docs.schema[id_col].dataType.simpleString()
     sketches = stash(rows.mapInArrow(_sketched, f"doc_id {kind}, tid binary, keys array<long>, size int"), "sketches")
-    nodes = sketches.groupBy("tid").agg(F.first("keys").alias("keys"), F.first("size").alias("size"))
-    links = stash(_linked(rows, stash(_candidates(nodes), "candidates")), "links-found")
-    parts = components(links)
+    nodes = sketches.groupBy("tid").agg(F.first("keys").alias("keys"), F.first("size").alias("size"), F.min("doc_id").alias("copies_of"))
+    scratch = Scratch()
+    nodes = scratch.stash(nodes, "nodes")
+    firsts = nodes.select("tid", _own("copies_of"))
+    candidates = scratch.stash(_candidates(nodes), "candidates")
+    links = scratch.stash(_linked(rows, firsts, candidates, scratch), "links-found")
+    parts = components(links, scratch.stash)
     labelled = nodes.join(parts, F.col("tid") == F.col("node"), "left").select("tid", "keys", "size", F.coalesce("component", "tid").alias("component"))
-    parts = components(links.unionByName(stash(_rest_linked(rows, labelled), "links-found")))
-    named = sketches.groupBy("tid").agg(F.min("doc_id").alias("copies_of")).join(parts, F.col("tid") == F.col("node"), "left")
+    rest = scratch.stash(_rest_linked(rows, firsts, labelled, scratch), "links-found")
+    parts = components(links.unionByName(rest), scratch.stash)
+    named = nodes.select("tid", "copies_of").join(parts, F.col("tid") == F.col("node"), "left")
     named = named.select("tid", "copies_of", F.coalesce("component", "tid").alias("component"))
     first = F.min(F.struct(F.col("copies_of").isNull(), F.col("copies_of"), F.col("tid")))
     classes = named.groupBy("component").agg(first.alias("first"))
     named = named.join(classes, "component").select("tid", "copies_of", F.col("first.copies_of").alias("class_id"), (F.col("first.tid") == F.col("tid")).alias("leads"))
+    # written, so that the last join is a plain one, whose partition of a text with very many copies Spark can split
+    named = stash(named, "classes")
+    scratch.drop()
     kept = F.col("leads") & F.col("doc_id").eqNullSafe(F.col("class_id"))
     return sketches.select("doc_id", "tid").join(named, "tid").select("doc_id", "tid", "copies_of", "class_id", kept.alias("kept"))
 
