@@ -18,8 +18,8 @@ BLOB = "chunk string, kind string, r int, data binary"
 _KINDS = ["<u1", "<u4", "<u8", "<i8", "<f8"]
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays in one compressed binary; bytes of equal weight lie together. Sorted uint64 arrays go as differences."""
+def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
+    """Arrays in one compressed binary; bytes of equal weight lie together. uint64 arrays, which are mostly sorted, go as differences."""
     head, body = [struct.pack("<B", len(arrays))], []
     for x in arrays:
         kind = _KINDS.index("<" + x.dtype.str[1:])
@@ -28,7 +28,7 @@ def pack(*arrays: np.ndarray) -> bytes:
             x = np.concatenate([x[:1], np.diff(x)])
         head.append(struct.pack("<BI", kind, len(x)))
         body.append(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() if len(x) else b"")
-    return zstandard.compress(b"".join(head + body), 1)
+    return zstandard.compress(b"".join(head + body), level)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:

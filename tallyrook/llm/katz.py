@@ -69,7 +69,7 @@ class Level(NamedTuple):
 
 
 class Chunk:
-    """Documents as numbers into sorted distinct words."""
+    """Documents as numbers into distinct words; frequent words have small numbers, which take less room."""
 
     def __init__(self, data: bytes):
         self.names, self.letters, self.held, self.lengths, self.words, self.tokens = unpack(data)
@@ -79,8 +79,13 @@ class Chunk:
     @staticmethod
     def packed(docs: list[tuple[str | None, bool, np.ndarray]]) -> bytes:
         lengths = np.array([len(w) for _, _, w in docs], np.uint32)
-        words, tokens = np.unique(np.concatenate([w for _, _, w in docs]), return_inverse=True)
-        return pack(*pack_names([i for i, _, _ in docs]), np.array([h for _, h, _ in docs], np.uint8), lengths, words, tokens.astype(np.uint32))
+        words, tokens, counts = np.unique(np.concatenate([w for _, _, w in docs]), return_inverse=True, return_counts=True)
+        # equally frequent words stay sorted
+        order = np.argsort(-counts, kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        words, tokens = words[order], rank[tokens]
+        return pack(*pack_names([i for i, _, _ in docs]), np.array([h for _, h, _ in docs], np.uint8), lengths, words, tokens, level=3)
 
     def before(self, values: np.ndarray, mark) -> np.ndarray:
         """Each token's value of the token before it in its document; the mark for first tokens."""
@@ -102,7 +107,8 @@ class Chunk:
             keys, sample, which = np.unique(np.append(grams, marks[k]), return_index=True, return_inverse=True)
             mark = int(which[-1])
             sample[mark] = 0  # no token ends it
-            out.append(Level(keys, which[:-1], sample, mark))
+            out.append(Level(keys, which[:-1].astype(np.int32), sample.astype(np.int32), mark))
+            del which, sample
         return out
 
     def counts(self, level: Level) -> tuple[np.ndarray, np.ndarray]:
@@ -377,6 +383,7 @@ def _run(chunks: DataFrame, order: int, ranges: int, model: Model | None, keep:
             n, history = len(want), c.history[k - 2]
             columns = [*_tally(history[mine], c.total[k - 1][mine], n), *_tally(history[mine], c.total[k - 2][c.shorter[k - 2][mine]], n), (half + 2 * alpha).astype(np.uint8)]
             asked += requests(name, f"sums{k}", c.levels[k - 2].keys[want], [x[want] for x in columns], ranges)
+            del columns
         return pa.Table.from_batches([batch(asked)])
 
     def sums_answered(group: pa.Table) -> pa.Table:
