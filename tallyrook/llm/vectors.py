@@ -2,8 +2,9 @@
 
 On unit vectors a cosine of c is a distance of sqrt(2 - 2c), which obeys the triangle inequality. Pivots part the vectors:
 each belongs to the cell of its nearest pivot. A vector within the radius of another cell's vectors cannot be further from
-the border between the two pivots than the radius, so exactly the vectors near a border are copied over it, and
-then every cell is joined by itself. Large cells are cut in blocks, and pairs of blocks are joined by matrix products.
+the border between the two pivots than the radius, so exactly the vectors near a border are copied over it, from the cell of the
+lower number to that of the higher, where the pair counts for both; then every cell is joined by itself. Large cells are cut in
+blocks, and pairs of blocks are joined by matrix products.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def cells(unit: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-    """Each vector's own cell, and a table of all cells that it has to be in."""
+    """Each vector's own cell, and a table of all cells that it has to be in: its own, and those of higher numbers over a border near it."""
     between = np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T))
     far = np.sqrt(np.maximum(0, 2 - 2 * unit @ pivots.T))
     own = far.argmin(axis=1)
@@ -51,6 +52,7 @@ def cells(unit: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarr
         border = (far * far - nearest * nearest) / (2 * apart)
     slack = 1e-6  # rounding
     inside = (far - nearest <= 2 * radius + slack) & ((border <= radius + slack) | (apart <= slack))
+    inside &= np.arange(len(pivots))[None, :] >= own[:, None]
     inside[np.arange(len(unit)), own] = True
     return own, inside
 
@@ -93,12 +95,13 @@ def range_links(vectors: DataFrame, cosine: float = COSINE) -> tuple[DataFrame,
     placed = placed.join(sizes.where("homes > 0"), ["label", "size", "cell"])
     placed = placed.withColumn("mine", F.pmod("h", blocks("homes"))).withColumn("theirs", F.pmod(F.xxhash64("h"), blocks("members")))
     up_to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), blocks(n).cast("long") - 1))
-    keep = ["label", "size", "cell", "h", "node", "n", "embedding"]
+    keep = ["label", "size", "cell", "h", "node", "n", "embedding", "home"]
     left = placed.where("home").select(*keep, F.col("mine").cast("long").alias("i"), up_to("members").alias("j"), F.lit(True).alias("asks"))
     right = placed.select(*keep, up_to("homes").alias("i"), F.col("theirs").cast("long").alias("j"), F.lit(False).alias("asks"))
 
     def join(group: pa.Table) -> pa.Table:
         asks = group.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+        copies = ~group.column("home").to_numpy(zero_copy_only=False).astype(bool)
         vectors, nodes = _scaled(_matrix(group.column("embedding"))), group.column("node").to_numpy()
         counts, hashes = group.column("n").to_numpy(), group.column("h").to_numpy()
         norms = np.sqrt((vectors * vectors).sum(axis=1))
@@ -107,6 +110,8 @@ def range_links(vectors: DataFrame, cosine: float = COSINE) -> tuple[DataFrame,
         if len(a) and len(b):
             close = vectors[a] @ vectors[b].T >= cosine * norms[a][:, None] * norms[b][None, :]
             near = close @ counts[b]
+            # the cell's own members ask for themselves, copies are told here
+            far = np.where(copies[b], counts[a] @ close, 0)
             # the smallest node within reach, over and over: components of this pair of blocks
             x, y = np.nonzero(close)
             seen = nodes[b].copy()
@@ -119,7 +124,7 @@ def range_links(vectors: DataFrame, cosine: float = COSINE) -> tuple[DataFrame,
                     break
                 root, seen = low, back
             nodes, root, hashes = np.concatenate([nodes[a], nodes[b]]), np.concatenate([root, seen]), np.concatenate([hashes[a], hashes[b]])
-            near = np.concatenate([near, np.zeros(len(b), np.int64)])
+            near = np.concatenate([near, far])
         else:
             nodes, hashes = nodes[a], hashes[a]
         use = (near > 0) | (root != nodes)
