@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented letters of Portuguese, Spanish, French and German, and what they fold to.
-ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑÝ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuucnyyAAAAAAEEEEIIIIOOOOOUUUUCNY"
+def _folded() -> dict[str, str]:
+    """Latin letters that are a letter of ASCII with marks, by their compatibility decomposition."""
+    bare = lambda c: "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+    return {c: bare(c) for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if len(bare(c)) == 1 and bare(c).isascii()}
+
+
+ACCENTED, PLAIN = map("".join, zip(*_folded().items(), strict=True))
+#: Marks that stand behind their letter.
+MARKS = r"[\x{300}-\x{36f}]"
 # White space as Python's strip() has it, in a form that Java's and RE2's patterns share.
 WHITE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -27,7 +35,7 @@ def as_text(c: Column) -> Column:
 
 def fold(c: Column) -> Column:
     """Lower case without accents."""
-    return F.lower(F.translate(c, ACCENTED, PLAIN))
+    return F.lower(F.translate(F.regexp_replace(c, MARKS, ""), ACCENTED, PLAIN))
 
 
 def norm(c: Column) -> Column:

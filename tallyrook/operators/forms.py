@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -83,12 +85,14 @@ def rate(n: Column, of: Column) -> Column:
     return F.round(n / F.nullif(of, F.lit(0)), 4)
 
 
-def wrapped(words: Column, width: int) -> Column:
-    """Lines of at most `width` characters: a word that overflows begins a line, one that is too long stands alone. A fold over the words,
-    for texts of form fields."""
-    fold = F.aggregate(
-        words,
-        F.array().cast("array<string>"),
-        lambda out, w: F.when((F.size(out) > 0) & (F.length(F.element_at(out, -1)) + 1 + F.length(w) <= width), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.concat(F.element_at(out, -1), F.lit(" "), w)))).otherwise(F.concat(out, F.array(w))),
-    )
-    return F.when(F.size(words) > 0, fold).otherwise(F.array().cast("array<string>"))
+def wrapped(words: Column, width: int, measure: Callable[[Column], Column] = F.length) -> Column:
+    """Lines of at most `width`: a word that overflows begins a line, one that is too long stands alone. measure gives the width of a line,
+    its characters unless told otherwise. A fold over the words, for texts of form fields."""
+    none = F.array().cast("array<string>")
+
+    def add(out: Column, w: Column) -> Column:
+        line = F.concat(F.element_at(out, -1), F.lit(" "), w)
+        fits = (F.size(out) > 0) & (measure(line) <= width)
+        return F.when(fits, F.concat(F.slice(out, 1, F.size(out) - 1), F.array(line))).otherwise(F.concat(out, F.array(w)))
+
+    return F.when(F.size(words) > 0, F.aggregate(words, none, add)).otherwise(none)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..config import HEADER_FIELDS, KEYWORDS
-from ..functions.text import WHITE
+from ..functions.text import ACCENTED, MARKS, PLAIN, WHITE
 from ..operators.critic import WORD, label_words
 
 def strip(x: str) -> str:
@@ -11,9 +11,7 @@ def strip(x: str) -> str:
 
 
 def fold(x: str) -> str:
-    from ..functions.text import ACCENTED, PLAIN
-
-    return f"lower(translate({x}, '{ACCENTED}', '{PLAIN}'))"
+    return f"lower(translate(regexp_replace({x}, '{MARKS}', '', 'g'), '{ACCENTED}', '{PLAIN}'))"
 
 
 def norm(x: str) -> str:

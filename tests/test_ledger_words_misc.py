@@ -196,3 +196,5 @@ def test_privacy(spark):
 def test_wrapping(spark):
     lines = spark.createDataFrame([(["aa", "bb", "ccccccc", "d"],), ([],)], "w array<string>").select(forms.wrapped(F.col("w"), 5).alias("x")).collect()
     assert [r.x for r in lines] == [["aa bb", "ccccccc", "d"], []]
+    wide = lambda line: F.length(line) + 2 * (F.length(line) - F.length(F.replace(line, F.lit("m"))))
+    assert spark.range(1).select(forms.wrapped(F.split(F.lit("mm ii ii"), " "), 8, wide).alias("x")).first().x == ["mm", "ii ii"]

@@ -101,6 +101,7 @@ def test_text_functions(spark):
     got = rows.select(X.norm(F.col("t")).alias("n"), X.csv_safe(F.col("t")).alias("c"), X.tokens(F.col("t")).alias("k")).collect()
     assert got[0].n == "acao e" and [r.c[0] == "'" for r in got] == [True, True, True, False, True] and got[0].k == ["acao", "e"]
     assert rows.select(X.norm(F.lit("\u00a0x\u2003")).alias("n")).first().n == "x"
+    assert rows.select(X.fold(F.lit("ŁódŹ Ǆ ẽe\u0301 Ő")).alias("n")).first().n == "łódz ǆ ee o".replace("ó", "o")
 
 
 @pytest.mark.parametrize("a, b, want", [("a b c", "a x c d", 2 / 3), ("", "", 0.0), ("", "x", 1.0), ("x", "", 1.0), ("um dois", "dois um", 1.0), ("á á b", "á b", 1 / 3)])
