@@ -20,8 +20,10 @@ from .common import stash, table
 from .graph import components
 
 COSINE = 0.98
-#: Vectors for one pivot, and the most pivots: they are held on the driver and by every task, MOST_PIVOTS * dimension numbers.
-VECTORS_A_PIVOT, MOST_PIVOTS = 4_096, 256
+#: Vectors for one pivot; the most pivots, whose distances among each other every task holds; and the most bytes of them.
+VECTORS_A_PIVOT, MOST_PIVOTS, PIVOT_BYTES = 4_096, 2_048, 32 << 20
+#: Distances to pivots that a task holds at a time.
+SLICE = 1 << 22
 #: Rows of a block on average; a task holds two blocks and their products.
 BLOCK = 1_024
 
@@ -65,8 +67,8 @@ def range_links(vectors: DataFrame, cosine: float = COSINE) -> tuple[DataFrame,
     so the output grows with the vectors and not with the pairs.
     """
     radius = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
-    total = vectors.count()
-    wanted = min(MOST_PIVOTS, max(1, total // VECTORS_A_PIVOT))
+    total, widest = vectors.agg(F.count("*"), F.max("size")).first()
+    wanted = max(1, min(MOST_PIVOTS, PIVOT_BYTES // (8 * (widest or 1)), total // VECTORS_A_PIVOT))
     # a sample of bounded size by the hash of the vector
     chosen = vectors.select("size", "embedding").orderBy("h").limit(wanted).collect()
     pivots: dict[int, np.ndarray] = {}
@@ -78,14 +80,19 @@ def range_links(vectors: DataFrame, cosine: float = COSINE) -> tuple[DataFrame,
             sizes = batch.column("size").to_numpy()
             for size in np.unique(sizes).tolist():
                 part = batch.filter(pa.array(sizes == size))
-                if size in pivots:
-                    own, inside = cells(_unit(_matrix(part.column("embedding"))), pivots[size], radius)
-                    row, cell = np.nonzero(inside)
-                else:
-                    own, row = np.zeros(part.num_rows, np.int64), np.arange(part.num_rows)
-                    cell = own
-                taken = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cell), pa.array(cell == own[row])], names=[*taken.schema.names, "cell", "home"])
+                step = max(1, SLICE // len(pivots[size])) if size in pivots else len(part)
+                for at in range(0, len(part), step):
+                    yield dealt(part.slice(at, step), pivots.get(size))
+
+    def dealt(part: pa.RecordBatch, own_pivots: np.ndarray | None) -> pa.RecordBatch:
+        if own_pivots is not None:
+            own, inside = cells(_unit(_matrix(part.column("embedding"))), own_pivots, radius)
+            row, cell = np.nonzero(inside)
+        else:
+            own, row = np.zeros(part.num_rows, np.int64), np.arange(part.num_rows)
+            cell = own
+        taken = part.take(pa.array(row))
+        return pa.RecordBatch.from_arrays([*taken.columns, pa.array(cell), pa.array(cell == own[row])], names=[*taken.schema.names, "cell", "home"])
 
     kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
     schema = ", ".join(f"{c} {k}" for c, k in kinds.items())

@@ -56,6 +56,7 @@ def brute(rows):
 def test_range_join(spark, monkeypatch, a_pivot, block):
     monkeypatch.setattr(vectors, "VECTORS_A_PIVOT", a_pivot)
     monkeypatch.setattr(vectors, "BLOCK", block)
+    monkeypatch.setattr(vectors, "SLICE", 40 * block)
     rows = made()
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("node", F.lit("clash")).withColumn("h", F.lit(1))
     got = vectors.near_duplicates(df).collect()
