@@ -21,6 +21,7 @@ ABBREVIATIONS = {
 }
 ALIKE = {"0": "O", "O": "0", "1": "l", "l": "1", "I": "1"}
 CROSSED = ("[risc:", "]")
+ILLEGIBLE, COLUMN_LINE = "[ilegivel]", "Item Hora Descricao da Ocorrencia Acao Resolvido"
 
 # The vocabulary is this engine's own, made by rule.
 GUARDS = [f"{chr(65 + i)}. Vigia {i + 1:02d}" for i in range(15)]
@@ -251,6 +252,19 @@ def _noised(state: Column, when: Column, name: str, op) -> Column:
     return F.transform(state, step)
 
 
+def ideal_lines(sheets: DataFrame, drawn: DataFrame) -> DataFrame:
+    """sheet, text: the lines that a perfect reader would return of corpus() with its surface(): heading, header, column line, rows parted by
+    empty lines or the mark of no change, footer. Struck words are written plainly; an illegible description reads as its mark."""
+    cell = F.when(F.col("illegible"), ILLEGIBLE).otherwise(plain(F.col("descricao")))
+    row = F.concat_ws(" ", "hora", cell, F.nullif("acao", F.lit("")), F.nullif("resolvido", F.lit("")))
+    body = drawn.select("sheet", "pos", row.alias("row")).groupBy("sheet").agg(F.array_sort(F.collect_list(F.struct("pos", "row"))).alias("rows"))
+    body = body.select("sheet", F.array_join(F.transform("rows", lambda r: r["row"]), "\n\n").alias("body"))
+    day = F.concat(F.date_format(F.to_date("day"), "dd/MM/yyyy"), F.lit(" - "), "shift")
+    lines = [F.lit("Controle de ocorrencias"), F.concat(F.lit("Data e Turno: "), day), F.concat(F.lit("Vigilantes: "), "guards"), F.concat(F.lit("Unidade: "), "unit"), F.lit(COLUMN_LINE)]
+    shown = F.when(F.col("no_change"), "S/A").otherwise(F.coalesce("body", F.lit("")))
+    return sheets.join(body, "sheet", "left").select("sheet", F.concat_ws("\n", *lines, shown, F.lit("Ronda: ok"), F.lit("")).alias("text"))
+
+
 def banded(low: Column, high: Column, share: Column, band: Column) -> Column:
     """A value of a range from a share of 0 to 1: of its lower four fifths, its upper fifth, or all of it."""
     cut = low + 0.8 * (high - low)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import contracts, forms, generate as G, manifest
+from ..operators import contracts, extract, forms, generate as G, manifest
 from ..sources import json_sheets
 from ..sources.sheets import sheet_rows, table
 from . import base_sql as B
@@ -110,16 +110,16 @@ _SEED = G.CORPORA["stress"][1]
 def _surface() -> str:
     key = "(sheet * 10 + pos)"
     num = lambda salt, below=100: G.number(key, _SEED, salt, below)
-    which, out, last = num(77, 1009), f"rows0 AS (SELECT *, descricao AS drawn, []::VARCHAR[] AS applied FROM ({_corpus_rows('stress')}))", "rows0"
+    which, out, last = num(77, 1009), f"rows0 AS MATERIALIZED (SELECT *, descricao AS drawn, []::VARCHAR[] AS applied FROM ({_corpus_rows('stress')}))", "rows0"
     for i, (name, salt, op) in enumerate((("abbreviate", 71, _abbreviate("drawn")), ("misspell", 72, _misspell("drawn", which)), ("crossout", 73, _crossout("drawn", which)), ("partial", 74, _partial("drawn")), ("ambiguous", 75, _ambiguous("drawn", which))), 1):
         out += f""",
-made{i} AS (SELECT *, CASE WHEN {num(salt)} < {G.NOISE[name]} THEN {op} ELSE drawn END AS new FROM {last}),
-rows{i} AS (SELECT * EXCLUDE (new, drawn, applied), new AS drawn, CASE WHEN new <> drawn THEN applied || ['{name}:descricao'] ELSE applied END AS applied FROM made{i})"""
+made{i} AS MATERIALIZED (SELECT *, CASE WHEN {num(salt)} < {G.NOISE[name]} THEN {op} ELSE drawn END AS new FROM {last}),
+rows{i} AS MATERIALIZED (SELECT * EXCLUDE (new, drawn, applied), new AS drawn, CASE WHEN new <> drawn THEN applied || ['{name}:descricao'] ELSE applied END AS applied FROM made{i})"""
         last = f"rows{i}"
     return f"""{out},
-timed AS (SELECT *, CASE WHEN entry IS NOT NULL THEN concat_ws(' - ', entry, exit) END AS hora FROM {last}),
-swapped AS (SELECT *, CASE WHEN {num(78)} < {G.NOISE['ambiguous']} THEN {_ambiguous('hora', which)} ELSE hora END AS hora2 FROM timed),
-surface AS (SELECT sheet, pos, split, item, hora2 AS hora, descricao AS truth, drawn AS descricao, CASE WHEN {num(79)} < {G.NOISE['blank']} THEN NULL ELSE acao END AS acao, resolvido,
+timed AS MATERIALIZED (SELECT *, CASE WHEN entry IS NOT NULL THEN concat_ws(' - ', entry, exit) END AS hora FROM {last}),
+swapped AS MATERIALIZED (SELECT *, CASE WHEN {num(78)} < {G.NOISE['ambiguous']} THEN {_ambiguous('hora', which)} ELSE hora END AS hora2 FROM timed),
+surface AS MATERIALIZED (SELECT sheet, pos, split, item, hora2 AS hora, descricao AS truth, drawn AS descricao, CASE WHEN {num(79)} < {G.NOISE['blank']} THEN NULL ELSE acao END AS acao, resolvido,
   applied || CASE WHEN coalesce(hora2 <> hora, false) THEN ['ambiguous:hora'] ELSE [] END || CASE WHEN {num(79)} < {G.NOISE['blank']} THEN ['blank:acao'] ELSE [] END AS applied, {num(80)} < {G.NOISE['illegible']} AS illegible FROM swapped)"""
 
 
@@ -129,6 +129,29 @@ def generated_surface(spark, d):
     return rows.withColumn("pos", F.col("pos").cast("long")).withColumn("applied", F.array_join("applied", ","))
 
 
+def _texts() -> str:
+    row = f"concat_ws(' ', hora, CASE WHEN illegible THEN '{G.ILLEGIBLE}' ELSE regexp_replace(descricao, '\\[risc:([^\\]]*)\\]', '\\1', 'g') END, acao, nullif(resolvido, ''))"
+    return f"""{_surface()}, bodies AS MATERIALIZED (SELECT sheet, string_agg({row}, chr(10) || chr(10) ORDER BY pos) AS body FROM surface GROUP BY 1),
+texts AS (SELECT c.sheet, concat_ws(chr(10), 'Controle de ocorrencias', 'Data e Turno: ' || strftime(day::DATE, '%d/%m/%Y') || ' - ' || shift, 'Vigilantes: ' || guards, 'Unidade: ' || unit, '{G.COLUMN_LINE}', CASE WHEN no_change THEN 'S/A' ELSE coalesce(body, '') END, 'Ronda: ok', '') AS text, no_change, n_rows
+  FROM ({_corpus('stress')}) c LEFT JOIN bodies USING (sheet))"""
+
+
+def made_texts(spark):
+    return G.ideal_lines(G.corpus(spark, "stress"), G.surface(G.corpus_rows(spark, "stress"), _SEED))
+
+
+@query(f"WITH {_texts()} SELECT sheet, sha256(text) AS sha FROM texts")
+def generated_texts(spark, d):
+    return made_texts(spark).select("sheet", F.sha2("text", 256).alias("sha"))
+
+
+@query(f"WITH {_texts()} SELECT CASE WHEN no_change THEN 'none' ELSE 'present' END AS disposition, n_rows::BIGINT AS occurrences, count(*) AS n FROM texts GROUP BY ALL")
+def generated_models(spark, d):
+    """What the rules read of generated sheets: every row and every explicit no-change, as the truth has them."""
+    found = extract.models(made_texts(spark).withColumnRenamed("sheet", "sheet_id"))
+    return found.groupBy("disposition", "occurrences").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {B.ROWS} SELECT noise, count(*) AS n, sum(levenshtein(truth_desc, surface))::BIGINT AS edits, count_if(surface = truth_desc) AS unchanged FROM sheet_rows GROUP BY 1")
 def surface_noise(spark, d):
     rows = sheet_rows(spark, d)
