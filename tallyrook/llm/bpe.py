@@ -83,7 +83,7 @@ class RankQueue:
 class ByteBPE:
     """Ranks of byte strings, and what encodes with them. The rank is the id."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN):
+    def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN, kept: int = KEPT):
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"no id for single bytes {missing[:5]}")
@@ -96,13 +96,14 @@ class ByteBPE:
         for piece, rank in ranks.items():
             self.pieces[rank] = piece
         self.byte_pairs = [ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)]
+        self.most = kept
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     @classmethod
-    def load(cls, path: str, pattern: str = public_tokenizers.PATTERN) -> ByteBPE:
+    def load(cls, path: str, pattern: str = public_tokenizers.PATTERN, kept: int = KEPT) -> ByteBPE:
         with open(path, "rb") as lines:
-            return cls({base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, filter(bytes.strip, lines))}, pattern)
+            return cls({base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, filter(bytes.strip, lines))}, pattern, kept)
 
     def merged(self, token: bytes) -> list[int]:
         """The ids of one pre-token. put() and take() of the queue are written out here; this is the hot path."""
@@ -168,12 +169,12 @@ class ByteBPE:
         return [ranks[piece] for piece in pieces if piece is not None]
 
     def packed(self, token: str) -> bytes:
-        """For a pre-token that isn't kept; after KEPT new ones the older generation goes."""
+        """For a pre-token that isn't kept; after `most` new ones the older generation goes."""
         if (out := self.older.get(token)) is None:
             ids = self.merged(token.encode())
             out = pack(f"<{len(ids)}I", *ids)
         if len(token) <= KEPT_CHARS:
-            if len(self.kept) >= KEPT:
+            if len(self.kept) >= self.most:
                 self.kept, self.older = {}, self.kept
             self.kept[token] = out
         return out
@@ -188,11 +189,11 @@ class ByteBPE:
 
 
 @lru_cache(maxsize=2)
-def _loaded(path: str, pattern: str) -> ByteBPE:
-    return ByteBPE.load(path, pattern)
+def _loaded(path: str, pattern: str, kept: int) -> ByteBPE:
+    return ByteBPE.load(path, pattern, kept)
 
 
-def _mapped(rows: DataFrame, source: str, targets: list[str], steps: Callable[[ByteBPE, str | bytes | None], tuple[bytes, ...]], vocabulary: str, pattern: str) -> DataFrame:
+def _mapped(rows: DataFrame, source: str, targets: list[str], steps: Callable[[ByteBPE, str | bytes | None], tuple[bytes, ...]], vocabulary: str, pattern: str, kept: int = KEPT) -> DataFrame:
     """The rows with the source column replaced by binary columns made from it."""
     rest = [c for c in rows.columns if c != source]
     clash = set(rest) & set(targets)
@@ -201,7 +202,7 @@ def _mapped(rows: DataFrame, source: str, targets: list[str], steps: Callable[[B
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _loaded(vocabulary, pattern)
+        bpe = _loaded(vocabulary, pattern, kept)
         for batch in batches:
             made = [steps(bpe, x.as_py()) for x in batch.column(source)]
             columns = [pa.array([x[i] for x in made], pa.binary()) for i in range(len(targets))]
@@ -228,21 +229,22 @@ def decode(rows: DataFrame, ids_col: str = "ids", bytes_col: str = "bytes", voca
     return _mapped(rows, ids_col, [bytes_col], lambda bpe, ids: (bpe.decode(ids or b""),), vocabulary, pattern)
 
 
-def round_trip(rows: DataFrame, text_col: str = "text", ids_col: str = "ids", bytes_col: str = "bytes", vocabulary: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """encode() and decode() of its ids by the same worker: the text replaced by both columns."""
+def round_trip(rows: DataFrame, text_col: str = "text", ids_col: str = "ids", bytes_col: str = "bytes", vocabulary: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN, kept: int = KEPT) -> DataFrame:
+    """encode() and decode() of its ids by the same worker: the text replaced by both columns. kept: pre-tokens that a worker keeps in each of
+    two generations, about 200 bytes each."""
 
     def both(bpe: ByteBPE, text: str | None) -> tuple[bytes, bytes]:
         ids = bpe.encode(text or "")
         return ids, bpe.decode(ids)
 
-    return _mapped(rows, text_col, [ids_col, bytes_col], both, vocabulary, pattern)
+    return _mapped(rows, text_col, [ids_col, bytes_col], both, vocabulary, pattern, kept)
 
 
 def n_tokens(ids: Column) -> Column:
     return (F.octet_length(ids) / 4).cast("long")
 
 
-def digests(rows: DataFrame, text_col: str = "text", **where: str) -> DataFrame:
+def digests(rows: DataFrame, text_col: str = "text", **where) -> DataFrame:
     """The rows, text replaced by n_tokens, ids_sha256 and decoded_sha256 of a round trip."""
     made = round_trip(rows, text_col, "_ids", "_bytes", **where)
     made = made.withColumn("n_tokens", n_tokens(F.col("_ids"))).withColumn("ids_sha256", F.sha2("_ids", 256)).withColumn("decoded_sha256", F.sha2("_bytes", 256))
