@@ -34,7 +34,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row's text, encoded and decoded again."""
-    return bpe.digests(docs.select("doc_id", "text"))
+    # workers go on to hold this while other stages run, so they keep less than the operator's own query does
+    return bpe.digests(docs.select("doc_id", "text"), kept=100_000)
 
 
 STAGES = [
