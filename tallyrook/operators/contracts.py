@@ -7,7 +7,7 @@ import json
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,8 @@ from . import manifest
 MOST_SOURCE_BYTES = 1 << 20
 ENTRY_KEYS = ("doc_id", "gt", "image", "sha256_gt", "sha256_img", "split")
 CSV_HEAD = ("DIA", "UNIDADE", "OBJETO", "DESCRICAO")
+#: Rows that one task numbers, the most such tasks, and values sampled for each.
+ROWS_A_BUCKET, MOST_BUCKETS, SAMPLED = 1_000_000, 1_000, 20
 BINARY_SUFFIXES = ("png", "jpg", "jpeg", "tif", "tiff", "bmp", "webp", "pdf")
 DATABASE_SUFFIXES = ("db", "sqlite", "sqlite3")
 
@@ -127,16 +129,27 @@ def bounded_json(content: Column) -> Column:
     return F.when(~small, "too large").when(text.isNull(), "not UTF-8").when(verdict != "ok", verdict).when(~is_object, "not an object").otherwise("ok")
 
 
+def numbered(rows: DataFrame, key: str, bucket: Column) -> DataFrame:
+    """The rows with place, from 1, in the order of a key. bucket: a number that rises with the key; a task numbers one bucket, and one row a
+    bucket is added up. Buckets follow from the key's value alone, so that every run of the plan deals rows alike."""
+    parted = rows.withColumn("_bucket", bucket)
+    sizes = parted.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(key))
+    return parted.withColumn("_place", place).join(starts, "_bucket").withColumn("place", F.col("_start") + F.col("_place")).drop("_bucket", "_place", "_start")
+
+
 def public(rows: DataFrame, whitelist: Sequence[str], key: str) -> DataFrame:
-    """sheet, and the columns of the whitelist: sheets are named by their place in the order of the key, which doesn't go along. The numbers
-    come from a range partitioning, so no task orders the whole table."""
-    import pyspark.sql.window as W
-
-    ranged = rows.repartitionByRange(key).withColumn("part", F.spark_partition_id())
-    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.select("part", F.coalesce(F.sum("n").over(W.Window.orderBy("part").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))  # one row a partition
-    place = F.row_number().over(W.Window.partitionBy("part").orderBy(key))
-    return ranged.withColumn("place", place).join(before, "part").select(F.concat(F.lit("sheet_"), (F.col("start") + F.col("place")).cast("string")).alias("sheet"), *whitelist)
+    """sheet, and the columns of the whitelist: sheets are named by their place in the order of the key, a number or text, which doesn't go
+    along. The borders of buckets are values of a sample of bounded size, of about ROWS_A_BUCKET rows each and at most MOST_BUCKETS."""
+    n = rows.count()
+    buckets = min(MOST_BUCKETS, n // ROWS_A_BUCKET + 1)
+    part = max(1, n // (SAMPLED * buckets))
+    sample = [r[0] for r in rows.select(key).where(F.pmod(F.xxhash64(key), F.lit(part)) == 0).orderBy(key).limit(4 * SAMPLED * buckets).collect()] if buckets > 1 else []
+    borders = sorted({sample[len(sample) * i // buckets] for i in range(1, buckets)}) if sample else []
+    bucket = sum(((F.col(key) >= F.lit(b)).cast("int") for b in borders), F.lit(0)) if borders else F.lit(0)
+    return numbered(rows, key, bucket).select(F.concat(F.lit("sheet_"), F.col("place").cast("string")).alias("sheet"), *whitelist)
 
 
 def export(sheets: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import contracts
+
 # Sizes, seeds and profiles of the canonical corpora; priors in percent.
 CORPORA = {"smoke": (50, 42, "balanced"), "bench-balanced": (300, 43, "balanced"), "bench-operational": (300, 44, "operational"), "stress": (1000, 45, "balanced")}
 PRIORS = {
@@ -272,12 +274,13 @@ def banded(low: Column, high: Column, share: Column, band: Column) -> Column:
 
 
 def held_out(names: DataFrame, seed: int = HELD_OUT_SEED, percent: int = HELD_OUT_PERCENT) -> DataFrame:
-    """name, test_only: exactly the given share of a table of names is for tests alone, by place in a seeded order. The border is found by
-    sorting keys and counting; no task holds the table."""
-    keyed = names.select("name", F.md5(F.concat(F.col("name"), F.lit(str(seed))).cast("binary")).alias("k"))
-    n = keyed.count() * percent // 100
-    border = keyed.select("k", "name").orderBy("k", "name").limit(n).agg(F.max(F.struct("k", "name")).alias("last"))  # one row
-    return keyed.crossJoin(F.broadcast(border)).select("name", F.coalesce(F.struct("k", "name") <= F.col("last"), F.lit(False)).alias("test_only"))
+    """name, test_only: exactly the given share of a table of names is for tests alone, by place in a seeded order, that of the names'
+    hashes; tasks number ranges of hashes."""
+    keyed = names.select("name", F.md5(F.concat(F.col("name"), F.lit(str(seed))).cast("binary")).alias("k")).withColumn("order", F.struct("k", "name"))
+    n = keyed.count()
+    buckets = n // contracts.ROWS_A_BUCKET + 1
+    first = F.conv(F.substring("k", 1, 8), 16, 10).cast("long")
+    return contracts.numbered(keyed, "order", F.shiftright(first * buckets, 32)).select("name", (F.col("place") <= n * percent // 100).alias("test_only"))
 
 
 def valid_distribution(priors: DataFrame, tolerance: float = 1e-6) -> DataFrame:

@@ -142,6 +142,17 @@ def test_corpora_follow_their_rules(spark):
     assert generate.held_out(spark.createDataFrame([], "name string")).count() == 0
 
 
+def test_places_in_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(contracts, "ROWS_A_BUCKET", 50)
+    rows = spark.range(1000).selectExpr("concat('d', id * 7919 % 1000) AS d", "id AS v").repartition(7, "v")
+    got = {r.v: r.sheet for r in contracts.public(rows, ["v"], "d").collect()}
+    order = sorted(range(1000), key=lambda i: f"d{i * 7919 % 1000}")
+    assert got == {i: f"sheet_{k}" for k, i in enumerate(order, 1)}
+    names = generate.held_out(spark.createDataFrame([(f"n{i}",) for i in range(730)], "name string"))
+    want = sorted((hashlib.md5(f"n{i}7".encode()).hexdigest(), f"n{i}") for i in range(730))[:146]
+    assert {r.name for r in names.where("test_only").collect()} == {n for _, n in want} and names.count() == 730
+
+
 def test_verdict_is_given_once(spark):
     from tallyrook.operators import evaluate
 
