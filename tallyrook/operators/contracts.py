@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import csv_safe
-from . import manifest
+from . import manifest, privacy
 
 # Limits and names of the contracts.
 MOST_SOURCE_BYTES = 1 << 20
@@ -152,6 +152,17 @@ def public(rows: DataFrame, whitelist: Sequence[str], key: str) -> DataFrame:
     return numbered(rows, key, bucket).select(F.concat(F.lit("sheet_"), F.col("place").cast("string")).alias("sheet"), *whitelist)
 
 
+def publish(rows: DataFrame, path: str, terms: Sequence[str] = (), organizations: Sequence[str] = ()) -> None:
+    """Write rows of public() as JSON, if no cell holds what must not be published; a finding is an error that names its category only. A path
+    that exists is an error too."""
+    cells = rows.select("sheet", F.concat_ws("\n", *(F.col(c).cast("string") for c in rows.columns)).alias("text"))
+    found = privacy.findings(cells, tuple(terms), tuple(organizations), contact=True, id_col="sheet").select("category").distinct()
+    categories = sorted(r.category for r in found.collect())  # as many as there are patterns, at most
+    if categories:
+        raise ValueError(f"not published: {', '.join(categories)}")
+    rows.write.mode("errorifexists").json(path)
+
+
 def export(sheets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """From sheet_id, blockers and shown (an array of pos, dia, unidade, objeto, descricao): the CSV rows of sheets that nothing blocks, cells
     made safe, and the audit, sheet_id, action, detail of each sheet with rows, exported or refused. A sheet without rows has neither."""

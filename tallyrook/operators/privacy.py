@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Categories and patterns, in the order of the report. The clock pattern leaves out parts of longer stamps without look-around.
@@ -32,3 +32,19 @@ def findings(docs: DataFrame, terms: tuple[str, ...] = (), organizations: tuple[
     tests = [F.when(F.col("t").rlike(p), F.lit(c)) for c, p in patterns(organizations, times, contact)]
     tests += [F.when(F.contains(F.lower("t"), F.lit(x.lower())), F.lit("private-term")) for x in terms]
     return lines.select("id", (F.col("n") + 1).cast("long").alias("line"), F.explode(F.array_compact(F.array(*tests))).alias("category"))
+
+
+# Files of prose, scanned for clock times too, and files of code and data, where times are no secret.
+PROSE, CODE = ("md", "yaml", "yml", "txt", "rst"), ("py", "js", "html", "j2", "json", "jsonl", "csv", "toml")
+
+
+def folder_findings(spark: SparkSession, path: str, terms: tuple[str, ...] = (), organizations: tuple[str, ...] = (), private: str = "private") -> DataFrame:
+    """id (a file's path), line, category: findings in the text files of a folder and the folders in it, but for those in the private one.
+    A file is a row; other kinds of files aren't read."""
+
+    def read(suffixes: tuple[str, ...], times: bool) -> DataFrame:
+        files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}").text(path, wholetext=True)
+        files = files.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")).where(~F.contains("file", F.lit(f"/{private}/")))
+        return findings(files, terms, organizations, times, contact=False, id_col="file")
+
+    return read(PROSE, True).unionByName(read(CODE, False))

@@ -23,7 +23,7 @@ def parsed(files: DataFrame, statuses: Sequence[str]) -> DataFrame:
 
 def truth_sheets(spark: SparkSession, path: str, statuses: Sequence[str]) -> DataFrame:
     """parsed() of the *.json files of a folder."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
+    files = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
     return parsed(files.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")), statuses)
 
 

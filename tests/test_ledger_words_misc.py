@@ -124,7 +124,7 @@ def test_manifests(spark, tmp_path):
 
 def test_truth_sheets(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"document_id": "a", "review_status": "draft", "ocorrencias": []}))
-    (tmp_path / "b.json").write_text(json.dumps({"document_id": "b", "review_status": "verified_by_user", "cabecalho": {"vigilantes": ["x"]}}))
+    (tmp_path / "b.json").write_text(json.dumps({"document_id": "b", "review_status": "verified_by_user", "cabecalho": {"vigilantes": ["x"]}}, indent=2))
     assert [r.document_id for r in json_sheets.truth_sheets(spark, str(tmp_path), ["verified_by_user"]).collect()] == ["b"]
 
 

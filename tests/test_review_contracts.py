@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyrook import config
-from tallyrook.operators import classify, contracts, critic, edits, forms, generate, words
+from tallyrook.operators import classify, contracts, critic, edits, forms, generate, privacy, words
 
 HEAD = "Controle\nData e Turno: 01/02/2026 - Dia\nVigilantes: Ana e Bruno\nUnidade: Norte\nItem Hora Descrição Ação Resolvido\n"
 EDIT = f"sheet_id long, data_turno string, vigilantes string, unidade string, radio string, rows {edits.EDIT_ROWS}"
@@ -153,6 +153,28 @@ def test_places_in_several_tasks(spark, monkeypatch):
     assert {r.name for r in names.where("test_only").collect()} == {n for _, n in want} and names.count() == 730
 
 
+def test_publication_is_gated(spark, tmp_path):
+    rows = spark.createDataFrame([(2, "clean", "x"), (1, "fine", "y")], "k long, note string, secret string")
+    out = contracts.public(rows, ["note"], "k")
+    contracts.publish(out, str(tmp_path / "ok"))
+    assert {(r.sheet, r.note) for r in spark.read.json(str(tmp_path / "ok")).collect()} == {("sheet_1", "fine"), ("sheet_2", "clean")}
+    for note, category in (("às 07:30", "clock-time"), ("em /home/ana/x", "local-home-path"), ("a@b.org", "e-mail"), ("Acme", "organization-sentinel"), ("o termo", "private-term")):
+        with pytest.raises(ValueError, match=category):
+            contracts.publish(out.withColumn("note", F.lit(note)), str(tmp_path / "no"), ["Termo"], ["acme"])
+    assert not (tmp_path / "no").exists()
+
+
+def test_folders_are_scanned(spark, tmp_path):
+    (tmp_path / "private").mkdir()
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.md").write_text("ok\nàs 07:30 h")
+    (tmp_path / "sub" / "b.py").write_text("t = '07:30'\np = '/home/ana/x'")
+    (tmp_path / "private" / "c.md").write_text("às 07:30")
+    (tmp_path / "d.png").write_bytes(b"07:30")
+    got = {(r.id.rpartition("/")[2], r.line, r.category) for r in privacy.folder_findings(spark, str(tmp_path)).collect()}
+    assert got == {("a.md", 2, "clock-time"), ("b.py", 2, "local-home-path")}
+
+
 def test_verdict_is_given_once(spark):
     from tallyrook.operators import evaluate
 
