@@ -147,13 +147,16 @@ def row_metrics(s: DataFrame) -> DataFrame:
 def buckets(s: DataFrame) -> DataFrame:
     """Over the sheets of scored() that ran: all, by difficulty and by template in one pass. Rates have four places and are null on 0;
     recalls are 1 where there is nothing to recall; a null label has no bucket."""
-    sums = [F.count("*").alias("n_ran"), F.count_if("parse_success").alias("parse_success_count"), F.sum("chars_to_type").alias("chars_to_type_total")]
-    sums += [F.count_if(c).alias(f"{c}_count") for c in FLAGS]
     counted = ("descricao_ok", "descricao_total", "hora_ok", "hora_total", "safe_refusals", "illegible_fields")
-    sums += [F.sum(c).alias(f"_{c}") for c in counted]
-    sums += [F.round(F.avg("transcription_cer"), 4).alias("transcription_cer_mean")]
+    sums = {"n_ran": F.count("*"), "parse_success_count": F.count_if("parse_success"), "chars_to_type_total": F.sum("chars_to_type")}
+    sums |= {f"{c}_count": F.count_if(c) for c in FLAGS} | {f"_{c}": F.sum(c) for c in counted}
+    sums |= {"_cer": F.sum("transcription_cer"), "_cers": F.count("transcription_cer")}
+    # sheets are added up once by both labels; the grouping sets are of those few rows
+    cells = s.where("ran").groupBy("difficulty", "template").agg(*(c.alias(n) for n, c in sums.items()))
     level = (F.grouping("difficulty") * 2 + F.grouping("template")).cast("long").alias("level")
-    rows = s.where("ran").groupingSets([[], ["difficulty"], ["template"]], "difficulty", "template").agg(*sums, level)
+    zero = lambda n: F.coalesce(F.sum(n), F.lit(0)).alias(n)
+    rows = cells.groupingSets([[], ["difficulty"], ["template"]], "difficulty", "template").agg(*(zero(n) if n.endswith("_count") or n == "n_ran" else F.sum(n).alias(n) for n in sums), level)
+    rows = rows.withColumn("transcription_cer_mean", F.round(F.try_divide("_cer", "_cers"), 4)).drop("_cer", "_cers")
     rows = rows.where("level = 3 OR (level = 1 AND coalesce(difficulty, '') <> '') OR (level = 2 AND coalesce(template, '') <> '')")
     failed = F.col("structural_failure_count")
     return rows.withColumns(
