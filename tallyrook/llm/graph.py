@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .common import drop_stash, stash
 
+#: Links that one task of a round holds, about.
+LINKS_A_TASK = 100_000
+
 
 def components(edges: DataFrame, write: Callable[[DataFrame, str], DataFrame] = stash) -> DataFrame:
     """(node, component) of all nodes of the links (a, b): component is the smallest node of the connected part.
@@ -20,14 +23,18 @@ def components(edges: DataFrame, write: Callable[[DataFrame, str], DataFrame] =
     """
     links = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = write(links, "links")
+    # rounds over few links are many short steps: they take as many tasks, and files, as the links need
+    parts = 1 + links.count() // LINKS_A_TASK
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = write(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("component")), "labels")
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("component"))
+    labels = write(labels.coalesce(parts), "labels")
     changed = links.limit(1).count()
     while changed:
         seen = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         nearer = labels.join(seen, "node").select("node", "component", F.least("component", "near").alias("near"))
         jump = labels.select(F.col("node").alias("near"), F.col("component").alias("far"))
-        after = write(nearer.join(jump, "near").select("node", F.least("near", "far").alias("component"), (F.least("near", "far") != F.col("component")).alias("moved")), "labels")
+        after = nearer.join(jump, "near").select("node", F.least("near", "far").alias("component"), (F.least("near", "far") != F.col("component")).alias("moved"))
+        after = write(after.coalesce(parts), "labels")
         changed = after.where("moved").limit(1).count()
         drop_stash(labels)
         labels = after
