@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("shards", "mixing", "rules", "urls", "bpe", "binary", "ordered_minhash", "vectors", "katz", "passages")
+MODULES = ("shards", "mixing", "rules", "urls", "bpe", "binary", "ordered_minhash", "vectors", "katz", "passages", "importance")
 
 
 def _all(name: str) -> dict:
