@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("shards", "mixing", "rules", "urls", "bpe", "binary", "ordered_minhash", "vectors", "katz", "passages", "importance", "alignment")
+MODULES = ("shards", "mixing", "rules", "urls", "bpe", "binary", "ordered_minhash", "vectors", "katz", "passages", "neighbours", "importance", "alignment")
 
 
 def _all(name: str) -> dict:
