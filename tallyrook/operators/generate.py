@@ -1,5 +1,5 @@
-"""Deterministic corpus generation: sheets, occurrences, held-out vocabulary, splits, surface noise. Choices follow from numbers by
-remainders, so every engine makes the same corpus and no seed order matters; most expressions are SQL that Spark and DuckDB share."""
+"""Deterministic corpus generation: sheets, occurrences, held-out vocabulary, splits, surface noise. A corpus grows from a table of
+keys, one sheet a key. Choices follow from keys by remainders, so every engine makes the same corpus and no seed order matters."""
 
 from __future__ import annotations
 
@@ -15,7 +15,8 @@ PRIORS = {
 }
 NO_CHANGE = {"balanced": 50, "operational": 70}
 STRUCK, EXIT, TEMPLATE_C = 25, 30, 25
-NOISE = {"abbreviate": 30, "misspell": 20, "crossout": 15, "partial": 10, "ambiguous": 8, "blank": 7, "illegible": 5}
+NOISE = {"abbreviate": 30, "misspell": 20, "ambiguous": 15, "partial": 10, "blank": 8, "crossout": 7, "illegible": 5}
+FIRST_DAY, DAYS = "2026-01-01", 365
 HELD_OUT_SEED, HELD_OUT_PERCENT, SPLIT_SEED = 7, 20, 20
 # Abbreviations of the form's words, the first that occurs counts; letters and digits that look alike; marks of a struck word.
 ABBREVIATIONS = {
@@ -27,25 +28,56 @@ ILLEGIBLE, COLUMN_LINE = "[ilegivel]", "Item Hora Descricao da Ocorrencia Acao R
 
 # The vocabulary is this engine's own, made by rule.
 GUARDS = [f"{chr(65 + i)}. Vigia {i + 1:02d}" for i in range(15)]
-UNITS = [f"Posto {i:02d}" for i in range(1, 11)]
+UNITS = [f"{place} {i:02d}" for i, place in enumerate(["Portaria", "Guarita", "Posto", "Recepcao", "Patio"] * 2, 1)]
 SECTORS = ["Portaria", "Guarita", "Recepcao", "Patio", "Doca"]
 COMPANIES = ["Norte Cargas", "Luz Manutencao", "Vale Entregas"]
 VISITORS = ["Z. Prado", "Y. Serra", "X. Campos", "W. Matos"]
-ITEMS = [
-    "camera", "monitoramento", "acesso", "cracha", "furto", "subtracao", "incendio", "alarme", "vazamento", "equipamento", "portao", "carga", "visitante", "veiculo", "iluminacao", "ruido", "obra", "entrega",
+#: Thirty-six templates: item, description, its own actions, whether it has a time.
+BANK = [
+    ("camera", "lente da camera de {setor} coberta de poeira", ["lente limpa pela equipe", "limpeza pedida"], True),
+    ("camera", "camera de {setor} virada para o muro", ["posicao corrigida"], True),
+    ("monitoramento", "tela do monitoramento apagou e voltou", ["equipamento reiniciado", "falha anotada"], True),
+    ("monitoramento", "monitoramento perdeu o sinal de {setor}", ["cabo trocado"], True),
+    ("acesso", "{nome} pediu acesso a {setor} sem ordem escrita", ["pedido recusado"], True),
+    ("acesso", "acesso da {empresa} liberado por telefone", ["ramal anotado", "ordem arquivada"], True),
+    ("cracha", "cracha de {nome} fora da validade", ["cracha provisorio entregue"], True),
+    ("cracha", "cracha caido perto de {setor}", ["guardado na gaveta do posto"], False),
+    ("furto", "furto de cabos percebido em {setor}", ["policia chamada", "area isolada"], True),
+    ("furto", "cadeado forcado em {setor}, furto nao consumado", ["cadeado trocado"], True),
+    ("subtracao", "subtracao de ferramentas relatada pela {empresa}", ["relato assinado", "imagens separadas"], True),
+    ("subtracao", "subtracao de uma bicicleta em {setor}", ["dono orientado a registrar"], True),
+    ("incendio", "principio de incendio em lixeira de {setor}", ["extintor usado", "brigada chamada"], True),
+    ("incendio", "porta corta-fogo de {setor} presa por caixas, risco de incendio", ["caixas retiradas"], False),
+    ("alarme", "alarme de {setor} tocou duas vezes seguidas", ["sensor ajustado"], True),
+    ("alarme", "painel de alarme com bateria fraca", ["bateria encomendada", "painel vigiado"], False),
+    ("vazamento", "vazamento de agua junto a {setor}", ["registro fechado", "piso sinalizado"], True),
+    ("vazamento", "goteira no teto de {setor} depois da chuva", ["balde posto no local"], True),
+    ("equipamento", "equipamento da {empresa} deixado ligado", ["equipamento desligado"], True),
+    ("equipamento", "radio portatil sem carga, equipamento reserva usado", ["radio posto a carregar"], False),
+    ("portao", "portao de {setor} nao fecha ate o fim", ["corrente passada", "serralheiro chamado"], True),
+    ("portao", "portao de {setor} aberto a mao por queda de luz", ["fechado ao voltar a luz"], True),
+    ("carga", "carga da {empresa} com lacre rompido", ["carga recusada", "lacre fotografado"], True),
+    ("carga", "carga esperou vaga em {setor} por uma hora", ["vaga liberada"], True),
+    ("visitante", "visitante {nome} esperou autorizacao em {setor}", ["entrada autorizada por ramal"], True),
+    ("visitante", "visitante {nome} nao autorizado voltou a {setor}", ["retirado com calma", "nome posto na lista"], True),
+    ("veiculo", "veiculo {placa} da {empresa} parado na rampa", ["motorista chamado"], True),
+    ("veiculo", "veiculo {placa} nao autorizado em {setor}", ["veiculo retirado", "placa anotada"], True),
+    ("iluminacao", "poste de iluminacao apagado perto de {setor}", ["chamado aberto"], False),
+    ("iluminacao", "iluminacao de {setor} acesa durante o dia", ["chave desligada"], True),
+    ("ruido", "ruido de motor vindo de {setor}", ["origem nao achada", "volta feita no local"], True),
+    ("ruido", "ruido de festa vizinha ate tarde", ["vizinho avisado"], True),
+    ("obra", "obra da {empresa} em {setor} passou da hora", ["obra suspensa"], True),
+    ("obra", "entulho de obra deixado em {setor}", ["retirada pedida"], False),
+    ("entrega", "entrega da {empresa} sem nota", ["entrega devolvida", "nota pedida"], True),
+    ("entrega", "entrega para {nome} guardada em {setor}", ["destinatario avisado"], True),
 ]
-FORMS = [
-    "{item} verificado em {setor}, ocorrencia registrada por {nome}",
-    "veiculo {placa} da {empresa} retido em {setor}: {item} nao autorizado",
-]
-ACTIONS = ["equipe avisada", "area isolada", "chamado aberto"]
-#: Thirty-six templates: item, description, whether it has a time.
-BANK = [(item, form, (i + j) % 4 != 3) for i, item in enumerate(ITEMS) for j, form in enumerate(FORMS)]
 
 
 def number(key: str, seed: int, salt: int, below: int) -> str:
-    """SQL: a number from 0 to below - 1 for a key, in integer arithmetic only."""
-    return f"((({key}) * 7919 + {seed * 104_729 + salt * 1_299_709}) % 1000003 * 31 % {below})"
+    """SQL: a number from 0 to below - 1 for a key, in integer arithmetic only. It is quadratic in the key, as numbers that are linear in it
+    would follow from one another whatever the salt."""
+    x = f"((({key}) * 7919 + {seed * 104_729 + salt * 1_299_709}) % 1000003)"
+    return f"(({x} * {x} % 999983 * 7919 + {x}) % 1000003 % {below})"
 
 
 def choice(value: str, prior: dict[str, int]) -> str:
@@ -86,9 +118,9 @@ def filled(template: str, values: dict[str, str]) -> str:
 
 
 def vocabulary(names: list[str], seed: int = HELD_OUT_SEED, percent: int = HELD_OUT_PERCENT) -> tuple[list[str], list[str]]:
-    """Shared names, and the exact share that is for tests alone, by place in a seeded order."""
+    """Shared names, and the share that is for tests alone, rounded, one at least, by place in a seeded order."""
     order = sorted(range(len(names)), key=lambda i: ((i * 7919 + seed * 104_729) % 1_000_003 * 31 % 9973, i))
-    held = set(order[: len(names) * percent // 100])
+    held = set(order[: max(1, round(len(names) * percent / 100))])
     return [n for i, n in enumerate(names) if i not in held], [n for i, n in enumerate(names) if i in held]
 
 
@@ -96,9 +128,8 @@ def split_of(place: str, n: int) -> str:
     return f"CASE WHEN {place} <= {int(0.7 * n)} THEN 'train' WHEN {place} <= {int(0.7 * n) + int(0.15 * n)} THEN 'val' ELSE 'test' END"
 
 
-def sheet_columns(name: str, key: str = "sheet") -> list[str]:
+def sheet_columns(seed: int, profile: str, key: str = "sheet") -> list[str]:
     """SQL of a sheet's columns from its number and split."""
-    n, seed, profile = CORPORA[name]
     num = lambda salt, below=100: number(key, seed, salt, below)
     shared_guards, held_guards = vocabulary(GUARDS)
     shared_units, held_units = vocabulary(UNITS)
@@ -107,7 +138,7 @@ def sheet_columns(name: str, key: str = "sheet") -> list[str]:
     guards = choice(num(4), PRIORS["guards"])
     return [
         f"{choice(num(1), PRIORS['shift'])} AS shift",
-        f"concat('2026-', {two(f'CAST({num(2, 12)} + 1 AS INT)')}, '-', {two(f'CAST({num(3, 28)} + 1 AS INT)')}) AS day",
+        f"date_format(date_add(DATE '{FIRST_DAY}', CAST({num(2, DAYS)} AS INT)), 'yyyy-MM-dd') AS day",
         f"concat_ws(', ', {guard(0)}, CASE WHEN {guards} <> '1' THEN {guard(1)} END, CASE WHEN {guards} = '3' THEN {guard(2)} END) AS guards",
         f"CASE WHEN split = 'test' THEN {pick(num(6, len(UNITS)), [*shared_units, *held_units])} ELSE {pick(num(6, len(shared_units)), shared_units)} END AS unit",
         f"{num(7)} < {NO_CHANGE[profile]} AS no_change", f"{num(7)} < {NO_CHANGE[profile]} AND {num(8)} < {STRUCK} AS struck",
@@ -117,44 +148,51 @@ def sheet_columns(name: str, key: str = "sheet") -> list[str]:
     ]
 
 
-def drawn_columns(name: str) -> list[str]:
-    """SQL of what an occurrence's columns are made of: bank (the template's number), has_time, start."""
-    seed = CORPORA[name][1]
+def drawn_columns(seed: int) -> list[str]:
+    """SQL of what an occurrence's columns are made of: bank (the template's number), start (minutes)."""
     num = lambda salt, below=100: number("(sheet * 10 + pos)", seed, salt, below)
     shared, held = vocabulary([str(i) for i in range(len(BANK))])
     which = f"CASE WHEN split = 'test' THEN {pick(num(20, len(BANK)), [*shared, *held])} ELSE {pick(num(20, len(shared)), shared)} END"
     return [f"CAST({which} AS INT) AS bank", f"(CASE shift WHEN 'Dia' THEN 6 ELSE 18 END + {num(21, 12)}) * 60 + {num(22, 60)} AS start"]
 
 
-def row_columns(name: str) -> list[str]:
+def row_columns(seed: int) -> list[str]:
     """SQL of an occurrence's columns, from its sheet's, pos (from 0) and drawn_columns()."""
-    seed = CORPORA[name][1]
     key = "(sheet * 10 + pos)"
     num = lambda salt, below=100: number(key, seed, salt, below)
-    timed = f"bank IN ({', '.join(str(i) for i, b in enumerate(BANK) if b[2])})"
+    timed = f"bank IN ({', '.join(str(i) for i, b in enumerate(BANK) if b[3])})"
     values = {"setor": pick(num(30, len(SECTORS)), SECTORS), "placa": plate(key, seed), "empresa": pick(num(31, len(COMPANIES)), COMPANIES), "nome": pick(num(32, len(VISITORS)), VISITORS)}
+    actions = "CASE bank " + " ".join(f"WHEN {i} THEN {pick(num(25, len(b[2])), b[2])}" for i, b in enumerate(BANK)) + " END"
     return [
         f"{pick('bank', [b[0] for b in BANK])} AS item", f"CASE WHEN {timed} THEN {clock('start')} END AS entry",
         f"CASE WHEN {timed} AND {num(23)} < {EXIT} THEN {clock(f'(start + 10 + {num(24, 111)})')} END AS exit",
-        f"{filled(pick('bank', [b[1].replace('{item}', b[0]) for b in BANK]), values)} AS descricao",
-        f"{pick(num(25, len(ACTIONS)), ACTIONS)} AS acao", f"{choice(num(26), PRIORS['resolved'])} AS resolvido",
+        f"{filled(pick('bank', [b[1] for b in BANK]), values)} AS descricao",
+        f"{actions} AS acao", f"{choice(num(26), PRIORS['resolved'])} AS resolvido",
     ]
 
 
-def corpus(spark: SparkSession, name: str) -> DataFrame:
-    """sheet, split, shift, day, guards, unit, no_change, struck, n_rows, difficulty, template: 70, 15 and 15 percent by the place in a seeded
-    order; a fifth of names and templates, and one form, are seen in tests only."""
-    n, _, _ = CORPORA[name]
-    rows = spark.range(n).selectExpr("id AS sheet", f"{number('id', SPLIT_SEED, 0, 999_983)} AS o")
-    place = F.row_number().over(Window.orderBy("o", "sheet"))  # a corpus has at most a thousand rows
-    rows = rows.withColumn("place", place).selectExpr("sheet", f"{split_of('place', n)} AS split")
-    return rows.selectExpr("*", *sheet_columns(name))
+def corpus(keys: DataFrame, seed: int, profile: str) -> DataFrame:
+    """From different whole numbers (sheet): sheet, split, shift, day, guards, unit, no_change, struck, n_rows, difficulty, template. 70, 15 and
+    15 percent by the place in a seeded order; a fifth of names and templates, and one form, are seen in tests only. Ranges of the order
+    are numbered by tasks of their own, so a corpus may have any size."""
+    order = F.md5(F.concat(F.col("sheet").cast("string"), F.lit(f":{SPLIT_SEED}")).cast("binary"))
+    keyed = keys.select(F.col("sheet").cast("long").alias("sheet"), F.struct(order.alias("k"), F.col("sheet")).alias("order"))
+    n = keyed.count()
+    first = F.conv(F.substring("order.k", 1, 8), 16, 10).cast("long")
+    placed = contracts.numbered(keyed, "order", F.shiftright(first * (n // contracts.ROWS_A_BUCKET + 1), 32))
+    return placed.selectExpr("sheet", f"{split_of('place', n)} AS split").selectExpr("*", *sheet_columns(seed, profile))
+
+
+def canonical(spark: SparkSession, name: str) -> DataFrame:
+    """One of the canonical corpora, whose sheets are numbered from 0."""
+    n, seed, profile = CORPORA[name]
+    return corpus(spark.range(n).select(F.col("id").alias("sheet")), seed, profile)
 
 
-def corpus_rows(spark: SparkSession, name: str) -> DataFrame:
+def corpus_rows(sheets: DataFrame, seed: int) -> DataFrame:
     """sheet, pos, split, item, entry, exit, descricao, acao, resolvido: the occurrences of corpus()."""
-    rows = corpus(spark, name).where("n_rows > 0").selectExpr("sheet", "split", "shift", "explode(sequence(0, n_rows - 1)) AS pos")
-    return rows.selectExpr("*", *drawn_columns(name)).selectExpr("sheet", "pos", "split", *row_columns(name))
+    rows = sheets.where("n_rows > 0").selectExpr("sheet", "split", "shift", "explode(sequence(0, n_rows - 1)) AS pos")
+    return rows.selectExpr("*", *drawn_columns(seed)).selectExpr("sheet", "pos", "split", *row_columns(seed))
 
 
 def abbreviate(text: Column) -> Column:
@@ -220,9 +258,18 @@ def plain(text: Column) -> Column:
     return F.regexp_replace(text, r"\[risc:([^\]]*)\]", "$1")
 
 
+def drawn_headers(sheets: DataFrame, seed: int) -> DataFrame:
+    """corpus() with the header as drawn: data_text and guards_text are the truth's, unit_text may be abbreviated, and applied says so."""
+    unit = F.when(F.expr(number("sheet", seed, 70, 100)) < NOISE["abbreviate"], abbreviate(F.col("unit"))).otherwise(F.col("unit"))
+    day = F.concat(F.date_format(F.to_date("day"), "dd/MM/yyyy"), F.lit(" - "), "shift")
+    drawn = sheets.select("*", day.alias("data_text"), F.col("guards").alias("guards_text"), unit.alias("unit_text"))
+    changed = F.when(F.col("unit_text") != F.col("unit"), F.array(F.lit("abbreviate:unidade"))).otherwise(F.array().cast("array<string>"))
+    return drawn.withColumn("applied", changed)
+
+
 def surface(rows: DataFrame, seed: int) -> DataFrame:
-    """corpus_rows() as drawn: hora in one cell, descricao and acao with noise; applied names each change that was made, in order, and illegible
-    marks a description that was scribbled. The truth stays beside it."""
+    """corpus_rows() as drawn: hora in one cell, descricao and acao with noise, resolvido as it is written; applied names each change that was
+    made, in order, and illegible marks a description that was scribbled. The truth stays beside it."""
     key = "(sheet * 10 + pos)"
     num = lambda salt, below=100: F.expr(number(key, seed, salt, below))
     which = F.expr(number(key, seed, 77, 1009))
@@ -236,10 +283,11 @@ def surface(rows: DataFrame, seed: int) -> DataFrame:
         state = _noised(state, num(salt) < NOISE[name], f"{name}:descricao", op)
     hora = F.array(F.struct(F.when(F.col("entry").isNotNull(), F.concat_ws(" - ", "entry", "exit")).alias("text"), F.array().cast("array<string>").alias("applied")))
     hora = _noised(hora, num(78) < NOISE["ambiguous"], "ambiguous:hora", lambda c: ambiguous_swap(c, which))
-    out = rows.select("sheet", "pos", "split", "item", "descricao", "acao", "resolvido", F.get(state, F.lit(0)).alias("d"), F.get(hora, F.lit(0)).alias("h"), (num(79) < NOISE["blank"]).alias("gone"), (num(80) < NOISE["illegible"]).alias("illegible"))
+    out = rows.select("sheet", "pos", "split", "item", "descricao", "acao", "resolvido", F.get(state, F.lit(0)).alias("d"), F.get(hora, F.lit(0)).alias("h"), ((num(79) < NOISE["blank"]) & F.col("acao").isNotNull()).alias("gone"), (num(80) < NOISE["illegible"]).alias("illegible"))
     blank = F.when(F.col("gone"), F.array(F.lit("blank:acao"))).otherwise(F.array().cast("array<string>"))
     return out.select(
-        "sheet", "pos", "split", "item", F.col("h.text").alias("hora"), F.col("descricao").alias("truth"), F.col("d.text").alias("descricao"), F.when(~F.col("gone"), F.col("acao")).alias("acao"), "resolvido",
+        "sheet", "pos", "split", "item", F.col("h.text").alias("hora"), F.col("descricao").alias("truth"), F.col("d.text").alias("descricao"), F.when(~F.col("gone"), F.col("acao")).alias("acao"),
+        F.when(F.col("resolvido") == "sim", "sim").when(F.col("resolvido") == "nao", "não").alias("resolvido"),
         F.concat("d.applied", "h.applied", blank).alias("applied"), "illegible",
     )
 
@@ -255,14 +303,14 @@ def _noised(state: Column, when: Column, name: str, op) -> Column:
 
 
 def ideal_lines(sheets: DataFrame, drawn: DataFrame) -> DataFrame:
-    """sheet, text: the lines that a perfect reader would return of corpus() with its surface(): heading, header, column line, rows parted by
+    """sheet, text: the lines that a perfect reader would return of drawn_headers() with its surface(): heading, header, column line, rows parted by
     empty lines or the mark of no change, footer. Struck words are written plainly; an illegible description reads as its mark."""
     cell = F.when(F.col("illegible"), ILLEGIBLE).otherwise(plain(F.col("descricao")))
     row = F.concat_ws(" ", "hora", cell, F.nullif("acao", F.lit("")), F.nullif("resolvido", F.lit("")))
     body = drawn.select("sheet", "pos", row.alias("row")).groupBy("sheet").agg(F.array_sort(F.collect_list(F.struct("pos", "row"))).alias("rows"))
     body = body.select("sheet", F.array_join(F.transform("rows", lambda r: r["row"]), "\n\n").alias("body"))
-    day = F.concat(F.date_format(F.to_date("day"), "dd/MM/yyyy"), F.lit(" - "), "shift")
-    lines = [F.lit("Controle de ocorrencias"), F.concat(F.lit("Data e Turno: "), day), F.concat(F.lit("Vigilantes: "), "guards"), F.concat(F.lit("Unidade: "), "unit"), F.lit(COLUMN_LINE)]
+    head = (("Data e Turno: ", "data_text"), ("Vigilantes: ", "guards_text"), ("Unidade: ", "unit_text"))
+    lines = [F.lit("Controle de ocorrencias"), *(F.concat(F.lit(label), c) for label, c in head), F.lit(COLUMN_LINE)]
     shown = F.when(F.col("no_change"), "S/A").otherwise(F.coalesce("body", F.lit("")))
     return sheets.join(body, "sheet", "left").select("sheet", F.concat_ws("\n", *lines, shown, F.lit("Ronda: ok"), F.lit("")).alias("text"))
 
@@ -274,13 +322,13 @@ def banded(low: Column, high: Column, share: Column, band: Column) -> Column:
 
 
 def held_out(names: DataFrame, seed: int = HELD_OUT_SEED, percent: int = HELD_OUT_PERCENT) -> DataFrame:
-    """name, test_only: exactly the given share of a table of names is for tests alone, by place in a seeded order, that of the names'
+    """name, test_only: the given share of a table of names, rounded, one at least, is for tests alone, by place in a seeded order, that of the names'
     hashes; tasks number ranges of hashes."""
     keyed = names.select("name", F.md5(F.concat(F.col("name"), F.lit(str(seed))).cast("binary")).alias("k")).withColumn("order", F.struct("k", "name"))
     n = keyed.count()
     buckets = n // contracts.ROWS_A_BUCKET + 1
     first = F.conv(F.substring("k", 1, 8), 16, 10).cast("long")
-    return contracts.numbered(keyed, "order", F.shiftright(first * buckets, 32)).select("name", (F.col("place") <= n * percent // 100).alias("test_only"))
+    return contracts.numbered(keyed, "order", F.shiftright(first * buckets, 32)).select("name", (F.col("place") <= max(1, round(n * percent / 100))).alias("test_only"))
 
 
 def valid_distribution(priors: DataFrame, tolerance: float = 1e-6) -> DataFrame:

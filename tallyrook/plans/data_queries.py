@@ -22,30 +22,63 @@ def query(sql: str | None):
     return add
 
 
-def _corpus(name: str) -> str:
-    n = G.CORPORA[name][0]
-    numbered = f"SELECT k AS sheet, row_number() OVER (ORDER BY {G.number('k', G.SPLIT_SEED, 0, 999_983)}, k) AS place FROM range({n}) r(k)"
-    return f"SELECT *, {', '.join(G.sheet_columns(name))} FROM (SELECT sheet, {G.split_of('place', n)} AS split FROM ({numbered}))"
-
-
-def _corpus_rows(name: str) -> str:
-    drawn = f"SELECT *, {', '.join(G.drawn_columns(name))} FROM (SELECT sheet, split, shift, p.pos FROM ({_corpus(name)}) c JOIN range(3) p(pos) ON p.pos < c.n_rows)"
-    return f"SELECT sheet, pos, split, {', '.join(G.row_columns(name))} FROM ({drawn})"
-
-
-@query(_corpus("bench-balanced").replace("SELECT *,", "SELECT sheet, split,", 1))
+# Corpora of one sheet an order. Their SQL states priors, rates and spans by itself; names and templates are tables, and numbers follow
+# the one formula of G.number.
+def _values(rows) -> str:
+    text = lambda x: "'" + x + "'" if isinstance(x, str) else "[" + ", ".join(map(text, x)) + "]" if isinstance(x, list) else str(x)
+    return "VALUES " + ", ".join("(" + ", ".join([str(i), *map(text, r)]) + ")" for i, r in enumerate(rows))
+
+
+def _corpus(seed: int, no_change: int) -> str:
+    num = lambda salt, below=100: G.number("sheet", seed, salt, below)
+    held = lambda t, n: f"SELECT *, row_number() OVER (ORDER BY (i * 7919 + 7 * 104729) % 1000003 * 31 % 9973, i) <= {n} AS held FROM {t}"
+    lists = lambda c, t, n: f"(SELECT list({c} ORDER BY held, i) AS every, list({c} ORDER BY i) FILTER (NOT held) AS shared FROM ({held(t, n)}))"
+    guard = lambda i: f"CASE WHEN split = 'test' THEN g.every[({num(5, 1000)} + {i} * 7) % 15 + 1] ELSE g.shared[({num(5, 1000)} + {i} * 7) % 12 + 1] END"
+    return f"""guards_(i, name) AS ({_values([[x] for x in G.GUARDS])}), units_(i, name) AS ({_values([[x] for x in G.UNITS])}),
+bank_(i, item, description, actions, timed) AS ({_values(G.BANK)}),
+g AS (SELECT * FROM {lists('name', 'guards_', 3)}), u AS (SELECT * FROM {lists('name', 'units_', 2)}), b AS (SELECT * FROM {lists('i', 'bank_', 7)}),
+placed AS (SELECT o_orderkey AS sheet, row_number() OVER (ORDER BY md5(o_orderkey || ':20'), o_orderkey) AS place, count(*) OVER () AS n FROM orders),
+dealt AS (SELECT sheet, CASE WHEN place <= floor(0.7::DOUBLE * n) THEN 'train' WHEN place <= floor(0.7::DOUBLE * n) + floor(0.15::DOUBLE * n) THEN 'val' ELSE 'test' END AS split FROM placed),
+sheets AS MATERIALIZED (SELECT sheet, split, CASE WHEN {num(1)} < 52 THEN 'Dia' ELSE 'Noite' END AS shift, strftime(DATE '2026-01-01' + ({num(2, 365)})::INT, '%Y-%m-%d') AS day,
+  concat_ws(', ', {guard(0)}, CASE WHEN {num(4)} >= 35 THEN {guard(1)} END, CASE WHEN {num(4)} >= 80 THEN {guard(2)} END) AS guards,
+  CASE WHEN split = 'test' THEN u.every[{num(6, 10)} + 1] ELSE u.shared[{num(6, 8)} + 1] END AS unit, {num(7)} < {no_change} AS no_change, {num(7)} < {no_change} AND {num(8)} < 25 AS struck,
+  CASE WHEN {num(7)} < {no_change} THEN 0 WHEN {num(9)} < 55 THEN 1 WHEN {num(9)} < 85 THEN 2 ELSE 3 END AS n_rows,
+  CASE WHEN {num(10)} < 20 THEN 'clean' WHEN {num(10)} < 70 THEN 'scan' ELSE 'photo' END AS difficulty,
+  CASE WHEN split = 'test' AND {num(11)} < 25 THEN 'C' WHEN {num(12, 2)} = 0 THEN 'A' ELSE 'B' END AS template FROM dealt, g, u)"""
+
+
+def _corpus_rows(seed: int, no_change: int) -> str:
+    num = lambda salt, below=100: G.number("(sheet * 10 + pos)", seed, salt, below)
+    time = lambda m: f"lpad((({m}) % 1440 // 60)::VARCHAR, 2, '0') || ':' || lpad((({m}) % 60)::VARCHAR, 2, '0')"
+    letter = lambda salt: f"chr((65 + {num(salt, 26)})::INT)"
+    plate = f"{letter(51)} || {letter(52)} || {letter(53)} || {num(54, 10)} || {letter(55)} || lpad(({num(56, 100)})::VARCHAR, 2, '0')"
+    one = lambda salt, names: f"{names!r}[{num(salt, len(names))} + 1]"
+    filled = f"replace(replace(replace(replace(description, '{{setor}}', {one(30, G.SECTORS)}), '{{placa}}', {plate}), '{{empresa}}', {one(31, G.COMPANIES)}), '{{nome}}', {one(32, G.VISITORS)})"
+    return f"""{_corpus(seed, no_change)},
+drawn_ AS (SELECT sheet, split, p.pos, CASE WHEN split = 'test' THEN b.every[{num(20, 36)} + 1] ELSE b.shared[{num(20, 29)} + 1] END AS bank,
+  (CASE shift WHEN 'Dia' THEN 6 ELSE 18 END + {num(21, 12)}) * 60 + {num(22, 60)} AS start FROM sheets JOIN range(3) p(pos) ON p.pos < n_rows, b),
+truths AS MATERIALIZED (SELECT sheet, pos, split, item, CASE WHEN timed THEN {time('start')} END AS entry, CASE WHEN timed AND {num(23)} < 30 THEN {time(f'start + 10 + {num(24, 111)}')} END AS exit,
+  {filled} AS descricao, actions[{G.number("(sheet * 10 + pos)", seed, 25, 0).replace('% 0)', '% len(actions))')} + 1] AS acao,
+  CASE WHEN {num(26)} < 60 THEN 'sim' WHEN {num(26)} < 85 THEN 'nao' ELSE '' END AS resolvido FROM drawn_ JOIN bank_ ON bank_.i = bank)"""
+
+
+def _keys(spark, d):
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("sheet"))
+
+
+@query(f"WITH {_corpus(43, 50)} SELECT * FROM sheets")
 def generated_sheets(spark, d):
-    return G.corpus(spark, "bench-balanced")
+    return G.corpus(_keys(spark, d), 43, "balanced")
 
 
-@query(_corpus_rows("stress"))
+@query(f"WITH {_corpus_rows(45, 50)} SELECT * FROM truths")
 def generated_rows(spark, d):
-    return G.corpus_rows(spark, "stress").withColumn("pos", F.col("pos").cast("long"))
+    return G.corpus_rows(G.corpus(_keys(spark, d), 45, "balanced"), 45).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query(f"SELECT split, template, count(*) AS n, count_if(no_change) AS n_no_change, count_if(struck) AS n_struck FROM ({_corpus('bench-operational')}) GROUP BY 1, 2")
+@query(f"WITH {_corpus(44, 70)} SELECT split, template, count(*) AS n, count_if(no_change) AS n_no_change, count_if(struck) AS n_struck FROM sheets GROUP BY 1, 2")
 def split_assignment(spark, d):
-    return G.corpus(spark, "bench-operational").groupBy("split", "template").agg(F.count("*").alias("n"), F.count_if("no_change").alias("n_no_change"), F.count_if("struck").alias("n_struck"))
+    return G.corpus(_keys(spark, d), 44, "operational").groupBy("split", "template").agg(F.count("*").alias("n"), F.count_if("no_change").alias("n_no_change"), F.count_if("struck").alias("n_struck"))
 
 
 # the surface operators in DuckDB's lists
@@ -104,51 +137,73 @@ def surface_operators(spark, d):
     )
 
 
-_SEED = G.CORPORA["stress"][1]
+_SEED = 45
 
 
 def _surface() -> str:
     key = "(sheet * 10 + pos)"
     num = lambda salt, below=100: G.number(key, _SEED, salt, below)
-    which, out, last = num(77, 1009), f"rows0 AS MATERIALIZED (SELECT *, descricao AS drawn, []::VARCHAR[] AS applied FROM ({_corpus_rows('stress')}))", "rows0"
-    for i, (name, salt, op) in enumerate((("abbreviate", 71, _abbreviate("drawn")), ("misspell", 72, _misspell("drawn", which)), ("crossout", 73, _crossout("drawn", which)), ("partial", 74, _partial("drawn")), ("ambiguous", 75, _ambiguous("drawn", which))), 1):
+    which, out, last = num(77, 1009), f"{_corpus_rows(_SEED, 50)}, rows0 AS MATERIALIZED (SELECT *, descricao AS drawn, []::VARCHAR[] AS applied FROM truths)", "rows0"
+    # the rates of each kind of noise in percent
+    steps = (("abbreviate", 30, 71, _abbreviate("drawn")), ("misspell", 20, 72, _misspell("drawn", which)), ("crossout", 7, 73, _crossout("drawn", which)), ("partial", 10, 74, _partial("drawn")), ("ambiguous", 15, 75, _ambiguous("drawn", which)))
+    for i, (name, rate, salt, op) in enumerate(steps, 1):
         out += f""",
-made{i} AS MATERIALIZED (SELECT *, CASE WHEN {num(salt)} < {G.NOISE[name]} THEN {op} ELSE drawn END AS new FROM {last}),
+made{i} AS MATERIALIZED (SELECT *, CASE WHEN {num(salt)} < {rate} THEN {op} ELSE drawn END AS new FROM {last}),
 rows{i} AS MATERIALIZED (SELECT * EXCLUDE (new, drawn, applied), new AS drawn, CASE WHEN new <> drawn THEN applied || ['{name}:descricao'] ELSE applied END AS applied FROM made{i})"""
         last = f"rows{i}"
     return f"""{out},
 timed AS MATERIALIZED (SELECT *, CASE WHEN entry IS NOT NULL THEN concat_ws(' - ', entry, exit) END AS hora FROM {last}),
-swapped AS MATERIALIZED (SELECT *, CASE WHEN {num(78)} < {G.NOISE['ambiguous']} THEN {_ambiguous('hora', which)} ELSE hora END AS hora2 FROM timed),
-surface AS MATERIALIZED (SELECT sheet, pos, split, item, hora2 AS hora, descricao AS truth, drawn AS descricao, CASE WHEN {num(79)} < {G.NOISE['blank']} THEN NULL ELSE acao END AS acao, resolvido,
-  applied || CASE WHEN coalesce(hora2 <> hora, false) THEN ['ambiguous:hora'] ELSE [] END || CASE WHEN {num(79)} < {G.NOISE['blank']} THEN ['blank:acao'] ELSE [] END AS applied, {num(80)} < {G.NOISE['illegible']} AS illegible FROM swapped)"""
+swapped AS MATERIALIZED (SELECT *, CASE WHEN {num(78)} < 15 THEN {_ambiguous('hora', which)} ELSE hora END AS hora2 FROM timed),
+surface AS MATERIALIZED (SELECT sheet, pos, split, item, hora2 AS hora, descricao AS truth, drawn AS descricao, CASE WHEN {num(79)} < 8 THEN NULL ELSE acao END AS acao,
+  CASE resolvido WHEN 'sim' THEN 'sim' WHEN 'nao' THEN 'não' END AS resolvido,
+  applied || CASE WHEN coalesce(hora2 <> hora, false) THEN ['ambiguous:hora'] ELSE [] END || CASE WHEN {num(79)} < 8 THEN ['blank:acao'] ELSE [] END AS applied, {num(80)} < 5 AS illegible FROM swapped),
+headers AS MATERIALIZED (SELECT sheet, strftime(day::DATE, '%d/%m/%Y') || ' - ' || shift AS data_text, guards AS guards_text, unit, CASE WHEN {G.number('sheet', _SEED, 70, 100)} < 30 THEN {_abbreviate('unit')} ELSE unit END AS unit_text, no_change, n_rows FROM sheets)"""
+
+
+def _made(spark, d):
+    sheets = G.corpus(_keys(spark, d), _SEED, "balanced")
+    return G.drawn_headers(sheets, _SEED), G.surface(G.corpus_rows(sheets, _SEED), _SEED)
 
 
 @query(f"WITH {_surface()} SELECT sheet, pos, split, item, hora, truth, descricao, acao, resolvido, array_to_string(applied, ',') AS applied, illegible FROM surface")
 def generated_surface(spark, d):
-    rows = G.surface(G.corpus_rows(spark, "stress"), _SEED)
-    return rows.withColumn("pos", F.col("pos").cast("long")).withColumn("applied", F.array_join("applied", ","))
+    return _made(spark, d)[1].withColumn("pos", F.col("pos").cast("long")).withColumn("applied", F.array_join("applied", ","))
+
+
+@query(f"WITH {_surface()} SELECT sheet, data_text, guards_text, unit_text, CASE WHEN unit_text <> unit THEN 'abbreviate:unidade' ELSE '' END AS applied FROM headers")
+def generated_headers(spark, d):
+    """Headers as they are drawn: only the unit may be abbreviated."""
+    return _made(spark, d)[0].select("sheet", "data_text", "guards_text", "unit_text", F.array_join("applied", ",").alias("applied"))
+
+
+@query(
+    f"""WITH {_surface()}, kinds AS (SELECT unnest(applied) AS kind FROM surface UNION ALL SELECT 'illegible:descricao' FROM surface WHERE illegible UNION ALL SELECT 'abbreviate:unidade' FROM headers WHERE unit_text <> unit)
+SELECT kind, count(*) AS n FROM kinds GROUP BY 1"""
+)
+def generated_noise(spark, d):
+    """How often each kind of noise changed something."""
+    headers, rows = _made(spark, d)
+    scribbled = F.when(F.col("illegible"), F.array(F.lit("illegible:descricao"))).otherwise(F.array().cast("array<string>"))
+    kinds = rows.select(F.explode(F.concat("applied", scribbled)).alias("kind")).unionByName(headers.select(F.explode("applied").alias("kind")))
+    return kinds.groupBy("kind").agg(F.count("*").alias("n"))
 
 
 def _texts() -> str:
     row = f"concat_ws(' ', hora, CASE WHEN illegible THEN '{G.ILLEGIBLE}' ELSE regexp_replace(descricao, '\\[risc:([^\\]]*)\\]', '\\1', 'g') END, acao, nullif(resolvido, ''))"
     return f"""{_surface()}, bodies AS MATERIALIZED (SELECT sheet, string_agg({row}, chr(10) || chr(10) ORDER BY pos) AS body FROM surface GROUP BY 1),
-texts AS (SELECT c.sheet, concat_ws(chr(10), 'Controle de ocorrencias', 'Data e Turno: ' || strftime(day::DATE, '%d/%m/%Y') || ' - ' || shift, 'Vigilantes: ' || guards, 'Unidade: ' || unit, '{G.COLUMN_LINE}', CASE WHEN no_change THEN 'S/A' ELSE coalesce(body, '') END, 'Ronda: ok', '') AS text, no_change, n_rows
-  FROM ({_corpus('stress')}) c LEFT JOIN bodies USING (sheet))"""
-
-
-def made_texts(spark):
-    return G.ideal_lines(G.corpus(spark, "stress"), G.surface(G.corpus_rows(spark, "stress"), _SEED))
+texts AS (SELECT c.sheet, concat_ws(chr(10), 'Controle de ocorrencias', 'Data e Turno: ' || data_text, 'Vigilantes: ' || guards_text, 'Unidade: ' || unit_text, '{G.COLUMN_LINE}', CASE WHEN no_change THEN 'S/A' ELSE coalesce(body, '') END, 'Ronda: ok', '') AS text, no_change, n_rows
+  FROM headers c LEFT JOIN bodies USING (sheet))"""
 
 
 @query(f"WITH {_texts()} SELECT sheet, sha256(text) AS sha FROM texts")
 def generated_texts(spark, d):
-    return made_texts(spark).select("sheet", F.sha2("text", 256).alias("sha"))
+    return G.ideal_lines(*_made(spark, d)).select("sheet", F.sha2("text", 256).alias("sha"))
 
 
 @query(f"WITH {_texts()} SELECT CASE WHEN no_change THEN 'none' ELSE 'present' END AS disposition, n_rows::BIGINT AS occurrences, count(*) AS n FROM texts GROUP BY ALL")
 def generated_models(spark, d):
     """What the rules read of generated sheets: every row and every explicit no-change, as the truth has them."""
-    found = extract.models(made_texts(spark).withColumnRenamed("sheet", "sheet_id"))
+    found = extract.models(G.ideal_lines(*_made(spark, d)).withColumnRenamed("sheet", "sheet_id"))
     return found.groupBy("disposition", "occurrences").agg(F.count("*").alias("n"))
 
 
@@ -159,7 +214,7 @@ def surface_noise(spark, d):
 
 
 @query(
-    f"""WITH n AS (SELECT c_name AS name, row_number() OVER (ORDER BY md5(c_name || '{G.HELD_OUT_SEED}'), c_name) AS place FROM customer), h AS (SELECT name, place <= (SELECT count(*) * {G.HELD_OUT_PERCENT} // 100 FROM customer) AS test_only FROM n)
+    f"""WITH n AS (SELECT c_name AS name, row_number() OVER (ORDER BY md5(c_name || '{G.HELD_OUT_SEED}'), c_name) AS place FROM customer), h AS (SELECT name, place <= (SELECT greatest(1, round(count(*) * 0.2)) FROM customer) AS test_only FROM n)
 SELECT test_only, count(*) AS n, min(name) AS first, (SELECT count(*) FROM (SELECT name FROM h WHERE test_only INTERSECT SELECT name FROM h WHERE NOT test_only)) AS n_both FROM h GROUP BY 1"""
 )
 def heldout_vocabulary(spark, d):

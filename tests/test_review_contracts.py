@@ -115,16 +115,17 @@ def test_export_and_dataset(spark, tmp_path):
     contracts.write_csv(shown.coalesce(1), str(tmp_path / "csv"))
     lines = next((tmp_path / "csv").glob("part-*")).read_text().splitlines()
     assert lines == ["DIA,UNIDADE,OBJETO,DESCRICAO", "'=x,u,o,d"]
-    contracts.write_dataset(generate.corpus(spark, "smoke"), str(tmp_path / "set"))
+    contracts.write_dataset(generate.canonical(spark, "smoke"), str(tmp_path / "set"))
     entries = spark.read.json(str(tmp_path / "set" / "manifests"))
     truths = {r.doc_id: r.gt_text for r in spark.read.json(str(tmp_path / "set" / "gt")).collect()}
     assert entries.count() == 50 and all(hashlib.sha256(truths[r.doc_id].encode()).hexdigest() == r.sha256_gt for r in entries.collect())
     with pytest.raises(Exception, match="exist"):
-        contracts.write_dataset(generate.corpus(spark, "smoke"), str(tmp_path / "set"))
+        contracts.write_dataset(generate.canonical(spark, "smoke"), str(tmp_path / "set"))
 
 
 def test_corpora_follow_their_rules(spark):
-    sheets, rows = generate.corpus(spark, "stress").collect(), generate.corpus_rows(spark, "stress").collect()
+    made = generate.canonical(spark, "stress")
+    sheets, rows = made.collect(), generate.corpus_rows(made, 45).collect()
     splits = [r.split for r in sheets]
     assert [splits.count(s) for s in ("train", "val", "test")] == [700, 150, 150] and {r.split for r in sheets if r.template == "C"} == {"test"}
     shared, held = generate.vocabulary(generate.GUARDS)
@@ -138,10 +139,42 @@ def test_corpora_follow_their_rules(spark):
             minutes = lambda t: int(t[:2]) * 60 + int(t[3:])
             assert 10 <= (minutes(r.exit) - minutes(r.entry)) % 1440 <= 120
     names = generate.held_out(spark.createDataFrame([(f"n{i}",) for i in range(103)], "name string"))
-    assert names.where("test_only").count() == 20 and names.count() == 103
+    assert names.where("test_only").count() == 21 and names.count() == 103
+    assert generate.held_out(spark.createDataFrame([("a",), ("b",)], "name string")).where("test_only").count() == 1
     assert generate.held_out(spark.createDataFrame([], "name string")).count() == 0
 
 
+def near(found, of, percent):
+    """Within four standard errors of a rate."""
+    return abs(found / of - percent / 100) <= 4 * (percent / 100 * (1 - percent / 100) / of) ** 0.5
+
+
+def test_rates_of_corpora_and_noise(spark):
+    """Priors of sheets, days of the whole year, and each kind of noise at its rate where it can change something."""
+    sheets = generate.corpus(spark.range(20_000).select(F.col("id").alias("sheet")), 45, "balanced").cache()
+    heads = {r.sheet: r for r in generate.drawn_headers(sheets, 45).collect()}
+    n = len(heads)
+    share = lambda f, over=heads.values(): (sum(map(f, over)), len(over))
+    quiet = [r for r in heads.values() if r.no_change]
+    assert near(*share(lambda r: r.shift == "Dia"), 52) and near(len(quiet), n, 50) and near(*share(lambda r: r.struck, quiet), 25)
+    busy = [r for r in heads.values() if not r.no_change]
+    assert all(near(*share(lambda r: r.n_rows == k, busy), p) for k, p in ((1, 55), (2, 30), (3, 15)))
+    assert all(near(*share(lambda r: r.guards.count(",") == k - 1), p) for k, p in ((1, 35), (2, 45), (3, 20)))
+    days = {r.day for r in heads.values()}
+    assert len(days) == 365 and min(days) == "2026-01-01" and max(days) == "2026-12-31" and near(*share(lambda r: r.day[-2:] in ("29", "30", "31")), 100 * 29 / 365)
+    able = [r for r in heads.values() if any(w in r.unit for w in generate.ABBREVIATIONS)]
+    assert near(*share(lambda r: r.unit != r.unit_text, able), 30) and all(r.guards == r.guards_text for r in heads.values())
+    rows = generate.surface(generate.corpus_rows(sheets, 45), 45).collect()
+    at = lambda kind, over=rows: (sum(kind in r.applied for r in over), len(over))
+    assert near(*at("abbreviate:descricao", [r for r in rows if any(w in r.truth for w in generate.ABBREVIATIONS)]), 30)
+    assert near(*at("partial:descricao"), 10) and near(*at("crossout:descricao"), 7) and near(*at("blank:acao"), 8)
+    assert near(*at("ambiguous:hora", [r for r in rows if r.hora and any(c in r.hora for c in "01Ol")]), 15)
+    # two equal letters side by side, and a time without a twin, stay as they are
+    assert at("misspell:descricao")[0] <= 0.2 * len(rows) and near(sum(r.illegible for r in rows), len(rows), 5)
+    assert {r.resolvido for r in rows} == {"sim", "não", None}
+    assert len({(r.item, r.acao) for r in rows if r.acao}) == sum(len(b[2]) for b in generate.BANK)
+
+
 def test_places_in_several_tasks(spark, monkeypatch):
     monkeypatch.setattr(contracts, "ROWS_A_BUCKET", 50)
     rows = spark.range(1000).selectExpr("concat('d', id * 7919 % 1000) AS d", "id AS v").repartition(7, "v")
@@ -150,6 +183,7 @@ def test_places_in_several_tasks(spark, monkeypatch):
     assert got == {i: f"sheet_{k}" for k, i in enumerate(order, 1)}
     names = generate.held_out(spark.createDataFrame([(f"n{i}",) for i in range(730)], "name string"))
     want = sorted((hashlib.md5(f"n{i}7".encode()).hexdigest(), f"n{i}") for i in range(730))[:146]
+    assert generate.corpus(spark.range(730).select(F.col("id").alias("sheet")), 1, "balanced").groupBy("split").count().orderBy("count").collect()[-1]["count"] == 510
     assert {r.name for r in names.where("test_only").collect()} == {n for _, n in want} and names.count() == 730
 
 
