@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import COLUMN_LABELS, FORM_WORDS, GOOD_WORDS, HEADER_CONFIDENCE, HEADER_FIELDS, LEAST_CHARS, LEAST_WORDS, REVIEW_BELOW, ROW_CONFIDENCE
+from ..functions.arrays import spread
 from ..functions.text import blank, strip
 from .extract import models, occurrences
 
@@ -70,7 +71,7 @@ def field_list(models: DataFrame) -> Column:
 def fields(sheets: DataFrame) -> DataFrame:
     """sheet_id, ord, name, value, confidence, status, must_review: field_list(), one row a field."""
     found = models(sheets)
-    return found.select("sheet_id", F.inline(field_list(found)))
+    return spread(found, field_list(found), "sheet_id")
 
 
 assert HEADER_CONFIDENCE < REVIEW_BELOW and ROW_CONFIDENCE < REVIEW_BELOW  # rule-read cells always go to review

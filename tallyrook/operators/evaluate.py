@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CER_FAIL
+from ..functions.arrays import spread
 from ..functions.text import as_text, cer, norm
 from ..sources.sheets import sheets
 from . import critic, extract
@@ -141,7 +142,7 @@ FLAGS = (
 
 def row_metrics(s: DataFrame) -> DataFrame:
     """sheet_id, reason, disposition, pos, noise, read, desc_ok, hora_ok, texts: the true rows of scored(), one each."""
-    return s.select("sheet_id", F.inline("lines"))
+    return spread(s, "lines", "sheet_id")
 
 
 def buckets(s: DataFrame) -> DataFrame:
@@ -239,7 +240,7 @@ def severity(kind: Column) -> Column:
 def error_counts(s: DataFrame) -> DataFrame:
     """sheet_id, type, severity, n: of errors(), how many of each type a sheet has. A sheet's row has at most one of a type."""
     kinds = F.transform(F.array(*map(F.lit, SEVERITY)), lambda t: F.struct(t.alias("type"), F.size(F.filter("errors", lambda e: e["type"] == t)).cast("long").alias("n")))
-    return s.select("sheet_id", F.inline(kinds)).where("n > 0").withColumn("severity", severity(F.col("type")))
+    return spread(s, kinds, "sheet_id").where("n > 0").withColumn("severity", severity(F.col("type")))
 
 
 def repairable(fields: DataFrame) -> DataFrame:

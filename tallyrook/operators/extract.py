@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import HEADER_FIELDS
+from ..functions.arrays import spread
 from ..functions.text import WHITE, as_text, strip
 
 # The patterns of the form. A table's header line, its footer, an explicit "no change", clock times, separators of names.
@@ -50,7 +51,8 @@ def _page_rows(page: Column) -> Column:
 
 
 def parsed(sheets: DataFrame) -> DataFrame:
-    """The sheets with page_lines, page_rows (null for a page without a table) and rows: an array of page, no_change, content, hora.
+    """The sheets with page_lines, low_lines (page, line, low: in lower case), page_rows (null for a page without a table) and rows: an array
+    of page, no_change, content, hora.
 
     All of a sheet is read inside its row, without a shuffle: lines that follow each other are one row; empty lines and explicit
     no-changes part them.
@@ -64,25 +66,27 @@ def parsed(sheets: DataFrame) -> DataFrame:
         return F.struct(page.alias("page"), none.alias("no_change"), F.when(~none, row).alias("content"), F.when(~none, times(row)).alias("hora"))
 
     rows = F.transform("page_rows", lambda page, i: F.transform(F.coalesce(page, F.array().cast("array<string>")), lambda row: cells(row, i)))
-    return found.withColumn("rows", F.flatten(rows))
+    low = F.transform("page_lines", lambda page, i: F.transform(page, lambda line: F.struct(i.alias("page"), line.alias("line"), F.lower(line).alias("low"))))
+    return found.withColumns({"rows": F.flatten(rows), "low_lines": F.flatten(low)})
 
 
 def segments(sheets: DataFrame) -> DataFrame:
     """sheet_id, pos, page, no_change, content, hora: the rows of the tables, one each."""
-    return parsed(sheets).select("sheet_id", F.posexplode("rows").alias("pos", "x")).select("sheet_id", (F.col("pos") + 1).alias("pos"), "x.*")
+    return spread(parsed(sheets), "rows", "sheet_id", place="pos").withColumn("pos", F.col("pos") + 1)
 
 
 def _header_value(labels: tuple[str, ...]) -> Column:
     """struct(page, evidence, value) of a field: the text after its label. Labels in order of preference, then pages, then lines;
     a label stands anywhere in its line, in any case, and counts only with a value after it."""
 
-    def after(line: Column, label: str) -> Column:
-        at = F.instr(F.lower(line), label)
-        return F.when(at > 0, strip(F.regexp_replace(F.substring(line, at + len(label), F.length(line)), r"^[ :\t]+", "")))
+    def after(x: Column, label: str) -> Column:
+        at = F.instr(x["low"], label)
+        return strip(F.regexp_replace(F.substring(x["line"], at + len(label), F.length(x["line"])), r"^[ :\t]+", ""))
 
     def hits(label: str) -> Column:
-        every = F.transform("page_lines", lambda page, i: F.transform(page, lambda line: F.struct(i.alias("page"), strip(line).alias("evidence"), after(line, label).alias("value"))))
-        return F.filter(F.flatten(every), lambda x: x["value"] != "")
+        # only lines that hold the label are worked on
+        lines = F.filter("low_lines", lambda x: F.contains(x["low"], F.lit(label)))
+        return F.filter(F.transform(lines, lambda x: F.struct(x["page"].alias("page"), strip(x["line"]).alias("evidence"), after(x, label).alias("value"))), lambda x: x["value"] != "")
 
     return F.get(F.concat(*(hits(label.rstrip(":").lower()) for label in labels)), F.lit(0))
 
@@ -90,7 +94,7 @@ def _header_value(labels: tuple[str, ...]) -> Column:
 def header(sheets: DataFrame) -> DataFrame:
     """sheet_id, field, value, evidence, page: the header fields that were found."""
     fields = F.array(*(F.struct(F.lit(name).alias("field"), _header_value(labels).alias("x")) for name, labels in HEADER_FIELDS.items()))
-    return parsed(sheets).select("sheet_id", F.inline(fields)).where("x is not null").select("sheet_id", "field", "x.value", "x.evidence", "x.page")
+    return spread(parsed(sheets), fields, "sheet_id").where("x is not null").select("sheet_id", "field", "x.value", "x.evidence", "x.page")
 
 
 def entry_time(hora: Column) -> Column:
@@ -127,7 +131,7 @@ def models(sheets: DataFrame) -> DataFrame:
         }
     )
     disposition = F.when(F.col("occurrences") > 0, "present").when(~F.col("table_found"), "unknown").when(F.col("no_changes") > 0, "none").otherwise("unknown")
-    return whole.withColumn("disposition", disposition).drop("page_lines", "page_rows")
+    return whole.withColumn("disposition", disposition).drop("page_lines", "low_lines", "page_rows")
 
 
 def occurrences(models: DataFrame) -> Column:

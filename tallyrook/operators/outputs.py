@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import spread
 from ..functions.text import as_text
 from .extract import entry_time, exit_time
 
@@ -40,7 +41,7 @@ def _rows(states: DataFrame) -> Column:
 
 def spreadsheet(states: DataFrame) -> DataFrame:
     """sheet_id, pos, dia, unidade, objeto, descricao: a row for each occurrence, or one that says that there is none."""
-    return states.select("sheet_id", F.inline(_rows(states)))
+    return spread(states, _rows(states), "sheet_id")
 
 
 def messages(states: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import compatible, fingerprint
+from ..functions.arrays import spread
 from ..operators import classify, contracts, critic, edits, extract, forms, ledger as L
 from ..sources.sheets import sheets, table
 from . import base_sql as B
@@ -85,7 +86,7 @@ SELECT r.sheet_id, CASE WHEN now = 'present' THEN pos ELSE 0 END AS pos, coalesc
   CASE WHEN now = 'present' THEN d.text ELSE '' END AS descricao FROM reviewed r LEFT JOIN described2 d ON d.sheet_id = r.sheet_id AND now = 'present' WHERE error IS NULL"""
 )
 def edited_spreadsheet(spark, d):
-    return edits.with_spreadsheet(reviewed(spark, d)).select("sheet_id", F.inline("shown")).withColumn("pos", F.col("pos").cast("long"))
+    return spread(edits.with_spreadsheet(reviewed(spark, d)), "shown", "sheet_id").withColumn("pos", F.col("pos").cast("long"))
 
 
 EXPORTS = EDITED + f""",

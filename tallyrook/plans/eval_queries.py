@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.arrays import spread
 from ..functions.text import cer, wer
 from ..operators import critic, evaluate as E, forms, words as W
 from ..sources.sheets import sheets, table
@@ -44,6 +45,7 @@ by_line AS (SELECT sheet_id, count_if(desc_ok) AS descricao_ok, count_if(td <> '
   count_if(noise = 'illegible' AND NOT desc_ok AND (read OR disposition = 'unknown') AND NOT approvable) AS safe_refusals, count_if(truth_item <> '') AS ceiling_item, count_if(truth_action <> '') AS ceiling_acao, count_if(truth_resolved <> '') AS ceiling_resolvido,
   string_agg(concat_ws(' ', truth_hora, surface), ' ' ORDER BY pos) AS shown FROM line_scores JOIN ran USING (sheet_id) GROUP BY 1),
 by_field AS (SELECT sheet_id, sum(cost)::BIGINT AS chars_to_type, count_if(wrong) AS n_wrong, count_if(blank) AS n_blank, count(*) AS n_fields FROM scored GROUP BY 1),
+reviewed_rows AS (SELECT sheet_id, bool_and(waits) AS all_reviewed FROM (SELECT sheet_id, regexp_extract(name, '^(ocorrencia_[0-9]+)_', 1) AS k, bool_or(must_review) AS waits FROM fields WHERE name LIKE 'ocorrencia_%' GROUP BY ALL) WHERE k <> '' GROUP BY 1),
 firsts AS (SELECT sheet_id, td AS first FROM line_scores WHERE pos = 1),
 seen AS (SELECT sheet_id, bool_or(td <> '' AND rd <> '' AND """ + B.cer("td", "rd") + """ <= 0.5) AS captured FROM (SELECT t.sheet_id, first AS td, """ + B.norm("coalesce(description, '')") + """ AS rd FROM firsts t JOIN timed USING (sheet_id)) GROUP BY 1),
 flagged AS (SELECT r.*, coalesce(chars_to_type, 0) AS chars_to_type, coalesce(n_wrong, 0) AS n_wrong, coalesce(n_blank, 0) AS n_blank, coalesce(n_fields, 0) AS n_fields, """ + ", ".join(f"coalesce({c}, 0) AS {c}" for c in ("descricao_ok", "descricao_total", "hora_ok", "hora_total", "illegible_fields", "safe_refusals", "ceiling_item", "ceiling_acao", "ceiling_resolvido")) + """,
@@ -52,9 +54,9 @@ flagged AS (SELECT r.*, coalesce(chars_to_type, 0) AS chars_to_type, coalesce(n_
   replace(replace(concat_ws(' ', CASE WHEN sheet_id % 13 = 0 THEN NULL ELSE truth_date END, drawn_guards, CASE WHEN sheet_id % 19 <> 0 THEN truth_unit END, coalesce(shown, '')), '[risc:', ''), ']', '') AS drawn
   FROM ran r LEFT JOIN by_field USING (sheet_id) LEFT JOIN by_line USING (sheet_id) LEFT JOIN seen USING (sheet_id)),
 flags AS (SELECT *, NOT has_occurrence AND disposition = 'present' AS false_incident, has_occurrence AND disposition = 'none' AS missed_incident, disposition = 'unknown' AS unknown_disposition,
-  has_occurrence AND disposition <> 'present' AS structural_failure, has_occurrence AND disposition = 'none' AS unsafe_clean, false AS false_incident_unreviewed, true AS signal_complete, NOT parse_success AS mismatch,
+  has_occurrence AND disposition <> 'present' AS structural_failure, has_occurrence AND disposition = 'none' AS unsafe_clean, NOT has_occurrence AND disposition = 'present' AND NOT coalesce(all_reviewed, true) AS false_incident_unreviewed, disposition IN ('unknown', 'none', 'present') AND parse_success IS NOT NULL AND approvable IS NOT NULL AND exportable IS NOT NULL AS signal_complete, NOT parse_success AS mismatch,
   NOT parse_success AND NOT approvable AND NOT exportable AS blocked_mismatch, NOT parse_success AND approvable AS unsafe_approvable, NOT parse_success AND exportable AS unsafe_exportable,
-  (length(text) - length(replace(text, '[ilegivel]', ''))) // 10 AS illegible_tokens, round(""" + B.cer(B.norm("drawn"), B.norm("text")) + """, 4) AS transcription_cer FROM flagged)"""
+  (length(text) - length(replace(text, '[ilegivel]', ''))) // 10 AS illegible_tokens, round(""" + B.cer(B.norm("drawn"), B.norm("text")) + """, 4) AS transcription_cer FROM flagged LEFT JOIN reviewed_rows USING (sheet_id))"""
 
 
 def of(spark, d):
@@ -63,7 +65,7 @@ def of(spark, d):
 
 @query(f"WITH {COMPARED} SELECT sheet_id, field, cost, cer::DOUBLE AS cer, blank, wrong FROM scored")
 def cer_fields(spark, d):
-    return of(spark, d).select("sheet_id", F.inline("effort")).withColumn("cer", F.col("cer").cast("double"))
+    return spread(of(spark, d), "effort", "sheet_id").withColumn("cer", F.col("cer").cast("double"))
 
 
 @query(f"WITH {SCORES} SELECT sheet_id, chars_to_type, n_wrong AS wrong, n_blank AS blank, n_wrong + n_blank AS corrected, n_fields FROM flags")
@@ -183,7 +185,7 @@ def error_severity(spark, d):
     s = E.errors(of(spark, d))
     n = lambda errors, x: F.size(F.filter(errors, lambda e: e["type"].isin(*(t for t, how in E.SEVERITY.items() if how == x)))).cast("long")
     counts = F.transform(F.filter(F.array("errors"), lambda e: F.size(e) > 0), lambda e: F.struct(*(n(e, x).alias(x.lower()) for x in ("BLOCKER", "HIGH", "MEDIUM", "LOW"))))
-    return s.select("sheet_id", F.inline(counts))
+    return spread(s, counts, "sheet_id")
 
 
 @query(
@@ -229,12 +231,12 @@ FROM flags LEFT JOIN ratios USING (sheet_id) GROUP BY 1"""
 def public_run_weighted(spark, d):
     """A run's public figures; the fields' places are those of their words in the sheet's text."""
     s = of(spark, d)
-    fields = W.attach_evidence(s.select("sheet_id", F.inline(critic.field_list(s))).withColumnRenamed("sheet_id", "doc_id"), W.of_lines(s.select(F.col("sheet_id").alias("doc_id"), "text")))
+    fields = W.attach_evidence(spread(s, critic.field_list(s), "sheet_id").withColumnRenamed("sheet_id", "doc_id"), W.of_lines(s.select(F.col("sheet_id").alias("doc_id"), "text")))
     return E.public_run(s, E.repairable(fields.withColumnRenamed("doc_id", "sheet_id")), "split")
 
 
 def _two_runs(spark, d):
-    rows = of(spark, d).select("sheet_id", "parse_success", F.inline("effort")).select("sheet_id", "parse_success", "field", (~F.col("blank") & ~F.col("wrong")).alias("correct"), "cost")
+    rows = spread(of(spark, d), "effort", "sheet_id", "parse_success").select("sheet_id", "parse_success", "field", (~F.col("blank") & ~F.col("wrong")).alias("correct"), "cost")
     a = rows.where("sheet_id % 5 <> 0").select("sheet_id", "field", "parse_success", (F.col("correct") & (F.col("sheet_id") % 4 != 1)).alias("a_ok"), F.col("cost").alias("a_cost"))
     b = rows.where("sheet_id % 7 <> 0").select("sheet_id", "field", (F.col("parse_success") & (F.col("sheet_id") % 6 != 0)).alias("b_success"), F.col("correct").alias("b_ok"), F.col("cost").alias("b_cost"))
     return a.join(b, ["sheet_id", "field"])

@@ -216,3 +216,27 @@ def test_verdict_is_given_once(spark):
     earlier = spark.createDataFrame([("PASS",)], "verdict string")
     assert evaluate.verdict(metrics, [("a", ">=", 1.0)]).first().verdict == "PASS" and evaluate.verdict(metrics, [("b", ">=", 1.0)]).first().failed == "b"
     assert evaluate.verdict(metrics, [("a", ">=", 1.0)], earlier).first().verdict == "REFUSED" and evaluate.verdict(metrics, [("a", ">=", 1.0)], earlier.limit(0)).first().verdict == "PASS"
+
+
+def test_gates_that_fail(spark):
+    """Sheets whose signal is incomplete and invented incidents that nobody has to review fail the release."""
+    from tallyrook.operators import evaluate
+
+    good = {c: 0 for c in evaluate.FLAGS} | {"signal_complete": 4}
+    cases = [({}, []), ({"signal_complete": 3}, ["completeness"]), ({"false_incident_unreviewed": 1}, ["false_incident_unreviewed"]), ({"unsafe_clean": 1, "unsafe_exportable": 2}, ["unsafe_clean", "unsafe_exportable"])]
+    rows = [tuple({**good, **c}.values()) + (4, 1.0) for c, _ in cases]
+    names = [f"{c}_count" for c in good] + ["n_ran", "safe_review_recall"]
+    df = spark.createDataFrame(rows, names)
+    got = [r.f for r in df.select(evaluate.gate_failures(df, F.lit(4), F.col("n_ran")).alias("f")).collect()]
+    assert got == [f for _, f in cases]
+    assert df.limit(1).select(evaluate.gate_failures(df, F.lit(5), F.col("n_ran")).alias("f")).first().f == ["coverage"]
+
+
+def test_spread_keeps_places_and_drops_what_is_empty(spark):
+    from tallyrook.functions.arrays import spread
+
+    kind = "k int, xs array<struct<a:int,b:string>>"
+    df = spark.createDataFrame([(1, [(5, "x"), (6, None)]), (2, []), (3, None), (4, [(None, None)])], kind)
+    assert sorted(map(tuple, spread(df, "xs", "k", place="at").collect())) == [(1, 0, 5, "x"), (1, 1, 6, None), (4, 0, None, None)]
+    plan = spread(df.withColumn("xs", F.transform("xs", lambda x: F.struct((x["a"] + 1).alias("a")))), "xs", "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert "size(" not in plan
