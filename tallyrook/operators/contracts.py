@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..functions import strict_json
 from ..functions.text import csv_safe
 from . import manifest, privacy
 
@@ -29,28 +27,9 @@ def canonical_json(struct: Column, keys: Sequence[str]) -> Column:
     return F.to_json(F.struct(*(struct[k].alias(k) for k in sorted(keys))), {"ignoreNullFields": "false"})
 
 
-def _canonical(text: str | None) -> str | None:
-    try:
-        sheet = json.loads(text or "", object_pairs_hook=_no_twice)
-    except ValueError:
-        return None
-    if not isinstance(sheet, dict):
-        return None
-    return json.dumps({k: v for k, v in sheet.items() if k != "source_file"}, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
-
-
-def _no_twice(pairs: list) -> dict:
-    if len({k for k, _ in pairs}) < len(pairs):
-        raise ValueError("duplicate key")
-    return dict(pairs)
-
-
-@F.pandas_udf(T.StringType())
-def canonical_sheet(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """A truth sheet's text as canonical JSON, keys sorted at every depth, without the pointer to its file; null if it isn't one strict JSON
-    object. Nested keys of any shape are beyond SQL."""
-    for batch in batches:
-        yield batch.map(_canonical)
+def canonical_sheet(text: Column) -> Column:
+    """A truth sheet's text as canonical JSON without the pointer to its file; null if it isn't one strict JSON object."""
+    return strict_json.canonical(text, without=("source_file",))
 
 
 def manifest_sha(entries: DataFrame) -> DataFrame:
@@ -71,7 +50,7 @@ def entry_errors(lines: DataFrame, split: str | None = None) -> DataFrame:
 
     blank line, not strict JSON (duplicate keys too), other keys than the six, a bad id, hash or path, another split than asked for, and an
     id, image or truth that several lines have."""
-    verdict = manifest.strict_json(F.col("text"))
+    verdict = strict_json.verdict(F.col("text"))
     kinds = ", ".join(f"{k} string" for k in ENTRY_KEYS)
     rows = lines.withColumn("json", verdict).withColumn("e", F.from_json("text", kinds)).withColumn("keys", F.array_sort(F.map_keys(F.from_json("text", "map<string,string>"))))
     rows = rows.select("line_number", "text", "json", "keys", "e.*")
@@ -86,11 +65,10 @@ def entry_errors(lines: DataFrame, split: str | None = None) -> DataFrame:
     if split is not None:
         own = own.when(F.col("split") != split, "wrong split")
     rows = rows.withColumn("own", own)
-    for key in ("doc_id", "image", "gt"):
-        twice = rows.where(f"own is null and {key} is not null").groupBy(key).agg((F.count("*") > 1).alias(f"twice_{key}"))
-        rows = rows.join(twice, key, "left")
-    repeated = F.coalesce(*(F.when(F.col(f"twice_{k}"), f"repeated {k}") for k in ("doc_id", "image", "gt")))
-    return rows.select("line_number", *ENTRY_KEYS, F.coalesce("own", repeated).alias("error"))
+    # of lines without a fault, image and truth follow from the id: they are repeated where it is
+    ids = rows.where("own is null").groupBy("doc_id").agg((F.count("*") > 1).alias("twice"))
+    rows = rows.join(ids.where("twice"), "doc_id", "left")
+    return rows.select("line_number", *ENTRY_KEYS, F.coalesce("own", F.when(F.col("twice"), "repeated doc_id")).alias("error"))
 
 
 def verified(entries: DataFrame, files: DataFrame, truths: DataFrame, provenance: dict[str, str], count: int | None = None) -> DataFrame:
@@ -124,7 +102,7 @@ def bounded_json(content: Column) -> Column:
     """ok, or why a binary isn't one strict JSON object of at most MOST_SOURCE_BYTES; larger ones are not parsed."""
     text = F.when(F.is_valid_utf8(content), content.cast("string"))
     small = F.octet_length(content) <= MOST_SOURCE_BYTES
-    verdict = manifest.strict_json(F.when(small, text))
+    verdict = strict_json.verdict(F.when(small, text))
     is_object = F.ltrim(text).startswith("{")
     return F.when(~small, "too large").when(text.isNull(), "not UTF-8").when(verdict != "ok", verdict).when(~is_object, "not an object").otherwise("ok")
 

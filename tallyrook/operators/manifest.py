@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Forms of identifiers.
 DOC_ID, SHA256, COMMIT = r"^tc-[0-9]{6}$", r"^[0-9a-f]{64}$", r"^[0-9a-f]{7,40}$"
@@ -47,28 +42,3 @@ def contiguous(pages: DataFrame, key: str, index: str) -> DataFrame:
     """Whether a document's pages are numbered 0, 1, 2 and so on."""
     place = F.row_number().over(Window.partitionBy(key).orderBy(index)) - 1
     return pages.select(key, (place == F.col(index)).alias("ok")).groupBy(key).agg(F.bool_and("ok").alias("contiguous"))
-
-
-def _strict(text: str | None) -> str:
-    def no_twice(pairs: list) -> dict:
-        if len({k for k, _ in pairs}) < len(pairs):
-            raise ValueError("duplicate key")
-        return dict(pairs)
-
-    def no_constant(_: str) -> None:
-        raise ValueError("not a number")
-
-    try:
-        json.loads(text or "", object_pairs_hook=no_twice, parse_constant=no_constant)
-    except json.JSONDecodeError:
-        return "not JSON"
-    except ValueError as e:
-        return str(e)
-    return "ok"
-
-
-@F.pandas_udf(T.StringType())
-def strict_json(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """ok, or why a text isn't strict JSON: duplicate keys and NaN are errors, which SQL's parser doesn't see."""
-    for batch in batches:
-        yield batch.map(_strict)

@@ -7,6 +7,7 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
+from tallyrook.functions import strict_json
 from tallyrook.operators import contracts, forms, ledger, manifest, privacy, words
 from tallyrook.sources import images, json_sheets, readers
 from tallyrook.streaming import ledger_stream
@@ -118,7 +119,7 @@ def test_manifests(spark, tmp_path):
     a = spark.createDataFrame([dict(rows[0], doc_id=f"tc-{i:06d}") for i in range(3000)])
     one = lambda df: contracts.manifest_sha(df).collect()[0]
     assert one(a) == one(a.orderBy(F.desc("doc_id"))) and one(a).sha != one(a.where("doc_id <> 'tc-000007'")).sha and one(a.limit(0)).n_rows == 0
-    verdicts = spark.createDataFrame([('{"a":1,"a":2}',), ('{"a":NaN}',), ("{",), ('{"a":1}',), (None,)], "t string").select(manifest.strict_json(F.col("t")).alias("v")).collect()
+    verdicts = spark.createDataFrame([('{"a":1,"a":2}',), ('{"a":NaN}',), ("{",), ('{"a":1}',), (None,)], "t string").select(strict_json.verdict(F.col("t")).alias("v")).collect()
     assert [r.v for r in verdicts] == ["duplicate key", "not a number", "not JSON", "ok", "not JSON"]
 
 
