@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 
 from ..functions import strict_json
 from ..functions.text import csv_safe
-from . import manifest, privacy
+from ..sources.shared import kept
+from . import manifest, merkle, privacy
 
 # Limits and names of the contracts.
 MOST_SOURCE_BYTES = 1 << 20
 ENTRY_KEYS = ("doc_id", "gt", "image", "sha256_gt", "sha256_img", "split")
 CSV_HEAD = ("DIA", "UNIDADE", "OBJETO", "DESCRICAO")
-#: Rows that one task numbers, the most such tasks, and values sampled for each.
-ROWS_A_BUCKET, MOST_BUCKETS, SAMPLED = 1_000_000, 1_000, 20
+#: Rows that one task numbers.
+ROWS_A_BUCKET = 1_000_000
 BINARY_SUFFIXES = ("png", "jpg", "jpeg", "tif", "tiff", "bmp", "webp", "pdf")
 DATABASE_SUFFIXES = ("db", "sqlite", "sqlite3")
 
@@ -33,16 +34,8 @@ def canonical_sheet(text: Column) -> Column:
 
 
 def manifest_sha(entries: DataFrame) -> DataFrame:
-    """n_rows, sha: of the canonical lines in the order of doc_id, the hash of the lines' hashes, block by block of doc_id's prefix.
-
-    Lines of one block are put in order and hashed in one task, then blocks; a block is what shares all but the last three characters of
-    doc_id, so tasks hold a thousand lines and the last one row a block."""
-    line = canonical_json(F.struct(*ENTRY_KEYS), ENTRY_KEYS)
-    rows = entries.select("doc_id", F.expr("substring(doc_id, 1, greatest(length(doc_id) - 3, 0))").alias("block"), line.alias("line"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "line"))), lambda x: x["line"]), "\n")
-    blocks = rows.groupBy("block").agg(F.count("*").alias("n"), F.sha2(joined, 256).alias("sha"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "sha"))), lambda x: x["sha"]), "\n")
-    return blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.sha2(whole, 256).alias("sha"))
+    """n_rows, sha: the root of the hash tree over the canonical lines, whatever their order."""
+    return merkle.root(entries, canonical_json(F.struct(*ENTRY_KEYS), ENTRY_KEYS))
 
 
 def entry_errors(lines: DataFrame, split: str | None = None) -> DataFrame:
@@ -119,15 +112,17 @@ def numbered(rows: DataFrame, key: str, bucket: Column) -> DataFrame:
 
 
 def public(rows: DataFrame, whitelist: Sequence[str], key: str) -> DataFrame:
-    """sheet, and the columns of the whitelist: sheets are named by their place in the order of the key, a number or text, which doesn't go
-    along. The borders of buckets are values of a sample of bounded size, of about ROWS_A_BUCKET rows each and at most MOST_BUCKETS."""
-    n = rows.count()
-    buckets = min(MOST_BUCKETS, n // ROWS_A_BUCKET + 1)
-    part = max(1, n // (SAMPLED * buckets))
-    sample = [r[0] for r in rows.select(key).where(F.pmod(F.xxhash64(key), F.lit(part)) == 0).orderBy(key).limit(4 * SAMPLED * buckets).collect()] if buckets > 1 else []
-    borders = sorted({sample[len(sample) * i // buckets] for i in range(1, buckets)}) if sample else []
-    bucket = sum(((F.col(key) >= F.lit(b)).cast("int") for b in borders), F.lit(0)) if borders else F.lit(0)
-    return numbered(rows, key, bucket).select(F.concat(F.lit("sheet_"), F.col("place").cast("string")).alias("sheet"), *whitelist)
+    """sheet, and the columns of the whitelist: sheets are named by their place in the order of the key, of any type, which doesn't go
+    along. Rows are dealt by ranges of the key and written once, so that their places stay; what is counted is one number a range."""
+    spread = rows.select(F.col(key).alias("_key"), *whitelist).withColumn("_row", F.xxhash64(*whitelist) if whitelist else F.lit(0))
+    # rows of one key are dealt by their content too, so that a hot key isn't one task
+    ranged = spread.repartitionByRange(rows.count() // ROWS_A_BUCKET + 1, "_key", "_row").sortWithinPartitions("_key", "_row")
+    placed = kept(ranged.withColumn("_at", F.monotonically_increasing_id()).drop("_key", "_row"), "public")
+    placed = placed.withColumn("_range", F.shiftright("_at", 33)).withColumn("_inside", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    place = F.col("_start") + F.col("_inside") + 1
+    return placed.join(starts, "_range").select(F.concat(F.lit("sheet_"), place.cast("string")).alias("sheet"), *whitelist)
 
 
 def publish(rows: DataFrame, path: str, terms: Sequence[str] = (), organizations: Sequence[str] = ()) -> None:

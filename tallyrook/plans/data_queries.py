@@ -267,8 +267,11 @@ _LINE = """'{"doc_id":"' || doc_id || '","gt":"' || gt || '","image":"' || image
 
 
 @query(
-    f"""WITH {_ENTRIES}, b AS (SELECT substr(doc_id, 1, length(doc_id) - 3) AS block, count(*) AS n, sha256(string_agg({_LINE}, chr(10) ORDER BY doc_id, {_LINE})) AS sha FROM entries GROUP BY 1)
-SELECT sum(n)::BIGINT AS n_rows, sha256(string_agg(sha, chr(10) ORDER BY block, sha)) AS sha FROM b"""
+    f"""WITH RECURSIVE {_ENTRIES}, l AS (SELECT sha256({_LINE}) AS line, count(*) AS n FROM entries GROUP BY 1),
+deep AS (SELECT min(d) AS d FROM range(12) r(d) WHERE 64 * 16 ** d >= (SELECT count(*) FROM entries)),
+leaves AS (SELECT d, substr(line, 1, d::INT) AS node, sha256(string_agg(line || ':' || n, chr(10) ORDER BY line)) AS sha, sum(n)::BIGINT AS n FROM l, deep GROUP BY ALL),
+tree AS (SELECT d, node, sha, n FROM leaves UNION ALL SELECT d - 1, substr(node, 1, (d - 1)::INT), sha256(string_agg(node || ':' || sha, chr(10) ORDER BY node)), sum(n)::BIGINT FROM tree WHERE d > 0 GROUP BY d, substr(node, 1, (d - 1)::INT))
+SELECT n AS n_rows, sha FROM tree WHERE d = 0"""
 )
 def canonical_hash(spark, d):
     """One hash of a manifest's canonical lines, whatever the order of its rows."""

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import forms, manifest, privacy
+from ..operators import forms, manifest, merkle, privacy
+from ..sources import shared
 from ..sources.sheets import sheets, table
 from . import base_sql as B
 
@@ -80,6 +83,18 @@ def manifest_diff(spark, d):
     return manifest.difference(docs.where("doc_id % 10 <> 0"), current)
 
 
+@query(ORACLES["manifest_diff"])
+def manifest_tree_diff(spark, d):
+    """The same difference between two stored hash trees: only what differs is read."""
+    docs = table(spark, d, "documents").select("doc_id", "lang")
+    current = docs.where("doc_id % 11 <> 0").withColumn("lang", F.when(F.col("doc_id") % 25 == 1, "xx").otherwise(F.col("lang")))
+    line, depth = F.to_json(F.struct("doc_id", "lang")), merkle.depth_of(docs.count())
+    paths = [f"{shared.root(spark)}/manifest-{uuid.uuid4().hex}" for _ in range(2)]
+    for path, rows in zip(paths, (docs.where("doc_id % 10 <> 0"), current), strict=True):
+        merkle.store(rows, line, path, depth)
+    return merkle.difference(spark, *paths, depth)
+
+
 @query(
     r"""WITH p AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'pngs/tc-' || lpad(page_id::VARCHAR, 6, '0') || '.png' WHEN 1 THEN '../up/' || page_id WHEN 2 THEN '/abs/' || page_id WHEN 3 THEN 'c:\x' || page_id ELSE 'a/../b' END AS path FROM pages)
 SELECT page_id, path, path <> '' AND NOT regexp_matches(path, '^/|(^|/)\.\.(/|$)|[\\:]') AS portable FROM p"""
