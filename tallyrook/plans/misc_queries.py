@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import forms, manifest, merkle, privacy
+from ..operators import forms, manifest, merkle, privacy, terms
 from ..sources import shared
 from ..sources.sheets import sheets, table
 from . import base_sql as B
@@ -38,6 +38,30 @@ FINDINGS = f"""split AS (SELECT doc_id, i AS line, string_split(text, chr(10))[i
 findings AS (SELECT doc_id AS id, line, unnest({_tests()}) AS category FROM split)"""
 
 
+_TERM_LINES = f"""WITH l AS (SELECT doc_id, lower(unnest(string_split_regex(text, '\\r\\n|[\\n\\r\\x0B\\x0C\\x{{85}}\\x{{2028}}\\x{{2029}}]'))) AS t FROM documents),
+terms AS (SELECT DISTINCT {B.strip("lower(substr(text, 1, 14))")} AS term FROM documents WHERE doc_id % 20 = 3)
+SELECT term, count(*) AS n_lines, count(DISTINCT doc_id) AS n_docs FROM l, terms WHERE term <> '' AND contains(t, term) GROUP BY 1"""
+
+
+def _term_lines(spark, d, sent_bytes):
+    """The beginnings of every twentieth document as a table of terms, and the lines of all documents that hold them."""
+    docs = table(spark, d, "documents")
+    lines = docs.select("doc_id", F.explode_outer(F.split("text", r"\R", -1)).alias("t"))
+    names = docs.where("doc_id % 20 = 3").select(F.substring("text", 1, 14).alias("term"))
+    return terms.found(lines, names, sent_bytes).groupBy("term").agg(F.count("*").alias("n_lines"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+@query(_TERM_LINES)
+def term_lines(spark, d):
+    return _term_lines(spark, d, terms.SENT_BYTES)
+
+
+@query(_TERM_LINES)
+def term_lines_joined(spark, d):
+    """The same where the table of terms is taken for too large to be sent."""
+    return _term_lines(spark, d, -1)
+
+
 @query(f"WITH {FINDINGS} SELECT id, line, category FROM findings")
 def pii_lines(spark, d):
     return privacy.findings(table(spark, d, "documents"), ("the heon",), ORGANIZATIONS)
