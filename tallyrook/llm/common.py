@@ -16,6 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\f\r"
 
 _own_root: dict[str, str] = {}
+_watched: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,9 +60,22 @@ def stash(df: DataFrame, name: str, *by: str) -> DataFrame:
         df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stash_path = path
+    if _watched:
+        _watched[-1].append(path)
     return out
 
 
+@contextmanager
+def stashes() -> Iterator[list[str]]:
+    """The paths of the tables that stash() writes inside, for who removes them once nothing reads them."""
+    made: list[str] = []
+    _watched.append(made)
+    try:
+        yield made
+    finally:
+        _watched.remove(made)
+
+
 def drop_stash(df: DataFrame) -> None:
     """Remove a table made by stash() that nothing will read again."""
     delete_path(df.sparkSession, df._stash_path)

@@ -1,14 +1,16 @@
 """The corpus pipeline, stage by stage, against brute force on a small table."""
 
 import hashlib
+import os
 
 import numpy as np
+import pytest
 from cases import documents, frame
 from test_text_operators import REFERENCE, classes_by_brute_force, removed
 
 import corpus_pipeline
 from tallyrook.llm import mixing, passages, rules
-from tallyrook.llm.common import stash
+from tallyrook.llm.common import shared_root, stash, table
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,9 +52,30 @@ def test_stages(spark):
         assert r.n_tokens == len(expected) and r.ids_sha256 == hashlib.sha256(expected.tobytes()).hexdigest()
 
 
-def test_run(spark):
-    rows = corpus_pipeline.run(spark, SF).collect()
-    assert rows and all(r.n_tokens >= 0 for r in rows)
+def test_run_is_its_stages_and_leaves_one_table(spark):
+    folder = shared_root(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    ran = corpus_pipeline.run(spark, SF)
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 1 and next(iter(left)).startswith("pipeline-token_ids")
+    docs = table(spark, SF, "documents")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stash(stage(spark, docs, SF), name)
+    rows = sorted(map(tuple, ran.collect()))
+    assert rows == sorted(map(tuple, docs.collect())) and rows
+
+
+def test_failed_stage_leaves_nothing(spark, monkeypatch):
+    def bad(spark, docs, sf_dir):
+        stash(docs, "on-the-way")
+        raise RuntimeError("lost")
+
+    folder = shared_root(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [corpus_pipeline.STAGES[0], ("bad", bad)])
+    with pytest.raises(RuntimeError):
+        corpus_pipeline.run(spark, SF)
+    assert {x.split("-")[1] for x in set(os.listdir(folder)) - before} == {"quality_rules"}
 
 
 def test_empty_documents(spark):
@@ -66,5 +89,5 @@ def test_entry_has_all_queries():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
     assert documents()
