@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyrook.llm import bpe, mixing, ordered_minhash, passages, rules
-from tallyrook.llm.common import stash, table
+from tallyrook.llm.common import delete_path, drop_stash, stash, stashes, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. Once a stage's rows are written, what its operators wrote on the way and the rows of the stage before
+    are removed, so the shared folder never holds more than two stages; after a failure it holds none of the stage that failed."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stash(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        after = None
+        with stashes() as made:
+            try:
+                docs = after = stash(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            finally:
+                for path in made:
+                    if after is None or path != after._stash_path:
+                        delete_path(spark, path)
+        if before is not None:
+            drop_stash(before)
+        before = after
     return docs
