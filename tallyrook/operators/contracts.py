@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import strict_json
 from ..functions.text import csv_safe
 from ..sources.shared import kept
-from . import manifest, merkle, privacy
+from . import evaluate, gates, manifest, merkle, privacy
 
 # Limits and names of the contracts.
 MOST_SOURCE_BYTES = 1 << 20
@@ -126,14 +128,25 @@ def public(rows: DataFrame, whitelist: Sequence[str], key: str) -> DataFrame:
 
 
 def publish(rows: DataFrame, path: str, terms: Sequence[str] = (), organizations: Sequence[str] = ()) -> None:
-    """Write rows of public() as JSON, if no cell holds what must not be published; a finding is an error that names its category only. A path
-    that exists is an error too."""
-    cells = rows.select("sheet", F.concat_ws("\n", *(F.col(c).cast("string") for c in rows.columns)).alias("text"))
-    found = privacy.findings(cells, tuple(terms), tuple(organizations), contact=True, id_col="sheet").select("category").distinct()
-    categories = sorted(r.category for r in found.collect())  # as many as there are patterns, at most
-    if categories:
-        raise ValueError(f"not published: {', '.join(categories)}")
-    rows.write.mode("errorifexists").json(path)
+    """Write rows of public() as JSON, if no cell holds what must not be published; a finding is an error that names its category only, and
+    leaves no output. A path that exists is an error too. The cells are searched in the pass that writes them."""
+    lines = F.flatten(F.transform(F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns)), lambda x: F.split(x, r"\R", -1)))
+    any_line = lambda pattern: F.exists(lines, lambda t: t.rlike(pattern))
+    checks: dict[str, Column] = {}
+    for category, pattern in privacy.patterns(tuple(organizations)):
+        held = any_line(pattern)
+        checks[category] = checks[category] | held if category in checks else held
+    if terms:
+        checks["private-term"] = F.exists(lines, lambda t: reduce(or_, (F.contains(F.lower(t), F.lit(x.lower())) for x in terms)))
+    gates.write_if(rows, path, dict(sorted(checks.items())), "json")
+
+
+def publish_buckets(rows: DataFrame, n_sheets: int, path: str) -> None:
+    """Write rows of evaluate.buckets() as JSON, if none breaks a rule of published metrics and the row of all sheets passes every release gate."""
+    whole = F.col("level") == 3
+    failures = evaluate.gate_failures(rows, F.lit(n_sheets), F.col("n_ran"))
+    checks = {"inconsistent metrics": F.size(evaluate.inconsistencies(rows)) > 0, "release gate": whole & (F.size(failures) > 0)}
+    gates.write_if(rows, path, checks, "json")
 
 
 def export(sheets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -153,7 +166,9 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
 
 def persist_once(spark: SparkSession, path: str, content: bytes) -> str:
-    """created, or verified if the file is there with the same bytes; other bytes are an error. The file is made exclusively, in any store."""
+    """created, or verified if the file is there with the same bytes; other bytes are an error. The file is made by a create that fails if it
+    is there, so of two writers at a time one creates and the other compares. A writer that is lost half way leaves a file with
+    other bytes, which is an error for all that follow."""
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -165,14 +180,17 @@ def persist_once(spark: SparkSession, path: str, content: bytes) -> str:
         finally:
             stream.close()
 
-    if not system.exists(where):
-        part = jvm.org.apache.hadoop.fs.Path(f"{path}.{hashlib.sha256(content).hexdigest()[:16]}.part")
-        out = system.create(part, True)
-        out.write(bytearray(content))
-        out.close()
-        if not system.exists(where) and system.rename(part, where):
-            return "created"
-        system.delete(part, False)
+    try:
+        out = system.create(where, False)
+    except Py4JJavaError:
+        if not system.exists(where):
+            raise
+    else:
+        try:
+            out.write(bytearray(content))
+        finally:
+            out.close()
+        return "created"
     if not same():
         raise ValueError(f"{path} is there with other content")
     return "verified"

@@ -149,6 +149,11 @@ def in_view(rows: DataFrame, view: str | None) -> DataFrame:
     return rows.where(F.col("status") == view).where("sent_at is null") if view == "approved" else rows.where(F.col("status") == view)
 
 
+def view_of() -> Column:
+    """The view that shows a row of drafts()."""
+    return F.when(F.col("sent_at").isNotNull(), "simulated").otherwise(F.col("status"))
+
+
 def queue_page(rows: DataFrame, size: int, cursor: tuple[str, int] | None = None, view: str | None = None) -> DataFrame:
     """A page by key: newest first, after the cursor (created_at, draft_id); one row more tells that there is a next page."""
     if not 1 <= size <= 100:

@@ -170,6 +170,12 @@ def generated_surface(spark, d):
     return _made(spark, d)[1].withColumn("pos", F.col("pos").cast("long")).withColumn("applied", F.array_join("applied", ","))
 
 
+@query(f"WITH {_surface()} SELECT CASE resolvido WHEN 'sim' THEN true WHEN 'não' THEN false END AS resolved, count(*) AS n FROM surface GROUP BY 1")
+def resolved_answers(spark, d):
+    """The drawn answers as the rules read them: yes, no, or none."""
+    return _made(spark, d)[1].groupBy(extract.resolved(F.col("resolvido")).alias("resolved")).agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {_surface()} SELECT sheet, data_text, guards_text, unit_text, CASE WHEN unit_text <> unit THEN 'abbreviate:unidade' ELSE '' END AS applied FROM headers")
 def generated_headers(spark, d):
     """Headers as they are drawn: only the unit may be abbreviated."""

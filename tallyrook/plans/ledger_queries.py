@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ledger as L
+from ..operators.asof import as_of
 
 QUERIES, ORACLES = {}, {}
 
@@ -86,9 +87,22 @@ def queue_page_2(spark, d):
 
 @query(f"WITH {DRAFTS} SELECT view, count(*) AS n FROM (SELECT CASE WHEN sent_at IS NOT NULL THEN 'simulated' ELSE status END AS view FROM drafts) GROUP BY 1")
 def status_views(spark, d):
-    rows = L.drafts(L.of(spark, d))
-    views = [L.in_view(rows.where("sent_at is null") if v != "simulated" else rows, v).agg(F.lit(v).alias("view"), F.count("*").alias("n")) for v in ("simulated", "approved", "rejected", "pending")]
-    return views[0].unionByName(views[1]).unionByName(views[2]).unionByName(views[3]).where("n > 0")
+    """How many drafts each view of the queue shows, from one fold of the log."""
+    return L.drafts(L.of(spark, d)).groupBy(L.view_of().alias("view")).agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {OUTCOMES}, states AS (SELECT draft_id, ts, max(event_id) AS event_id, arg_max(revision, event_id) AS revision, arg_max(status, event_id) AS status FROM outcomes GROUP BY 1, 2),
+asked AS (SELECT draft_id, event_id AS request, ts + INTERVAL 30 MINUTE AS ts FROM outcomes WHERE action = 'simulate' UNION ALL SELECT draft_id, -draft_id, TIMESTAMP '2000-01-01' FROM outcomes GROUP BY draft_id)
+SELECT a.draft_id, request, revision, status FROM asked a ASOF LEFT JOIN states s ON a.draft_id = s.draft_id AND a.ts >= s.ts"""
+)
+def revision_in_force(spark, d):
+    """The revision and status that a draft had half an hour after each simulation was asked for, and before anything was done to it."""
+    rows = L.outcomes(L.of(spark, d)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    states = rows.select("draft_id", "ts", "event_id", "revision", "status")
+    asked = rows.where("action = 'simulate'").select("draft_id", F.col("event_id").alias("request"), (F.col("ts") + F.expr("INTERVAL 30 MINUTES")).alias("ts"))
+    early = rows.select("draft_id").distinct().select("draft_id", (-F.col("draft_id")).alias("request"), F.lit("2000-01-01 00:00:00").cast("timestamp_ntz").alias("ts"))
+    return as_of(asked.unionByName(early), states, "draft_id", "ts", ["revision", "status"], tie="event_id").select("draft_id", "request", "revision", "status")
 
 
 @query(
