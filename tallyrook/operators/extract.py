@@ -75,7 +75,7 @@ def segments(sheets: DataFrame) -> DataFrame:
     return spread(parsed(sheets), "rows", "sheet_id", place="pos").withColumn("pos", F.col("pos") + 1)
 
 
-def _header_value(labels: tuple[str, ...]) -> Column:
+def header_value(labels: tuple[str, ...]) -> Column:
     """struct(page, evidence, value) of a field: the text after its label. Labels in order of preference, then pages, then lines;
     a label stands anywhere in its line, in any case, and counts only with a value after it."""
 
@@ -93,7 +93,7 @@ def _header_value(labels: tuple[str, ...]) -> Column:
 
 def header(sheets: DataFrame) -> DataFrame:
     """sheet_id, field, value, evidence, page: the header fields that were found."""
-    fields = F.array(*(F.struct(F.lit(name).alias("field"), _header_value(labels).alias("x")) for name, labels in HEADER_FIELDS.items()))
+    fields = F.array(*(F.struct(F.lit(name).alias("field"), header_value(labels).alias("x")) for name, labels in HEADER_FIELDS.items()))
     return spread(parsed(sheets), fields, "sheet_id").where("x is not null").select("sheet_id", "field", "x.value", "x.evidence", "x.page")
 
 
@@ -120,7 +120,7 @@ def models(sheets: DataFrame) -> DataFrame:
     """The sheets with rows, header values, whether every page has a table, and the disposition: present if there is any occurrence;
     else unknown if a table is missing, none on an explicit no-change, unknown otherwise. No shuffle."""
     whole = parsed(sheets)
-    whole = whole.withColumns({name: _header_value(labels)["value"] for name, labels in HEADER_FIELDS.items()})
+    whole = whole.withColumns({name: header_value(labels)["value"] for name, labels in HEADER_FIELDS.items()})
     whole = whole.withColumns(
         {
             "pages": F.size("page_rows"),

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import csv_safe
-from ..operators import classify, critic, extract, outputs
+from ..operators import classify, configured, critic, extract, outputs
+from ..sources import report_files
 from ..sources.sheets import sheets
 from . import base_sql as B
 
@@ -27,6 +28,27 @@ def sheet_texts(spark, d):
     return sheets(spark, d).select("sheet_id", F.sha2("text", 256).alias("text_sha"), "truth_date", "truth_guards", "truth_unit", F.col("truth_n").cast("long").alias("truth_n"), "difficulty", "template", "split")
 
 
+_PLACES = ["FRANCE", "BRAZIL", "CHINA", "INDIA", "JAPAN"]
+_REPORT = {
+    "report_type": "visit", "classification": {"type": {"labels": ["other"]}, "urgency": {"labels": ["low"]}, "sector": {"labels": ["all"]}}, "routing": [{"recipients": ["all"]}],
+    "fields": [
+        {"name": "when", "type": "string", "ocr_aliases": ["Data e Turno", "Data"]}, {"name": "where", "type": "enum", "required": False, "values": _PLACES, "ocr_aliases": ["Unidade"]},
+        {"name": "note", "type": "text"}, {"name": "rows", "type": "table", "columns": [{"name": "item", "type": "string"}]},
+    ],
+}
+
+
+@query(
+    f"""WITH {B.STATES}, f AS (SELECT sheet_id, 'when' AS name, data_turno AS value FROM states UNION ALL SELECT sheet_id, 'where', unidade FROM states UNION ALL SELECT sheet_id, 'note', NULL FROM states),
+e AS (SELECT *, CASE WHEN value IS NULL AND name <> 'where' THEN 'required field is missing' WHEN name = 'where' AND value NOT IN ({", ".join(f"'{p}'" for p in _PLACES)}) THEN 'not an allowed value' END AS error FROM f)
+SELECT name, CASE WHEN value IS NULL THEN 'missing' ELSE 'must_review' END AS status, name || ': ' || error AS error, count(*) AS n FROM e GROUP BY ALL"""
+)
+def configured_fields(spark, d):
+    """Sheets read by another report's configuration: its fields, labels, types and requirements."""
+    rows = configured.checked(sheets(spark, d), report_files.parsed(_REPORT))
+    return rows.groupBy("name", "status", "error").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {B.LINES} SELECT sheet_id, page::BIGINT AS page, count(*) AS n_lines, min(head)::BIGINT AS head, min(foot)::BIGINT AS foot FROM regions GROUP BY ALL")
 def sheet_region_bounds(spark, d):
     long = lambda c: F.min(c).cast("long").alias(c)
