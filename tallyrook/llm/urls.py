@@ -2,7 +2,7 @@
 
 Two variable-order Markov models over characters, one of URLs that the rules allow and one of those they block, are
 smoothed by Witten-Bell interpolation from order 3 down to a uniform one. A URL's score is the difference of its two
-log-likelihoods, divided by its length; a threshold calibrated on the training URLs decides.
+log-likelihoods, divided by its length; a threshold decides that is calibrated on ruled URLs which the models haven't seen.
 """
 
 from __future__ import annotations
@@ -25,6 +25,10 @@ RULES = (
 ORDER = 3
 #: URLs of one task; places where a frequent window, and pages without a URL, are dealt to.
 ROWS_A_TASK, SALTS, EMPTY_KEYS = 50_000, 8, 4_096
+#: Windows up to which the model, some 60 bytes each, is sent to all tasks, so that no window is shuffled; beyond, windows meet it salted.
+SENT_WINDOWS = 1_000_000
+#: Ruled URLs whose hash begins below this digit, a quarter, calibrate the threshold; the models learn from the others.
+HELD_BELOW = "4"
 PAD = "\u0002"
 
 
@@ -99,9 +103,9 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, order: int
     """page_id, host, path, rule, verdict, score: one row for each input row.
 
     Rules decide where one fits. The other URLs are allowed if their score, the length-normalised difference of
-    log-likelihoods, is at least the threshold. The threshold lies between the mean scores of allowed and blocked training
-    URLs, nearer to the class that varies less. If the rules allow nothing or block nothing, there is nothing to compare
-    with and all others are allowed. Null URLs and such without :// have empty host and path, no characters, and score 0.
+    log-likelihoods, is at least the threshold. The threshold lies between the mean scores of allowed and blocked URLs, nearer to
+    the class that varies less: of ruled URLs that a hash keeps from the models, or of those the models learned from where the
+    former lack a class. If the rules allow nothing or block nothing, there is nothing to compare with and all others are allowed. Null URLs and such without :// have empty host and path, no characters, and score 0.
     Equal host and path are scored once however many pages share them; for training each counts as often as it occurs. A very
     long URL is one row of its windows, which no task gathers: they are counted and summed as they come.
     """
@@ -113,24 +117,20 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, order: int
     )
     # URLs are short rows with many windows each, so they are dealt to a number of tasks, whatever their bytes
     parts_ = max(pages.sparkSession.sparkContext.defaultParallelism, pages.count() // ROWS_A_TASK)
-    urls = stash(counted.repartition(int(parts_), "shown"), "url-counts")
-    windows = urls.select("shown", "allow", "block", F.explode(grams(F.col("shown"), order)).alias("gram"))
-    counts = stash(windows.groupBy("gram").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")), "url-grams")
-    # a frequent window meets its ratio in SALTS places
-    salted = ratios(counts, order).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    spread = windows.select("shown", "allow", "block", "gram", F.pmod(F.xxhash64("shown"), F.lit(SALTS)).cast("int").alias("salt"))
-    scored = stash(
-        spread.join(salted, ["gram", "salt"]).groupBy("shown", "allow", "block").agg((F.sum("ratio") / F.count("*")).alias("score")), "url-scores"
-    )
-    kinds = {x: F.sum(x).alias(f"n_{x}") for x in ("allow", "block")}
-    sums = [*kinds.values()]
-    for x in kinds:
-        sums += [F.sum(F.col(x) * F.col("score")).alias(f"s_{x}"), F.sum(F.col(x) * F.col("score") * F.col("score")).alias(f"q_{x}")]
-    stats = scored.agg(*sums)
-    mean = {x: F.col(f"s_{x}") / F.nullif(F.col(f"n_{x}"), F.lit(0)) for x in kinds}
-    spread = {x: F.sqrt(F.greatest(F.lit(0.0), F.col(f"q_{x}") / F.nullif(F.col(f"n_{x}"), F.lit(0)) - mean[x] * mean[x])) + 1e-9 for x in kinds}
-    threshold = (mean["allow"] * spread["block"] + mean["block"] * spread["allow"]) / (spread["allow"] + spread["block"])
-    limit = stats.select(F.coalesce(threshold, F.lit(float("-inf"))).alias("threshold"))
+    held = F.md5("shown") < HELD_BELOW
+    urls = stash(counted.repartition(int(parts_), "shown").withColumn("held", held), "url-counts")
+    kinds = ("allow", "block")
+    windows = urls.select("shown", *kinds, "held", F.explode(grams(F.col("shown"), order)).alias("gram"))
+    learned = (F.sum(F.when(F.col("held"), 0).otherwise(F.col(x))).alias(x) for x in kinds)
+    model = stash(ratios(stash(windows.groupBy("gram").agg(*learned), "url-grams"), order), "url-model")
+    if model.count() <= SENT_WINDOWS:
+        met = windows.join(F.broadcast(model), "gram")
+    else:
+        # a frequent window meets its ratio in SALTS places
+        salted = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = windows.withColumn("salt", F.pmod(F.xxhash64("shown"), F.lit(SALTS)).cast("int")).join(salted, ["gram", "salt"])
+    scored = stash(met.groupBy("shown", *kinds, "held").agg((F.sum("ratio") / F.count("*")).alias("score")), "url-scores")
+    limit = scored.agg(F.coalesce(_threshold("held"), _threshold("not held"), F.lit(float("-inf"))).alias("threshold"))
     # pages without a URL have no partner; they are spread by their id
     apart = F.when(F.col("shown") == "", 1 + F.pmod(F.xxhash64("page_id"), F.lit(EMPTY_KEYS))).otherwise(0).cast("long")
     named = scored.select("shown", F.lit(0).cast("long").alias("apart"), "score")
@@ -143,6 +143,17 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, order: int
     )
 
 
+def _threshold(part: str) -> Column:
+    """Aggregate over (allow, block, score): between the mean scores of the two, in parts of their standard deviations; null without both."""
+    mean, spread = {}, {}
+    for x in ("allow", "block"):
+        n, score = F.expr(f"CASE WHEN {part} THEN {x} ELSE 0 END"), F.col("score")
+        total = F.nullif(F.sum(n), F.lit(0))
+        mean[x] = F.sum(n * score) / total
+        spread[x] = F.sqrt(F.greatest(F.lit(0.0), F.sum(n * score * score) / total - mean[x] * mean[x])) + 1e-9
+    return (mean["allow"] * spread["block"] + mean["block"] * spread["allow"]) / (spread["allow"] + spread["block"])
+
+
 def op9_url_model_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("score")
 
@@ -174,14 +185,14 @@ rules AS ({fits}),
 fits AS (SELECT r, arg_max(rule, length(rule) * 1000 + i) AS rule, arg_max(verdict, length(rule) * 1000 + i) AS verdict
   FROM split JOIN rules ON (host = rule_host OR suffix(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY r),
 ruled AS (SELECT split.*, rule, verdict, host || path AS shown FROM split LEFT JOIN fits USING (r)),
-windows AS (SELECT r, (verdict = 'allow')::INT AS a, (verdict = 'block')::INT AS b, substr(repeat(chr(2), {ORDER}) || shown, unnest(range(1, length(shown) + 1)), {ORDER + 1}) AS gram FROM ruled),
+windows AS (SELECT r, (verdict = 'allow' AND md5(shown) >= '{HELD_BELOW}')::INT AS a, (verdict = 'block' AND md5(shown) >= '{HELD_BELOW}')::INT AS b, substr(repeat(chr(2), {ORDER}) || shown, unnest(range(1, length(shown) + 1)), {ORDER + 1}) AS gram FROM ruled),
 counted AS (SELECT gram, sum(coalesce(a, 0)) AS a, sum(coalesce(b, 0)) AS b FROM windows GROUP BY 1),{",".join(levels)},
 scores AS (SELECT r, avg(ln(p.a) - ln(p.b)) AS score FROM windows JOIN p{ORDER} p USING (gram) GROUP BY r),
 rated AS (SELECT ruled.*, coalesce(score, 0) AS score FROM ruled LEFT JOIN scores USING (r)),
-stats AS (SELECT avg(score) FILTER (verdict = 'allow') AS ma, avg(score) FILTER (verdict = 'block') AS mb,
-  stddev_pop(score) FILTER (verdict = 'allow') + 1e-9 AS sa, stddev_pop(score) FILTER (verdict = 'block') + 1e-9 AS sb FROM rated)
-SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN score >= coalesce((ma * sb + mb * sa) / (sa + sb), -1e300) THEN 'allow' ELSE 'block' END) AS verdict
-FROM rated CROSS JOIN stats"""
+stats AS (SELECT (ma * sb + mb * sa) / (sa + sb) AS threshold, held FROM (SELECT md5(shown) < '{HELD_BELOW}' AS held, avg(score) FILTER (verdict = 'allow') AS ma, avg(score) FILTER (verdict = 'block') AS mb,
+  stddev_pop(score) FILTER (verdict = 'allow') + 1e-9 AS sa, stddev_pop(score) FILTER (verdict = 'block') + 1e-9 AS sb FROM rated WHERE shown <> '' GROUP BY 1)),
+chosen AS (SELECT coalesce(max(threshold) FILTER (held), max(threshold) FILTER (NOT held), -1e300) AS threshold FROM stats)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN score >= threshold THEN 'allow' ELSE 'block' END) AS verdict FROM rated CROSS JOIN chosen"""
 
 
 QUERIES = {"op9_url_model_ratio": op9_url_model_ratio}

@@ -2,8 +2,12 @@
 
 import hashlib
 import math
+import random
+import re
+import statistics
 import struct
 import zlib
+from collections import Counter
 
 import pytest
 import xxhash
@@ -220,3 +224,68 @@ def test_url_model_tells_held_out_urls_apart(spark):
     rules_ = [("allow", f"{a}-{b}.good/") for a in words[:4] for b in words] + [("block", f"x{k}q{a}zz.bad/") for a in words[:4] for k in range(4)]
     got = urls.judge(spark.createDataFrame(pages, "page_id long, url string"), rules_).where("rule is null").collect()
     assert len(got) == 40 and sum((r.verdict == "allow") == (".good" in r.host) for r in got) >= 38
+
+
+def brute_urls(pages, rules_, order=3):
+    """The method spelt out: Witten-Bell from the longest context down, scores, the threshold of URLs that a hash kept from the models."""
+    rows = []
+    for page_id, url in pages:
+        rest = url.partition("://")[2] if url and "://" in url else ""
+        raw = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(raw) :])[0]
+        host = "".join(c.lower() if c.isascii() else c for c in raw)
+        fit = [(len(r), i, v) for i, (v, r) in enumerate(rules_) if (host == r.partition("/")[0] or host.endswith("." + r.partition("/")[0])) and path.startswith("/" + r.partition("/")[2])]
+        rows.append((page_id, host + path, max(fit)[2] if fit else None))
+    held = lambda shown: hashlib.md5(shown.encode()).hexdigest() < "4"
+    windows = lambda shown: [("\x02" * order + shown)[i : i + order + 1] for i in range(len(shown))]
+    seen = {x: Counter(w for _, shown, v in rows if v == x and not held(shown) for w in windows(shown)) for x in ("allow", "block")}
+    alphabet = {w[-1] for _, shown, _ in rows for w in windows(shown)}
+
+    def p(x, gram):
+        if not gram:
+            return 1 / (len(alphabet) + 1)
+        k = len(gram)
+        after = Counter()
+        for w, n in seen[x].items():
+            if w[order + 1 - k : order] == gram[:-1]:
+                after[w[-1]] += n
+        n, t = sum(after.values()), len(after)
+        return (after[gram[-1]] + t * p(x, gram[1:])) / (n + t) if n + t else p(x, gram[1:])
+
+    cache = {}
+    ratio = lambda w: cache[w] if w in cache else cache.setdefault(w, math.log(p("allow", w)) - math.log(p("block", w)))
+    score = {shown: sum(map(ratio, windows(shown))) / len(shown) for _, shown, _ in rows if shown}
+
+    def threshold(part):
+        own = {x: [score[s] for _, s, v in rows if s and v == x and held(s) == part] for x in ("allow", "block")}
+        if not all(own.values()):
+            return None
+        m, d = ({x: f(v) for x, v in own.items()} for f in (statistics.fmean, lambda v: statistics.pstdev(v) + 1e-9))
+        return (m["allow"] * d["block"] + m["block"] * d["allow"]) / (d["allow"] + d["block"])
+
+    limit = next((t for t in (threshold(True), threshold(False)) if t is not None), -math.inf)
+    return {page_id: (v or ("allow" if score.get(s, 0.0) >= limit else "block"), score.get(s, 0.0)) for page_id, s, v in rows}
+
+
+@pytest.mark.parametrize("sent, salts", [(1_000_000, 8), (0, 3)])
+def test_url_model_is_its_definition(spark, monkeypatch, sent, salts):
+    """Sent to all tasks or met in salted places; with repeated, long, empty and null URLs, and characters beyond ASCII."""
+    monkeypatch.setattr(urls, "SENT_WINDOWS", sent)
+    monkeypatch.setattr(urls, "SALTS", salts)
+    rnd = random.Random(9)
+    word = lambda letters: "".join(rnd.choice(letters) for _ in range(rnd.randrange(2, 9)))
+    pages = [f"http://{word('abcn')}.good/{word('abcn')}" for _ in range(40)] + [f"http://{word('xyz0')}.bad/{word('xyz0')}" for _ in range(40)]
+    pages += [f"https://{word(letters)}.else/{word(letters)}" for letters in ("abcn", "xyz0", "axé") for _ in range(15)] + ["http://hot.else/é"] * 30 + [None, "", "none", "http://" + "ab" * 800]
+    rules_ = [("allow", "good/"), ("block", "bad/")]
+    want = brute_urls(list(enumerate(pages)), rules_)
+    got = {r.page_id: (r.verdict, r.score) for r in urls.judge(spark.createDataFrame(list(enumerate(pages)), "page_id long, url string"), rules_).collect()}
+    assert {k: v for k, (v, _) in got.items()} == {k: v for k, (v, _) in want.items()}
+    assert all(got[k][1] == pytest.approx(want[k][1], abs=1e-9) for k in want) and {v for v, _ in want.values()} == {"allow", "block"}
+
+
+def test_held_out_urls_dont_train(spark):
+    """Windows that held-out URLs alone have count for neither model."""
+    held = next(f"q{i}.good" for i in range(99) if hashlib.md5(f"q{i}.good/".encode()).hexdigest() < "4")
+    pages = [(i, f"http://{n}/") for i, n in enumerate(["a.good", "b.bad", held])]
+    scores = {r.page_id: r.score for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string"), [("allow", "good/"), ("block", "bad/")]).collect()}
+    assert scores == {k: pytest.approx(s) for k, (_, s) in brute_urls(pages, [("allow", "good/"), ("block", "bad/")]).items()}
