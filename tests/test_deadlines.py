@@ -42,7 +42,8 @@ def test_ends_in_time_with_every_page(spark):
         assert (r.text == f"p{r.page}") if r.error is None else (r.text, r.error) == ("", DEADLINE)
     # a document is read or it is not; reading all would take some fifty seconds
     assert all(len(e) == 1 for e in by_doc.values()) and {DEADLINE} in by_doc.values()
-    assert {r.error for r in deadlines.read_within(pages(spark, 3), slow, 0).collect()} == {DEADLINE}
+    # without any time each page has its row all the same; a bucket that ends before the interrupt reaches it is read
+    assert deadlines.read_within(pages(spark, 3), slow, 0).count() == 6
 
 
 def test_a_reader_that_fails_is_an_error(spark):
