@@ -12,7 +12,8 @@ A window of LENGTH bytes is repeated if it begins at another position of any doc
    than COMMON of them, are compared by their hash.
 
 Documents are handled in chunks of about CHUNK_BYTES, which ask and get answers by hash range; copies of a text, however
-many, are settled in step 2 with one row for each chunk that has some. Hashes have 64 bits; step 3 compares bytes.
+many, are settled in step 2 with one row for each chunk that has some. Phrases are counted by 64 bits, where a clash only leaves a
+window open; sequences, and windows compared by hash, are told apart by 128 bits of two kinds of hash; step 3 compares bytes.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .blobs import BLOB, batch, each, pack, pack_names, parts, range_starts, requests, rows, unpack, unpacked_names
 from .common import BLANKS, drop_folders, drop_stash, small_batches, stash, table
-from .suffix_order import WIDTH, Hashes, cuts, repeated
+from .suffix_order import WIDTH, Hashes, checks, cuts, pairs, repeated
 from .words import mix
 
 
@@ -92,13 +93,13 @@ class Texts:
         np.add.at(steps, last[some] + 1, -1)
         return (np.arange(len(self.data)) + length <= self.ends) & (np.cumsum(steps[:-1]) == 0)
 
-    def sequences(self, windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Phrases in which windows begin, the hashes of the text that covers these, sorted and distinct, and each's place there."""
+    def sequences(self, windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Phrases in which windows begin, both hashes of the text that covers these, sorted and distinct, and each's place there."""
         sums = np.concatenate([[0], np.cumsum(windows)])
         chosen = np.flatnonzero(sums[self.end] > sums[self.begin])
         cover = np.searchsorted(self.end, np.minimum(self.end[chosen] - 1 + length, self.offsets[self.doc[chosen] + 1]))
-        distinct, which = np.unique(self.hashes(self.begin[chosen], self.end[cover]), return_inverse=True)
-        return chosen, distinct, which
+        begin, end = self.begin[chosen], self.end[cover]
+        return chosen, *pairs(self.hashes(begin, end), checks(self.data, begin, end))
 
     def spread(self, chosen: np.ndarray) -> np.ndarray:
         """Positions of the phrases chosen."""
@@ -140,7 +141,7 @@ class Open:
 
     def __init__(self, texts: Texts, length: int, counts: np.ndarray, total: np.ndarray, owned: np.ndarray):
         windows = texts.open(counts, length)
-        chosen, _, which = texts.sequences(windows, length)
+        chosen, *_, which = texts.sequences(windows, length)
         twice = total[which] > 1
         self.settled = windows & texts.spread(chosen[twice])
         kept = np.zeros(len(chosen), bool)
@@ -153,7 +154,7 @@ class Open:
         # by hash
         self.plain = position[plain]
         self.plain_wanted = wanted[plain]
-        self.hashes, self.hash_which = np.unique(texts.hashes(self.plain, self.plain + length), return_inverse=True)
+        self.hashes, self.checks, self.hash_which = pairs(texts.hashes(self.plain, self.plain + length), checks(texts.data, self.plain, self.plain + length))
         # runs of windows that follow each other and have one phrase
         position, phrase, wanted = position[~plain], phrase[~plain], wanted[~plain]
         fresh = np.ones(len(position), bool)
@@ -190,9 +191,10 @@ def _count(kind: str, group: pa.Table) -> pa.Table:
     """Answers with the sums of the asked hashes, and whether the asking chunk is the first that has it."""
     names = group.column("chunk").to_pylist()
     blobs = [unpack(x) for x in group.column("data").to_pylist()]
-    keys, which = np.unique(np.concatenate([b[0] for b in blobs]), return_inverse=True)
-    total = np.rint(np.bincount(which, np.concatenate([b[1] for b in blobs]), len(keys))).astype(np.uint32)
-    free, at, out = np.ones(len(keys), bool), 0, []
+    keys = np.concatenate([b[0] for b in blobs])
+    which = pairs(keys, np.concatenate([b[1] for b in blobs]))[2] if len(blobs[0]) > 2 else np.unique(keys, return_inverse=True)[1]
+    total = np.rint(np.bincount(which, np.concatenate([b[-1] for b in blobs]))).astype(np.uint32)
+    free, at, out = np.ones(len(total), bool), 0, []
     for name, blob in zip(names, blobs, strict=True):
         w = which[at : at + len(blob[0])]
         at += len(w)
@@ -309,9 +311,9 @@ def repeats(docs: DataFrame, rules: Sequence[Rule] = (Rule(LENGTH),), id_col: st
         texts, asked = Texts(part["chunk"], least), []
         if len(texts.distinct):
             for i, rule in enumerate(rules):
-                _, distinct, which = texts.sequences(texts.open(part["phrases"][0], rule.length), rule.length)
+                _, distinct, second, which = texts.sequences(texts.open(part["phrases"][0], rule.length), rule.length)
                 counts = np.bincount(which, minlength=len(distinct)).astype(np.uint32)
-                asked += requests(name, f"sequences{i}", distinct, [counts], n)
+                asked += requests(name, f"sequences{i}", distinct, [second.view(np.int64), counts], n)
         return pa.Table.from_batches([batch(asked)])
 
     def ask_windows(group: pa.Table) -> pa.Table:
@@ -322,7 +324,7 @@ def repeats(docs: DataFrame, rules: Sequence[Rule] = (Rule(LENGTH),), id_col: st
                 texts = texts or Texts(part["chunk"], least)
                 left = Open(texts, rule.length, part["phrases"][0], *part[f"sequences{i}"])
                 counts = np.bincount(left.hash_which, minlength=len(left.hashes)).astype(np.uint32)
-                asked += requests(name, f"hashes{i}", left.hashes, [counts], n)
+                asked += requests(name, f"hashes{i}", left.hashes, [left.checks.view(np.int64), counts], n)
                 asked += [*_ask_runs(name, f"runs{i}", texts, rule.length, left, n), (name, f"left{i}", 0, left.packed())]
         return pa.Table.from_batches([batch(asked)])
 

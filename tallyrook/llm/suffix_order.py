@@ -9,6 +9,7 @@ by the rank of the parse's suffix that follows. Work grows with dictionary and p
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 from .words import U, _power, mix
 
@@ -33,6 +34,23 @@ class Hashes:
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
 
 
+def checks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """XXH3 hashes of ranges: of another kind than Hashes, so that both together tell ranges apart by 128 bits."""
+    whole, digest = memoryview(np.ascontiguousarray(data)), xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(whole[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
+
+
+def pairs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different pairs in order, and each one's place among them."""
+    order = np.lexsort((second, first))
+    a, b = first[order], second[order]
+    fresh = np.ones(len(a), bool)
+    fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    which = np.empty(len(a), np.int64)
+    which[order] = np.cumsum(fresh) - 1
+    return a[fresh], b[fresh], which
+
+
 def cuts(hashes: Hashes, offsets: np.ndarray) -> np.ndarray:
     """Positions behind a trigger; a trigger lies in one string. offsets: where strings begin, and the end."""
     n = int(offsets[-1])
@@ -118,8 +136,8 @@ def repeated(text: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
     rare = position[~cut]
     if len(rare):  # no cut inside: neighbours in the order may part equal windows
         odd = np.sort(rare)
-        _, which, count = np.unique(hashes(odd, odd + length), return_inverse=True, return_counts=True)
-        out[odd[count[which] > 1]] = True
+        which = pairs(hashes(odd, odd + length), checks(text, odd, odd + length))[2]
+        out[odd[np.bincount(which)[which] > 1]] = True
     return out
 
 

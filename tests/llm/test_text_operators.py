@@ -13,6 +13,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+import xxhash
 import zstandard
 from cases import documents, frame
 from hypothesis import given, settings
@@ -448,3 +449,32 @@ def test_discounts_follow_katz():
     top = 6 * 60 / 1000
     assert d[1] == pytest.approx((2 * 400 / 1000 - top) / (1 - top)) and d[5] == pytest.approx((6 * 60 / (5 * 80) - top) / (1 - top))
     assert katz.discounts([0] * 7)[1] == 0.5
+
+
+def test_clashes_of_one_hash_are_told_apart():
+    """Sequences and windows whose first hashes are equal count apart where the second ones differ; in suffix order too."""
+    from tallyrook.llm.blobs import pack, rows, unpack
+
+    first, counts = np.array([5, 5, 9], np.uint64), np.array([1, 1, 1], np.uint32)
+    one, two = (pack(first, np.array(second, np.int64), counts) for second in ([1, 2, 3], [2, 4, 3]))
+    group = pa.Table.from_batches([rows(["a", "b"], ["sequences0"] * 2, [0, 0], [one, two])])
+    answers = {r["chunk"]: [x.tolist() for x in unpack(r["data"])] for r in passages._count("sequences0", group).to_pylist()}
+    assert answers == {"a": [[1, 2, 2], [1, 1, 1]], "b": [[2, 1, 2], [0, 1, 0]]}
+    a, b, which = suffix_order.pairs(np.array([3, 1, 3, 1], np.uint64), np.array([7, 7, 8, 7], np.uint64))
+    assert (a.tolist(), b.tolist(), which.tolist()) == ([1, 3, 3], [7, 7, 8], [1, 0, 2, 0])
+    data = np.frombuffer(b"abcabcabd", np.uint8)
+    found = suffix_order.checks(data, np.array([0, 3, 6]), np.array([3, 6, 9]))
+    assert found[0] == found[1] != found[2] and found[0] == xxhash.xxh3_64_intdigest(b"abc")
+
+
+def test_windows_without_a_cut_are_compared_by_both_hashes(monkeypatch):
+    """A first hash that clashes for every window leaves the second to decide."""
+    real = suffix_order.Hashes.__call__
+    monkeypatch.setattr(suffix_order.Hashes, "__call__", lambda self, s, e: np.where(e - s == 40, 7, real(self, s, e)).astype(np.uint64))
+    text = np.frombuffer(b"a" * 50 + bytes(range(60, 120)) + b"a" * 45, np.uint8)
+    offsets = np.array([0, 110, 155])
+    got = suffix_order.repeated(text, offsets, 40)
+    windows = {}
+    for i in [*range(71), *range(110, 116)]:
+        windows.setdefault(text[i : i + 40].tobytes(), []).append(i)
+    assert sorted(np.flatnonzero(got).tolist()) == sorted(i for at in windows.values() if len(at) > 1 for i in at)
