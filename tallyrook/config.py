@@ -18,7 +18,7 @@ COLUMN_LABELS: dict[str, tuple[str, ...]] = {
     "acao": ("Ação", "Acao"),
     "resolvido": ("Resolvido (sim/não)", "Resolvido"),
 }
-# Words printed on the form, which say nothing about the handwriting.
+# Words printed on the form, which say nothing about the handwriting. They are used as a set of words, each written once.
 FORM_WORDS = (
     "controle de ocorrencias ocorrências ronda monitoramento cameras câmeras acesso pessoas cargas revista veiculos veículos "
     "outros sim nao não item hora descricao descrição ocorrencia ocorrência acao ação resolvido data turno vigilantes vigilante unidade"

@@ -269,7 +269,7 @@ def public_run(s: DataFrame, ratios: DataFrame, *by: str) -> DataFrame:
 def prf(pairs: DataFrame, labels: list, true: str = "y", predicted: str = "p") -> DataFrame:
     """label, precision, recall, f1, support; 0 where a denominator is. Labels come from the list, seen or not."""
     spark = pairs.sparkSession
-    names = spark.createDataFrame([(x,) for x in labels], "label int")
+    names = spark.createDataFrame([(x,) for x in labels], f"label {'string' if labels and isinstance(labels[0], str) else 'int'}")
     counts = pairs.groupBy(F.col(true).alias("t"), F.col(predicted).alias("q")).agg(F.count("*").alias("n"))  # at most labels squared
     both = names.join(counts, (names["label"] == counts["t"]) | (names["label"] == counts["q"]), "left").groupBy("label").agg(
         F.coalesce(F.sum(F.when((F.col("t") == F.col("label")) & (F.col("q") == F.col("label")), F.col("n"))), F.lit(0)).alias("tp"),

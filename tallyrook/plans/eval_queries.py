@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..config import TAXONOMY
 from ..functions.arrays import spread
 from ..functions.text import cer, wer
-from ..operators import critic, evaluate as E, forms, words as W
-from ..sources.sheets import sheets, table
+from ..operators import classify, critic, evaluate as E, forms, words as W
+from ..sources.sheets import sheets
 from . import base_sql as B
 
 QUERIES, ORACLES = {}, {}
@@ -270,31 +271,46 @@ def paired_gate(spark, d):
     )
 
 
-@query("SELECT count(*) AS n, coalesce(avg((quality = toxic)::INT), 0.0) AS accuracy FROM labels")
+# the classifier's word for what was read of a row, against its word for what was written there
+def _kind(text: str) -> str:
+    return f"CASE WHEN {text} = '' THEN 'routine' {B._kinds.replace('lower(text)', f'lower({text})')} ELSE 'other' END"
+
+
+_TYPES = list(TAXONOMY["type"])
+TYPED = f"{SCORES}, types(l) AS (VALUES {', '.join(f'({t!r})' for t in _TYPES)}), typed AS (SELECT {_kind('td')} AS y, {_kind('rd')} AS p FROM line_scores)"
+
+
+def typed(spark, d):
+    rows = E.row_metrics(of(spark, d))
+    return rows.select(classify.incident_type(F.col("td")).alias("y"), classify.incident_type(F.col("rd")).alias("p"))
+
+
+@query(f"WITH {TYPED} SELECT count(*) AS n, coalesce(avg((y = p)::INT), 0.0) AS accuracy FROM typed")
 def clf_accuracy(spark, d):
-    return table(spark, d, "labels").agg(F.count("*").alias("n"), F.coalesce(F.avg((F.col("quality") == F.col("toxic")).cast("int")), F.lit(0.0)).alias("accuracy"))
+    return typed(spark, d).agg(F.count("*").alias("n"), F.coalesce(F.avg((F.col("y") == F.col("p")).cast("int")), F.lit(0.0)).alias("accuracy"))
 
 
-@query("SELECT t.l AS truth, p.l AS predicted, count(labels.doc_id) AS n FROM (VALUES (0), (1)) t(l) CROSS JOIN (VALUES (0), (1)) p(l) LEFT JOIN labels ON quality = t.l AND toxic = p.l GROUP BY ALL")
+@query(f"WITH {TYPED} SELECT t.l AS truth, q.l AS predicted, count(y) AS n FROM types t CROSS JOIN types q LEFT JOIN typed ON y = t.l AND p = q.l GROUP BY ALL")
 def clf_confusion(spark, d):
-    names = spark.createDataFrame([(a, b) for a in (0, 1) for b in (0, 1)], "truth int, predicted int")
-    counts = table(spark, d, "labels").groupBy(F.col("quality").alias("truth"), F.col("toxic").alias("predicted")).agg(F.count("doc_id").alias("n"))
+    """Every pair of labels, seen or not."""
+    names = spark.createDataFrame([(a, b) for a in _TYPES for b in _TYPES], "truth string, predicted string")
+    counts = typed(spark, d).groupBy(F.col("y").alias("truth"), F.col("p").alias("predicted")).agg(F.count("*").alias("n"))
     return names.join(counts, ["truth", "predicted"], "left").fillna(0)
 
 
-PRF = """c AS (SELECT l AS label, count_if(quality = l AND toxic = l) AS tp, count_if(quality = l) AS support, count_if(toxic = l) AS called FROM labels CROSS JOIN (VALUES (0), (1), (2)) v(l) GROUP BY l),
+PRF = f"""{TYPED}, c AS (SELECT l AS label, count_if(y = l AND p = l) AS tp, count_if(y = l) AS support, count_if(p = l) AS called FROM typed CROSS JOIN types GROUP BY l),
 pr AS (SELECT *, coalesce(tp / nullif(called, 0), 0.0) AS precision, coalesce(tp / nullif(support, 0), 0.0) AS recall FROM c),
 prf AS (SELECT label, tp, support, precision, recall, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) AS f1 FROM pr)"""
 
 
 @query(f"WITH {PRF} SELECT * FROM prf")
 def clf_prf(spark, d):
-    return E.prf(table(spark, d, "labels"), [0, 1, 2], "quality", "toxic")
+    return E.prf(typed(spark, d), _TYPES)
 
 
 @query(f"WITH {PRF} SELECT avg(f1) AS macro_f1 FROM prf")
 def clf_macro_f1(spark, d):
-    return E.prf(table(spark, d, "labels"), [0, 1, 2], "quality", "toxic").agg(F.avg("f1").alias("macro_f1"))
+    return E.prf(typed(spark, d), _TYPES).agg(F.avg("f1").alias("macro_f1"))
 
 
 @query(f"WITH {SCORES} SELECT sheet_id, pos, {B.cer('td', 'rd')}::DOUBLE AS cer FROM line_scores WHERE read")
