@@ -166,16 +166,17 @@ def measures(text):
     words = (text or "").split()
     lines = [x for x in (text or "").split("\n") if x.split()]
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
-    counts = {w: windows.count(w) for w in set(windows)} if len(words) < 2000 else None
-    inside = {i + k for i, w in enumerate(windows) if counts[w] > 1 for k in range(3)} if counts is not None else None
-    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), None if inside is None else len(inside)
+    counts = Counter(windows)
+    inside = {i + k for i, w in enumerate(windows) if counts[w] > 1 for k in range(3)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(inside)
 
 
 def test_rules_measure(spark):
     odd = ["a b c a b c", "a a a a", "#x $y", "x\nx\n\nx", "a b c d a b c e b c d"]
     docs = documents() + [(700 + i, t, *[None] * 8) for i, t in enumerate(odd)]
-    want = sorted((str(i), *measures(t)) for i, t, *_ in docs if not (t and len(t) > 20_000))
-    got = [(str(r.row.doc_id), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in rules.measure(frame(spark, docs)).collect() if not (r.row.text and len(r.row.text) > 20_000)]
+    docs += [(800, "once " * 3 + " ".join(f"w{i}" for i in range(30_000)) + "\nonce once once", *[None] * 8), (801, "ab\n" * 40_000, *[None] * 8), (802, "long" * 100_000, *[None] * 8)]
+    want = sorted((str(i), *measures(t)) for i, t, *_ in docs)
+    got = [(str(r.row.doc_id), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in rules.measure(frame(spark, docs)).collect()]
     assert sorted(got) == want
     assert rules.measure(frame(spark, [])).count() == 0
 
