@@ -161,6 +161,37 @@ def grouped(rows):
     return sorted(map(sorted, groups.values()))
 
 
+def edited(rnd, words, percent):
+    """A copy with this share of words changed at places drawn one by one: replaced, left out or put in."""
+    out = []
+    for w in words:
+        kind = rnd.randrange(3) if rnd.random() < percent / 100 else -1
+        out += [f"n{rnd.randrange(10**6)}"] if kind == 0 else [] if kind == 1 else [w, f"n{rnd.randrange(10**6)}"] if kind == 2 else [w]
+    return out
+
+
+def test_recall_by_edit_rate(spark):
+    """Of originals of 300 words and copies of them: every pair of similarity 0.8 or more is found at any edit rate and no other, so what
+    is lost at a rate lies below the similarity. One changed word breaks five shingles, which ends it between two and three percent."""
+    rnd, rates, each = random.Random(12), (0, 1, 2, 3, 5, 10), 30
+    rows, pairs = [], []
+    for rate in rates:
+        for _ in range(each):
+            words_ = [f"w{rnd.randrange(5000)}" for _ in range(300)]
+            pairs.append((rate, len(rows), len(rows) + 1))
+            rows += [(len(rows), " ".join(words_)), (len(rows) + 1, " ".join(edited(rnd, words_, rate)))]
+    df = spark.createDataFrame([(i, t, *[None] * 8) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, row string, size long, _id string, tid string, words long")
+    group = {}
+    for g in grouped(ordered_minhash.near_duplicates(df).collect()):
+        group |= dict.fromkeys(g, g[0])
+    found = {rate: [group[str(a)] == group[str(b)] for r, a, b in pairs if r == rate] for rate in rates}
+    true = {rate: [rows[a][1] == rows[b][1] or similar(labelled_shingles(rows[a][1]), labelled_shingles(rows[b][1])) for r, a, b in pairs if r == rate] for rate in rates}
+    assert found == true
+    share = {rate: sum(x) / each for rate, x in found.items()}
+    assert share[0] == share[1] == 1.0 and share[2] > 0.6 and share[3] < 0.6 and share[5] < 0.2 and share[10] == 0.0
+    print("recall by percent of words changed:", share)
+
+
 def test_near_duplicates(spark):
     rows = ordered_minhash.near_duplicates(frame(spark)).collect()
     assert len(rows) == len(documents())
