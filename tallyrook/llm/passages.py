@@ -13,7 +13,7 @@ A window of LENGTH bytes is repeated if it begins at another position of any doc
 
 Documents are handled in chunks of about CHUNK_BYTES, which ask and get answers by hash range; copies of a text, however
 many, are settled in step 2 with one row for each chunk that has some. Phrases are counted by 64 bits, where a clash only leaves a
-window open; sequences, and windows compared by hash, are told apart by 128 bits of two kinds of hash; step 3 compares bytes.
+window open; sequences, and windows compared by hash, are told apart by 128 bits of two hashes; step 3 compares bytes.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .blobs import BLOB, batch, each, pack, pack_names, parts, range_starts, requests, rows, unpack, unpacked_names
 from .common import BLANKS, drop_folders, drop_stash, small_batches, stash, table
-from .suffix_order import WIDTH, Hashes, checks, cuts, pairs, repeated
+from .suffix_order import WIDTH, Hashes, cuts, pairs, repeated
 from .words import mix
 
 
@@ -61,7 +61,7 @@ class Texts:
         self.offsets = np.concatenate([[0], np.cumsum(self.sizes, dtype=np.int64)])
         if not parse:
             return
-        self.hashes = Hashes(self.data)
+        self.hashes, self.second = Hashes(self.data), Hashes(self.data, 1)
         bounds = np.unique(np.concatenate([at.astype(np.int64), self.offsets]))
         begin, end = bounds[:-1], bounds[1:]
         doc = np.searchsorted(self.offsets, begin, "right") - 1
@@ -99,7 +99,7 @@ class Texts:
         chosen = np.flatnonzero(sums[self.end] > sums[self.begin])
         cover = np.searchsorted(self.end, np.minimum(self.end[chosen] - 1 + length, self.offsets[self.doc[chosen] + 1]))
         begin, end = self.begin[chosen], self.end[cover]
-        return chosen, *pairs(self.hashes(begin, end), checks(self.data, begin, end))
+        return chosen, *pairs(self.hashes(begin, end), self.second(begin, end))
 
     def spread(self, chosen: np.ndarray) -> np.ndarray:
         """Positions of the phrases chosen."""
@@ -154,7 +154,7 @@ class Open:
         # by hash
         self.plain = position[plain]
         self.plain_wanted = wanted[plain]
-        self.hashes, self.checks, self.hash_which = pairs(texts.hashes(self.plain, self.plain + length), checks(texts.data, self.plain, self.plain + length))
+        self.hashes, self.checks, self.hash_which = pairs(texts.hashes(self.plain, self.plain + length), texts.second(self.plain, self.plain + length))
         # runs of windows that follow each other and have one phrase
         position, phrase, wanted = position[~plain], phrase[~plain], wanted[~plain]
         fresh = np.ones(len(position), bool)

@@ -9,41 +9,37 @@ by the rank of the parse's suffix that follows. Work grows with dictionary and p
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 
 from .words import U, _power, mix
 
 WIDTH = 12
 #: One position in MODULUS is a trigger.
 MODULUS = 24
-_BASE = U(0xD6E8FEB86659FD93)
-_BASE_INVERSE = U(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
-_BYTE = np.random.default_rng(20240531).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
+#: Two families of hashes: bases, and drawn values of the bytes.
+_BASES = (0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)
+_BYTES = [np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1) for seed in (20240531, 20240601)]
 
 
 class Hashes:
-    """Polynomial hashes of any range of a byte array in constant time."""
+    """Polynomial hashes of any range of a byte array in constant time, of either family."""
 
-    def __init__(self, data: np.ndarray):
-        n = len(data)
+    def __init__(self, data: np.ndarray, family: int = 0):
+        n, base = len(data), _BASES[family]
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[data] * _power("phrase up", _BASE, n)[:n], out=self.sums[1:])
-        self.down = _power("phrase down", _BASE_INVERSE, n + 1)
+        np.cumsum(_BYTES[family][data] * _power(f"phrase up {family}", U(base), n)[:n], out=self.sums[1:])
+        self.down = _power(f"phrase down {family}", U(pow(base, -1, 1 << 64)), n + 1)
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
 
 
-def checks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """XXH3 hashes of ranges: of another kind than Hashes, so that both together tell ranges apart by 128 bits."""
-    whole, digest = memoryview(np.ascontiguousarray(data)), xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(whole[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
-
-
 def pairs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The different pairs in order, and each one's place among them."""
-    order = np.lexsort((second, first))
+    order = np.argsort(first, kind="stable")
     a, b = first[order], second[order]
+    if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():  # a clash
+        order = np.lexsort((second, first))
+        a, b = first[order], second[order]
     fresh = np.ones(len(a), bool)
     fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     which = np.empty(len(a), np.int64)
@@ -136,8 +132,11 @@ def repeated(text: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
     rare = position[~cut]
     if len(rare):  # no cut inside: neighbours in the order may part equal windows
         odd = np.sort(rare)
-        which = pairs(hashes(odd, odd + length), checks(text, odd, odd + length))[2]
-        out[odd[np.bincount(which)[which] > 1]] = True
+        _, which, count = np.unique(hashes(odd, odd + length), return_inverse=True, return_counts=True)
+        odd, which = odd[count[which] > 1], which[count[which] > 1]
+        if len(odd):
+            which = pairs(which, Hashes(text, 1)(odd, odd + length))[2]
+            out[odd[np.bincount(which)[which] > 1]] = True
     return out
 
 
