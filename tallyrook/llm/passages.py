@@ -71,7 +71,6 @@ class Texts:
         #: Whether the phrase lies between two triggers, so that its place depends on the text around it alone. A trigger may
         #: end the document too.
         self.whole = (self.begin != self.offsets[self.doc]) & ((self.end != self.offsets[self.doc + 1]) | np.isin(self.end, at.astype(np.int64)))
-        self.ends = np.repeat(self.offsets[1:], self.sizes.astype(np.int64))
         self.distinct, self.which = np.unique(self.phrases, return_inverse=True)
 
     @staticmethod
@@ -88,15 +87,22 @@ class Texts:
         first, last = self.end[single] - length, self.begin[single] - WIDTH
         first = np.maximum(first, self.offsets[self.doc[single]])
         some = first <= last
-        steps = np.zeros(len(self.data) + 1, np.int32)
-        np.add.at(steps, first[some], 1)
-        np.add.at(steps, last[some] + 1, -1)
-        return (np.arange(len(self.data)) + length <= self.ends) & (np.cumsum(steps[:-1]) == 0)
+        n = len(self.data)
+        covered = np.bincount(first[some], minlength=n + 1).astype(np.int32) - np.bincount(last[some] + 1, minlength=n + 1)
+        out = np.cumsum(covered[:-1], dtype=np.int32) == 0
+        # windows that reach over the end of their document
+        for end, size in zip(self.offsets[1:].tolist(), self.sizes.tolist(), strict=True):
+            out[end - min(size, length - 1) : end] = False
+        return out
 
     def sequences(self, windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Phrases in which windows begin, both hashes of the text that covers these, sorted and distinct, and each's place there."""
-        sums = np.concatenate([[0], np.cumsum(windows)])
-        chosen = np.flatnonzero(sums[self.end] > sums[self.begin])
+        if not len(self.begin):
+            chosen = np.empty(0, np.int64)
+        else:
+            # the phrases' own parts of the text, and what lies between them
+            edges = np.stack([self.begin, self.end], axis=1).reshape(-1)
+            chosen = np.flatnonzero(np.logical_or.reduceat(np.append(windows, False), edges)[::2])
         cover = np.searchsorted(self.end, np.minimum(self.end[chosen] - 1 + length, self.offsets[self.doc[chosen] + 1]))
         begin, end = self.begin[chosen], self.end[cover]
         return chosen, *pairs(self.hashes(begin, end), self.second(begin, end))
@@ -106,7 +112,7 @@ class Texts:
         steps = np.zeros(len(self.data) + 1, np.int8)
         steps[self.begin[chosen]] += 1
         steps[self.end[chosen]] -= 1
-        return np.cumsum(steps[:-1]).astype(bool)
+        return np.cumsum(steps[:-1], dtype=np.int8).astype(bool)
 
     def rarest(self, windows: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
         """For each window, the whole phrase in it that occurs least, by hash among equals; -1: none, or all are common."""
@@ -252,7 +258,7 @@ def _removed(texts: Texts, rule: Rule, starts: np.ndarray) -> tuple[np.ndarray,
     position = np.flatnonzero(starts)
     steps[position] += 1
     steps[position + rule.length] -= 1
-    gone = np.cumsum(steps)[: len(starts)] > 0
+    gone = np.cumsum(steps, dtype=np.int32)[: len(starts)] > 0
     edge = np.ones(len(gone), bool)
     edge[1:] = gone[1:] != gone[:-1]
     edge[texts.offsets[:-1][texts.sizes > 0]] = True

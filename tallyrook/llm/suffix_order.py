@@ -52,9 +52,9 @@ def cuts(hashes: Hashes, offsets: np.ndarray) -> np.ndarray:
     n = int(offsets[-1])
     if n < WIDTH:
         return np.empty(0, np.int64)
-    starts = np.arange(n - WIDTH + 1)
-    ends = starts + WIDTH
-    at = ends[hashes(starts, ends) < U((1 << 64) // MODULUS)]
+    # hashes(starts, starts + WIDTH) of all positions, by slices
+    every = mix((hashes.sums[WIDTH : n + 1] - hashes.sums[: n - WIDTH + 1]) * hashes.down[: n - WIDTH + 1] + U(WIDTH))
+    at = np.flatnonzero(every < U((1 << 64) // MODULUS)) + WIDTH
     string = np.searchsorted(offsets, at - WIDTH, "right") - 1
     return at[at <= offsets[string + 1]]
 
