@@ -31,6 +31,11 @@ def value(text: Column) -> Column:
 
 
 def verdict(text: Column) -> Column:
+    """As below, of a text that is written and computed once, however large its expression is."""
+    return F.get(F.transform(F.array(text), _verdict), F.lit(0))
+
+
+def _verdict(text: Column) -> Column:
     """ok, or why a text isn't strict JSON: not a number, duplicate key, not JSON. The reason is looked for in refused texts only: with
     strings emptied and constants made numbers, a text that a lenient parser takes has one of the first two faults."""
     bare = F.regexp_replace(F.regexp_replace(text, ESCAPE, ""), STRING, '""')

@@ -94,7 +94,12 @@ def exact_keys(keys: Column, wanted: Sequence[str]) -> Column:
 
 
 def bounded_json(content: Column) -> Column:
-    """ok, or why a binary isn't one strict JSON object of at most MOST_SOURCE_BYTES; larger ones are not parsed."""
+    """ok, or why a binary isn't one strict JSON object of at most MOST_SOURCE_BYTES; larger ones are not parsed. The content is written and
+    computed once."""
+    return F.get(F.transform(F.array(content), _bounded), F.lit(0))
+
+
+def _bounded(content: Column) -> Column:
     text = F.when(F.is_valid_utf8(content), content.cast("string"))
     small = F.octet_length(content) <= MOST_SOURCE_BYTES
     verdict = strict_json.verdict(F.when(small, text))
