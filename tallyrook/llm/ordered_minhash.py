@@ -206,13 +206,19 @@ def _blocks_linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield links()
 
 
-def _candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of texts that share a key, one of them a centre of it. From (tid, keys). Centres are the same texts under every key."""
-    spread = nodes.select("tid", F.explode("keys").alias("key")).repartition(F.col("key"))
-    ranked = F.struct(F.xxhash64("tid").alias("rank"), F.col("tid"))
+def _centred(nodes: DataFrame) -> DataFrame:
+    """(tid, component, low, high): each text under each of its keys beside the two centres, of smallest and of largest hash; keys of one
+    text have none. From (tid, keys, component). Centres are the same texts under every key."""
+    spread = nodes.select("tid", "component", F.explode("keys").alias("key")).repartition(F.col("key"))
+    ranked = F.struct(F.xxhash64("tid").alias("rank"), F.col("tid"), F.col("component"))
     centres = spread.groupBy("key").agg(F.min(ranked).alias("low"), F.max(ranked).alias("high")).where("low.tid <> high.tid")
-    pairs = spread.join(centres, "key").select("tid", F.explode(F.array("low.tid", "high.tid")).alias("centre")).where("tid <> centre")
-    return pairs.select(F.least("tid", "centre").alias("a"), F.greatest("tid", "centre").alias("b")).distinct()
+    return spread.join(centres, "key").select("tid", "component", "low", "high")
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    """(a, b), each once, of a text and its centres (tid, component, low, high) that lie in other components."""
+    pairs = met.select("tid", "component", F.explode(F.array("low", "high")).alias("centre")).where("component <> centre.component")
+    return pairs.select(F.least("tid", "centre.tid").alias("a"), F.greatest("tid", "centre.tid").alias("b")).distinct()
 
 
 def _own(doc_id: str = "doc_id"):
@@ -266,6 +272,20 @@ def _tasks(nodes: DataFrame) -> DataFrame:
     return member.join(wide.select("tid", "component", "keys", "size"), "tid")
 
 
+def _compared(rows: DataFrame, firsts: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs whose texts are similar, written; what is written on the way is removed."""
+    own = Scratch()
+    links = scratch.stash(_linked(rows, firsts, own.stash(pairs, "candidates"), own), "links-found")
+    own.drop()
+    return links
+
+
+def _labelled(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(tid, keys, size, component) of all nodes."""
+    parts = components(links, scratch.stash)
+    return nodes.join(parts, F.col("tid") == F.col("node"), "left").select("tid", "keys", "size", F.coalesce("component", "tid").alias("component"))
+
+
 def _rest_linked(rows: DataFrame, firsts: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """Links that connect all components with similar texts under one key."""
     tasks = scratch.stash(_tasks(nodes), "tasks")
@@ -284,8 +304,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of the one text that leads the class. An empty table gives no rows.
 
     Equal texts are one node. A sketch key gathers any number of nodes. Each is compared with two centres first, those of
-    smallest and of largest hash, under both keys of all hash functions: centres are the same nodes under every key, so
-    members of one family meet the same few, and most of a family is connected by comparisons that grow with the number of rows.
+    smallest and of largest hash among all that its keys have, which are two comparisons a row at most; then with the
+    two of each key, under both keys of all hash functions, that it isn't connected with yet. Centres are the same nodes under every
+    key, so members of one family meet the same few, and most of a family is connected by comparisons that grow with the number of rows.
     Then every pair that shares a key and isn't in one component yet is compared, in blocks, none is left out; that grows
     with the square of the part of a bucket that the centres didn't connect. Whether texts share a key is a matter of chance:
     a pair of similarity 0.8 shares a wide key of 16 with one of 0.99999.
@@ -300,10 +321,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch()
     nodes = scratch.stash(nodes, "nodes")
     firsts = nodes.select("tid", _own("copies_of"))
-    candidates = scratch.stash(_candidates(nodes), "candidates")
-    links = scratch.stash(_linked(rows, firsts, candidates, scratch), "links-found")
-    parts = components(links, scratch.stash)
-    labelled = nodes.join(parts, F.col("tid") == F.col("node"), "left").select("tid", "keys", "size", F.coalesce("component", "tid").alias("component"))
+    # a text's outermost centres of all its keys first; then those under each key, as far as they aren't connected yet
+    alone = nodes.select("tid", "keys", F.col("tid").alias("component"))
+    outermost = _centred(alone).groupBy("tid").agg(F.first("component").alias("component"), F.min("low").alias("low"), F.max("high").alias("high"))
+    links = _compared(rows, firsts, _pairs(outermost), scratch)
+    links = links.unionByName(_compared(rows, firsts, _pairs(_centred(_labelled(nodes, links, scratch))), scratch))
+    labelled = _labelled(nodes, links, scratch)
     rest = scratch.stash(_rest_linked(rows, firsts, labelled, scratch), "links-found")
     parts = components(links.unionByName(rest), scratch.stash)
     named = nodes.select("tid", "copies_of").join(parts, F.col("tid") == F.col("node"), "left")
