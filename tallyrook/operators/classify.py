@@ -13,11 +13,15 @@ from ..functions.text import strip
 
 def incident_type(text: Column) -> Column:
     """The first type with a keyword in the text; blank texts are routine, others without a keyword other."""
-    low = F.lower(text)
-    out = F.when(strip(low) == "", "routine")
-    for label, words in KEYWORDS:
-        out = out.when(reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in words)), label)
-    return out.otherwise("other")
+
+    def kind(low: Column) -> Column:
+        out = F.when(strip(low) == "", "routine")
+        for label, words in KEYWORDS:
+            out = out.when(reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in words)), label)
+        return out.otherwise("other")
+
+    # the text in lower case is made once
+    return F.get(F.transform(F.array(F.lower(text)), kind), F.lit(0))
 
 
 def _mapped(values: dict[str, str], key: Column, default: str) -> Column:

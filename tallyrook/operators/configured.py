@@ -15,7 +15,7 @@ def values(sheets: DataFrame, report: Report) -> DataFrame:
     """doc_id, name, value, confidence: what was found of the report's scalar fields, in the order of its labels. Fields without labels
     aren't found, nor is anything in a null text."""
     found = F.array(*(F.struct(F.lit(f.name).alias("name"), extract.header_value(f.labels).alias("x")) for f in report.scalars if f.labels))
-    rows = spread(extract.parsed(sheets), found, F.col("sheet_id").alias("doc_id")).where("x is not null")
+    rows = spread(extract.with_lines(extract.parsed(sheets)), found, F.col("sheet_id").alias("doc_id")).where("x is not null")
     return rows.select("doc_id", "name", F.col("x.value").alias("value"), F.lit(HEADER_CONFIDENCE).alias("confidence"))
 
 
