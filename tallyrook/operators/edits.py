@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bound
 from ..functions.text import as_text
 from . import classify, extract, forms, outputs
 
@@ -53,12 +54,14 @@ def quarantined(states: DataFrame) -> DataFrame:
 
 
 def occurrence(row: Column) -> Column:
-    """A checked row as an occurrence: category, entry_time, exit_time, description, action, resolved."""
-    times = F.regexp_extract_all(F.coalesce(as_text(row["hora"]), F.lit("")), F.lit(forms.CLOCK), F.lit(0))
-    yes = as_text(row["resolvido"])
-    return F.struct(
-        as_text(row["item"]).alias("category"), F.get(times, F.lit(0)).alias("entry_time"), F.get(times, F.lit(1)).alias("exit_time"), as_text(row["descricao"]).alias("description"),
-        as_text(row["acao"]).alias("action"), (yes == "sim").alias("resolved"),
+    """A checked row, its values trimmed, as an occurrence: category, entry_time, exit_time, description, action, resolved."""
+    times = F.regexp_extract_all(F.coalesce(row["hora"], F.lit("")), F.lit(forms.CLOCK), F.lit(0))
+    return bound(
+        times,
+        lambda t: F.struct(
+            row["item"].alias("category"), F.get(t, F.lit(0)).alias("entry_time"), F.get(t, F.lit(1)).alias("exit_time"), row["descricao"].alias("description"),
+            row["acao"].alias("action"), (row["resolvido"] == "sim").alias("resolved"),
+        ),
     )
 
 
@@ -99,6 +102,18 @@ def reviewed_fields(disposition: Column) -> Column:
     return F.concat(F.array(*heads), rest)
 
 
+def reviewed_pending(disposition: Column) -> Column:
+    """The names of reviewed_fields() that wait: blank dates and units, sheets without guards, and what an occurrence needs."""
+    heads = (("data_turno", F.col("new_date").isNull()), ("vigilantes", F.array_join("new_guards", ", ") == ""), ("unidade", F.col("new_unit").isNull()))
+    pairs = F.transform("edited_rows", lambda o, i: F.struct(i.alias("i"), o["category"].isNull().alias("objeto"), o["description"].isNull().alias("descricao")))
+    open_rows = F.filter(pairs, lambda x: x["objeto"] | x["descricao"])
+    name = lambda x, c: F.when(x[c], F.concat(F.lit("ocorrencia_"), (x["i"] + 1).cast("string"), F.lit(f"_{c}")))
+    cells = F.flatten(F.transform(open_rows, lambda x: F.array_compact(F.array(name(x, "objeto"), name(x, "descricao")))))
+    empty = F.array().cast("array<string>")
+    rest = F.when(disposition == "none", empty).when(disposition == "unknown", F.array(F.lit("ocorrencias"))).otherwise(cells)
+    return F.concat(F.array_compact(F.array(*(F.when(waits, n) for n, waits in heads))), rest)
+
+
 def edited(states: DataFrame, edits: DataFrame) -> DataFrame:
     """Reviewed sheets: classify.classified() of states, with edits (sheet_id, data_turno, vigilantes, unidade, radio, rows) applied.
 
@@ -111,24 +126,26 @@ def edited(states: DataFrame, edits: DataFrame) -> DataFrame:
     e = edits.select("sheet_id", *(F.col(c).alias(f"e_{c}") for c in ("data_turno", "vigilantes", "unidade", "radio", "rows")))
     s = states.select(*kept).join(e, "sheet_id")
     n = F.size("e_rows")
-    faults = F.filter(F.transform("e_rows", lambda r: forms.row_error(n, r["item"], r["hora"], r["descricao"], r["acao"], r["resolvido"])), lambda x: x.isNotNull())
+    # every value is trimmed once
+    s = s.withColumn("e_rows", F.transform("e_rows", lambda r: F.struct(*(as_text(r[c]).alias(c) for c in ("item", "hora", "descricao", "acao", "resolvido")))))
+    faults = F.filter(F.transform("e_rows", lambda r: forms.trimmed_row_error(n, r)), lambda x: x.isNotNull())
     judged = F.struct(F.get(faults, F.lit(0)).alias("fault"), forms.disposition(F.col("e_radio"), n, F.col("disposition")).alias("now"))
-    s = s.withColumn("j", _bound(judged, lambda j: F.struct(F.coalesce(j["fault"], F.when(j["now"].startswith("error:"), F.substring(j["now"], 7, 1000))).alias("error"), j["now"].alias("now"))))
+    s = s.withColumn("j", bound(judged, lambda j: F.struct(F.coalesce(j["fault"], F.when(j["now"].startswith("error:"), F.substring(j["now"], 7, 1000))).alias("error"), j["now"].alias("now"))))
     ok, now, failed = F.col("j.error").isNull(), F.col("j.now"), F.col("quality") == "failed"
     none = F.lit(None)
     s = s.select(
         "*", F.when(ok, as_text(F.col("e_data_turno"))).alias("new_date"), F.when(ok, as_text(F.col("e_unidade"))).alias("new_unit"), F.when(ok, extract.guards(F.col("e_vigilantes"))).alias("new_guards"),
-        F.when(ok, F.when(now == "present", F.transform("e_rows", occurrence)).otherwise(F.filter(F.transform("e_rows", occurrence), lambda _: F.lit(False)))).alias("edited_rows"),
+        F.when(ok, F.transform(F.when(now == "present", F.col("e_rows")).otherwise(F.slice("e_rows", 1, 0)), occurrence)).alias("edited_rows"),
     )
-    waiting = F.transform(F.filter(reviewed_fields(now), lambda f: f["must_review"]), lambda f: f["name"])
+    waiting = reviewed_pending(now)
     known = ok & (now != "unknown")
     content = revised_content(now, F.col("edited_rows"))
 
     def classed(kind: Column) -> Column:
         return F.struct(kind.alias("type"), classify.urgency_of(kind).alias("urgency"), classify.sector_of(kind).alias("sector"))
 
-    s = s.withColumn("waits", F.when(ok, waiting).otherwise(F.col("pending"))).withColumn("c", F.when(known, _bound(_bound(content, classify.incident_type), classed)))
-    routed = _bound(F.col("c"), lambda c: classify.recipients(c["type"], c["urgency"], c["sector"]))
+    s = s.withColumn("waits", F.when(ok, waiting).otherwise(F.col("pending"))).withColumn("c", F.when(known, bound(bound(content, classify.incident_type), classed)))
+    routed = bound(F.col("c"), lambda c: classify.recipients(c["type"], c["urgency"], c["sector"]))
     multi = F.when(F.col("pages") > 1, F.array(F.lit("multipage"))).otherwise(F.array().cast("array<string>"))
     quality, disposition = F.when(ok & failed, "low").otherwise(F.col("quality")), F.when(ok, now).otherwise(F.col("disposition"))
     return s.select(
@@ -139,11 +156,6 @@ def edited(states: DataFrame, edits: DataFrame) -> DataFrame:
     )
 
 
-def _bound(value: Column, body) -> Column:
-    """body(value) with value written and computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def with_spreadsheet(reviewed: DataFrame) -> DataFrame:
     """edited() with shown: the sheet's spreadsheet as an array of pos, dia, unidade, objeto, descricao; none for an edit that was refused."""
     day, unit = (F.coalesce(F.col(c), F.lit(outputs.PENDING)) for c in ("new_date", "new_unit"))

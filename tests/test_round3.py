@@ -61,3 +61,17 @@ def test_header_text_is_that_of_the_lines(spark):
         for r in df.select(extract.header_text(labels).alias("a"), extract.header_value(labels)["value"].alias("b")).collect():
             assert r.a == r.b
     assert df.where("sheet_id = 0").select(extract.header_text(("Data e Turno", "Data"))).first()[0] == "- \t 5/5"
+
+
+def test_waiting_names_are_those_of_the_fields(spark, sf):
+    from tallyrook.operators import critic, edits, extract
+    from tallyrook.sources.sheets import sheets
+
+    found = extract.models(sheets(spark, sf))
+    names = lambda fields: F.transform(F.filter(fields, lambda f: f["must_review"]), lambda f: f["name"])
+    assert found.where(~critic.pending(found).eqNullSafe(names(critic.field_list(found)))).count() == 0
+    rows = "array<struct<category:string,entry_time:string,exit_time:string,description:string,action:string,resolved:boolean>>"
+    values = [("a", ["g"], None, [(None, None, None, "d", None, True), ("c", "1", None, None, None, None), ("c", None, None, "d", None, None)]), (None, [], "u", []), ("a", [""], "u", [(None,) * 6])]
+    df = spark.createDataFrame(values, f"new_date string, new_guards array<string>, new_unit string, edited_rows {rows}").withColumn("table_found", F.lit(True))
+    for now in ("none", "unknown", "present"):
+        assert df.where(~edits.reviewed_pending(F.lit(now)).eqNullSafe(names(edits.reviewed_fields(F.lit(now))))).count() == 0
