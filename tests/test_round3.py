@@ -75,3 +75,12 @@ def test_waiting_names_are_those_of_the_fields(spark, sf):
     df = spark.createDataFrame(values, f"new_date string, new_guards array<string>, new_unit string, edited_rows {rows}").withColumn("table_found", F.lit(True))
     for now in ("none", "unknown", "present"):
         assert df.where(~edits.reviewed_pending(F.lit(now)).eqNullSafe(names(edits.reviewed_fields(F.lit(now))))).count() == 0
+
+
+def test_distances_are_counted_once(spark, sf):
+    from tallyrook.operators import evaluate as E
+
+    plan = _plan(E.scored(E.base_of(spark, sf)).select("effort", "lines"))
+    assert plan.count("levenshtein(") == 3
+    pairs = spark.createDataFrame([("abcd", "abxx", True), ("abcd", "axxx", False), ("abc", "ab", True), ("abc", "a", False), ("a", "a", True), ("a", "b", False), ("", "", False), ("a", "", False)], "a string, b string, w boolean")
+    assert pairs.where(E._close(F.col("a"), F.col("b")) != F.col("w")).count() == 0
