@@ -39,7 +39,7 @@ def findings(docs: DataFrame, terms: tuple[str, ...] | DataFrame = (), organizat
     out = lines.select("id", "line", F.explode(F.array_compact(F.array(*tests))).alias("category"))
     if not isinstance(terms, DataFrame):
         return out
-    return out.unionByName(term_table.found(lines, terms).select("id", "line", F.lit("private-term").alias("category")))
+    return out.unionByName(term_table.found(lines, terms, columns=("id", "line")).select("id", "line", F.lit("private-term").alias("category")))
 
 
 # Files of prose, scanned for clock times too, and files of code and data, where times are no secret.

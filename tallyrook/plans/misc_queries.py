@@ -48,7 +48,7 @@ def _term_lines(spark, d, sent_bytes):
     docs = table(spark, d, "documents")
     lines = docs.select("doc_id", F.explode_outer(F.split("text", r"\R", -1)).alias("t"))
     names = docs.where("doc_id % 20 = 3").select(F.substring("text", 1, 14).alias("term"))
-    return terms.found(lines, names, sent_bytes).groupBy("term").agg(F.count("*").alias("n_lines"), F.countDistinct("doc_id").alias("n_docs"))
+    return terms.found(lines, names, sent_bytes, ("doc_id",)).groupBy("term").agg(F.count("*").alias("n_lines"), F.countDistinct("doc_id").alias("n_docs"))
 
 
 @query(_TERM_LINES)
